@@ -24,7 +24,7 @@ from roadspark.llm import _bytes
 from roadspark.llm._spark import remainder
 
 BITS = 20
-TRAINING_ROWS = 16_384
+TRAINING_ROWS = 8_192
 ROUNDS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.1
 STEMS = (4, 5, 6)
@@ -88,7 +88,7 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = ROUNDS) -
 
 def _learn(pdf):
     pdf = pdf.sort_values(["turn", "features"])
-    w, bias = learn([np.frombuffer(b, "<u4").astype(np.int64) for b in pdf["features"]], pdf["toxic"].to_numpy(float))
+    w, bias = learn([np.frombuffer(b, "<u4") for b in pdf["features"]], pdf["toxic"].to_numpy(float))
     at = np.flatnonzero(w)
     return pd.DataFrame([{"at": at.astype("<u4").tobytes(), "weight": w[at].tobytes(), "bias": bias}])
 
