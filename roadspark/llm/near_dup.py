@@ -14,7 +14,8 @@
 4. A candidate group's texts are compared by weighted Jaccard similarity: all that share a band, but for those that
    are linked already and those whose distances to a common text exclude a link (1 - similarity is a metric).
    A group of more than GROUP texts is dealt out by hash over tasks; each finds its classes, and the classes'
-   leaders meet in the next round.
+   leaders meet in the next round.  Buckets in which several classes are left after that are compared whole, two
+   parts of GROUP texts at a time, so that no link between texts that share a band is lost.
 5. The verified links' components are the classes.
 
 Texts that are equal are one text throughout, with all its rows, so copies cost a row each, never a pair.
@@ -241,29 +242,43 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, group: int =
     pairs = near.join(low, "bucket").select(F.col("digest").alias("a"), "b").filter("a <> b").distinct()
     candidates = connected_components(pairs)
 
-    members = stored(candidates.withColumnRenamed("node", "digest"), "candidates")
-    found = None
+    def compared(dealt: DataFrame, by: list[str]) -> DataFrame:
+        """Links (a, b) of each text to its class's leader within its group by; dealt names the groups' digests."""
+        dealt = dealt.join(texts.select("digest", "least_id", "bands"), "digest")
+        # one row of each text alone is met by the join, so that copies don't gather
+        body = docs.join(dealt, (docs["digest"] == dealt["digest"]) & docs["doc_id"].eqNullSafe(dealt["least_id"])).select(dealt["digest"], *by, "text", "bands").dropDuplicates(["digest", *by])
+        return stored(body.groupBy(*by).applyInArrow(_classes(weights, least), "a binary, b binary"), "links")
+
+    members, found, whole = stored(candidates.withColumnRenamed("node", "digest"), "candidates"), None, True
     while True:
-        sized = members.groupBy("component").agg(F.count("*").alias("n"))
-        sized = members.join(sized, "component")
+        sized = members.join(members.groupBy("component").agg(F.count("*").alias("n")), "component")
         # a large group's texts are dealt out, by hash, over tasks of about group texts
         part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / group))
         dealt = sized.select("digest", "component", part.alias("part"), (F.col("n") > group).alias("large"))
-        # one row of each text alone is met by the join, so that copies don't gather
-        dealt = dealt.join(texts.select("digest", "least_id", "bands"), "digest")
-        body = docs.join(dealt, (docs["digest"] == dealt["digest"]) & docs["doc_id"].eqNullSafe(dealt["least_id"])).select(dealt["digest"], "component", "part", "text", "bands").dropDuplicates(["digest"])
-        step_links = stored(body.groupBy("component", "part").applyInArrow(_classes(weights, least), "a binary, b binary"), "links")
+        step_links = compared(dealt, ["component", "part"])
         found = step_links if found is None else found.unionByName(step_links)
-        # the leaders of large groups meet again
-        again = step_links.select(F.col("b").alias("digest")).distinct().join(dealt.filter("large").select("digest", "component"), "digest")
-        before = dealt.filter("large").count()
-        members = stored(again, "candidates")
-        after = members.count()
-        if not after:
+        large = dealt.filter("large").select("digest", "component")
+        before = large.count()
+        if not before:
+            break
+        # the classes' leaders meet in the next round, as long as there are much fewer of them
+        whole = False
+        members = stored(step_links.select(F.col("b").alias("digest")).distinct().join(large, "digest"), "candidates")
+        if members.count() > 0.9 * before:
             break
-        if after > 0.9 * before:  # leaders unlike each other, almost all of them: whole groups at once
-            group = max(group * 8, group)
-    classes = connected_components(found).withColumnRenamed("node", "digest")
+    if whole:
+        classes = found.select(F.col("a").alias("digest"), F.col("b").alias("component"))
+    else:
+        # what leaders don't show: buckets that still hold several classes, two parts of a bucket at a time
+        classes = stored(connected_components(found).withColumnRenamed("node", "digest"), "classes")
+        lone = candidates.withColumnRenamed("node", "digest").join(classes.select("digest"), "digest", "left_anti").select("digest", F.col("digest").alias("component"))
+        inside = near.join(classes.unionByName(lone), "digest")
+        mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / group).cast("int").alias("parts")).filter("low <> high")
+        own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+        pairs = inside.join(mixed, "bucket").select("digest", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        pairs = pairs.select("digest", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        found = found.unionByName(compared(pairs, ["bucket", "i", "j"]))
+        classes = connected_components(found).withColumnRenamed("node", "digest")
     named = texts.select("digest", "least_id", "copies").join(classes, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     heads = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "digest")).getField("digest").alias("head"))
     out = signed.select("doc_id", "digest").join(named.select("digest", "component", "least_id").join(heads, "component"), "digest")
