@@ -53,7 +53,7 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses, n + 1 at least."""
-    return _powers_of(max(1 << 21, 1 << (n + 1).bit_length()))
+    return _powers_of(max(1 << 19, 1 << (n + 1).bit_length()))
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about size bytes each; a longer text is alone in its range."""
     i, n = 0, len(offsets) - 1
     while i < n:

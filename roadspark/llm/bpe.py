@@ -307,7 +307,7 @@ def encode_documents(docs: DataFrame, path: str, *, digests: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for i, j in _bytes.pieces(_bytes.strings(batch.column("text"))[1]):
+            for i, j in _bytes.pieces(_bytes.strings(batch.column("text"))[1], 1 << 20):
                 part = batch.slice(i, j - i)
                 rows = []
                 for ids in bpe.encode_batch([t or "" for t in part.column("text").to_pylist()]):

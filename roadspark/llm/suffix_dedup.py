@@ -40,7 +40,7 @@ from roadspark.llm.lm import segment_of
 LENGTH = 200
 K = 24
 SHALLOW = 16
-HOT = 50_000
+HOT = 1_000
 U64 = np.uint64
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -178,7 +178,7 @@ class Segments:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int):
         n, w = len(buf), length - K + 1
-        self.buf, self.sums = buf, _bytes.prefix(buf)
+        self.buf = buf
         e = np.zeros(0, np.int64)
         self.first = self.count = self.at = e
         self.anchor = self.hash = np.zeros(0, U64)
@@ -186,7 +186,8 @@ class Segments:
         if not len(good):
             return
         grams = np.arange(n - K + 1)
-        h = _bytes.hash_spans(self.sums, grams, grams + K)
+        sums = _bytes.prefix(buf)  # eight times the text, so not kept
+        h = _bytes.hash_spans(sums, grams, grams + K)
         bits = U64(n.bit_length())
         packed = h >> bits << bits | grams.astype(U64)
         size = -(-len(packed) // w) * w
@@ -210,7 +211,7 @@ class Segments:
         self.count = stop - self.first
         self.at = at[self.first]
         self.anchor = h[self.at]
-        self.hash = _bytes.mix(_bytes.hash_spans(self.sums, self.first, stop + length - 1) + (self.at - self.first).astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.hash = _bytes.mix(_bytes.hash_spans(sums, self.first, stop + length - 1) + (self.at - self.first).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def block_segments(column: pa.Array, length: int):
@@ -314,12 +315,14 @@ def _hot_windows(parts: list[Segments], names: Names, hot: np.ndarray, length: i
     """The hashes of all windows of hot anchors' segments, each segment once, in order; and each segment's number of them."""
     if not len(hot):
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    out, count = [], []
-    for p, r in zip(*_found(parts, names, hot)):
-        s = np.arange(parts[p].first[r], parts[p].first[r] + parts[p].count[r])
-        out.append(_bytes.hash_spans(parts[p].sums, s, s + length))
-        count.append(len(s))
-    return np.concatenate(out), np.array(count)
+    out: list = [None] * len(hot)
+    part, row = _found(parts, names, hot)
+    for p in np.unique(part):
+        sums = _bytes.prefix(parts[p].buf)
+        for i in np.flatnonzero(part == p):
+            s = np.arange(parts[p].first[row[i]], parts[p].first[row[i]] + parts[p].count[row[i]])
+            out[i] = _bytes.hash_spans(sums, s, s + length)
+    return np.concatenate(out), np.array([len(x) for x in out])
 
 
 def _send(n: int, length: int):
@@ -455,8 +458,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, columns: tuple[str,
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    n = 2 * partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    # small blocks for the memory of a task, and fewer owners: each block sends each owner a row at most
+    blocks, n = 2 * partitions(docs.sparkSession), partitions(docs.sparkSession)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     texts = docs.select(block.alias("block"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("text"))
     by = texts.groupBy("block")
     asked = by.applyInArrow(_ask(n, length), "owner int, block long, segs binary, many binary, anchors binary, low binary, high binary, each binary")
