@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.llm import _bytes
-from roadspark.llm._spark import partitions, stored
+from roadspark.llm._spark import id_text, stored
 from roadspark.llm.components import connected_components
 
 SHINGLE = 5
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, group: int =
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class: of its head text, the row with the least doc_id."""
-    docs = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    keep = near_duplicates(docs, **options).filter("of_head and of_least").select(F.col("text_md5").alias("_digest"), F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, (docs["_digest"] == keep["_digest"]) & docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates(["_digest", "doc_id"]).drop("_digest")
+    docs = docs.withColumns({"_digest": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "_id": id_text()})
+    keep = near_duplicates(docs, **options).filter("of_head and of_least").select(F.col("text_md5").alias("_digest"), id_text().alias("_id")).distinct()
+    # repeated rows are dropped within the join's own partitions, without another exchange of texts
+    return docs.join(keep, ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).drop("_digest", "_id")
