@@ -210,7 +210,7 @@ class Segments:
         stop = np.minimum(np.append(self.first[1:], n), text_end - length + 1)
         self.count = stop - self.first
         self.at = at[self.first]
-        self.anchor = h[self.at]
+        self.anchor = _bytes.mix(h[self.at] ^ U64(0x5851F42D4C957F2D))  # least hashes are all small; owners need even ones
         self.hash = _bytes.mix(_bytes.hash_spans(sums, self.first, stop + length - 1) + (self.at - self.first).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
