@@ -3,19 +3,19 @@
 Training: every worker hashes the tokens of its texts and sends, for each segment of the hash space, the distinct
 unigrams and bigrams of a block with their counts; the owner of a segment sums them, exactly, over the whole
 corpus, quantises each count to a level on a logarithmic scale, and inserts the n-gram with each level up to its
-own into the segment's part of one Bloom filter.  The filter has a fixed size (FILTER_BYTES), so it may be
-broadcast whatever the corpus; a segment keeps all n-grams with at least the least count for which they fit, and
-the mass and the number of the unigrams left out are kept as statistics.  Only the segments' bits and statistics
-come to the driver.
+own into the segment's Bloom filter.  A filter has as many bits as its own insertions ask for, so every n-gram is
+kept whatever the corpus; the segments are rows of a stored table, and only their statistics' sums come to the driver.
 
 Scoring: a count is read back by probing for level 1, 2, ... until a probe misses, and
     P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w)
-with L = BIGRAM_WEIGHT where c(v) > 0 and 0 elsewhere; P(w) = c(w) / (N + 1) for unigrams in the filter, and the
-left-out mass (plus one) shared evenly among the left-out types (plus one) for all others.
+with L = BIGRAM_WEIGHT where c(v) > 0 and 0 elsewhere; P(w) = c(w) / (N + 1) for unigrams in the filter, and 1 / (N + 1)
+for all others.  (A caller may name a bound, filter_bytes; the segments then keep the n-grams with at least the least
+count for which they fit, and the unigrams left out share their mass evenly with the unknown.)
 
-The base score needs the exact count of every token, rare ones too, which no bounded broadcast holds.  Therefore
-each block also sends its (token, text, times) triples by segment of the hash space; the owner adds up the
-counts, and sends each text's sum of tf * log10(c + 1) back to its block.
+Each block sends its distinct unigrams and bigrams to the segments' owners, who hold one segment's filter at a time
+and send the levels back in the same order.  The base score needs the exact count of every token, so the block also
+sends its (token, text, times) triples; the owner adds up the counts, and sends each text's sum of
+tf * log10(c + 1) back to its block.
 
 Defined cases: a null text is empty, and an empty text has the end token alone; a null doc_id counts as the text
 '' in the training rule; repeated rows count each; with no training text at all every count is 0.  Tokens are
@@ -34,9 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.llm import _bytes
-from roadspark.llm._spark import only, partitions, remainder
+from roadspark.llm._spark import only, partitions, remainder, stored
 
-FILTER_BYTES = 16 << 20
 PROBES = 3
 #: Insertions a bit: about a third of the bits are set at most.
 FILL = 0.4
@@ -123,7 +122,7 @@ def count_blocks(n: int):
                     rows.append((s, parts[0][0][a:b].tobytes(), _bytes.pack(parts[0][1][a:b]), (parts[1][0][c:d] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), _bytes.pack(parts[1][1][c:d])))
             for k in range(0, len(rows), 512):
                 cols = list(zip(*rows[k : k + 512]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["segment", "uni", "uni_n", "bi", "bi_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["segment", "uni", "uni_n", "bi", "bi_n"])
 
     return run
 
@@ -139,11 +138,12 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def probes(key: np.ndarray, level: np.ndarray, bits: int) -> list[np.ndarray]:
     """The bits in its segment for an n-gram at a level."""
     x = _bytes.mix(key * U64(0x9FB21C651E98DF25) + level.astype(U64))
-    return [((x >> U64(21 * i)) & U64(0x1FFFFF)) * U64(bits) >> U64(21) for i in range(PROBES)]
+    step = x & U64(0xFFFFFFFF) | U64(1)
+    return [((x >> U64(32)) + step * U64(i) & U64(0xFFFFFFFF)) * U64(bits) >> U64(32) for i in range(PROBES)]
 
 
-def build_segment(bits: int):
-    """One segment's bits and statistics from all blocks' counts."""
+def build_segment(limit: int | None):
+    """One segment's bits and statistics from all blocks' counts; limit: the most bits it may have, if any."""
 
     def run(key, pdf):
         uni, uni_n = summed([np.frombuffer(b, "<u8") for b in pdf["uni"]], [_bytes.unpack(b) for b in pdf["uni_n"]])
@@ -151,10 +151,11 @@ def build_segment(bits: int):
         low = np.concatenate(((uni & U64(0xFFFFFFFF)), bi.astype(U64) | U64(1 << 32)))
         count = np.concatenate((uni_n, bi_n))
         level = levels(count)
-        fit = FILL * bits / PROBES
         by = np.bincount(level, weights=level, minlength=2)[::-1].cumsum()[::-1]  # insertions if only this level and above stay
-        least = int(np.argmax(by <= fit)) if (by <= fit).any() else len(by)
-        least = max(1, least)
+        bits, least = max(64, -(-int(by[1] * PROBES / FILL) // 8) * 8), 1
+        if limit is not None and bits > limit:
+            bits, fit = limit, FILL * limit / PROBES
+            least = max(1, int(np.argmax(by <= fit)) if (by <= fit).any() else len(by))
         keep = level >= least
         low, level = low[keep], level[keep]
         field = np.zeros(bits, bool)
@@ -169,140 +170,134 @@ def build_segment(bits: int):
     return run
 
 
-class Model:
-    """The filter and its statistics; of fixed size, for broadcasting."""
-
-    def __init__(self, rows: list, n: int, bits: int):
-        self.n, self.bits = n, bits
-        self.field = np.zeros(n * bits // 8, np.uint8)
-        for r in rows:
-            at = r["segment"] * bits // 8
-            self.field[at : at + bits // 8] = np.frombuffer(r["bits"], np.uint8)
-        self.tokens, self.types = sum(r["tokens"] for r in rows), sum(r["types"] for r in rows)
-        rest = sum(r["rest_tokens"] for r in rows), sum(r["rest_types"] for r in rows)
-        self.ngrams = sum(r["ngrams"] for r in rows)
-        self.rare = (rest[0] + 1) / (self.tokens + 1) / (rest[1] + 1)
-
-    def level(self, h: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The level read back for each n-gram: 0 if it isn't in the filter."""
-        out = np.zeros(len(h), np.int64)
-        base = segment_of(h, self.n) * self.bits
-        left, q = np.arange(len(h)), 1
-        while len(left) and q < len(VALUE):
-            hit = np.ones(len(left), bool)
-            for at in probes(low[left], np.full(1, q), self.bits):
-                at = base[left] + at.astype(np.int64)
-                hit &= (self.field[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            left = left[hit]
-            out[left] = q
-            q += 1
-        return out
-
-    def logs(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
-        u, back = np.unique(h, return_inverse=True)
-        c = VALUE[self.level(u, u & U64(0xFFFFFFFF))]
-        p = np.where(c > 0, c / (self.tokens + 1), self.rare)[back]
-        c = c[back]
-        b, again = np.unique(bigrams(h, bounds), return_inverse=True)
-        two = VALUE[self.level(b, b & U64(0xFFFFFFFF) | U64(1 << 32))][again]
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[bounds[:-1]] = VALUE[int(levels(np.array([max(1, self.texts)]))[0])] if self.texts else 0
-        seen = before > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            joint = np.where(seen, np.minimum(1.0, two / before), 0.0)
-        return np.log10(np.where(seen, BIGRAM_WEIGHT * joint + (1 - BIGRAM_WEIGHT) * p, p))
-
-
-def train(docs: DataFrame, *, filter_bytes: int = FILTER_BYTES) -> Model:
-    """The model of all texts of docs, of filter_bytes whatever their number."""
-    n = max(64, 4 * partitions(docs.sparkSession))
-    bits = max(64, filter_bytes * 8 // n // 8 * 8)
-    sent = only(docs, "text").mapInArrow(count_blocks(n), "segment int, uni binary, uni_n binary, bi binary, bi_n binary")
-    built = sent.groupBy("segment").applyInPandas(build_segment(bits), "segment int, bits binary, tokens long, types long, rest_tokens long, rest_types long, ngrams long, least long")
-    rows = built.collect()  # n rows of filter_bytes in all
-    model = Model(rows, n, bits)
-    model.texts = int(VALUE[model.level(np.array([END]), np.array([END & U64(0xFFFFFFFF)]))][0])
-    return model
-
-
-def _score_blocks(model, n: int):
-    """Rows for the segments' owners: a block's tokens with the texts that hold them; and for its own number its
-    texts' ids and scores."""
+def read_back(field: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The level of each of a segment's n-grams in its packed bits: 0 if it isn't in the filter."""
+    out = np.zeros(len(low), np.uint8)
+    left, q = np.arange(len(low)), 1
+    while len(left) and q < len(VALUE):
+        hit = np.ones(len(left), bool)
+        for at in probes(low[left], np.full(1, q), 8 * len(field)):
+            hit &= (field[at >> U64(3)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
+        left = left[hit]
+        out[left] = q
+        q += 1
+    return out
+
+
+def logs(h: np.ndarray, bounds: np.ndarray, uni: np.ndarray, bi: np.ndarray, tokens_n: int, rare: float) -> np.ndarray:
+    """log10 P of each token after the one before it; uni and bi: the levels of the distinct unigrams and bigrams."""
+    u, back = np.unique(h, return_inverse=True)
+    c = VALUE[uni]
+    p = np.where(c > 0, c / (tokens_n + 1), rare)[back]
+    start = c[np.searchsorted(u, END)]  # texts, read back as their ends
+    c = c[back]
+    two = VALUE[bi][np.unique(bigrams(h, bounds), return_inverse=True)[1]]
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[bounds[:-1]] = start
+    seen = before > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        joint = np.where(seen, np.minimum(1.0, two / before), 0.0)
+    return np.log10(np.where(seen, BIGRAM_WEIGHT * joint + (1 - BIGRAM_WEIGHT) * p, p))
+
+
+def train(docs: DataFrame, n: int, *, filter_bytes: int | None = None) -> DataFrame:
+    """The model of all texts of docs: a stored table of n segments at most, of filter_bytes in all if that is given."""
+    limit = None if filter_bytes is None else max(64, filter_bytes * 8 // n // 8 * 8)
+    sent = only(docs, "text").mapInArrow(count_blocks(n), "segment long, uni binary, uni_n binary, bi binary, bi_n binary")
+    return stored(sent.groupBy("segment").applyInPandas(build_segment(limit), "segment long, bits binary, tokens long, types long, rest_tokens long, rest_types long, ngrams long, least long"), "lm")
+
+
+def _ask_blocks(n: int):
+    """Rows for the segments' owners: a block's tokens with the texts that hold them, and its bigrams; and the block's
+    own rows, under a number of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, names = TaskContext.get().partitionId(), ["segment", "block", "keys", "train", "texts", "of", "times", "head"]
+        task, names = TaskContext.get().partitionId(), ["segment", "block", "keys", "bi", "train", "texts", "of", "times", "head"]
         for number, table in enumerate(blocks(batches)):
             block = (task << 24) + number
             h, bounds = tokens(table.column("text"))
             size = np.diff(bounds)
-            score = np.add.reduceat(model.value.logs(h, bounds), bounds[:-1])
             held = np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
             keys, which = np.unique(h, return_inverse=True)
+            two = np.unique(bigrams(h, bounds))
             text = np.repeat(np.arange(len(size)), size)
             pair, times = np.unique(which.astype(np.int64) * len(size) + text, return_counts=True)
             of, text = pair // len(size), pair % len(size)
             train = np.bincount(of, weights=times * ~held[text], minlength=len(keys)).astype(np.int64)
             texts = np.bincount(of, minlength=len(keys))
-            edge = np.searchsorted(segment_of(keys, n), np.arange(n + 1))
+            edge, edge2 = (np.searchsorted(segment_of(k, n), np.arange(n + 1)) for k in (keys, two))
             pairs = np.concatenate(([0], np.cumsum(texts)))
-            rows = [(s, block, keys[a:b].tobytes(), _bytes.pack(train[a:b]), _bytes.pack(texts[a:b]), _bytes.pack(text[pairs[a] : pairs[b]]), _bytes.pack(times[pairs[a] : pairs[b]]), None) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b]
-            head = pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(held), "n_tokens": pa.array(size.astype(np.int64)), "score": pa.array(score)})
+            rows = []
+            for s in range(n):
+                (a, b), (c, d) = edge[s : s + 2], edge2[s : s + 2]
+                if a < b or c < d:
+                    rows.append((s, block, keys[a:b].tobytes(), (two[c:d] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), _bytes.pack(train[a:b]), _bytes.pack(texts[a:b]), _bytes.pack(text[pairs[a] : pairs[b]]), _bytes.pack(times[pairs[a] : pairs[b]]), None))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as w:
-                w.write_table(head)
-            rows.append((block % n, block, *[None] * 5, sink.getvalue().to_pybytes()))
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            rows.append((n + block, block, *[None] * 6, sink.getvalue().to_pybytes()))
             for k in range(0, len(rows), 256):
                 cols = list(zip(*rows[k : k + 256]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=names)
 
     return run
 
 
-def _look_up(key, pdf):
-    """A segment's owner: counts over all blocks, and each text's sums for its block."""
-    heads = pdf[pdf["head"].notna()]
-    out = [{"block": b, "texts": None, "sums": None, "known": None, "head": x} for b, x in zip(heads["block"], heads["head"])]
-    pdf = pdf[pdf["head"].isna()]
+_ANSWER = "block long, segment long, texts binary, sums binary, known binary, uni binary, bi binary, head binary"
+
+
+def _look_up(key, pdf, segment):
+    """A segment's owner: levels by its filter, counts over all blocks, and each text's sums for its block."""
+    out, names = [], [c.split()[0] for c in _ANSWER.split(", ")]
+    if len(pdf) and pdf["head"].iloc[0] is not None:
+        return pd.DataFrame([dict.fromkeys(names) | {"block": b, "segment": key[0], "head": x} for b, x in zip(pdf["block"], pdf["head"])], columns=names)
     if len(pdf):
         keys = [np.frombuffer(b, "<u8") for b in pdf["keys"]]
         all_keys, count = summed(keys, [_bytes.unpack(b) for b in pdf["train"]])
         logs = np.log10(count + 1.0)
-        for k, block, texts, of, times in zip(keys, pdf["block"], pdf["texts"], pdf["of"], pdf["times"]):
-            at = np.repeat(np.searchsorted(all_keys, k), _bytes.unpack(texts))
+        field = np.frombuffer(segment["bits"].iloc[0], np.uint8) if len(segment) else np.zeros(8, np.uint8)
+        uni = read_back(field, all_keys & U64(0xFFFFFFFF))
+        for k, block, two, texts, of, times in zip(keys, pdf["block"], pdf["bi"], pdf["texts"], pdf["of"], pdf["times"]):
+            place = np.searchsorted(all_keys, k)
+            at = np.repeat(place, _bytes.unpack(texts))
             of, times = _bytes.unpack(of).astype(np.int64), _bytes.unpack(times).astype(np.float64)
             sums, known = np.bincount(of, weights=logs[at] * times), np.bincount(of, weights=times * (count[at] > 0))
             there = np.unique(of)
-            out.append({"block": block, "texts": _bytes.pack(there), "sums": sums[there].tobytes(), "known": _bytes.pack(known[there].astype(np.int64)), "head": None})
-    return pd.DataFrame(out, columns=["block", "texts", "sums", "known", "head"])
+            bi = read_back(field, np.frombuffer(two, "<u4").astype(U64) | U64(1 << 32))
+            out.append({"block": block, "segment": key[0], "texts": _bytes.pack(there), "sums": sums[there].tobytes(), "known": _bytes.pack(known[there].astype(np.int64)), "uni": uni[place].tobytes(), "bi": bi.tobytes(), "head": None})
+    return pd.DataFrame(out, columns=names)
 
 
-def _gather(tokens_n: int, types: int):
+def _gather(tokens_n: int, types: int, rare: float):
     def run(key, pdf):
-        head = pa.ipc.open_stream(pdf["head"].dropna().iloc[0]).read_all().to_pandas()
-        base, known = np.zeros(len(head)), np.zeros(len(head), np.int64)
-        part = pdf[pdf["head"].isna()]
-        order = np.argsort([bytes(b[:64]) for b in part["sums"]]) if len(part) else []  # the same order of sums each time
-        for i in order:
-            at = _bytes.unpack(part["texts"].iloc[i]).astype(np.int64)
-            base[at] += np.frombuffer(part["sums"].iloc[i])
-            known[at] += _bytes.unpack(part["known"].iloc[i]).astype(np.int64)
-        n = head["n_tokens"].to_numpy()
-        return pd.DataFrame({"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": n, "n_known": known, "train_tokens": np.full(len(head), tokens_n), "base_score": base - n * np.log10(float(tokens_n + types + 1)), "score": head["score"]})
+        table = pa.ipc.open_stream(pdf["head"].dropna().iloc[0]).read_all()
+        h, bounds = tokens(table.column("text"))
+        n = np.diff(bounds)
+        base, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        part = pdf[pdf["head"].isna()].sort_values("segment")  # the keys' order, and the same order of sums each time
+        for texts, sums, k in zip(part["texts"], part["sums"], part["known"]):
+            at = _bytes.unpack(texts).astype(np.int64)
+            base[at] += np.frombuffer(sums)
+            known[at] += _bytes.unpack(k).astype(np.int64)
+        uni, bi = (np.frombuffer(b"".join(part[c]), np.uint8) for c in ("uni", "bi"))
+        score = np.add.reduceat(logs(h, bounds, uni, bi, tokens_n, rare), bounds[:-1])
+        head = table.select(["doc_id", "held_out"]).to_pandas()
+        return pd.DataFrame({"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": n.astype(np.int64), "n_known": known, "train_tokens": np.full(len(head), tokens_n), "base_score": base - n * np.log10(float(tokens_n + types + 1)), "score": score})
 
     return run
 
 
-def score_documents(docs: DataFrame, *, folds: int = 7, held_out: int = 2, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, *, folds: int = 7, held_out: int = 2, filter_bytes: int | None = None) -> DataFrame:
     """Scores all texts by a model of those whose crc32(doc_id as text) modulo folds is not held_out."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (remainder(folds) == held_out).alias("held_out"))
-    model = train(docs.filter(~F.col("held_out")), filter_bytes=filter_bytes)
-    n = partitions(spark)
-    sent = docs.mapInArrow(_score_blocks(spark.sparkContext.broadcast(model), n), "segment int, block long, keys binary, train binary, texts binary, of binary, times binary, head binary")
-    back = sent.groupBy("segment").applyInPandas(_look_up, "block long, texts binary, sums binary, known binary, head binary")
+    n = max(64, 4 * partitions(docs.sparkSession))
+    model = train(docs.filter(~F.col("held_out")), n, filter_bytes=filter_bytes)
+    of = model.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "rest_tokens", "rest_types"))).first()
+    rare = (of["rest_tokens"] + 1) / (of["tokens"] + 1) / (of["rest_types"] + 1)
+    sent = docs.mapInArrow(_ask_blocks(n), "segment long, block long, keys binary, bi binary, train binary, texts binary, of binary, times binary, head binary")
+    back = sent.groupBy("segment").cogroup(model.select("segment", "bits").groupBy("segment")).applyInPandas(_look_up, _ANSWER)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return back.groupBy("block").applyInPandas(_gather(model.tokens, model.types), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return back.groupBy("block").applyInPandas(_gather(of["tokens"], of["types"], rare), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -10,9 +10,10 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from roadspark.llm import ann, bpe, components, decontaminate, html_text, licenses, lm, near_dup, sharding, suffix_dedup, toxicity
+from roadspark.llm import _bytes, ann, bpe, components, decontaminate, html_text, licenses, lm, near_dup, sharding, suffix_dedup, toxicity
 from roadspark.llm.queries import VOCABULARY
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -349,6 +350,21 @@ def test_lm_scores(docs, rows):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_lm_keeps_every_ngram():
+    """More singletons than a fixed filter of 16 MB had room for in a segment are all read back, unknown ones seldom."""
+    segment = 7
+    rng = np.random.default_rng(1)
+    uni = np.unique(rng.integers(0, 1 << 32, 400_000, dtype=np.uint64))
+    bi = np.unique(rng.integers(0, 1 << 32, 400_000, dtype=np.uint64))
+    pdf = pd.DataFrame([{"uni": uni.tobytes(), "uni_n": _bytes.pack(np.ones(len(uni), np.int64)), "bi": bi.astype("<u4").tobytes(), "bi_n": _bytes.pack(np.full(len(bi), 2))}])
+    built = lm.build_segment(None)((segment,), pdf).iloc[0]
+    assert (built["least"], built["rest_types"], built["ngrams"]) == (1, 0, len(uni) + len(bi))
+    field = np.frombuffer(built["bits"], np.uint8)
+    assert (lm.read_back(field, uni) >= 1).all() and (lm.read_back(field, bi | np.uint64(1 << 32)) >= 2).all()
+    other = np.setdiff1d(rng.integers(0, 1 << 32, 100_000, dtype=np.uint64), uni)
+    assert (lm.read_back(field, other) > 0).mean() < 0.06
+
+
 def test_levels_are_read_back():
     count = np.array([1, 1, 2, 5, 9, 40, 1000])
     assert (lm.levels(np.array([0, 1, 2])) == [0, 1, 2]).all()
