@@ -5,7 +5,9 @@ left out and paragraphs cut, by rule) and on paragraphs that are no licence.  It
 family's notice; the class before it is `none`.  Probabilities are calibrated by a temperature fitted on variants
 that were not trained on.  A paragraph (a line) is of a family if the family's probability is CONFIDENT or more and the paragraph holds
 CONTAINED or more of the word pairs of one of the family's templates, or lies within it to that degree; what the
-classifier takes for a licence and no template confirms is `unknown`.
+classifier takes for a licence and no template confirms is `unknown`.  A paragraph is of every family that a template
+confirms, the most probable first, if it names the family: it holds a pair of words of that family's templates alone,
+or, of a template without such a pair, a pair that no other family found there has.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are scanned each; a text with several notices
 has several families; other columns are passed through only if named.
@@ -45,7 +47,7 @@ TEMPLATES = {
     "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "CC0": ["Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication"],
     "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 #: Prose about licences that is no notice.
 UNKNOWN = ["Licensed under the terms of the agreement", "This work is licensed under the following terms", "Released under a custom license", "Licensed under the Example Community License, version 1", "Redistribution is permitted under the vendor license", "This software is provided under its own license terms", "Distributed under the terms of a licence that is described elsewhere", "Permission is granted to use this document under the house license", "Licensed under the Research Use License", "Released under the Foo Public License, version 2"]
@@ -173,6 +175,22 @@ def confirmed(paragraph: str, family: str) -> bool:
     return any(len(own & t) >= CONTAINED * min(len(t), max(len(own), 6)) for t in pairs()[family])
 
 
+@lru_cache(maxsize=1)
+def own_pairs() -> dict[str, set]:
+    """The word pairs that stand in the templates of a family alone."""
+    sets = {k: set().union(*v) for k, v in pairs().items()}
+    return {k: s - set().union(*(o for f, o in sets.items() if f != k)) for k, s in sets.items()}
+
+
+def named(paragraph: str, family: str, others: list[str]) -> bool:
+    """Whether a paragraph of the other families names this one too."""
+    w = words(paragraph)
+    own = set(zip(w, w[1:]))
+    alone = own_pairs()[family]
+    theirs = set().union(*(t for f in others for t in pairs()[f]))
+    return bool(own & alone) or any(not t & alone and len(own & t) >= CONTAINED * len(t) and not own & t <= theirs for t in pairs()[family])
+
+
 def scan_texts(column: pa.Array) -> list[list[tuple[str, float]]]:
     """(family, probability) of each licence paragraph of each text."""
     raw, offsets = _bytes.strings(column)
@@ -195,10 +213,13 @@ def scan_texts(column: pa.Array) -> list[list[tuple[str, float]]]:
             text = buf[a:b].tobytes().decode("utf-8", "replace")
             families = q[k, : len(FAMILIES)]
             # the families in the order of their probability; a template has the last word
-            best = next((c for c in np.argsort(-families)[:3] if families[c] >= 0.1 and confirmed(text, FAMILIES[c])), None)
+            found: list[str] = []
+            for c in np.argsort(-families):
+                if confirmed(text, FAMILIES[c]) and (not found or named(text, FAMILIES[c], found)):
+                    found.append(FAMILIES[c])
             doc = i + int(np.searchsorted(off, a, side="right")) - 1
-            if best is not None and families.sum() >= CONFIDENT:
-                out[doc].append((FAMILIES[best], float(families[best])))
+            if found and families.sum() >= CONFIDENT:
+                out[doc] += [(f, float(families[FAMILIES.index(f)])) for f in found]
             elif len(words(text)) >= 3 and 1 - q[k, none] >= 0.8:
                 out[doc].append(("unknown", float(q[k, -1])))
     return out

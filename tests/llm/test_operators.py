@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from roadspark.llm import _bytes, ann, bpe, components, decontaminate, html_text, licenses, lm, near_dup, sharding, suffix_dedup, toxicity
@@ -171,6 +172,20 @@ def test_licenses(spark):
     assert got == {k: f for k, (_, f) in texts.items()}
 
 
+def test_short_and_several_licenses():
+    texts = {
+        "All rights reserved.": ["Proprietary"],
+        "Copyright 2019 Example Press. All rights reserved.": ["Proprietary"],
+        "Licensed under the MIT license or the Apache License, Version 2.0": ["Apache", "MIT"],
+        "Licensed under the MIT license or the Apache License, Version 2.0, or CC BY 4.0; released under the ISC License": ["Apache", "CC-BY", "ISC", "MIT"],
+        "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL"],
+        "Licensed under CC BY-SA 4.0": ["CC-BY-SA"],
+        "He reserved the room by the river.": [],
+    }
+    got = licenses.scan_texts(pa.array(list(texts)))
+    assert {t: sorted(f for f, _ in x) for t, x in zip(texts, got)} == texts
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["vile", "rotten", "nasty"]
