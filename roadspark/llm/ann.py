@@ -5,7 +5,8 @@ signed axis nearest to it.  Every vector is in one bucket of each of TABLES tabl
 nearest to it in each table.  What a query finds in a bucket is ranked exactly, by the cosine of the original
 vectors in double precision, and only its k best leave the bucket.  Buckets of more than BUCKET vectors are dealt
 out by the vectors' hash, to as many tasks as they need, and their queries go to each, so no task gathers a hot
-bucket.  Tables of up to EXACT_BELOW vectors are probed whole.
+bucket.  Queries that find fewer than k are searched again over all axes of one table, which is exact.  Tables of up to
+EXACT_BELOW vectors are probed whole from the start.
 
 Defined cases: rows whose id or vector is null, and vectors that are zero, hold null or non-finite components or
 are not of the most common dimension, take no part; repeated rows (same id and vector) are one; rows with the
@@ -119,16 +120,27 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, tables: int = TA
     sizes = {r["d"]: r["count"] for r in rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()}
     d, n = next(iter(sizes.items()), (1, 0))
     rows = rows.filter(F.col("d") == d).select("id", "vector")
+    axes = 2 * (1 << max(0, (d - 1).bit_length()))
+    queries = rows.filter(F.col("id") % every == 0)
     if n <= exact_below:
-        tables, probes = 1, 2 * (1 << max(0, (d - 1).bit_length()))
+        top = _top(rows, queries, d, k, 1, axes, bucket)
+    else:
+        top = stored(_top(rows, queries, d, k, tables, probes, bucket), "nearest")
+        full = top.filter(F.size("top") >= k)
+        again = queries.join(full.select(F.col("query_id").alias("id")), "id", "left_anti").select("id", "vector")
+        top = full.unionByName(_top(rows, again, d, k, 1, axes, bucket))
+    return top.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+
+
+def _top(rows: DataFrame, queries: DataFrame, d: int, k: int, tables: int, probes: int, bucket: int) -> DataFrame:
+    """query_id and top, the k nearest that each query finds by its probes, in order."""
     schema = "table int, axis int, id long, vector array<double>"
     index = rows.mapInArrow(_hash(d, tables, 1, False), schema)
-    asked = rows.filter(F.col("id") % every == 0).mapInArrow(_hash(d, tables, probes, True), schema)
+    asked = queries.mapInArrow(_hash(d, tables, probes, True), schema)
     # as many parts as a bucket needs: a row for each of the tables' axes, whatever the number of vectors
     parts = F.broadcast(index.groupBy("table", "axis").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")))
     index = index.join(parts, ["table", "axis"]).withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int")).drop("parts")
     asked = asked.join(parts, ["table", "axis"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     by = ["table", "axis", "part"]
     found = asked.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_search(d, k), "query_id long, vec_id long, score double")
-    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))

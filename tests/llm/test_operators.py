@@ -345,6 +345,19 @@ def test_nearest(spark):
     assert ann.nearest(few).count() == 2
 
 
+def test_nearest_far_from_a_cluster(spark):
+    """Queries opposite to a tight cluster probe none of its buckets, and still get their k nearest."""
+    rng = np.random.default_rng(6)
+    y = rng.standard_normal(64) + 0.001 * rng.standard_normal((120, 64))
+    y[0] = -y[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, exact_below=0, bucket=64).collect()}
+    s = (y @ y[0]) / np.sqrt((y * y).sum(1) * (y[0] @ y[0]))
+    s[0] = -3
+    assert [got.get((0, r)) for r in range(1, 6)] == np.lexsort((np.arange(120), -s))[:5].tolist()
+    assert len(got) == 15
+
+
 def test_lm_scores(docs, rows):
     token = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))) + [b" end "]
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
