@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,19 +52,33 @@ def unpinned(stubs: DataFrame, attached: DataFrame) -> DataFrame:
     return stubs.join(hit, keys, "left_anti")
 
 
-def grow(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, allowed: Column, max_rounds: int = 8) -> DataFrame:
+def grow(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, allowed: Column | Callable[[DataFrame], DataFrame], max_rounds: int = 8) -> DataFrame:
     """Seeds (id) and what is reached from them over edges (a, b) through nodes for which allowed holds.
 
-    A round adds one ring of neighbours; each is stored, so a lost executor costs that round alone.
+    A round is a whole search: rings of neighbours until one is empty; each is stored, so a lost executor costs that
+    ring alone.  allowed may be a function of the nodes not yet reached, which gives the allowed ones (id); it is
+    called anew for each of at most max_rounds rounds, until a round adds nothing or fewer than three nodes are left.
+    A plain column stays as it is, so one round reaches everything.
     """
-    ok = nodes.filter(allowed).select("id")
-    steps = edges.select("a", F.col("b").alias("id")).join(ok, "id", "left_semi").select("a", "id").distinct()
-    reached = frontier = stored(seeds.select("id").distinct())
-    for _ in range(max_rounds):
-        frontier = stored(frontier.withColumnRenamed("id", "a").join(steps, "a").select("id").distinct().join(reached, "id", "left_anti"))
-        if frontier.isEmpty():
+    reached = stored(seeds.select("id").distinct())
+    for _ in range(max_rounds if callable(allowed) else 1):
+        if callable(allowed):
+            left = nodes.join(reached, "id", "left_anti")
+            if left.limit(3).count() < 3:
+                break
+            ok = allowed(left).select("id")
+        else:
+            ok = nodes.filter(allowed).select("id")
+        steps = stored(edges.select("a", F.col("b").alias("id")).join(ok, "id", "left_semi").select("a", "id").distinct())
+        frontier, added = reached, False
+        while True:
+            frontier = stored(frontier.withColumnRenamed("id", "a").join(steps, "a").select("id").distinct().join(reached, "id", "left_anti"))
+            if frontier.isEmpty():
+                break
+            # written anew, so that no plan grows with the number of rings
+            reached, added = stored(reached.unionByName(frontier)), True
+        if not added:
             break
-        reached = reached.unionByName(frontier)
     return reached
 
 
