@@ -89,9 +89,9 @@ def fit_footprint(spark: SparkSession, d: str) -> DataFrame:
     def fit(r):
         ring = _ring(r)
         c, s = np.cos(0.7), np.sin(0.7)
-        return [(r.id, *kernels.best_fit(ring @ np.array([[c, s], [-s, c]]) * 2, ring, 90))]
+        return [(r.id, *kernels.best_fit(ring @ np.array([[c, s], [-s, c]]) * 2, ring))]
 
-    return _each(_plots(spark, d).filter("id % 10 = 0"), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
+    return _each(_plots(spark, d), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
 
 
 @query()
@@ -202,7 +202,7 @@ def cut_backdrop(spark: SparkSession, d: str) -> DataFrame:
         image = np.where(disc[..., None], 40, 220) + np.zeros(3)
         return [(r.p_partkey, float((kernels.cut_out(image.astype(np.uint8), 30.0) > 0).mean()))]
 
-    return _each(V.table(spark, d, "part").filter("p_partkey % 20 = 0").select("p_partkey", "p_size"), "p_partkey long, share double", one).select("p_partkey", *r6("share"))
+    return _each(V.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey long, share double", one).select("p_partkey", *r6("share"))
 
 
 @query()
@@ -213,7 +213,7 @@ def paint_strips(spark: SparkSession, d: str) -> DataFrame:
         ring = _ring(r)
         return [(r.id, float(kernels.raster((ring - ring.min(0)) / max(np.ptp(ring, axis=0).max(), 1e-9) * 16, 16, 16).sum()))]
 
-    return _each(_plots(spark, d).filter("id % 20 = 0"), "id long, pixels double", one).select("id", *r6("pixels"))
+    return _each(_plots(spark, d), "id long, pixels double", one).select("id", *r6("pixels"))
 
 
 @query()
