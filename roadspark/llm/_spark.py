@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only for a master that is this machine alone, as in tests, when the session names no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key with more than one in HOT rows of a join is hot, so there are HOT of them at most.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, set for checkpoint() too."""
+    """The shared folder of spark.checkpoint.dir; without that setting a cluster has none, which is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or LOCAL_CHECKPOINTS)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or LOCAL_CHECKPOINTS
 
 
@@ -46,3 +49,16 @@ def id_text(doc_id: str = "doc_id") -> Column:
 def remainder(n: int, doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id's text modulo n."""
     return F.crc32(id_text(doc_id).cast("binary")) % n
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with one, which has a row a key and, in n, the number of rows with it; n is left out.
+
+    Hot keys, those with more than a HOT-th of all rows, are HOT at most: their rows stay where they are and meet a
+    broadcast of HOT rows; only the others are dealt out by key.  rows and one are read twice: give stored tables.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / HOT
+    few = F.broadcast(one.filter(hot).drop(n))
+    calm = rows.join(F.broadcast(one.filter(hot).select(key)), key, "left_anti").join(one.filter(~hot).drop(n), key)
+    return rows.join(few, key).unionByName(calm)

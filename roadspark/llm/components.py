@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspark.llm._spark import stored
+from roadspark.llm._spark import spread_join, stored
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component's name is its least node.
 
     Large-star and small-star alternate: each node links its larger neighbours, then all its smaller ones, to the
-    least of its neighbourhood, until nothing changes.  No neighbourhood is collected: the least neighbour is an
-    aggregate, which is summed up before the shuffle, so a node with very many neighbours is no hot group.  Null
-    ends and loops are no edges; repeated edges count once; no edges give no rows.
+    least of its neighbourhood, until nothing changes; the number of rounds grows as the logarithm of the longest
+    path and has no bound of its own.  No neighbourhood is collected: the least neighbour is an aggregate, which is
+    summed up before the shuffle, and it comes back to its edges by spread_join(), so a node with very many
+    neighbours gathers nowhere.  Null ends and loops are no edges; repeated edges count once; no edges give no rows.
     """
     e = stored(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, stored(low, "low"), "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.filter("a <> b").distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, stored(low, "low"), "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = stored(small.filter("a <> b").distinct(), "edges")
         state = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(xxhash64(b, a) % 1000003 as decimal(38,0))"))).first())
         if state == last:

@@ -1,32 +1,36 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles are SHINGLE consecutive words (lower-cased; a shorter text, but not an empty one, is one shingle).
-   Their document frequencies over the whole corpus go into a sketch of CELLS counters, summed up by segments;
-   the mean cell is taken off an estimate.  A shingle weighs tf * (1 + IDF * ln(n / df) / ln(n)): the inverse
-   document frequency is damped, as the plain one makes a copy among thousands of copies unlike them, the shared
-   shingles being frequent just because of the copies.
-2. Each text has BANDS * ROWS samples: sample k of a weighted set is the shingle and the step of its weight that
+1. Equal texts become one: the distinct texts are written once, bucketed by their MD5, and all that follows works on
+   them, so a copy costs a row of (id, digest) and neither counts in a frequency nor makes a pair.
+2. Shingles are SHINGLE consecutive words (lower-cased; a shorter text, but not an empty one, is one shingle).
+   Their document frequencies over all distinct texts go into a sketch of CELLS counters, summed up by segments;
+   the mean cell is taken off an estimate, which is then right to some 2 sqrt(shingles / CELLS): rare shingles are
+   all alike to it, and common ones are told from them.  A shingle weighs tf * (1 + ln((1 + n) / (1 + df))).
+3. Each text has BANDS * ROWS samples: sample k of a weighted set is the shingle and the step of its weight that
    minimise c / (y e^r), with r, c, b drawn from the shingle and k, t = floor(ln w / r + b), y = e^(r (t - b)).
    Two texts agree in a sample with the probability of their weighted Jaccard similarity.
-3. Texts of equal samples in a band, and of a total weight that allows the similarity, meet: each is linked to the
+4. Texts of equal samples in a band, and of a total weight that allows the similarity, meet: each is linked to the
    least of its bucket, which is an aggregate and needs no group in memory, and the components of these links are
    the candidate groups.
-4. A candidate group's texts are compared by weighted Jaccard similarity: all that share a band, but for those that
+5. A candidate group's texts are compared by weighted Jaccard similarity: all that share a band, but for those that
    are linked already and those whose distances to a common text exclude a link (1 - similarity is a metric).
    A group of more than GROUP texts is dealt out by hash over tasks; each finds its classes, and the classes'
    leaders meet in the next round.  Buckets in which several classes are left after that are compared whole, two
    parts of GROUP texts at a time, so that no link between texts that share a band is lost.
-5. The verified links' components are the classes.
+6. The verified links' components are the classes.
 
-Texts that are equal are one text throughout, with all its rows, so copies cost a row each, never a pair.
+A band of ROWS samples agrees with probability s^ROWS, so BANDS of them miss a pair of similarity 0.8 with
+(1 - 0.8^4)^BANDS = 0.002; README has the recall that was measured against brute force.
 
 Defined cases: a null text is empty; rows of equal texts are one class, empty ones too; a null doc_id is kept, and
-a class is named by its least doc_id that isn't null (null if none); repeated rows are in one class; an empty table
-gives no rows; other columns of the input are not read.
+a class is named by its least doc_id that isn't null (null if none); repeated rows are in one class, of which one
+row alone is kept; a text of any length is one set of its distinct shingles, some 50 bytes a word while it is
+sampled; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.llm import _bytes
-from roadspark.llm._spark import id_text, stored
+from roadspark.llm._spark import id_text, partitions, shared_dir, spread_join, stored
 from roadspark.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-IDF = 0.1
 CELLS = 1 << 21
 GROUP = 4000
 U64 = np.uint64
@@ -67,7 +70,7 @@ def shingles(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarr
         off = offsets[i : j + 1] - offsets[i]
         buf = _bytes.LOWER[raw[offsets[i] : offsets[j]]]
         start, end, bounds = _bytes.words(buf, off, _bytes.WORD)
-        g, bounds = _bytes.grams(_bytes.hash_spans(_bytes.prefix(buf), start, end), bounds, n)
+        g, bounds = _bytes.grams(_bytes.hash_words(buf, start, end), bounds, n)
         text = np.repeat(np.arange(j - i, dtype=U64), np.diff(bounds))
         own = _bytes.mix(text + U64(0x2545F4914F6CDD1D))
         _, first, times = np.unique(g ^ own, return_index=True, return_counts=True)
@@ -99,16 +102,16 @@ def _add(key, pdf):
 
 
 def frequency_weights(docs: DataFrame) -> np.ndarray:
-    """A weight for each cell: 1 + IDF * ln(n / df) / ln(n).  Its size is fixed, so it may be broadcast."""
+    """A weight for each cell: 1 + ln((1 + n) / (1 + df)).  Its size is fixed, so it may be broadcast."""
     segments = 64
     rows = docs.select("text").mapInArrow(_sketch(segments), "segment int, counts binary, n long").groupBy("segment").applyInPandas(_add, "segment int, counts binary, n long").collect()
     counts = np.zeros(CELLS, np.float32)
     size = CELLS // segments
     for r in rows:
         counts[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["counts"], np.float32)
-    n = max([2, *(r["n"] for r in rows)])
+    n = max([1, *(r["n"] for r in rows)])
     df = np.clip(counts - counts.mean(), 1, n)
-    return (1 + IDF * np.log(n / df) / np.log(n)).astype(np.float32)
+    return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 
 
 def samples(g: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ def _signatures(weights):
                         x = _bytes.mix(x * U64(0x9E3779B97F4A7C15) + row)
                     bands[i + have, b] = x.view(np.int64)
                 total[i + have] = np.add.reduceat(w.astype(np.float64), at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array(total)], names=["doc_id", "digest", "bands", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array(total)], names=["digest", "bands", "total"])
 
     return run
 
@@ -163,10 +166,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def links(sets: list[tuple[np.ndarray, np.ndarray]], bands: list[np.ndarray], least: float) -> list[int]:
-    """The class of each text (its leader's place), where texts that share a band and are similar are of one class."""
+    """The class of each text (its leader's place), where texts that share a band and are similar are of one class.
+
+    Distances are kept for one bucket at a time, and of a text only that to its class's first text there, so memory
+    grows with the texts, not with their pairs."""
     n = len(sets)
     up, total = list(range(n)), [float(s[1].sum()) for s in sets]
-    far: dict[tuple[int, int], float] = {}
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -174,36 +179,43 @@ def links(sets: list[tuple[np.ndarray, np.ndarray]], bands: list[np.ndarray], le
             i = up[i]
         return i
 
-    def distance(i: int, j: int) -> float:
-        k = (i, j) if i < j else (j, i)
-        if k not in far:
-            far[k] = 1 - similarity(sets[i], sets[j])
-        return far[k]
-
     buckets: dict[tuple[int, int], list[int]] = {}
     for i, bs in enumerate(bands):
         for k, b in enumerate(bs.tolist()):
             buckets.setdefault((k, b), []).append(i)
     reach = 1 - least + 1e-9
     for members in buckets.values():
-        groups: dict[int, list[int]] = {}  # those met so far in the bucket, by class; the first of each is its pivot
+        if len({root(i) for i in members}) == 1:
+            continue
+        groups: dict[int, dict[int, float | None]] = {}  # by their first text: each text's distance to it, if known
         for x in members:
-            joined: list[int] = []
-            for c, others in list(groups.items()):
-                if root(x) == root(others[0]):
-                    joined.append(c)
+            joined = []
+            mine: dict[int, float] = {}
+            for first, others in groups.items():
+                if root(x) == root(first):
+                    joined.append(first)
                     continue
-                pivot = distance(x, others[0])
-                for y in others:
-                    if min(total[x], total[y]) < least * max(total[x], total[y]) or (y != others[0] and abs(pivot - distance(y, others[0])) > reach):
+                pivot = mine[first] = 1 - similarity(sets[x], sets[first])
+                for y, far in others.items():
+                    if min(total[x], total[y]) < least * max(total[x], total[y]):
                         continue
-                    if distance(x, y) <= reach:
+                    if y != first:
+                        if far is None:
+                            far = others[y] = 1 - similarity(sets[y], sets[first])
+                        if abs(pivot - far) > reach:
+                            continue
+                    if (pivot if y == first else 1 - similarity(sets[x], sets[y])) <= reach:
                         a, b = sorted((root(x), root(y)))
                         up[b] = a
-                        joined.append(c)
+                        joined.append(first)
                         break
-            mine = [m for c in joined for m in groups.pop(c)] + [x]
-            groups[mine[0]] = mine
+            if not joined:
+                groups[x] = {x: 0.0}
+                continue
+            into = groups[joined[0]]
+            for first in joined[1:]:
+                into.update(dict.fromkeys(groups.pop(first)))
+            into[x] = mine.get(joined[0])
     return [root(i) for i in range(n)]
 
 
@@ -223,31 +235,40 @@ def _classes(weights, least: float):
     return run
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """digest and text of the distinct texts, written once in buckets of digests: joins on the digest leave them in place."""
+    spark = docs.sparkSession
+    name = f"near_dup_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    texts = docs.select("digest", "text").dropDuplicates(["digest"])
+    texts.write.bucketBy(partitions(spark), "digest").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """doc_id, class_id, class_rows (rows of the class), kept (one row of each class) for every row of docs, and the
-    row's text_md5."""
+    """doc_id, class_id, class_rows (rows of the class), kept (true for one row of each class) and text_md5 of every
+    row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    weights = spark.sparkContext.broadcast(frequency_weights(docs))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(docs.mapInArrow(_signatures(weights), f"doc_id {kind}, digest binary, bands array<bigint>, total double"), "signatures")
+    rows = stored(docs.select("doc_id", "digest", F.monotonically_increasing_id().alias("row")), "rows")
+    body = distinct_texts(docs)
+    weights = spark.sparkContext.broadcast(frequency_weights(body))
+    signed = stored(body.mapInArrow(_signatures(weights), "digest binary, bands array<bigint>, total double"), "signatures")
 
-    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     # similar texts' total weights are within one step of each other, so they share one of two neighbouring classes
     step = F.floor(F.log(F.col("total")) / F.log(F.lit(1 / least)))
-    near = texts.filter("total > 0").select("digest", F.posexplode("bands").alias("band", "value"), step.alias("step"))
-    near = near.select("digest", F.explode(F.array(*(F.xxhash64("band", "value", F.col("step") + i) for i in (0, 1)))).alias("bucket"))
-    low = near.groupBy("bucket").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = near.join(low, "bucket").select(F.col("digest").alias("a"), "b").filter("a <> b").distinct()
+    near = signed.filter("total > 0").select("digest", F.posexplode("bands").alias("band", "value"), step.alias("step"))
+    near = stored(near.select("digest", F.explode(F.array(*(F.xxhash64("band", "value", F.col("step") + i) for i in (0, 1)))).alias("bucket")), "buckets")
+    low = near.groupBy("bucket").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    pairs = spread_join(near, stored(low, "low"), "bucket", "n").select(F.col("digest").alias("a"), "b").filter("a <> b").distinct()
     candidates = connected_components(pairs)
 
     def compared(dealt: DataFrame, by: list[str]) -> DataFrame:
         """Links (a, b) of each text to its class's leader within its group by; dealt names the groups' digests."""
-        dealt = dealt.join(texts.select("digest", "least_id", "bands"), "digest")
-        # one row of each text alone is met by the join, so that copies don't gather
-        body = docs.join(dealt, (docs["digest"] == dealt["digest"]) & docs["doc_id"].eqNullSafe(dealt["least_id"])).select(dealt["digest"], *by, "text", "bands").dropDuplicates(["digest", *by])
-        return stored(body.groupBy(*by).applyInArrow(_classes(weights, least), "a binary, b binary"), "links")
+        dealt = stored(dealt.join(signed.select("digest", "bands"), "digest"), "dealt")
+        found = body.join(dealt, "digest").select("digest", *by, "text", "bands")
+        return stored(found.groupBy(*by).applyInArrow(_classes(weights, least), "a binary, b binary"), "links")
 
     members, found, whole = stored(candidates.withColumnRenamed("node", "digest"), "candidates"), None, True
     while True:
@@ -272,22 +293,25 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, group: int =
         # what leaders don't show: buckets that still hold several classes, two parts of a bucket at a time
         classes = stored(connected_components(found).withColumnRenamed("node", "digest"), "classes")
         lone = candidates.withColumnRenamed("node", "digest").join(classes.select("digest"), "digest", "left_anti").select("digest", F.col("digest").alias("component"))
-        inside = near.join(classes.unionByName(lone), "digest")
+        inside = stored(near.join(classes.unionByName(lone), "digest"), "inside")
         mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / group).cast("int").alias("parts")).filter("low <> high")
         own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
         pairs = inside.join(mixed, "bucket").select("digest", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         pairs = pairs.select("digest", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         found = found.unionByName(compared(pairs, ["bucket", "i", "j"]))
         classes = connected_components(found).withColumnRenamed("node", "digest")
-    named = texts.select("digest", "least_id", "copies").join(classes, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    heads = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "digest")).getField("digest").alias("head"))
-    out = signed.select("doc_id", "digest").join(named.select("digest", "component", "least_id").join(heads, "component"), "digest")
-    return out.select("doc_id", "class_id", "class_rows", (F.col("digest") == F.col("head")).alias("of_head"), F.col("doc_id").eqNullSafe(F.col("least_id")).alias("of_least"), F.col("digest").alias("text_md5"))
+    texts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"), F.count("*").alias("copies"))
+    named = stored(texts.join(classes, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "named")
+    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("class_rows"), F.count("*").alias("n"))
+    of = stored(spread_join(named.select("digest", "component", "copies"), stored(heads, "heads"), "component", "n"), "classes")
+    out = spread_join(rows, of, "digest", "copies")
+    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), "class_rows", (F.col("row") == F.col("head.row")).alias("kept"), F.col("digest").alias("text_md5"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: of its head text, the row with the least doc_id."""
-    docs = docs.withColumns({"_digest": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "_id": id_text()})
-    keep = near_duplicates(docs, **options).filter("of_head and of_least").select(F.col("text_md5").alias("_digest"), id_text().alias("_id")).distinct()
+    """docs with one row of each class, that with the least doc_id."""
+    docs = docs.withColumns({"_digest": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "_id": id_text(), "_none": F.col("doc_id").isNull()})
+    keep = near_duplicates(docs, **options).filter("kept").select(F.col("text_md5").alias("_digest"), id_text().alias("_id"), F.col("doc_id").isNull().alias("_none"))
     # repeated rows are dropped within the join's own partitions, without another exchange of texts
-    return docs.join(keep, ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).drop("_digest", "_id")
+    by = ["_digest", "_id", "_none"]
+    return docs.join(keep, by, "left_semi").dropDuplicates(by).drop(*by)

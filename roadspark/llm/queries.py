@@ -50,8 +50,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "class_id", "class_rows", (F.col("of_head") & F.col("of_least")).alias("kept"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
