@@ -1,13 +1,20 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags.  A block's features are its words and link density, those of
-the blocks before and behind it, whether it lies in an article or main element, and how many of the elements around
-it are of a kind, class, id or role that names page furniture.  A decision tree, grown on the small labelled table
-LABELLED, tells main text from the rest.
+the blocks before and behind it, whether it lies in an article or main element, how many of the elements around it
+are page furniture by their kind or by a whole name (class, id, role), and how many have a name with a part that
+only hints at furniture.  A decision tree, grown on the small labelled table LABELLED, tells main text from the rest:
+a hint alone counts only for short or link-dense blocks, so prose in `related-work` or `side-by-side` stays.
+Inline elements that are hidden or furniture by a whole name are left out of their block.
+
+The scanner goes through a page once: it never looks for the same missing end twice, so its time is linear in the
+page's length, also where quotes, comments or elements are never closed.  A page is held as one string, its blocks
+as pieces of it.
 
 Defined cases: null and empty pages, and pages without main text, give the empty text; unclosed and misnested tags
 end where an element around them ends; white space (after character references are decoded) becomes one space;
-a line break is white space; repeated rows are extracted each; other columns are passed through only if named.
+a line break is white space; repeated rows are extracted each; an empty table gives no rows; other columns are
+passed through only if named.
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"""[>"']""")
 MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 #: Elements whose content is no text of the page.
@@ -32,56 +40,123 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE = frozenset("nav footer aside form menu dialog head fieldset".split())
 #: Parts of names (class, id, role) that tell page furniture.
 NAMES = frozenset("nav navbar navigation navigator menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside widget ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond disqus discussion form search pagination pager copyright legal complementary contentinfo toolbar skip tags".split())
+#: Parts that say where or how, not what: a name of these and of NAMES alone is a whole name of furniture.
+PLACES = frozenset("site page main top bottom left right box bar list lists wrap wrapper container block section area inner outer global primary secondary col column item items link links button buttons btn post posts article articles text title icon icons icn thread panel slot unit zone row group body content js id m s l xs sm md lg xl fixed sticky mobile desktop".split())
 MAIN = frozenset("article main".split())
 
-#: words, link density, words before, link density before, words behind, link density behind, in an article, furniture around, main text?
+#: words, link density, words before, link density before, words behind, link density behind, in an article, furniture
+#: around, hints around, main text?  The first group is measured on pages of a news shape (menu, advert, article,
+#: footer), the others on blog, forum, shop and documentation shapes.
 LABELLED = """
-45 0.00 30 0.00 60 0.00 1 0 1
-1 0.00 40 0.00 30 0.00 1 0 1
-2 0.00 0 0.00 35 0.00 1 0 1
-8 0.00 6 0.00 70 0.00 1 0 1
-120 0.05 80 0.00 20 0.10 1 0 1
-6 0.50 40 0.00 55 0.00 1 0 1
-3 1.00 60 0.00 45 0.00 1 0 1
-1 0.00 1 0.00 1 0.00 1 0 1
-20 0.10 1 0.00 3 0.00 1 0 1
-300 0.00 10 0.00 0 0.00 1 0 1
-9 0.00 7 0.00 8 0.00 1 0 1
-4 0.00 1 1.00 2 0.00 1 0 1
-10 0.00 8 0.00 12 0.00 1 1 0
-30 0.00 50 0.00 40 0.00 1 1 0
-4 1.00 3 1.00 5 1.00 1 1 0
-60 0.00 20 0.00 15 0.00 1 2 0
-2 1.00 70 0.00 2 1.00 1 1 0
-12 0.10 40 0.00 9 0.00 1 2 0
-80 0.02 70 0.00 65 0.00 0 0 1
-45 0.00 30 0.00 60 0.05 0 0 1
-25 0.00 40 0.00 38 0.00 0 0 1
-18 0.00 60 0.00 45 0.00 0 0 1
-12 0.00 35 0.00 50 0.00 0 0 1
-150 0.10 4 0.00 5 1.00 0 0 1
-60 0.20 50 0.10 80 0.00 0 0 1
-7 0.00 4 0.00 55 0.00 0 0 1
-5 0.00 60 0.00 48 0.00 0 0 1
-40 0.00 1 1.00 30 0.00 0 0 1
-1 1.00 1 1.00 1 1.00 0 0 0
-2 1.00 1 1.00 60 0.00 0 0 0
-3 1.00 2 1.00 2 1.00 0 0 0
-4 0.00 3 1.00 2 1.00 0 0 0
-5 0.00 2 1.00 3 0.00 0 0 0
-12 0.80 20 0.60 15 0.90 0 0 0
-40 0.75 30 0.80 30 0.70 0 0 0
-6 0.00 5 0.00 4 0.00 0 0 0
-3 0.00 80 0.00 0 0.00 0 0 0
-9 0.40 0 0.00 2 1.00 0 0 0
-1 1.00 1 1.00 1 1.00 0 1 0
-1 1.00 1 1.00 1 1.00 0 2 0
-8 0.00 1 1.00 9 0.00 0 1 0
-40 0.00 35 0.00 30 0.00 0 1 0
-90 0.00 60 0.00 20 0.00 0 1 0
-15 0.10 50 0.00 0 0.00 0 1 0
-200 0.00 100 0.00 90 0.00 0 2 0
-25 0.00 30 0.00 3 1.00 0 3 0
+1 1.00 0 0.00 1 1.00 0 1 0 0
+1 1.00 1 1.00 1 1.00 0 1 0 0
+2 1.00 1 1.00 8 0.00 0 1 0 0
+8 0.00 1 1.00 11 0.00 0 1 0 0
+14 0.00 2 1.00 9 0.00 0 1 0 0
+5 0.00 1 1.00 12 0.00 0 1 0 0
+6 0.00 8 0.00 42 0.00 1 0 0 1
+13 0.00 14 0.00 27 0.00 1 0 0 1
+42 0.00 11 0.00 187 0.00 1 0 0 1
+187 0.00 42 0.00 96 0.00 1 0 0 1
+96 0.00 187 0.00 16 0.00 1 0 0 1
+4 0.00 118 0.00 21 0.00 1 0 0 1
+7 0.00 63 0.00 17 0.00 1 0 0 1
+1 0.00 9 0.00 14 0.00 1 0 0 1
+16 0.00 96 0.00 0 0.00 0 1 0 0
+21 0.00 4 0.00 0 0.00 0 1 0 0
+11 0.00 231 0.00 0 0.00 0 1 0 0
+3 0.00 0 0.00 3 0.00 1 0 0 1
+3 0.00 3 0.00 2 0.00 1 0 0 1
+2 0.00 3 0.00 1 0.00 1 0 0 1
+5 0.00 0 0.00 5 0.00 1 0 0 1
+5 0.00 5 0.00 0 0.00 1 0 0 1
+1 0.00 23 0.00 0 0.00 1 0 0 1
+29 0.00 6 0.00 0 0.00 1 0 0 1
+4 0.00 0 0.00 0 0.00 1 0 0 1
+312 0.00 0 0.00 0 0.00 1 0 0 1
+2 0.00 7 0.00 9 0.00 1 0 0 1
+9 0.00 2 0.00 2 1.00 1 0 0 1
+17 0.00 1 1.00 3 0.00 1 0 0 1
+24 0.04 3 1.00 3 1.00 1 0 0 1
+7 0.00 2 1.00 1 0.00 1 0 0 1
+3 0.00 54 0.00 71 0.00 1 0 0 1
+71 0.14 3 0.00 38 0.05 1 0 0 1
+38 0.05 71 0.14 12 0.17 1 0 0 1
+12 0.17 38 0.05 9 0.89 1 0 0 1
+9 0.89 12 0.17 44 0.02 1 0 0 1
+44 0.02 9 0.89 5 1.00 1 0 0 1
+3 1.00 61 0.03 47 0.00 1 0 0 1
+5 1.00 4 1.00 6 1.00 1 1 0 0
+4 1.00 44 0.02 5 1.00 1 1 0 0
+33 0.09 52 0.00 29 0.00 1 1 0 0
+64 0.02 33 0.09 27 0.04 1 2 0 0
+2 0.50 64 0.02 19 0.00 1 2 0 0
+19 0.00 2 0.50 2 0.50 1 1 0 0
+83 0.01 57 0.00 66 0.02 1 0 1 1
+57 0.04 83 0.01 41 0.00 1 0 1 1
+24 0.00 31 0.00 45 0.00 1 0 1 1
+15 0.07 57 0.04 22 0.00 1 0 1 1
+22 0.00 15 0.07 36 0.00 1 0 2 1
+4 0.00 22 0.00 51 0.00 1 0 1 1
+3 1.00 4 1.00 3 1.00 1 0 1 0
+6 0.83 3 1.00 7 0.86 1 0 1 0
+2 1.00 58 0.00 3 1.00 1 0 1 0
+7 0.86 6 0.83 2 1.00 1 0 2 0
+112 0.04 6 0.17 74 0.01 0 0 0 1
+74 0.01 112 0.04 39 0.03 0 0 0 1
+39 0.03 74 0.01 88 0.06 0 0 0 1
+88 0.06 39 0.03 5 0.20 0 0 0 1
+5 0.00 88 0.06 67 0.00 0 0 0 1
+67 0.00 5 0.00 18 0.00 0 0 0 1
+18 0.00 67 0.00 43 0.02 0 0 0 1
+26 0.00 43 0.02 37 0.00 0 0 0 1
+13 0.00 37 0.00 52 0.00 0 0 0 1
+8 0.00 4 0.00 59 0.00 0 0 0 1
+59 0.19 47 0.11 78 0.00 0 0 0 1
+154 0.11 3 0.00 6 1.00 0 0 0 1
+41 0.00 1 1.00 28 0.00 0 0 0 1
+47 0.00 81 0.00 0 0.00 0 0 0 1
+63 0.02 52 0.00 2 1.00 0 0 0 1
+29 0.00 0 0.00 0 0.00 0 0 0 1
+112 0.00 36 0.00 3 0.00 0 0 0 1
+33 0.00 5 0.00 4 0.00 0 0 0 1
+6 1.00 59 0.19 4 1.00 0 0 0 0
+4 1.00 6 1.00 3 1.00 0 0 0 0
+3 1.00 4 1.00 62 0.00 0 0 0 0
+1 1.00 2 1.00 1 1.00 0 0 0 0
+2 0.00 3 1.00 4 1.00 0 0 0 0
+5 0.00 4 1.00 3 0.00 0 0 0 0
+3 0.00 5 0.00 2 1.00 0 0 0 0
+14 0.79 17 0.65 11 0.91 0 0 0 0
+37 0.73 29 0.83 34 0.71 0 0 0 0
+6 0.00 4 0.00 3 0.00 0 0 0 0
+4 0.00 77 0.00 0 0.00 0 0 0 0
+9 0.44 0 0.00 3 1.00 0 0 0 0
+46 0.04 38 0.00 53 0.00 0 0 1 1
+91 0.00 46 0.04 35 0.03 0 0 1 1
+5 0.00 7 0.43 3 1.00 0 0 1 0
+11 0.55 5 0.00 6 1.00 0 0 1 0
+8 0.00 1 1.00 9 0.00 0 1 0 0
+43 0.00 36 0.00 31 0.00 0 1 0 0
+92 0.00 61 0.00 23 0.04 0 1 0 0
+17 0.12 49 0.00 0 0.00 0 1 0 0
+207 0.00 98 0.00 87 0.00 0 2 0 0
+28 0.00 31 0.00 3 1.00 0 3 0 0
+52 0.02 28 0.00 44 0.00 0 1 1 0
+36 0.03 41 0.00 57 0.02 1 1 1 0
+74 0.00 68 0.00 81 0.00 1 1 0 0
+118 0.00 64 0.00 59 0.00 1 1 0 0
+9 0.00 33 0.00 47 0.00 1 1 0 0
+3 0.00 26 0.00 52 0.00 1 1 0 0
+6 0.00 5 0.00 4 0.00 1 1 0 0
+2 0.00 1 0.00 3 0.00 1 2 0 0
+45 0.00 3 0.00 0 0.00 1 1 0 0
+63 0.00 0 0.00 72 0.00 0 1 0 0
+31 0.00 84 0.00 76 0.00 0 1 0 0
+142 0.00 47 0.00 55 0.00 0 1 0 0
+27 0.00 4 0.00 63 0.00 0 1 0 0
+5 0.00 62 0.00 41 0.00 0 2 0 0
+12 0.00 58 0.00 39 0.00 0 1 1 0
 """
 
 
@@ -117,84 +192,147 @@ def is_main(features: tuple, node: tuple) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def named_furniture(attributes: str) -> bool:
+def named(attributes: str) -> int:
+    """What an element's names make it: 2 for furniture (or hidden), 1 for a hint of it, 0 for neither."""
     if HIDDEN.search(attributes):
-        return True
+        return 2
+    hint = 0
     for m in MARK.finditer(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "")
-        if not NAMES.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-            return True
-    return False
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower().split():
+            parts = [p for p in re.split(r"[^a-z]+", name) if p]
+            if not NAMES.isdisjoint(parts):
+                if all(p in NAMES or p in PLACES for p in parts):
+                    return 2
+                hint = 1
+    return hint
+
+
+class Scanner:
+    """Tags of a page in order, each looked for once."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quotes, self.endless = html, True, set()
 
+    def end_of_tag(self, pos: int) -> int:
+        """The place of the > that ends a tag, outside quotes as long as quotes are closed; -1 for none."""
+        if self.quotes:
+            at = pos
+            while m := QUOTE.search(self.html, at):
+                if m[0] == ">":
+                    return m.start()
+                at = self.html.find(m[0], m.end()) + 1
+                if not at:
+                    break
+            self.quotes = False  # a quote that never ends: from here on they mean nothing
+        return self.html.find(">", pos)
 
-def blocks(html: str) -> list[tuple[str, int, float, bool, int]]:
-    """A page's flat blocks: text, words, link density, in an article, furniture around."""
+    def behind(self, name: str, pos: int) -> int | None:
+        """The place behind an element's end tag; None if there is none."""
+        if name in self.endless:
+            return None
+        close = re.compile(rf"</{name}\s*>", re.I).search(self.html, pos)
+        if not close:
+            self.endless.add(name)
+            return None
+        return close.end()
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, bool]]:
+        """(text before, name, attributes, closing); the last has no name."""
+        html, start, pos = self.html, 0, 0
+        while (at := html.find("<", pos)) >= 0:
+            if html.startswith(("<!", "<?"), at):
+                mark = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
+                end = html.find(mark, at + (4 if mark == "-->" else 2))
+                yield html[start:at], "", "", False
+                start = pos = len(html) if end < 0 else end + len(mark)
+                continue
+            m = NAME.match(html, at + 1)
+            end = self.end_of_tag(m.end()) if m else -1
+            if end < 0:
+                pos = at + 1  # no tag, but a sign
+                continue
+            name = m[1].lower()
+            yield html[start:at], name, html[m.end() : end], html[at + 1] == "/"
+            start = pos = end + 1
+            if name in RAW and html[at + 1] != "/" and html[end - 1] != "/":
+                close = self.behind(name, pos)
+                if close or name in ("script", "style", "textarea", "title"):
+                    start = pos = close or len(html)
+        yield html[start:], "", "", False
+
+
+def blocks(html: str) -> list[tuple[str, int, float, bool, int, int]]:
+    """A page's flat blocks: text, words, link density, in an article, furniture around, hints around."""
     out: list = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, article, furniture
-    inside = around = link = 0
-    pos, size = 0, len(html)
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, article, furniture, hint
+    opened: dict[str, int] = {}
+    inside = around = hints = link = 0
+    mute: list = []  # name, how often it is open, elements around
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                out.append((text, n, min(1.0, len(unescape(" ".join(linked)).split()) / n) if linked else 0.0, inside > 0, around))
+                out.append((text, n, min(1.0, len(unescape(" ".join(linked)).split()) / n) if linked else 0.0, inside > 0, around, hints))
             parts.clear()
             linked.clear()
 
-    while pos < size:
-        m = TAG.search(html, pos)
-        end = m.start() if m else size
-        if end > pos:
-            piece = html[pos:end]
-            parts.append(piece)
+    def leave() -> str:
+        nonlocal inside, around, hints
+        name, a, f, h = stack.pop()
+        opened[name] -= 1
+        inside -= a
+        around -= f
+        hints -= h
+        return name
+
+    for text, name, attributes, closing in Scanner(html):
+        if text and not mute:
+            parts.append(text)
             if link:
-                linked.append(piece)
-        if not m:
-            break
-        pos = m.end()
-        name = m[2]
-        if not name:
+                linked.append(text)
+        if not name or name in RAW:
             continue
-        name = name.lower()
-        if name == "br":
+        if mute and name == mute[0]:
+            mute[1] += -1 if closing else 1
+            if not mute[1]:
+                mute = []
+        elif name == "br":
             parts.append(" ")
-        elif name == "a":
-            link = 0 if m[1] else 1
-        elif name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-                pos = close.end() if close else size if name in ("script", "style", "textarea", "title") else pos
         elif name in INLINE:
-            if not m[1] and name == "span" and named_furniture(m[3]):
-                pass
+            if name == "a":
+                link = 0 if closing else 1
+            if attributes and not closing and not mute and name not in VOID and not attributes.endswith("/") and named(attributes) == 2:
+                mute = [name, 1, len(stack)]
+                link = 0
         else:
+            if mute and len(stack) <= mute[2] and (name == "p" or closing):
+                mute = []
             flush()
             link = 0
-            if m[1]:
-                if any(s[0] == name for s in stack):
-                    while True:
-                        gone, a, f = stack.pop()
-                        inside -= a
-                        around -= f
-                        if gone == name:
-                            break
+            if closing:
+                if opened.get(name):
+                    while leave() != name:
+                        pass
             elif name not in VOID and name not in ("p", "html"):
                 if name in ("li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-                    _, a, f = stack.pop()
-                    inside -= a
-                    around -= f
+                    leave()
                 if name == "body":
-                    stack.clear()
-                    inside = around = 0
-                f = name in FURNITURE or (name == "header" and not inside) or (bool(m[3]) and name not in MAIN and name != "body" and named_furniture(m[3]))
+                    while stack:
+                        leave()
+                kind = named(attributes) if attributes and name not in MAIN and name != "body" else 0
+                f = name in FURNITURE or (name == "header" and not inside) or kind == 2
                 a = name in MAIN
-                stack.append((name, a, f))
+                stack.append((name, a, f, kind == 1))
+                opened[name] = opened.get(name, 0) + 1
                 inside += a
                 around += f
+                hints += kind == 1
+            elif name == "p" and attributes and named(attributes) == 2:
+                mute = ["p", 1, len(stack)]  # up to its end, or the next block's
     flush()
     return out
 
@@ -203,10 +341,10 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     node = tree()
     keep = []
-    for i, (text, n, density, inside, around) in enumerate(found):
+    for i, (text, n, density, inside, around, hints) in enumerate(found):
         before = found[i - 1] if i else (0, 0, 0.0)
         behind = found[i + 1] if i + 1 < len(found) else (0, 0, 0.0)
-        if is_main((n, density, before[1], before[2], behind[1], behind[2], inside, around), node):
+        if is_main((n, density, before[1], before[2], behind[1], behind[2], inside, around, hints), node):
             keep.append(text)
     return "\n".join(keep)
 
