@@ -1,16 +1,24 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, confirmed by templates.
 
 A multinomial logistic regression over hashed word 1- to 3-grams is trained on the notices of TEMPLATES (with words
-left out and paragraphs cut, by rule) and on paragraphs that are no licence.  Its last class is `unknown`: prose about licences that is no
-family's notice; the class before it is `none`.  Probabilities are calibrated by a temperature fitted on variants
-that were not trained on.  A paragraph (a line) is of a family if the family's probability is CONFIDENT or more and the paragraph holds
+left out and paragraphs cut, by rule) and on paragraphs that are no licence.  Its last class is `unknown`: prose about
+licences that is no family's notice; the class before it is `none`.  Probabilities are calibrated by a temperature,
+fitted on notices that their model had not seen: each fold's notices, in all their variants, are scored by a model
+of the other folds' alone.
+
+A paragraph is a run of lines, without an empty one between, each of which is likelier of a licence's class than of
+none, with a probability of CANDIDATE or more of not being none; so a notice that is wrapped over several lines is one paragraph, and the prose around it is not
+part of it.  A paragraph is of a family if licences together have a probability of CONFIDENT or more and it holds
 CONTAINED or more of the word pairs of one of the family's templates, or lies within it to that degree; what the
 classifier takes for a licence and no template confirms is `unknown`.  A paragraph is of every family that a template
 confirms, the most probable first, if it names the family: it holds a pair of words of that family's templates alone,
 or, of a template without such a pair, a pair that no other family found there has.
 
-Defined cases: null and empty texts have no paragraphs; repeated rows are scanned each; a text with several notices
-has several families; other columns are passed through only if named.
+The model is trained once, on the driver, and broadcast; its size is fixed.
+
+Defined cases: null and empty texts have no paragraphs; a line of any length is scanned whole; repeated rows are
+scanned each; a text with several notices has several families; an empty table gives no rows; other columns are
+passed through only if named.
 """
 
 from __future__ import annotations
@@ -26,8 +34,9 @@ from pyspark.sql import functions as F
 from roadspark.llm import _bytes
 
 BITS = 16
-CONFIDENT = 0.5
+CANDIDATE, CONFIDENT = 0.3, 0.5
 CONTAINED = 0.6
+FOLDS = 2
 U64 = np.uint64
 
 #: Notices of each family as they stand in sources and on pages; digits are left out of the comparison.
@@ -72,7 +81,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray, known: np.ndarray | None) ->
     each paragraph's number of n-grams, met or not."""
     buf = _bytes.LOWER[buf]
     start, end, bounds = _bytes.words(buf, offsets, _LETTERS)
-    h = _bytes.hash_spans(_bytes.prefix(buf), start, end)
+    h = _bytes.hash_words(buf, start, end)
     para = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     out = []
     g = h
@@ -104,54 +113,58 @@ def _variants(text: str, turns: range) -> list[str]:
     return out
 
 
-def _table(turns: range) -> tuple[list[str], np.ndarray]:
-    texts, y = [], []
+def _table() -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, their classes, and the fold of the notice that each is a variant of."""
+    texts, y, fold, turns = [], [], [], range(0, 6)
     for c, notices in enumerate([*TEMPLATES.values(), NONE, UNKNOWN]):
-        for n in notices:
+        for k, n in enumerate(notices):
             v = _variants(n, turns) if c < len(FAMILIES) else [n, n.lower(), *(" ".join(n.split()[t % 3 :]) for t in turns)]
             texts += v
             y += [c] * len(v)
-    return texts, np.array(y)
+            fold += [k % FOLDS] * len(v)
+    return texts, np.array(y), np.array(fold)
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Marks of the features met, weights (feature, class), biases, temperature."""
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, float]
 
-    def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-        return _features(np.concatenate(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw]))), None)
 
-    texts, y = _table(range(0, 6))
-    p, f, n = matrix(texts)
+@lru_cache(maxsize=1)
+def model() -> Model:
+    """Marks of the features met, weights (feature, class), biases, temperature."""
+    texts, y, fold = _table()
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    p, f, n = _features(np.concatenate(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw]))), None)
     used, col = np.unique(f, return_inverse=True)
     x = np.zeros((len(texts), len(used)))
     x[p, col] = 1
     x /= np.sqrt(n)[:, None]
-    target = np.eye(len(CLASSES))[y]
-    share = 1 / np.maximum(1, np.bincount(y, minlength=len(CLASSES)))[y]
-    w, b = np.zeros((len(used), len(CLASSES))), np.zeros(len(CLASSES))
-    b[CLASSES.index("none")] = 1.0
-    for _ in range(400):
-        z = x @ w + b
-        q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        g = (q - target) * share[:, None]
-        w -= 2.0 * (x.T @ g + 2e-4 * w)
-        b -= 0.2 * g.sum(0)
-    # calibration on variants that were not learned from
-    texts, y = _table(range(6, 9))
-    p, f, n = matrix(texts)
-    ok = np.isin(f, used)
-    held = np.zeros((len(texts), len(used)))
-    held[p[ok], np.searchsorted(used, f[ok])] = 1
-    z = held / np.sqrt(n)[:, None] @ w + b
+
+    def fitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        target = np.eye(len(CLASSES))[y]
+        share = 1 / np.maximum(1, np.bincount(y, minlength=len(CLASSES)))[y]
+        w, b = np.zeros((x.shape[1], len(CLASSES))), np.zeros(len(CLASSES))
+        b[CLASSES.index("none")] = 1.0
+        for _ in range(400):
+            z = x @ w + b
+            q = np.exp(z - z.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True)
+            g = (q - target) * share[:, None]
+            w -= 2.0 * (x.T @ g + 2e-4 * w)
+            b -= 0.2 * g.sum(0)
+        return w, b
+
+    # calibration on notices that their model has not seen
+    z = np.zeros((len(texts), len(CLASSES)))
+    for k in range(FOLDS):
+        w, b = fitted(x[fold != k], y[fold != k])
+        z[fold == k] = x[fold == k] @ w + b
 
     def loss(t: float) -> float:
         s = z / t
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(y)), y]).mean())
 
     temperature = min(np.geomspace(0.2, 5, 60), key=loss)
+    w, b = fitted(x, y)
     known = np.zeros(1 << BITS, bool)
     known[used] = True
     full = np.zeros((1 << BITS, len(CLASSES)), np.float32)
@@ -191,37 +204,55 @@ def named(paragraph: str, family: str, others: list[str]) -> bool:
     return bool(own & alone) or any(not t & alone and len(own & t) >= CONTAINED * len(t) and not own & t <= theirs for t in pairs()[family])
 
 
-def scan_texts(column: pa.Array) -> list[list[tuple[str, float]]]:
+def _probabilities(buf: np.ndarray, cut: np.ndarray, of: Model) -> np.ndarray:
+    """Of the spans that cut makes, each class's probability."""
+    known, weights, bias, temperature = of
+    p, f, n = _features(buf, cut, known)
+    z = np.tile(bias, (len(cut) - 1, 1))
+    z[:, CLASSES.index("none")] += 50 * (np.bincount(p, minlength=len(z)) == 0)  # not a word of a licence
+    if len(p):
+        para, first = np.unique(p, return_index=True)
+        z[para] += np.add.reduceat(weights[f], first, axis=0) / np.sqrt(n[para])[:, None]
+    z = z / temperature
+    q = np.exp(z - z.max(1, keepdims=True))
+    return q / q.sum(1, keepdims=True)
+
+
+def scan_texts(column: pa.Array, of: Model | None = None) -> list[list[tuple[str, float]]]:
     """(family, probability) of each licence paragraph of each text."""
     raw, offsets = _bytes.strings(column)
-    known, weights, bias, temperature = model()
+    of = of or model()
     out: list[list[tuple[str, float]]] = [[] for _ in range(len(offsets) - 1)]
     none = CLASSES.index("none")
     for i, j in _bytes.pieces(offsets):
         buf = raw[offsets[i] : offsets[j]]
         off = offsets[i : j + 1] - offsets[i]
         cut = np.unique(np.concatenate((off, np.flatnonzero(buf == 10) + 1)))
-        p, f, n = _features(buf, cut, known)
-        if not len(p):
+        if len(cut) < 2:
             continue
-        para, first = np.unique(p, return_index=True)
-        z = (np.add.reduceat(weights[f], first, axis=0) / np.sqrt(n[para])[:, None] + bias) / temperature
-        q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
+        q = _probabilities(buf, cut, of)
+        line = np.flatnonzero((q.argmax(1) != none) & (1 - q[:, none] >= CANDIDATE))
+        if not len(line):
+            continue
+        # lines behind one another, in one text, are a paragraph; an empty line is a line of its own, and no candidate
+        doc = np.searchsorted(off, cut[line], side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(line) > 1) | (np.diff(doc) > 0))))
+        last = np.append(first[1:], len(line)) - 1
+        spans = [buf[cut[line[a]] : cut[line[b] + 1]] for a, b in zip(first, last)]
+        q = _probabilities(np.concatenate(spans), np.concatenate(([0], np.cumsum([len(s) for s in spans]))), of)
         for k in np.flatnonzero((q.argmax(1) != none) & (1 - q[:, none] >= CONFIDENT)):
-            a, b = cut[para[k]], cut[para[k] + 1]
-            text = buf[a:b].tobytes().decode("utf-8", "replace")
+            text = spans[k].tobytes().decode("utf-8", "replace")
             families = q[k, : len(FAMILIES)]
             # the families in the order of their probability; a template has the last word
             found: list[str] = []
             for c in np.argsort(-families):
-                if confirmed(text, FAMILIES[c]) and (not found or named(text, FAMILIES[c], found)):
+                if confirmed(text, FAMILIES[c]) and named(text, FAMILIES[c], found):
                     found.append(FAMILIES[c])
-            doc = i + int(np.searchsorted(off, a, side="right")) - 1
+            at = i + int(doc[first[k]])
             if found and families.sum() >= CONFIDENT:
-                out[doc] += [(f, float(families[FAMILIES.index(f)])) for f in found]
+                out[at] += [(f, float(families[FAMILIES.index(f)])) for f in found]
             elif len(words(text)) >= 3 and 1 - q[k, none] >= 0.8:
-                out[doc].append(("unknown", float(q[k, -1])))
+                out[at].append(("unknown", float(q[k, -1])))
     return out
 
 
@@ -230,10 +261,12 @@ def scan(docs: DataFrame, *, columns: tuple[str, ...] = ("doc_id",)) -> DataFram
     distinct families, sorted, comma-joined)."""
     from pyspark.sql.types import StructField, StructType
 
+    sent = docs.sparkSession.sparkContext.broadcast(model())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64())]))
         for batch in batches:
-            found = scan_texts(batch.column(0))
+            found = scan_texts(batch.column(0), sent.value)
             notices = pa.array([[{"family": f, "probability": p} for f, p in x] for x in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], notices, pa.array([",".join(sorted({f for f, _ in x})) for x in found], pa.string())], names=[*(f"c{i}" for i in range(len(columns))), "notices", "licences"])
 
