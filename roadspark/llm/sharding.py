@@ -16,12 +16,13 @@ read.  The law is `bytes`: shards' sizes differ by no more than about one slot.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadspark.llm._spark import id_text, stored
+from roadspark.llm._spark import id_text, shared_dir, stored
 
 SLOTS = 4096
 HEAVY = 64
@@ -81,6 +82,14 @@ class SlotMap:
         """Adds this version to the maps stored at path."""
         self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> int:
+        """The latest stored version; 0 if none is."""
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            return 0
+        return spark.read.schema(SCHEMA).parquet(path).agg(F.max("version")).first()[0] or 0
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, shards: int, version: int | None = None) -> SlotMap:
         """A stored version, the latest if none is named."""
@@ -110,10 +119,17 @@ def assign(rows: DataFrame, shards: int, heavy: int = HEAVY) -> tuple[DataFrame,
     return rows, SlotMap.balanced({(r["slot"], r["sub"]): (r["bytes"], r["rows"]) for r in found}, shards)
 
 
-def shard(docs: DataFrame, shards: int = 16, *, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, place (from 0 without gaps within the shard) and virtual_slot of each row."""
+def shard(docs: DataFrame, shards: int = 16, *, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, place (from 0 without gaps within the shard) and virtual_slot of each row.
+
+    The slot map is written to the folder maps as its next version (to a new one among the session's shared folders,
+    if none is named), and rows are placed by that version as it is read back."""
     spark = docs.sparkSession
-    rows, found = assign(records(docs, slots), shards)
+    maps = maps or f"{shared_dir(spark).rstrip('/')}/slot-maps-{uuid.uuid4().hex}"
+    rows, made = assign(records(docs, slots), shards)
+    made.version = SlotMap.latest(spark, maps) + 1
+    made.write(spark, maps)
+    found = SlotMap.read(spark, maps, shards, made.version)
     first, start = [0] * shards, []
     for key, (s, _, n) in sorted(found.slots.items()):
         start.append((*key, s, first[s]))
