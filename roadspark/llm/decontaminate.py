@@ -8,11 +8,13 @@ Items of fewer than WINDOW words, but not none, are one window each; for each su
 most) the documents' grams of that length are joined too.
 
 The items' fingerprints are broadcast if there are at most BROADCAST_ROWS of them, and joined by a shuffle
-otherwise.  Fingerprints never leave the task that made them in the first case; only matches are shuffled.
+otherwise.  Fingerprints never leave the task that made them in the first case; only matches are shuffled.  A table
+with fewer input partitions than the session has cores (one small file) is dealt out first.
 
 Defined cases: null texts have no words; items without words are in no document; an item whose item_id is null
 marks words but isn't listed; repeated items are listed once; repeated rows are judged each; a null doc_id is
-kept; with no items nothing is hit; other columns are passed through only if named.  Words count as equal if their
+kept; with no items nothing is hit; an empty table gives no rows; a text of any length is one array of its words'
+hashes, some 100 bytes a word; other columns are passed through only if named.  Words count as equal if their
 64-bit hashes are.
 """
 
@@ -43,10 +45,13 @@ def fingerprints(df: DataFrame, keep: list[str], short: list[int], window: int,
     place = (1 << PLACE_BITS) - 1
     df = df.select(*keep, words(F.col("text")).alias("_w")).select(*keep, F.expr("transform(_w, x -> xxhash64(x))").alias("_h"))
     df = df.select(*keep, "_h", F.size("_h").alias("n_words"))
-    packed = f"transform(slice(_h, 1, greatest(n_words - {k - 1}, 0)), (x, i) -> (xxhash64(slice(_h, i + 1, {k})) & {(1 << 63) - 1 - place}L) | i)"
+    # neighbours are fetched one by one: a slice for each place would be an array for each place
+    words_ahead = "".join(f", get(_h, i + {j})" for j in range(1, k))
+    packed = f"transform(slice(_h, 1, greatest(n_words - {k - 1}, 0)), (x, i) -> (xxhash64(x{words_ahead}) & {(1 << 63) - 1 - place}L) | i)"
     df = df.withColumn("_g", F.expr(packed))
     span = window - k + 1
-    df = df.withColumn("_f", F.expr(f"array_distinct(transform(slice(_g, 1, greatest(size(_g) - {span - 1}, 0)), (x, i) -> array_min(slice(_g, i + 1, {span}))))"))
+    ahead = "".join(f", get(_g, i + {j})" for j in range(1, span))
+    df = df.withColumn("_f", F.expr(f"array_distinct(transform(slice(_g, 1, greatest(size(_g) - {span - 1}, 0)), (x, i) -> {f'least(x{ahead})' if ahead else 'x'}))"))
     side = window - k
     at = f"cast(v & {place}L as int)"
     prints = f"transform(_f, v -> struct({window} as size, v & {(1 << 63) - 1 - place}L as hash, {at} as place, least({at}, {side}) as left, slice(_h, {at} - least({at}, {side}) + 1, least({at}, {side}) + {k + side}) as around))"
@@ -76,7 +81,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k:
 
     renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     names = [f"c{i}" for i in range(len(columns))]
-    rows = docs.select(*renamed, F.col("text").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = docs.select(*renamed, F.col("text").alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
     made = fingerprints(rows, ["rid", *names], short, window, k)
     # one row of each text stays without a print, so that texts without a match stay
     p = made.select("rid", *names, "n_words", F.explode(F.expr("concat(array(cast(null as struct<size: int, hash: bigint, place: int, left: int, around: array<bigint>>)), prints)")).alias("p"))
