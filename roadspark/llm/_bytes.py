@@ -2,11 +2,14 @@
 
 Texts come as Arrow string columns; the kernels work on the columns' own UTF-8 buffers, so no
 Python string is made for a word or a text.  Word and k-gram identities are 64-bit polynomial hashes over random
-byte codes, taken from prefix sums, so every span of a buffer is hashed in a few array operations.
+byte codes, taken from prefix sums, so every span of a buffer is hashed in a few array operations.  Such hashes modulo
+2^64 are weak for long regular strings (two Thue-Morse words of a kilobyte agree), so spans of LONG units or more,
+which are rare among words, are hashed one by one by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+LONG = 128
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C13 | 3  # odd, and 3 modulo 4: few factors of two in its powers' differences
 
@@ -63,9 +67,19 @@ def prefix(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end); equal bytes give equal hashes wherever they are."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U64))
+def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, units: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the spans [start, end); equal units give equal hashes wherever they are.  units: what sums was made
+    of, if spans may have LONG units or more."""
+    out = mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U64))
+    if units is not None:
+        for i in np.flatnonzero(end - start >= LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(units[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """hash_spans() of spans of any length."""
+    return hash_spans(prefix(buf), start, end, buf)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

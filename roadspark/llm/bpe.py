@@ -6,8 +6,12 @@ boundary there is deleted, and the two neighbouring ranks are refreshed.  The ne
 of one pair of arrays, so that each step is one array operation for all of them.  Pieces beyond SHORT bytes, for
 which repeated scans would cost the square of the length, take the same merges in the same order from a heap.
 
-Defined cases: null and empty texts have no tokens; repeated rows and repeated ids are encoded row by row;
-other columns of the input are not read.
+Pieces of texts that need no pattern are told apart by 64-bit hashes (BLAKE2b from 128 characters on), in one batch
+and in a worker's memory of pieces; two pieces with one hash would share their ids.
+
+Defined cases: null and empty texts have no tokens; a text of any length is encoded whole, some 60 bytes a character
+at once; repeated rows and repeated ids are encoded row by row; an empty table gives no rows; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -265,7 +269,7 @@ class ByteBPE(dict):
         codes = character_codes()
         sums = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum(codes[chars] * _bytes.powers(len(chars))[0][: len(chars)], out=sums[1:])
-        keys, first, which = np.unique(_bytes.hash_spans(sums, starts, stops), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(_bytes.hash_spans(sums, starts, stops, chars), return_index=True, return_inverse=True)
         self.room(len(keys))
         listed = keys.tolist()
         new = [i for i, k in enumerate(listed) if k not in self]

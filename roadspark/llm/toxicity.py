@@ -43,7 +43,7 @@ def features(column: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple
         buf = _bytes.LOWER[raw[offsets[i] : offsets[j]]]
         start, end, bounds = _bytes.words(buf, off, _bytes.WORD)
         sums = _bytes.prefix(buf)
-        h = _bytes.hash_spans(sums, start, end)
+        h = _bytes.hash_spans(sums, start, end, buf)
         text = np.repeat(np.arange(j - i), np.diff(bounds))
         found = [(text, (h >> shift).astype(np.int64))]
         for n in STEMS:
