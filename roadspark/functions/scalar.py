@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The two earth radii in use, metres.
@@ -35,61 +35,86 @@ def decode_elevation(r: Column, g: Column, b: Column) -> Column:
     return F.when(v == 1 << 23, None).when(v > 1 << 23, (v - (1 << 24)) * 0.01).otherwise(v * 0.01)
 
 
-def _mask(c: Column) -> Column:
-    return c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+# Multipliers and masks of the lattice hash, which must agree for equal terrain.
+LATTICE_X = 374761393
+LATTICE_Y = 668265263
+LATTICE_SEED = 1442695041
+LATTICE_MIX = 1274126177
+LATTICE_32 = 0xFFFFFFFF
+LATTICE_24 = 0xFFFFFF
 
 
 def lattice(ix: Column, iy: Column, seed: int) -> Column:
-    """A number in [0, 1) for each lattice point, from 32-bit integer hashing of its coordinates."""
+    """A number in [0, 1] for each lattice point, from integer hashing: a function of position alone, so that tiles meet."""
     big = lambda v: F.lit(v).cast("long")
-    h = _mask(ix.cast("long") * big(374761393) + iy.cast("long") * big(668265263) + big(seed) * big(1442695041))
-    h = _mask(h.bitwiseXOR(F.shiftright(h, 13)) * big(1274126177 & 0x7FFFFFFF))
-    h = _mask(h.bitwiseXOR(F.shiftright(h, 16)))
-    return h / F.lit(4294967296.0)
+    h = (ix.cast("long") * big(LATTICE_X) + iy.cast("long") * big(LATTICE_Y) + big(seed * LATTICE_SEED)).bitwiseAND(big(LATTICE_32))
+    h = (h.bitwiseXOR(F.shiftright(h, 13)) * big(LATTICE_MIX)).bitwiseAND(big(LATTICE_32))
+    return h.bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(big(LATTICE_24)) / float(LATTICE_24)
 
 
-def value_noise(x: Column, y: Column, seed: int) -> Column:
-    """Lattice values blended by the quintic smoothstep."""
-    ix, iy = F.floor(x), F.floor(y)
+def with_noise(df: DataFrame, x: str, y: str, cell: float, seed: int, out: str) -> DataFrame:
+    """df with out: lattice values blended by the quintic smoothstep, a feature a cell, in [-1, 1].  In steps, as each
+    is used several times by the next."""
     ease = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
-    u, v = ease(x - ix), ease(y - iy)
-    a, b = lattice(ix, iy, seed), lattice(ix + 1, iy, seed)
-    c, d = lattice(ix, iy + 1, seed), lattice(ix + 1, iy + 1, seed)
-    top, low = a + (b - a) * u, c + (d - c) * u
-    return top + (low - top) * v
-
-
-def fbm(x: Column, y: Column, seed: int, octaves: int = 4) -> Column:
-    """Octaves of value noise, each of twice the frequency and half the height, in [0, 1)."""
-    total, height, size = F.lit(0.0), 1.0, 0.0
-    for o in range(octaves):
-        total = total + value_noise(x * float(1 << o), y * float(1 << o), seed + o) * height
-        size += height
-        height /= 2
-    return total / size
-
-
-def pick_height(draw: Column, low: float, high: float, pull: Column, bias: float, floor_height: float) -> tuple[Column, Column]:
-    """Height and floors of a building from a uniform draw; a pull towards 1 favours height."""
-    h = low + (high - low) * F.pow(draw, 1 - pull * bias)
+    d = df.withColumns({"_fx": F.col(x) / cell, "_fy": F.col(y) / cell}).withColumns({"_ix": F.floor("_fx"), "_iy": F.floor("_fy")})
+    d = d.withColumns({"_tx": F.col("_fx") - F.col("_ix"), "_ty": F.col("_fy") - F.col("_iy")}).withColumns({"_u": ease(F.col("_tx")), "_v": ease(F.col("_ty"))})
+    ix, iy, u, v = (F.col(c) for c in ("_ix", "_iy", "_u", "_v"))
+    rows = [lattice(ix, iy + j, seed) * (1 - u) + lattice(ix + 1, iy + j, seed) * u for j in (0, 1)]
+    return d.withColumn(out, (rows[0] * (1 - v) + rows[1] * v) * 2.0 - 1.0).drop("_fx", "_fy", "_ix", "_iy", "_tx", "_ty", "_u", "_v")
+
+
+def with_fbm(df: DataFrame, x: str, y: str, out: str, *, metres: float = 140.0, octaves: int = 4, roughness: float = 0.45, warp: float = 0.35, seed: int = 0) -> DataFrame:
+    """df with out: octaves of value noise, each of half the size and roughness times the height of the one before;
+    with warp the positions are first bent by noise of twice the size, y by the x already bent."""
+    d = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double"), out: F.lit(0.0)})
+    if warp:
+        for axis, step in (("_x", 101), ("_y", 202)):
+            d = with_noise(d, "_x", "_y", metres * 2, seed + step, "_n").withColumn(axis, F.col(axis) + F.col("_n") * (metres * warp))
+    for o in range(max(octaves, 1)):
+        d = with_noise(d, "_x", "_y", max(metres, 1e-6) / 2**o, seed + 7 * o, "_n").withColumn(out, F.col(out) + F.col("_n") * roughness**o)
+    return d.drop("_x", "_y", "_n")
+
+
+def pick_height(draw: Column, area: Column, *, low: float = 6.0, high: float = 45.0, floor_height: float = 3.5, bias: float = 0.35) -> tuple[Column, Column]:
+    """Height (whole floors) and floors of a building from a uniform draw; large plots lean taller."""
+    pull = F.least(F.lit(1.0), area / 2500.0)
+    h = low + (high - low) * F.pow(draw, 1 - pull * bias) * (pull * 0.65 + 0.35)
     floors = F.greatest(F.lit(1), F.bround(h / floor_height).cast("int"))
     return floors * floor_height, floors
 
 
-def taper(aspect: Column, full: float, none: float, most: float) -> Column:
-    """most up to the aspect full, falling in a line to 0 at none, to four places."""
-    return F.bround(F.when(aspect <= full, F.lit(most)).when(aspect >= none, F.lit(0.0)).otherwise(most * (none - aspect) / (none - full)), 4)
+def taper(aspect: Column, strength: float, *, plain: float = 1.5, elongated: float = 3.0, floor: float = 0.30) -> Column:
+    """strength up to the aspect plain, then in a line down to floor at elongated, to four places; a strength of floor
+    or less, or an unknown aspect, leaves it as it is."""
+    if strength <= floor:
+        return F.lit(float(strength))
+    share = F.least((aspect - plain) / max(elongated - plain, 1e-6), F.lit(1.0))
+    return F.when(aspect > plain, F.bround(strength + (floor - strength) * share, 4)).otherwise(F.lit(float(strength)))
 
 
-def framing_distance(width: Column, depth: Column, height: Column, elevation_deg: float, fov_deg: float, margin: float) -> Column:
-    """Camera distance at which a box is in view: the larger need of its width and its height on the image."""
-    e, half = math.radians(elevation_deg), math.tan(math.radians(fov_deg) / 2)
-    wide = F.sqrt(width * width + depth * depth) / 2 / half
-    tall = (height * math.cos(e) + F.sqrt(width * width + depth * depth) * math.sin(e)) / 2 / half
-    return F.greatest(wide, tall) * margin
+def framing_distance(radius: Column, height: Column, *, lens: float = 50.0, sensor: float = 36.0, resolution: tuple[int, int] = (1024, 1024), elevation_deg: float = 35.0, margin: float = 1.25) -> Column:
+    """Camera distance from the middle of a standing cylinder at which all of it is in view; null without an extent."""
+    across = sensor / 2 / lens
+    up = sensor * min(resolution) / max(resolution) / 2 / lens
+    sin, cos = math.sin(math.radians(elevation_deg)), math.cos(math.radians(elevation_deg))
+    half = height / 2
+    # across the picture the whole circle counts; up the picture the rims' nearest and furthest points do
+    needs = [half * sin + radius * math.hypot(cos, 1 / across)]
+    for side in (1.0, -1.0):
+        for rim in (1.0, -1.0):
+            depth, rise = radius * (side * cos) + half * (rim * sin), half * (rim * cos) - radius * (side * sin)
+            needs.append(depth + F.abs(rise) / up)
+    return F.when((radius > 0) & (height > 0), F.greatest(*needs) * margin)
+
+
+def camera_pose(cx: Column, cy: Column, base: Column, height: Column, distance: Column, axis_deg: Column, *, off_axis_deg: float = 35.0, elevation_deg: float = 35.0) -> tuple[Column, Column, Column]:
+    """Where the camera stands: off a building's long axis, above its middle."""
+    theta, phi = F.radians(axis_deg + off_axis_deg), math.radians(elevation_deg)
+    return cx + distance * math.cos(phi) * F.cos(theta), cy + distance * math.cos(phi) * F.sin(theta), base + height / 2 + distance * math.sin(phi)
 
 
 def round_to_8(v: Column) -> Column:
+    """The nearest multiple of 8."""
     return F.bround(v / 8).cast("long") * 8
 
 
@@ -123,10 +148,146 @@ def attribute(tags: Column, key: str, default: str | None = None) -> Column:
     return F.coalesce(F.try_element_at(tags, F.lit(key)), F.lit(default))
 
 
-def surface_group(tags: Column) -> Column:
-    """The group of a lane by its tags: turns within junctions first, then by subtype; null for what isn't drawn."""
-    sub = attribute(tags, "subtype")
-    return F.when(F.map_contains_key(tags, "turn_direction"), "Junctions").when(sub.isin("road", "highway", "bus_lane"), "Roads").when(sub == "crosswalk", "Crosswalks").when(sub.isin("walkway", "sidewalk"), "Walkways")
+#: Lane subtypes that carry vehicles.
+ROAD_SUBTYPES = ("road", "highway", "bus_lane")
+
+
+def surface_group(tags: Column, *, road_subtypes: tuple[str, ...] = ROAD_SUBTYPES, crosswalks: bool = True, walkways: bool = False) -> Column:
+    """The group of a lane by its tags: roads, junctions where they tell a turn, crossings and footways if wanted;
+    null for what isn't drawn."""
+    sub = F.coalesce(attribute(tags, "subtype"), F.lit(""))
+    return (
+        F.when(sub.isin(*road_subtypes) & F.map_contains_key(tags, "turn_direction"), "Junctions").when(sub.isin(*road_subtypes), "Roads")
+        .when((sub == "crosswalk") & F.lit(crosswalks), "Crosswalks").when((sub == "walkway") & F.lit(walkways), "Walkways")
+    )
+
+
+def line_group(tags: Column, *, stop_lines: bool = True, stripes: bool = True, curbs: bool = True, markings: bool = True) -> tuple[Column, Column, Column]:
+    """Group, width and whether it is dashed, of a line by its type; null for what is never drawn (virtual lines)."""
+    kind = F.coalesce(attribute(tags, "type"), F.lit(""))
+    group = F.when(F.lit(stop_lines) & (kind == "stop_line"), "StopLines").when(F.lit(stripes) & (kind == "pedestrian_marking"), "CrosswalkStripes")
+    group = group.when(F.lit(curbs) & (kind == "road_border"), "Curbs").when(F.lit(markings) & kind.isin("line_thin", "line_thick"), "LaneMarkings")
+    # Painted widths in metres.
+    width = F.when(kind == "stop_line", 0.4).when(kind == "line_thick", 0.3).when(kind == "line_thin", 0.15)
+    return group, F.when(group.isin("StopLines", "LaneMarkings"), width), (group == "LaneMarkings") & (F.coalesce(attribute(tags, "subtype"), F.lit("")) == "dashed")
+
+
+def overridden(base: Column, override: Column) -> Column:
+    """An override, where there is one."""
+    return F.coalesce(override, base)
+
+
+def lane_pixels(width: Column, length: Column, *, texel: float = 0.05, step: int = 32, page: int = 4096) -> tuple[Column, Column]:
+    """Texels across and along a lane's strip: across in whole steps, both within the page; 0, 0 without an extent."""
+    some = (width > 0) & (length > 0)
+    w = F.greatest(F.lit(step), F.least(F.ceil(width / texel / step) * step, F.lit(page)))
+    h = F.greatest(F.lit(2), F.least(F.bround(length / texel).cast("long"), F.lit(page)))
+    return F.when(some, w).otherwise(0).cast("long"), F.when(some, h).otherwise(0).cast("long")
+
+
+def strip_uv(station: Column, length: Column, side: Column, x: Column, y: Column, w: Column, h: Column, page: int) -> tuple[Column, Column]:
+    """Place on the atlas page, v upwards, of a vertex at a station on the left (side 0) or right (1) of a lane."""
+    along = F.when(length > 0, station / length).otherwise(0.0)
+    return (x + side * w) / float(page), 1 - (y + along * h) / float(page)
+
+
+def describe(style: Column, floors: Column, height: Column, long_side: Column, short_side: Column, framing: str) -> Column:
+    """The wording for one building: storeys, metres and proportions."""
+    n = F.greatest(F.coalesce(floors, F.lit(1)), F.lit(0))
+    n = F.when(n == 0, 1).otherwise(n)
+    ratio = long_side / F.greatest(short_side, F.lit(1e-6))
+    whole = lambda c: F.bround(c).cast("long").cast("string")
+    shape = F.when(ratio < 1.25, "almost square in plan").otherwise(F.concat(F.lit("about "), F.format_string("%.1f", F.bround(ratio, 1)), F.lit(" times as wide as it is deep")))
+    storeys = F.when(n == 1, "single-storey").otherwise(F.concat(n.cast("string"), F.lit(" storeys")))
+    return F.concat(F.lit("photograph of "), style, F.lit(", "), storeys, F.lit(" and "), whole(F.coalesce(height, F.lit(0.0))), F.lit(" metres tall, footprint about "), whole(long_side), F.lit(" by "), whole(short_side), F.lit(" metres, "), shape, F.lit(", " + framing))
+
+
+def faces_up(*normal_z: Column) -> Column:
+    """Whether triangles with these z parts of normals face up; upright ones count as up."""
+    return sum(normal_z, F.lit(0.0)) >= 0
+
+
+def outward(lx: Column, ly: Column, rx: Column, ry: Column) -> tuple[Column, Column]:
+    """Unit vector of a cross-section from right to left (the right bound's outward vector is its negative); 0 if it has no width."""
+    dx, dy = lx - rx, ly - ry
+    span = F.sqrt(dx * dx + dy * dy)
+    return F.when(span < 1e-9, 0.0).otherwise(dx / span), F.when(span < 1e-9, 0.0).otherwise(dy / span)
+
+
+def ray_to_box(x: Column, y: Column, dx: Column, dy: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """How far along a direction a point leaves a box; 0 if it is outside already, or has no direction."""
+    limit = lambda p, v, low, high: F.when(v > 1e-9, (high - p) / v).when(v < -1e-9, (low - p) / v)
+    return F.greatest(F.lit(0.0), F.coalesce(F.least(limit(x, dx, x0, x1), limit(y, dy, y0, y1)), F.lit(0.0)))
+
+
+def to_scene_axes(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """A y-up model turned z-up, without mirroring."""
+    return x, -z, y
+
+
+def rotated(x: Column, y: Column, radians: Column) -> tuple[Column, Column]:
+    return x * F.cos(radians) - y * F.sin(radians), x * F.sin(radians) + y * F.cos(radians)
+
+
+def planar_uv(x: Column, y: Column, x0: float, y0: float, tile: float) -> tuple[Column, Column]:
+    return (x - x0) / tile, (y - y0) / tile
+
+
+def tile_distance(blown: Column, sd: Column, seam: Column) -> Column:
+    """How far a tile's score is from usable; 0 if it is."""
+    over = lambda c: F.greatest(F.lit(0.0), c)
+    return over(blown - 0.01) * 100 + over(sd - 70.0) / 10 + over(4.0 - sd) / 10 + over(F.abs(seam - 1) - 0.4)
+
+
+def tile_usable(blown: Column, sd: Column, seam: Column) -> Column:
+    return (blown <= 0.01) & sd.between(4.0, 70.0) & seam.between(0.6, 1.4)
+
+
+def bays_for(width: Column, bay: float = 3.0) -> Column:
+    return F.greatest(F.lit(1), F.bround(width / bay).cast("int"))
+
+
+def pixel_size(floors: Column, bays: Column, ground_ratio: Column, per_floor: int = 128, per_bay: int = 128) -> tuple[Column, Column]:
+    """A sheet's width and height, multiples of 8, at so many texels a bay and a floor."""
+    at_least_8 = lambda v: F.greatest(F.lit(8).cast("long"), round_to_8(v))
+    return at_least_8(bays * float(per_bay)), at_least_8((ground_ratio + floors - 1) * float(per_floor))
+
+
+def floor_lines(floors: Column, ground_ratio: Column) -> Column:
+    """Heights of the floor lines of a front, 0 to exactly 1, whose ground floor is ground_ratio storeys high."""
+    total = ground_ratio + floors - 1
+    return F.transform(F.sequence(F.lit(0), floors), lambda k: F.when(k == 0, 0.0).when(k == floors, 1.0).otherwise((ground_ratio + k - 1) / total))
+
+
+def bay_lines(bays: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), bays), lambda k: k / bays)
+
+
+# Shares of a bay and a floor that openings take, on upper floors and the ground floor.
+WINDOW = {"width": 0.52, "height": 0.55, "base": 0.25}
+SHOPFRONT = {"width": 0.80, "height": 0.68, "base": 0.08}
+PARAPET = 0.035
+
+
+def windows(floors: Column, bays: Column, ground_ratio: Column, parapet: float = PARAPET) -> Column:
+    """Openings (floor, bay, u0, u1, v0, v1) of a front; those that the parapet leaves no height are none."""
+    lines = floor_lines(floors, ground_ratio)
+
+    def of(floor: Column) -> Column:
+        part = lambda k: F.when(floor == 0, SHOPFRONT[k]).otherwise(WINDOW[k])
+        v0, v1 = F.get(lines, floor), F.get(lines, floor + 1)
+        top, bottom = F.least(v0 + (v1 - v0) * (part("base") + part("height")), F.lit(1 - parapet)), v0 + (v1 - v0) * part("base")
+        one = lambda b: F.struct(floor.alias("floor"), b.alias("bay"), ((b + 0.5) / bays - part("width") / (bays * 2)).alias("u0"), ((b + 0.5) / bays + part("width") / (bays * 2)).alias("u1"), bottom.alias("v0"), top.alias("v1"))
+        return F.filter(F.transform(F.sequence(F.lit(0), bays - 1), one), lambda w: w["v1"] > w["v0"])
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), floors - 1), of))
+
+
+def pixel_range(low: Column, high: Column, size: Column, *, flipped: bool = False) -> tuple[Column, Column]:
+    """First and last + 1 pixel of a span of 0 to 1; flipped: 0 is the last row."""
+    a, b = (1 - high, 1 - low) if flipped else (low, high)
+    clamp = lambda c: F.greatest(F.lit(0), F.least(size, F.bround(c * size).cast("int")))
+    return clamp(a), clamp(b)
 
 
 def signed_normal(a: list[Column], b: list[Column], c: list[Column]) -> tuple[Column, Column, Column]:
@@ -135,9 +296,8 @@ def signed_normal(a: list[Column], b: list[Column], c: list[Column]) -> tuple[Co
     return u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
 
 
-def quad_is_sane(a: list[Column], b: list[Column], c: list[Column], d: list[Column], tiny: float = 1e-12) -> Column:
-    """Whether a quad's two triangles face the same side; false if both have no area."""
+def quad_is_sane(a: list[Column], b: list[Column], c: list[Column], d: list[Column], tiny: float = 1e-9) -> Column:
+    """Whether a quad's two triangles face the same side; false if both have next to no area."""
     n, m = signed_normal(a, b, c), signed_normal(a, c, d)
     dot = sum((p * q for p, q in zip(n, m)), F.lit(0.0))
-    size = lambda t: sum((p * p for p in t), F.lit(0.0))
-    return (dot >= 0) & ((size(n) > tiny) | (size(m) > tiny))
+    return (dot >= 0) & (sum((F.abs(p) for p in (*n, *m)), F.lit(0.0)) > tiny)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only for a master that is this machine alone, as in tests, when the session names no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -19,6 +20,8 @@ def stored(df: DataFrame) -> DataFrame:
     executor loses nothing of it, and its size is known rather than a product of estimates."""
     spark = df.sparkSession
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -32,9 +35,11 @@ def adjacency(ends: DataFrame) -> DataFrame:
 
 
 def successors(ends: DataFrame) -> DataFrame:
-    """Edges (lane_id, next_id): next begins where lane ends."""
+    """Edges (lane_id, next_id): next begins where lane ends; a lane without a successor has one row, of null."""
     nxt = ends.select(F.col("lane_id").alias("next_id"), F.col("s").alias("e"))
-    return ends.select("lane_id", "e").join(nxt, "e").filter("lane_id <> next_id").select("lane_id", "next_id")
+    lanes = ends.select("lane_id", "e")
+    j = lanes.join(nxt, (lanes["e"] == nxt["e"]) & (lanes["lane_id"] != nxt["next_id"]), "left")
+    return j.select("lane_id", "next_id")
 
 
 def dangling(ends: DataFrame) -> DataFrame:
@@ -82,20 +87,34 @@ def grow(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, allowed: Column |
     return reached
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): a component's name is its least node.  Least labels spread with shortcuts, a written table a round."""
+def above_street(nodes: DataFrame, *, clearance: float, radius: float, share: float = 0.1) -> Callable[[DataFrame], DataFrame]:
+    """A guard for grow(): of the nodes (id, x, y, z) still on the ground, those clearance or more above the street
+    beside them, the share quantile of the heights of all ground nodes within radius (itself among them)."""
+    from roadspark.operators import spatial
+
+    def guard(left: DataFrame) -> DataFrame:
+        ground = stored(left.select("id", "x", "y", "z"))
+        street = ground.select(F.col("x").alias("r_x"), F.col("y").alias("r_y"), F.col("z").alias("r_z"))
+        level = spatial.within(ground, street, radius).groupBy("id", "z").agg(F.percentile("r_z", share).alias("level"))
+        return level.filter(F.col("z") - F.col("level") >= clearance)
+
+    return guard
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): a component's name is its least node.  Least labels spread with shortcuts, a written table a
+    round, until none moves."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both)
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = stored(labels.join(near, "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = stored(step.join(jump, "component", "left").select("node", F.coalesce("far", "component").alias("component"), "moved"))
-        labels = step.select("node", "component")
         if step.filter("moved").isEmpty():
-            break
-    return labels
+            return step.select("node", "component")
+        # the shortcut is part of the next round's plan, so a round writes once
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        labels = step.join(jump, "component", "left").select("node", F.coalesce("far", "component").alias("component"))
 
 
 def walks(spark: SparkSession, edges: dict[int, list[int]], weights: dict[int, float], attempts: int = 400, seed: int = 0) -> DataFrame:

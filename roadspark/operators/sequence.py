@@ -109,34 +109,56 @@ def close_gaps(df: DataFrame, by: By, flag: str, least: float, order: str = "seq
 
 
 def dashes(df: DataFrame, by: By, dash: float, space: float, order: str = "seq") -> DataFrame:
-    """The ends of each dash (dash, part 0 or 1, x, y, z) along a line; a line shorter than a dash is one dash, and the last is cut at the end."""
-    period = float(dash + space)
+    """The vertices (dash, part, place, x, y, z) of each dash along a line: its start (part 0), the line's own vertices
+    within it (1), and its end (2), by the plan length, place.  A line of at most a dash is one dash, whole; the last dash
+    is cut at the line's end, and is none if a micrometre or less of it is left."""
+    period, dash = float(dash + space), float(dash)
     whole = Window.partitionBy(*by)
-    s = segments(df, by, order).filter("station2 > station").withColumn("length", F.max("station2").over(whole))
+    v = stations(df, by, order).withColumn("length", F.max("station").over(whole))
+    k = F.floor(F.col("station") / period)
+    short = F.col("length") <= dash
+    edge = F.when(F.col(order) == F.min(order).over(whole), 0).when(F.col(order) == F.max(order).over(whole), 2).otherwise(1)
+    inside = (F.col("station") > k * period) & (F.col("station") < F.least(k * period + dash, F.col("length")))
+    own = v.withColumn("part", F.when(short, edge).when(inside, 1)).filter("part is not null")
+    own = own.select(*by, F.when(short, 0).otherwise(k).cast("int").alias("dash"), F.col("part").cast("int").alias("part"), F.col("station").alias("place"), "x", "y", "z")
+    s = segments(df, by, order).filter("station2 > station").withColumn("length", F.max("station2").over(whole)).filter(~short)
     ends = []
-    for part, offset in ((0, 0.0), (1, float(dash))):
+    for part, offset in ((0, 0.0), (2, dash)):
         at = F.col("k") * period + offset
         first = F.greatest(F.lit(0), F.ceil(F.round((F.col("station") - offset) / period, 9))).cast("int")
         last = F.floor(F.round((F.col("station2") - offset) / period, 9)).cast("int")
         e = s.withColumn("first", first).withColumn("last", last).filter("last >= first").withColumn("k", F.explode(F.sequence("first", "last")))
         # a place on a vertex belongs to the segment that begins there; a dash needs a length
-        e = e.filter(((at < F.col("station2")) | ((at == F.col("length")) & F.lit(part == 1))) & (at >= F.col("station")))
-        ends.append(e.select(*by, F.col("k").alias("dash"), F.lit(part).alias("part"), *_between(at)))
+        e = e.filter(((at < F.col("station2")) | ((at == F.col("length")) & F.lit(part == 2))) & (at >= F.col("station")) & ((F.col("length") - at > 1e-6) | F.lit(part == 2)))
+        ends.append(e.select(*by, F.col("k").alias("dash"), F.lit(part).alias("part"), at.alias("place"), *_between(at)))
     rest = F.col("length") - F.floor(F.col("length") / period) * period
-    tail = s.filter("station2 = length").filter((rest > 0) & (rest < float(dash)))
-    ends.append(tail.select(*by, F.floor(F.col("length") / period).cast("int").alias("dash"), F.lit(1).alias("part"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("z2").alias("z")))
-    return ends[0].unionByName(ends[1]).unionByName(ends[2])
+    tail = s.filter("station2 = length").filter((rest > 1e-6) & (rest < dash))
+    ends.append(tail.select(*by, F.floor(F.col("length") / period).cast("int").alias("dash"), F.lit(2).alias("part"), F.col("length").alias("place"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("z2").alias("z")))
+    return own.unionByName(ends[0]).unionByName(ends[1]).unionByName(ends[2])
 
 
 def heading(df: DataFrame, by: By, window: float, order: str = "seq") -> DataFrame:
-    """Direction (dx, dy) and grade at each sequence's end, over its last window metres (the whole, if shorter)."""
+    """Direction (dx, dy) and grade at each sequence's end: from the last vertex that is window metres or more of
+    walked length before it (the first, if none is), straight, in rise by plan distance.  Without a plan distance none."""
     whole = Window.partitionBy(*by)
     s = stations(df, by, order).withColumn("back", F.max("station").over(whole) - F.col("station"))
     last = F.max_by(F.struct("x", "y", "z"), order)
-    far = F.coalesce(F.max_by(F.when(F.col("back") >= window, F.struct("x", "y", "z", "back")), F.when(F.col("back") >= window, F.col(order))), F.min_by(F.struct("x", "y", "z", "back"), order))
+    there = F.col("back") >= max(window, 1e-6)
+    far = F.coalesce(F.max_by(F.when(there, F.struct("x", "y", "z")), F.when(there, F.col(order))), F.min_by(F.struct("x", "y", "z"), order))
     g = s.groupBy(*by).agg(last.alias("e"), far.alias("f"))
     run = F.sqrt(F.pow(F.col("e.x") - F.col("f.x"), 2) + F.pow(F.col("e.y") - F.col("f.y"), 2))
-    return g.select(*by, F.try_divide(F.col("e.x") - F.col("f.x"), run).alias("dx"), F.try_divide(F.col("e.y") - F.col("f.y"), run).alias("dy"), F.try_divide(F.col("e.z") - F.col("f.z"), F.col("f.back")).alias("grade"))
+    g = g.withColumn("run", F.when(run >= 1e-6, run))
+    return g.select(*by, *(((F.col(f"e.{c}") - F.col(f"f.{c}")) / F.col("run")).alias(n) for c, n in (("x", "dx"), ("y", "dy"), ("z", "grade"))))
+
+
+def stub(headings: DataFrame, by: By, side: str, most: float) -> DataFrame:
+    """One direction and grade for a lane's end, from the headings of its two bounds (side, the left one first in
+    order): the mean direction, made a unit again; the first bound's where they cancel out; the mean grade, at most
+    most either way.  Lanes without any heading are left out."""
+    g = headings.filter("dx is not null").groupBy(*by).agg(F.avg("dx").alias("mx"), F.avg("dy").alias("my"), F.avg("grade").alias("mg"), F.min_by(F.struct("dx", "dy"), side).alias("one"))
+    n = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my"))
+    pick = lambda m, o: F.when(n < 1e-6, F.col(f"one.{o}")).otherwise(F.col(m) / n).alias(o)
+    return g.select(*by, pick("mx", "dx"), pick("my", "dy"), F.greatest(F.lit(-most), F.least(F.lit(most), F.col("mg"))).alias("grade"))
 
 
 def continuation(stubs: DataFrame, step: float) -> DataFrame:
@@ -147,13 +169,73 @@ def continuation(stubs: DataFrame, step: float) -> DataFrame:
     return stubs.filter("length > 0").withColumn("k", F.explode(F.sequence(F.lit(1), n))).select(*keys, "k", (F.col("x") + F.col("dx") * d).alias("x"), (F.col("y") + F.col("dy") * d).alias("y"), (F.col("z") + F.col("grade") * d).alias("z"))
 
 
-def zebra_bars(lines: DataFrame, bar: float, space: float) -> DataFrame:
-    """Starts and stops, along lines of a length, of as many bars as fit, centred."""
+def zebra_bars(df: DataFrame, by: By, bar: float, space: float, order: str = "seq") -> DataFrame:
+    """Corners (bar, corner 0 to 3, x, y, z) of the bars across a crossing, whose bounds are the columns lx, ly, lz and
+    rx, ry, rz of its cross-sections: as many as fit, centred along its middle line, each from the left bound to the
+    right and back.  A crossing shorter than two bars has none."""
     step = bar + space
-    n = F.greatest(F.lit(1), F.floor((F.col("length") + space) / step)).cast("int")
-    margin = (F.col("length") - (n * step - space)) / 2
-    d = lines.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("start", F.greatest(F.lit(0.0), margin + F.col("k") * step))
-    return d.withColumn("stop", F.least(F.col("length"), F.col("start") + bar))
+    whole, w = Window.partitionBy(*by), _w(by, order)
+    sides = [f"{s}{c}" for s in "lr" for c in "xyz"]
+    mid = df.withColumns({c: (F.col(f"l{c}") + F.col(f"r{c}")) / 2 for c in "xyz"})
+    s = stations(mid, by, order).withColumns({f"{c}2": F.lead(c).over(w) for c in ("station", *sides)}).withColumn("length", F.max("station").over(whole))
+    s = s.filter("station2 > station").filter(F.col("length") >= 2 * bar)
+    s = s.withColumn("n", F.greatest(F.lit(1), F.floor((F.col("length") + space) / step)).cast("int")).withColumn("margin", (F.col("length") - (F.col("n") * step - space)) / 2)
+    out = []
+    for edge, offset, corners in ((0, 0.0, ((0, "l"), (1, "r"))), (1, float(bar), ((3, "l"), (2, "r")))):
+        at = F.col("margin") + F.col("k") * step + offset
+        first = F.greatest(F.lit(0), F.ceil(F.round((F.col("station") - F.col("margin") - offset) / step, 9))).cast("int")
+        end = F.ceil(F.round((F.col("station2") - F.col("margin") - offset) / step, 9)).cast("int") - 1
+        last = F.least(F.col("n") - 1, F.when(F.col("station2") == F.col("length"), F.col("n") - 1).otherwise(end))
+        e = s.withColumn("first", first).withColumn("last", last).filter("last >= first").withColumn("k", F.explode(F.sequence("first", "last")))
+        t = F.least(F.lit(1.0), (at - F.col("station")) / (F.col("station2") - F.col("station")))
+        point = lambda side, t=t: [(F.col(f"{side}{c}") + (F.col(f"{side}{c}2") - F.col(f"{side}{c}")) * t).alias(c) for c in "xyz"]
+        four = F.explode(F.array(*(F.struct(F.lit(n).alias("corner"), *point(side)) for n, side in corners))).alias("p")
+        out.append(e.select(*by, F.col("k").alias("bar"), four).select(*by, "bar", "p.*"))
+    return out[0].unionByName(out[1])
+
+
+def thinned(df: DataFrame, by: By, spacing: float, order: str = "seq") -> DataFrame:
+    """Segments (their first vertex and the next one's x2, y2, z2) at which a mark is due: walked lengths add up from
+    half a spacing on, a mark takes a spacing off, and a segment makes one mark at most.
+
+    With T(i) the length up to segment i's end plus half a spacing, A(i) = floor(T(i) / spacing) marks would be due,
+    and E(i) = min(A(i), E(i - 1) + 1) are made, which is i + min(0, least A(j) - j so far): a running minimum."""
+    w = _w(by, order)
+    s = segments(df, by, order).filter(F.col("station2") - F.col("station") >= 1e-9)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_i", F.row_number().over(w)).withColumn("_t", F.sum(F.col("station2") - F.col("station")).over(run) + spacing / 2)
+    made = F.col("_i") + F.least(F.lit(0), F.min(F.floor(F.col("_t") / spacing) - F.col("_i")).over(run))
+    s = s.withColumn("_e", made).withColumn("_before", F.coalesce(F.lag("_e").over(w), F.lit(0)))
+    return s.filter("_e > _before").drop("_before").drop("_i", "_t", "_e", "station", "station2")
+
+
+def sliced(df: DataFrame, by: By, start: Column, stop: Column, order: str = "seq") -> DataFrame:
+    """The vertices from number start to number stop of each sequence, counted from 0, both included."""
+    at = F.row_number().over(_w(by, order)) - 1
+    return df.withColumn("_at", at).filter((F.col("_at") >= start) & (F.col("_at") <= stop)).drop("_at")
+
+
+def extended(df: DataFrame, more: DataFrame, by: By, point: str, order: str = "seq") -> DataFrame:
+    """Lines with the continuations (point, k from 1 on, x, y, z) of their first and last points: those of the first
+    before the line, the furthest first; those of the last behind it; at numbers all from 1."""
+    w = _w(by, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = df.withColumns({"_head": F.first(point).over(w), "_tail": F.last(point).over(w), "_n": F.row_number().over(_w(by, order))})
+    own = d.select(*by, F.lit(1).alias("_part"), F.col("_n").alias("_at"), "x", "y", "z")
+    tips = d.filter("_n = 1").select(*by, "_head", "_tail")
+    for part, end, sign in ((0, "_head", -1), (2, "_tail", 1)):
+        ahead = more.withColumnRenamed(point, end)
+        own = own.unionByName(tips.join(ahead, end).select(*by, F.lit(part).alias("_part"), (F.col("k") * sign).alias("_at"), "x", "y", "z"))
+    return own.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("_part", "_at"))).drop("_part", "_at")
+
+
+def closed_ring(df: DataFrame, by: By, order: str = "seq", near: float = 1e-3) -> DataFrame:
+    """Rings without a last vertex that repeats the first in plan; rings of fewer than three vertices are left out."""
+    w = _w(by, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(*by)
+    gap = F.sqrt(F.pow(F.first("x").over(w) - F.last("x").over(w), 2) + F.pow(F.first("y").over(w) - F.last("y").over(w), 2))
+    d = df.withColumns({"_n": F.count("*").over(whole), "_gap": gap, "_last": F.last(order).over(w)})
+    d = d.filter(~((F.col("_n") > 2) & (F.col("_gap") < near) & (F.col(order) == F.col("_last")))).drop("_gap", "_last")
+    return d.withColumn("_n", F.count("*").over(whole)).filter("_n >= 3").drop("_n")
 
 
 def offset_ribbon(df: DataFrame, by: By, width: float, order: str = "seq") -> DataFrame:

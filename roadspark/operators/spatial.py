@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspark.operators.graph import stored
+
 
 def cells_of_box(df: DataFrame, cell: float) -> DataFrame:
     """df (x0, y0, x1, y1) with a row for each cell (cx, cy) that the box touches."""
@@ -42,17 +44,34 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, radius: float, v
     return within(left, right, radius).groupBy(key).agg(F.min_by(value, F.struct("dist", tie)).alias(value), F.min("dist").alias("dist"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, radius: float, value: str, tie: str, max_rounds: int = 30) -> DataFrame:
-    """The same for every left point: the radius doubles for those that have found none yet."""
+def nearest(left: DataFrame, right: DataFrame, key: str, radius: float, value: str, tie: str) -> DataFrame:
+    """The same for every left point, if there is any right one: the radius doubles for those that have found none
+    yet.  Each round's finds are a written table, so no plan grows with the rounds."""
+    left, right = stored(left), stored(right)
     found, rest = None, left
-    for _ in range(max_rounds):
-        hit = nearest_within(rest, right, key, radius, value, tie)
+    while True:
+        hit = stored(nearest_within(rest, right, key, radius, value, tie))
         found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(hit.select(key), key, "left_anti")
-        if right.isEmpty() or rest.isEmpty():
-            break
+        rest = stored(rest.join(hit.select(key), key, "left_anti"))
+        if rest.isEmpty() or right.isEmpty():
+            return found
+        radius *= 2
+
+
+def k_nearest(left: DataFrame, right: DataFrame, key: str, k: int, radius: float) -> DataFrame:
+    """Pairs of each left point with its k nearest right points (all, if there are fewer), with dist; ties by r_key."""
+    left, right = stored(left), stored(right)
+    want = min(k, right.limit(k).count())
+    found, rest = None, left
+    while True:
+        near = within(rest, right, radius)
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("dist", "r_key"))
+        full = stored(near.withColumn("_n", F.count("*").over(Window.partitionBy(key))).withColumn("_r", rank).filter((F.col("_n") >= want) & (F.col("_r") <= want)).drop("_n", "_r"))
+        found = full if found is None else found.unionByName(full)
+        rest = stored(rest.join(full.select(key).distinct(), key, "left_anti"))
+        if not want or rest.isEmpty():
+            return found
         radius *= 2
-    return found
 
 
 def segment_distance(px: str, py: str, prefix: str = "") -> tuple[Column, Column]:
@@ -64,17 +83,38 @@ def segment_distance(px: str, py: str, prefix: str = "") -> tuple[Column, Column
     return F.sqrt(F.pow(F.col(px) - (x + t * dx), 2) + F.pow(F.col(py) - (y + t * dy), 2)), t
 
 
-def inside_polygons(points: DataFrame, edges: DataFrame, key: str, shape: str, cell: float) -> DataFrame:
-    """Pairs (key, shape) of points (px, py) in polygons, by edges (shape, x, y, x2, y2): an odd number of edges above.
+def nearest_segment(points: DataFrame, lines: DataFrame, key: str, radius: float) -> DataFrame:
+    """key, dist and height of each point (key, px, py) on the nearest of all segments (x, y, z, x2, y2, z2): the
+    height there, the least of equally near ones.  A segment is listed in the cells that come within radius of it; the
+    radius doubles for points that have found none."""
+    points, lines = stored(points), stored(lines)
+    dist, t = segment_distance("px", "py")
+    found, rest = None, points
+    while True:
+        box = lines.withColumns({"x0": F.least("x", "x2") - radius, "x1": F.greatest("x", "x2") + radius, "y0": F.least("y", "y2") - radius, "y1": F.greatest("y", "y2") + radius})
+        own = rest.withColumns({"cx": F.floor(F.col("px") / radius), "cy": F.floor(F.col("py") / radius)})
+        met = own.join(cells_of_box(box, radius).drop("x0", "x1", "y0", "y1"), ["cx", "cy"])
+        met = met.select(key, F.round(dist, 9).alias("dist"), (F.col("z") + t * (F.col("z2") - F.col("z"))).alias("h")).filter(F.col("dist") <= radius)
+        hit = stored(met.groupBy(key).agg(F.min(F.struct("dist", "h")).alias("m")).select(key, "m.dist", F.col("m.h").alias("height")))
+        found = hit if found is None else found.unionByName(hit)
+        rest = stored(rest.join(hit.select(key), key, "left_anti"))
+        if rest.isEmpty() or lines.isEmpty():
+            return found
+        radius *= 2
 
-    An edge is met by the points of its columns (cells of x), so the join's rows are those above and below a point.
-    """
-    e = edges.withColumn("cx", F.explode(F.sequence(F.floor(F.least("x", "x2") / cell), F.floor(F.greatest("x", "x2") / cell))))
-    p = points.withColumn("cx", F.floor(F.col("px") / cell))
-    crosses = ((F.col("x") > F.col("px")) != (F.col("x2") > F.col("px"))) & (F.col("py") < (F.col("y2") - F.col("y")) * (F.col("px") - F.col("x")) / F.nullif(F.col("x2") - F.col("x"), F.lit(0.0)) + F.col("y"))
-    return p.join(e, "cx").filter(crosses).groupBy(key, shape).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(key, shape)
+
+def crossings(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a point is in a ring (array of structs x, y without a closing point): an odd number of edges above."""
+    turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    above = F.zip_with(ring, turned, lambda a, b: ((a["x"] > px) != (b["x"] > px)) & (py < (b["y"] - a["y"]) * (px - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)) + a["y"]))
+    return F.size(F.filter(above, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
 
 
-def nearest_of_group(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row of each group in an order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def inside_polygons(points: DataFrame, polygons: DataFrame, key: str, shape: str, cell: float) -> DataFrame:
+    """Pairs (key, shape) of points (px, py) in polygons (shape, ring): a point meets the polygons whose box shares its
+    cell, and counts the edges of each ring above it, so nothing is shuffled but points and rings by cell."""
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    box = polygons.withColumns({"x0": F.array_min(x), "x1": F.array_max(x), "y0": F.array_min(y), "y1": F.array_max(y)})
+    p = points.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+    near = p.join(cells_of_box(box.select(shape, "ring", "x0", "x1", "y0", "y1"), cell), ["cx", "cy"])
+    return near.filter("px between x0 and x1 and py between y0 and y1").filter(crossings(F.col("px"), F.col("py"), F.col("ring"))).select(key, shape)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import graph, grid, reports, spatial
+from roadspark.operators import graph, grid, mesh, reports, spatial
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -23,7 +23,7 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(V.ends(spark, d))
 
 
-@query(V.with_(V.ENDS) + "select a.lane_id, b.lane_id as next_id from ends a join ends b on a.e = b.s where a.lane_id <> b.lane_id")
+@query(V.with_(V.ENDS) + "select a.lane_id, b.lane_id as next_id from ends a left join ends b on a.e = b.s and a.lane_id <> b.lane_id")
 def successors(spark: SparkSession, d: str) -> DataFrame:
     return graph.successors(V.ends(spark, d))
 
@@ -46,16 +46,30 @@ def pinned(spark: SparkSession, d: str) -> DataFrame:
     return graph.unpinned(e.select("lane_id", F.array("s", "e").alias("points")), e.filter("lane_id % 3 = 0").select(F.col("s").alias("point"))).select("lane_id")
 
 
-_GROWN = """node as (select p_partkey as id, p_partkey % 7 <> 0 as ok from part),
-edge as (select p_partkey as a, p_partkey + 1 as b from part union select p_partkey + 1, p_partkey from part),
-r as (select id, 0 as depth from node where id % 97 = 1 union select e.b, r.depth + 1 from r join edge e on e.a = r.id join node n on n.id = e.b where n.ok and r.depth < 8)"""
+_NODE = "node as (select id, (x0 + x1) / 2 as x, (y0 + y1) / 2 as y, mean_z as z from footprint)"
+_LINK = "link as (select id as a, id + 1 as b from node union select id + 1, id from node union select id as a, id + 40 as b from node union select id + 40, id from node)"
 
 
-@query("with recursive " + _GROWN + " select distinct id from r")
+def _growth(rounds: int = 8) -> str:
+    """The rounds of growth, each a whole search under a guard that is made of what the one before has left."""
+    parts = ["r0 as (select id from node where z >= 8)"]
+    for k in range(rounds):
+        parts += [
+            f"g{k} as (select * from node where id not in (select id from r{k}))",
+            f"v{k} as (select a.id, any_value(a.z) as z, quantile_cont(b.z, 0.1) as level from g{k} a join g{k} b on sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 25 group by a.id)",
+            f"ok{k} as (select id from v{k} where z - level >= 3 and (select count(*) from g{k}) >= 3)",
+            f"r{k + 1} as (select id from r{k} union select b from r{k + 1} r join link on link.a = r.id join ok{k} o on o.id = link.b)",
+        ]
+    return ", ".join(parts)
+
+
+@query("with recursive " + V.FOOTPRINT + ", " + _NODE + ", " + _LINK + ", " + _growth() + " select id from r8")
 def grow_elevated(spark: SparkSession, d: str) -> DataFrame:
-    n = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    e = n.select(F.explode(F.array(F.struct(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), F.struct((F.col("id") + 1).alias("a"), F.col("id").alias("b")))).alias("x")).select("x.*")
-    return graph.grow(n, e, n.filter("id % 97 = 1"), F.col("id") % 7 != 0)
+    """From the highest footprints over their neighbours, through those 3 m or more above the street beside them."""
+    n = _centres(spark, d).withColumnRenamed("mean_z", "z")
+    steps = F.array(*(F.struct(a.alias("a"), b.alias("b")) for k in (1, 40) for a, b in ((F.col("id"), F.col("id") + k), (F.col("id") + k, F.col("id")))))
+    e = n.select(F.explode(steps).alias("x")).select("x.*").distinct()
+    return graph.grow(n, e, n.filter("z >= 8"), graph.above_street(n, clearance=3.0, radius=25.0))
 
 
 _WET = """cell as (select (p_partkey % 60)::int as ix, (p_partkey // 60)::int as iy, p_size from part), wet as (select ix, iy, iy * 60 + ix as id from cell where p_size % 5 < 3)"""
@@ -70,7 +84,9 @@ select node::bigint as node, min(c)::bigint as component from r where node in (s
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
     cells = V.table(spark, d, "part").filter("p_size % 5 < 3").select((F.col("p_partkey") % 60).cast("int").alias("ix"), F.expr("p_partkey div 60").cast("int").alias("iy"))
-    return graph.components(grid.neighbour_edges(cells, 60))
+    parts = grid.components(cells, 60, 64).withColumn("node", F.col("iy").cast("long") * 60 + F.col("ix"))
+    alone = parts.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return parts.join(alone, "component").select("node", "component")
 
 
 # ---------------------------------------------------------------- spatial joins
@@ -85,6 +101,33 @@ def stacked_bbox(spark: SparkSession, d: str) -> DataFrame:
     return spatial.overlapping_boxes(V.footprint(spark, d), 30.0, F.abs(F.col("a_mean_z") - F.col("b_mean_z")) >= 4).select("a_id", "b_id")
 
 
+@query(
+    V.with_(V.FOOTPRINT)
+    + """select distinct case when a.mean_z > b.mean_z then a.id else b.id end as id from footprint a join footprint b on a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1
+where abs(a.mean_z - b.mean_z) >= 4 and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 4"""
+)
+def stacked_higher(spark: SparkSession, d: str) -> DataFrame:
+    """The higher of each two boxes that lie over one another by 4 square metres at least."""
+    p = _stacked(spark, d).filter("area >= 4")
+    return p.select(F.when(F.col("a_mean_z") > F.col("b_mean_z"), F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct()
+
+
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    area = (F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * (F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
+    return spatial.overlapping_boxes(V.footprint(spark, d), 30.0, F.abs(F.col("a_mean_z") - F.col("b_mean_z")) >= 4).withColumn("area", area)
+
+
+@query(
+    V.with_(V.FOOTPRINT)
+    + """, p as (select a.id as a_id, b.id as b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as area
+from footprint a join footprint b on a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 where abs(a.mean_z - b.mean_z) >= 4)
+select a_id, b_id, round(area, 6) as area from p where area >= 4"""
+)
+def stacked_area(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes over one another by their common area."""
+    return _stacked(spark, d).filter("area >= 4").select("a_id", "b_id", *r6("area"))
+
+
 _CENTRE = """centre as (select id, (x0 + x1) / 2 as x, (y0 + y1) / 2 as y, mean_z from footprint)"""
 
 
@@ -94,12 +137,18 @@ def _centres(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     V.with_(V.FOOTPRINT, _CENTRE)
-    + """select a.id, round(quantile_cont(b.mean_z, 0.1), 6) as level, count(*) as near from centre a join centre b on sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 25 where a.mean_z >= 7 and b.mean_z < 7 group by a.id"""
+    + """, p as (select a.id, b.id as r_key, b.mean_z, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as dist from centre a join centre b on a.mean_z >= 7 and b.mean_z < 1),
+q as (select *, row_number() over (partition by id order by dist, r_key) as r, min(dist) over (partition by id) as least from p)
+select id, round(quantile_cont(mean_z, 0.1), 6) as level, count(*) as near from q where dist <= 25 or (least > 25 and r <= 5) group by id"""
 )
 def street_level(spark: SparkSession, d: str) -> DataFrame:
+    """Low ground beside high boxes: the tenth percentile within 25 m, or of the five nearest where there is none."""
     c = _centres(spark, d)
-    low = c.filter("mean_z < 7").select(F.col("x").alias("r_x"), F.col("y").alias("r_y"), F.col("mean_z").alias("r_z"))
-    return spatial.within(c.filter("mean_z >= 7").select("id", "x", "y"), low, 25.0).groupBy("id").agg(F.round(F.percentile("r_z", 0.1), 6).alias("level"), F.count("*").alias("near"))
+    high = c.filter("mean_z >= 7").select("id", "x", "y")
+    low = c.filter("mean_z < 1").select(F.col("id").alias("r_key"), F.col("x").alias("r_x"), F.col("y").alias("r_y"), F.col("mean_z").alias("r_z"))
+    near = spatial.within(high, low, 25.0)
+    far = spatial.k_nearest(high.join(near.select("id").distinct(), "id", "left_anti"), low, "id", 5, 50.0)
+    return near.unionByName(far).groupBy("id").agg(F.round(F.percentile("r_z", 0.1), 6).alias("level"), F.count("*").alias("near"))
 
 
 @query(
@@ -113,47 +162,62 @@ def nearest_height(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest(c.filter("mean_z >= 8").select("id", "x", "y"), r, "id", 25.0, "mean_z", "other").select("id", "mean_z", *r6("dist"))
 
 
-_KERB = """seg2 as (select line_id, seq, x, y, z, lead(x) over w as x2, lead(y) over w as y2, lead(z) over w as z2 from vertex where line_id % 10 = 0 window w as (partition by line_id order by seq)),
-pts as (select event_id, line_id, x + 1.5 as px, y + 2.0 as py from vertex where line_id % 10 = 0 and event_id % 5 = 0),
-t as (select p.event_id, s.*, px, py, greatest(0, least(1, coalesce(((px - s.x) * (x2 - s.x) + (py - s.y) * (y2 - s.y)) / nullif(pow(x2 - s.x, 2) + pow(y2 - s.y, 2), 0), 0))) as t from pts p join seg2 s on p.line_id = s.line_id where x2 is not null),
-u as (select event_id, round(sqrt(pow(px - (x + t * (x2 - x)), 2) + pow(py - (y + t * (y2 - y)), 2)), 6) as dist, round(z + t * (z2 - z), 4) as h from t)"""
+_KERB = """seg2 as (select line_id, x, y, z, lead(x) over w as x2, lead(y) over w as y2, lead(z) over w as z2 from vertex window w as (partition by line_id order by seq)),
+pts as (select event_id, x + 1.5 as px, y + 2.0 as py from vertex),
+t as (select p.event_id, s.*, px, py, greatest(0, least(1, coalesce(((px - s.x) * (x2 - s.x) + (py - s.y) * (y2 - s.y)) / nullif(pow(x2 - s.x, 2) + pow(y2 - s.y, 2), 0), 0))) as t from pts p join seg2 s on x2 is not null),
+u as (select event_id, round(sqrt(pow(px - (x + t * (x2 - x)), 2) + pow(py - (y + t * (y2 - y)), 2)), 9) as dist, z + t * (z2 - z) as h from t)"""
 
 
-def _kerb(spark: SparkSession, d: str) -> DataFrame:
-    v = V.vertex(spark, d).filter("line_id % 10 = 0")
+def _segments(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("line_id").orderBy("seq")
-    s = v.select("line_id", "x", "y", "z", *(F.lead(c).over(w).alias(f"{c}2") for c in "xyz")).filter("x2 is not null")
-    p = v.filter("event_id % 5 = 0").select("event_id", "line_id", (F.col("x") + 1.5).alias("px"), (F.col("y") + 2.0).alias("py"))
-    dist, t = spatial.segment_distance("px", "py")
-    return p.join(s, "line_id").select("event_id", F.round(dist, 6).alias("dist"), F.round(F.col("z") + t * (F.col("z2") - F.col("z")), 4).alias("h"))
+    return V.vertex(spark, d).select("x", "y", "z", *(F.lead(c).over(w).alias(f"{c}2") for c in "xyz")).filter("x2 is not null")
 
 
-@query(V.with_(V.VERTEX, _KERB) + "select event_id, dist, min(h) as height from u where (event_id, dist) in (select event_id, min(dist) from u group by event_id) group by event_id, dist")
+@query(V.with_(V.VERTEX, _KERB) + "select event_id, round(min(dist), 6) as dist, round(arg_min(h, (dist, h)), 4) as height from u group by event_id")
 def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
-    return _kerb(spark, d).groupBy("event_id").agg(F.min("dist").alias("dist"), F.min_by("h", F.struct("dist", "h")).alias("height"))
+    """The kerb height beside every point: of the nearest of all segments, whatever line they are of."""
+    p = V.vertex(spark, d).select("event_id", (F.col("x") + 1.5).alias("px"), (F.col("y") + 2.0).alias("py"))
+    return spatial.nearest_segment(p, _segments(spark, d), "event_id", 5.0).select("event_id", *r6("dist"), F.round("height", 4).alias("height"))
 
 
-@query(V.with_(V.VERTEX, _KERB) + "select event_id, min(dist) as dist from u group by event_id")
-def road_distance(spark: SparkSession, d: str) -> DataFrame:
-    return _kerb(spark, d).groupBy("event_id").agg(F.min("dist").alias("dist"))
+_RING = """ring as (select id, unnest([x0, x1, x1, (x0 + x1) / 2, x0]) as x, unnest([y0, y0, y1, y1 + 5, y1]) as y, unnest([1, 2, 3, 4, 5]) as seq from footprint),
+edge as (select id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by id order by seq)),
+pt as (select id as pid, (x0 + x1) / 2 + 0.25 as px, (y0 + y1) / 2 + 0.25 as py from footprint),
+inside as (select pid, id from pt join edge on (x > px) <> (x2 > px) and py < (y2 - y) * (px - x) / nullif(x2 - x, 0) + y group by pid, id having count(*) % 2 = 1)"""
+
 
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    mid = (F.col("x0") + F.col("x1")) / 2
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), (mid, F.col("y1") + 5), ("x0", "y1")]
+    return V.footprint(spark, d).select("id", F.array(*(F.struct((F.col(x) if isinstance(x, str) else x).alias("x"), (F.col(y) if isinstance(y, str) else y).alias("y")) for x, y in corners)).alias("ring"))
 
-_RING = """ring as (select id, unnest([x0, x1, x1, (x0 + x1) / 2, x0]) as x, unnest([y0, y0, y1, y1 + 5, y1]) as y, unnest([1, 2, 3, 4, 5]) as seq from footprint where id % 3 = 0),
-edge as (select id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by id order by seq rows between unbounded preceding and unbounded following)),
-pt as (select id as pid, (x0 + x1) / 2 + 0.25 as px, (y0 + y1) / 2 + 0.25 as py from footprint)"""
+
+def _ring_points(spark: SparkSession, d: str) -> DataFrame:
+    return V.footprint(spark, d).select(F.col("id").alias("pid"), ((F.col("x0") + F.col("x1")) / 2 + 0.25).alias("px"), ((F.col("y0") + F.col("y1")) / 2 + 0.25).alias("py"))
+
+
+@query(V.with_(V.FOOTPRINT, _RING) + "select pid, id from inside")
+def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.inside_polygons(_ring_points(spark, d), _rings(spark, d), "pid", "id", 20.0)
 
 
 @query(
-    V.with_(V.FOOTPRINT, _RING.replace(" rows between unbounded preceding and unbounded following", ""))
-    + """select pid, id from pt join edge on (x > px) <> (x2 > px) and py < (y2 - y) * (px - x) / nullif(x2 - x, 0) + y group by pid, id having count(*) % 2 = 1"""
+    V.with_(V.FOOTPRINT, _RING)
+    + """, far as (select pid, px + 20 + pid % 50 as px, py from pt), low as (select * from edge where id % 4 = 0),
+hit as (select pid from far join low on (x > px) <> (x2 > px) and py < (y2 - y) * (px - x) / nullif(x2 - x, 0) + y group by pid, id having count(*) % 2 = 1),
+t as (select *, greatest(0, least(1, coalesce(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / nullif(pow(x2 - x, 2) + pow(y2 - y, 2), 0), 0))) as t from far, low),
+u as (select pid, min(sqrt(pow(px - (x + t * (x2 - x)), 2) + pow(py - (y + t * (y2 - y)), 2))) as dist from t group by pid)
+select pid, case when pid in (select pid from hit) then 0 else round(dist, 6) end as dist from u"""
 )
-def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    f = V.footprint(spark, d)
-    x, y = F.array("x0", "x1", "x1", (F.col("x0") + F.col("x1")) / 2, "x0"), F.array("y0", "y0", "y1", F.col("y1") + 5, "y1")
-    r = f.filter("id % 3 = 0").select("id", F.arrays_zip(x.alias("x"), y.alias("y")).alias("p")).select("id", F.explode(F.arrays_zip("p", F.concat(F.slice("p", 2, 4), F.slice("p", 1, 1)).alias("q"))).alias("e"))
-    edges = r.select("id", F.col("e.p.x").alias("x"), F.col("e.p.y").alias("y"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
-    pts = f.select(F.col("id").alias("pid"), ((F.col("x0") + F.col("x1")) / 2 + 0.25).alias("px"), ((F.col("y0") + F.col("y1")) / 2 + 0.25).alias("py"))
-    return spatial.inside_polygons(pts, edges, "pid", "id", 20.0)
+def road_distance(spark: SparkSession, d: str) -> DataFrame:
+    """How far every point is from the nearest polygon: 0 inside, else from its outline."""
+    p = _ring_points(spark, d).withColumn("px", F.col("px") + 20 + F.col("pid") % 50)
+    rings = _rings(spark, d).filter("id % 4 = 0")  # the polygons that count as road
+    turned = F.concat(F.slice("ring", 2, 4), F.slice("ring", 1, 1))
+    e = rings.select(F.explode(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b"))).alias("e"))
+    e = e.select(*(F.col(f"e.{k}.{c}").alias(f"{c}{n}") for k, n in (("a", ""), ("b", "2")) for c in "xy"), F.lit(0.0).alias("z"), F.lit(0.0).alias("z2"))
+    inside = spatial.inside_polygons(p, rings, "pid", "id", 20.0).select("pid").distinct().withColumn("in", F.lit(True))
+    return spatial.nearest_segment(p, e, "pid", 10.0).join(inside, "pid", "left").select("pid", F.when(F.col("in"), 0.0).otherwise(F.round("dist", 6)).alias("dist"))
 
 
 @query(
@@ -165,54 +229,64 @@ def sheet_match(spark: SparkSession, d: str) -> DataFrame:
     p = V.plot(spark, d)
     sheets, wanted = p.filter("floors % 2 = 1").select((F.col("floors") * 2).alias("f")).distinct(), p.select("floors").distinct()
     # distinct floor counts on both sides: a few tens of rows each
-    return wanted.crossJoin(F.broadcast(sheets)).groupBy("floors").agg(F.min_by("f", F.struct(F.abs(F.col("floors") - F.col("f")), "f")).alias("sheet"))
+    return wanted.crossJoin(sheets).groupBy("floors").agg(F.min_by("f", F.struct(F.abs(F.col("floors") - F.col("f")), "f")).alias("sheet"))
 
 
 @query("""select p_type as grp, coalesce(r_name, 'unknown') as label, count(*) as n from part left join region on p_size % 7 = r_regionkey group by 1, 2""")
 def manifest_join(spark: SparkSession, d: str) -> DataFrame:
     p, r = V.table(spark, d, "part").select("p_type", "p_size"), V.table(spark, d, "region").select("r_regionkey", "r_name")
-    return p.join(F.broadcast(r), F.col("p_size") % 7 == F.col("r_regionkey"), "left").groupBy(F.col("p_type").alias("grp"), F.coalesce("r_name", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
+    return p.join(r, F.col("p_size") % 7 == F.col("r_regionkey"), "left").groupBy(F.col("p_type").alias("grp"), F.coalesce("r_name", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
 
 
-_NODES = """nodes as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size::double as z from part where p_partkey < 200),
-pt as (select event_id, (event_id % 390)::double as x, (event_id % 31)::double as y from events)"""
+_NODES = """nodes as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size::double as z from part),
+ny as (select (max(p_partkey) // 40 + 1)::int as ny from part),
+pt as (select event_id, (event_id % 390)::double as x, ((event_id * 7) % (10 * (select ny from ny)))::double as y from events)"""
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "part").filter("p_partkey < 200")
+    p = V.table(spark, d, "part")
     return p.select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), F.col("p_size").cast("double").alias("z"))
 
 
-def _grid_points(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "events").select("event_id", (F.col("event_id") % 390).cast("double").alias("x"), (F.col("event_id") % 31).cast("double").alias("y"))
+def _rows(spark: SparkSession, d: str) -> int:
+    """Rows of the grid, which has 40 columns."""
+    return int(_nodes(spark, d).agg(F.max("iy")).first()[0] or 0) + 1
+
+
+def _grid_points(spark: SparkSession, d: str, ny: int) -> DataFrame:
+    return V.table(spark, d, "events").select("event_id", (F.col("event_id") % 390).cast("double").alias("x"), (F.col("event_id") * 7 % (10 * ny)).cast("double").alias("y"))
 
 
 @query(
     V.with_(_NODES)
-    + """, f as (select event_id, greatest(0, least(39, x / 10)) as fx, greatest(0, least(4, y / 10)) as fy from pt),
-g as (select *, least(floor(fx), 38)::int as ix, least(floor(fy), 3)::int as iy from f),
+    + """, f as (select event_id, greatest(0, least(39, x / 10)) as fx, greatest(0, least((select ny from ny) - 1, y / 10)) as fy from pt),
+g as (select *, least(floor(fx), 38)::int as ix, least(floor(fy), greatest((select ny from ny) - 2, 0))::int as iy from f),
 h as (select event_id, ix + i as ix, iy + j as iy, (case when i = 1 then fx - ix else 1 - (fx - ix) end) * (case when j = 1 then fy - iy else 1 - (fy - iy) end) as w from g, (values (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j))
 select event_id, round(case when count(z) = count(*) then sum(w * z) end, 6) as z from h left join nodes using (ix, iy) where w > 0 group by event_id"""
 )
 def bilinear(spark: SparkSession, d: str) -> DataFrame:
-    return grid.bilinear(_grid_points(spark, d), _nodes(spark, d), ["event_id"], 10.0, 40, 5).select("event_id", *r6("z"))
+    ny = _rows(spark, d)
+    return grid.bilinear(_grid_points(spark, d, ny), _nodes(spark, d), ["event_id"], 10.0, 40, ny).select("event_id", *r6("z"))
 
 
-@query(V.with_(_NODES) + """select event_id, z from pt join nodes on least(39, greatest(0, round_even(x / 10, 0)::int)) = ix and least(4, greatest(0, round_even(y / 10, 0)::int)) = iy""")
+@query(V.with_(_NODES) + """select event_id, z from pt join nodes on least(39, greatest(0, round_even(x / 10, 0)::int)) = ix and least((select ny from ny) - 1, greatest(0, round_even(y / 10, 0)::int)) = iy""")
 def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
-    clamp = lambda c, n: F.least(F.lit(n), F.greatest(F.lit(0), F.bround(F.col(c) / 10).cast("int")))
-    return _grid_points(spark, d).withColumns({"ix": clamp("x", 39), "iy": clamp("y", 4)}).join(_nodes(spark, d), ["ix", "iy"]).select("event_id", "z")
+    ny = _rows(spark, d)
+    return grid.nearest_cell(_grid_points(spark, d, ny), _nodes(spark, d), 10.0, 40, ny).select("event_id", "z")
 
 
 @query(
-    V.with_(V.TILE)
-    + """, d5 as (select vec_id, v, pos from tile where vec_id < 60 and pos < 5),
-p as (select a.vec_id as a, b.vec_id as b, sqrt(sum(pow(a.v - b.v, 2))) as dist from d5 a join d5 b on a.vec_id < b.vec_id and a.pos = b.pos group by 1, 2)
-select count(*) as pairs, round(avg(dist), 6) as diversity from p"""
+    V.with_(_NODES)
+    + ", "
+    + ", ".join(f"{n} as (select event_id, z from pt left join nodes on least(39, greatest(0, {x}::int)) = ix and least((select ny from ny) - 1, greatest(0, {y}::int)) = iy)" for n, x, y in (("cut", "trunc((x - 200) / 10)", "trunc(y / 10)"), ("low", "floor((x - 200) / 10)", "floor(y / 10)")))
+    + " select event_id, cut.z as cut_z, low.z as low_z from cut join low using (event_id)"
 )
-def diversity(spark: SparkSession, d: str) -> DataFrame:
-    """Mean distance over all pairs of a family of sixty sheets: pairs are what is asked for here."""
-    return reports.diversity(V.tile(spark, d).filter("vec_id < 60 and pos < 5"), "vec_id")
+def cell_roundings(spark: SparkSession, d: str) -> DataFrame:
+    """The two other ways to a cell: cut off towards zero, and rounded down; both kept within the grid."""
+    ny = _rows(spark, d)
+    p, n = _grid_points(spark, d, ny), _nodes(spark, d)
+    cut, low = (grid.nearest_cell(p, n, 10.0, 40, ny, x0=200.0, how=h, outer=True).select("event_id", F.col("z").alias(f"{a}_z")) for h, a in (("truncate", "cut"), ("floor", "low")))
+    return cut.join(low, "event_id")
 
 
 # ---------------------------------------------------------------- grids
@@ -240,12 +314,37 @@ def slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size from part), k as (select ix, iy from c where p_size % 10 = 0)
-select c.ix, c.iy, round(min(sqrt(pow(c.ix - k.ix, 2) + pow(c.iy - k.iy, 2))) filter (sqrt(pow(c.ix - k.ix, 2) + pow(c.iy - k.iy, 2)) <= 6), 6) as support from c, k group by 1, 2"""
+    """with c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size from part), k as (select ix, iy from c where p_size % 25 = 0)
+select c.ix, c.iy, round(min(sqrt(pow(c.ix - k.ix, 2) + pow(c.iy - k.iy, 2))), 6) as support from c, k group by 1, 2"""
 )
 def support_distance(spark: SparkSession, d: str) -> DataFrame:
     c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), "p_size")
-    return grid.support_distance(c.select("ix", "iy"), c.filter("p_size % 10 = 0").select("ix", "iy"), 6).select("ix", "iy", *r6("support"))
+    return grid.support_distance(c.select("ix", "iy"), c.filter("p_size % 25 = 0").select("ix", "iy")).select("ix", "iy", *r6("support"))
+
+
+@query(
+    """with c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size from part), k as (select ix, iy from c where p_size % 5 = 0)
+select round(avg(case when k.ix is not null then 1.0::double else 0 end), 6) as share from c left join k using (ix, iy)"""
+)
+def supported_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cells that have a sample of their own."""
+    c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), "p_size")
+    known = c.filter("p_size % 5 = 0").select("ix", "iy").withColumn("known", F.lit(1.0))
+    return c.join(known, ["ix", "iy"], "left").agg(F.round(F.avg(F.coalesce("known", F.lit(0.0))), 6).alias("share"))
+
+
+_R = 4
+_GAUSS = ", ".join(
+    f"{t} as (select ix, iy, "
+    + " + ".join(f"{__import__('math').exp(-0.5 * o * o):.17g}::double * " + ("z" if not o else f"coalesce({'lag' if o < 0 else 'lead'}(z, {abs(o)}) over w, {'first' if o < 0 else 'last'}_value(z) over e)") for o in range(-_R, _R + 1))
+    + f" as s from {f} window w as (partition by {a} order by {b}), e as (partition by {a} order by {b} rows between unbounded preceding and unbounded following)), {t}n as (select ix, iy, s / {sum(__import__('math').exp(-0.5 * o * o) for o in range(-_R, _R + 1)):.17g}::double as z from {t})"
+    for t, f, a, b in (("gx", "nodes", "iy", "ix"), ("gy", "gxn", "ix", "iy"))
+)
+
+
+@query(V.with_(_NODES) + ", " + _GAUSS + " select ix, iy, round(z, 6) as z from gyn")
+def gaussian(spark: SparkSession, d: str) -> DataFrame:
+    return grid.gaussian(_nodes(spark, d), 1.0).select("ix", "iy", *r6("z"))
 
 
 _CLASS = """rule as (select p_partkey, case when p_size % 9 >= 7 then 'rock' when p_retailprice >= (select quantile_cont(p_retailprice, 0.7) from part) then 'meadow' when p_size <= 12 and p_size > 3 then 'verge' else 'grass' end as class from part)"""
@@ -254,8 +353,9 @@ _CLASS = """rule as (select p_partkey, case when p_size % 9 >= 7 then 'rock' whe
 def _painted(spark: SparkSession, d: str) -> DataFrame:
     p = V.table(spark, d, "part")
     cut = p.agg(F.percentile("p_retailprice", 0.7).alias("cut"))  # one row
-    rules = [("verge", (F.col("p_size") <= 12) & (F.col("p_size") > 3)), ("meadow", F.col("p_retailprice") >= F.col("cut")), ("rock", F.col("p_size") % 9 >= 7)]
-    return p.crossJoin(F.broadcast(cut)).select("p_partkey", grid.paint(rules, "grass").alias("class"))
+    cells = p.withColumns({"road_distance": F.col("p_size").cast("double"), "slope": (F.col("p_size") % 9).cast("double"), "noise": F.col("p_retailprice") >= 0})
+    rules = [("verge", grid.rule("near_road", metres=12, inner=3)), ("meadow", F.col("p_retailprice") >= F.col("cut")), ("rock", grid.rule("steeper", degrees=7))]
+    return cells.crossJoin(F.broadcast(cut)).select("p_partkey", grid.paint(rules, ["grass", "verge", "meadow", "rock"]).alias("class"))
 
 
 @query(V.with_(_CLASS) + "select p_partkey, class from rule")
@@ -268,17 +368,64 @@ def class_fractions(spark: SparkSession, d: str) -> DataFrame:
     return reports.fractions(_painted(spark, d), "class").select("class", F.round("share", 4).alias("share"))
 
 
-_POND = """c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size::double as z, p_size from part),
-w as (select ix, iy, (ix // 10)::int as component from c where p_size % 8 = 0),
-dry as (select * from c where (ix, iy) not in (select ix, iy from w)),
-l as (select w.component, min(dry.z) - 0.3 as level from w join dry on pow(w.ix - dry.ix, 2) + pow(w.iy - dry.iy, 2) <= 4 group by 1)"""
+_POND = """c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_partkey as id, p_size::double as z, p_size, p_size % 16 = 0 as dry from part),
+w0 as (select ix, iy, iy::bigint * 40 + ix as id from c where p_size % 8 < 3),
+e as (select a.id as a, b.id as b from w0 a join w0 b on abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
+r as (select id as node, id as k from w0 union select e.b, r.k from r join e on e.a = r.node where r.k < e.b),
+p as (select node, min(k) as component from r group by node),
+w1 as (select w0.ix, w0.iy, component from w0 join p on p.node = w0.id join c on c.ix = w0.ix and c.iy = w0.iy where not dry),
+w as (select * from w1 where component in (select component from w1 group by 1 having count(*) >= 2)),
+land as (select * from c where (ix, iy) not in (select ix, iy from w)),
+l as (select w.component, min(land.z) - 0.3 as level from w join land on pow(w.ix - land.ix, 2) + pow(w.iy - land.iy, 2) <= 4 group by 1),
+o as (select c.ix, c.iy, coalesce(least(c.z, l.level - 0.5), c.z) as z, l.level from c left join w on c.ix = w.ix and c.iy = w.iy left join l using (component))"""
 
 
-@query(V.with_(_POND) + "select c.ix, c.iy, round(least(c.z, l.level - 0.5), 6) as z from c left join w on c.ix = w.ix and c.iy = w.iy left join l using (component)")
+@query("with recursive " + _POND + " select ix, iy, round(z, 6) as z, round(case when z <= level then level end, 6) as level from o")
 def flatten_water(spark: SparkSession, d: str) -> DataFrame:
-    c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), F.col("p_size").cast("double").alias("z"), "p_size")
-    w = c.filter("p_size % 8 = 0").select("ix", "iy", F.expr("ix div 10").cast("int").alias("component"))
-    return grid.flatten_water(c.select("ix", "iy", "z"), w, 2, 0.3, 0.5, 40).select("ix", "iy", *r6("z"))
+    """Ponds of connected cells, of two cells at least, made level under their banks; the carriageway stays dry."""
+    c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), F.col("p_size").cast("double").alias("z"), (F.col("p_size") % 16 == 0).alias("dry"), "p_size")
+    w = grid.components(c.filter("p_size % 8 < 3").select("ix", "iy"), 40, 64)
+    return grid.flatten_water(c.select("ix", "iy", "z", "dry"), w, bank=2, freeboard=0.3, depth=0.5, smallest=2).select("ix", "iy", *r6("z", "level"))
+
+
+_STEP = """c as (select (p_partkey % 40)::int as ix, (p_partkey // 40)::int as iy, p_size // 20 as step from part),
+t as (select ix, iy, iy::bigint * 40 + ix as id, step from c),
+e as (select a.id as a, b.id as b from t a join t b on abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 and a.step = b.step),
+r as (select id as node, id as k from t union select e.b, r.k from r join e on e.a = r.node where r.k < e.b),
+p as (select node, min(k) as terrace from r group by node)"""
+
+
+@query("with recursive " + _STEP + " select terrace, any_value(step)::int as step, count(*) as cells from p join t on t.id = p.node group by terrace having count(*) >= 3")
+def terraces(spark: SparkSession, d: str) -> DataFrame:
+    """Level ground: connected cells of one height class, three at least."""
+    c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), F.expr("p_size div 20").cast("int").alias("step"))
+    parts = None
+    for k in [r["step"] for r in c.select("step").distinct().orderBy("step").collect()]:  # the classes of a palette
+        own = grid.components(c.filter(F.col("step") == k).select("ix", "iy"), 40, 64).withColumn("step", F.lit(k))
+        parts = own if parts is None else parts.unionByName(own)
+    return parts.groupBy(F.col("component").alias("terrace")).agg(F.first("step").alias("step"), F.count("*").alias("cells")).filter("cells >= 3")
+
+
+_TILES = """cell as (select p_partkey as id, 35.0::double + (p_partkey % 40)::double / 500 as lat, 139.0::double + (p_partkey // 40)::double / 2000 as lon from part),
+spot as (select id, (lon + 180) / 360 * 16384 as fx, (1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384 as fy from cell),
+key as (select id, floor(fx)::bigint as tx, floor(fy)::bigint as ty, least(3, greatest(0, trunc((fx - floor(fx)) * 4)::int)) as px, least(3, greatest(0, trunc((fy - floor(fy)) * 4)::int)) as py from spot),
+src as (select r_regionkey as priority, r_name as source from region),
+pix as (select priority, source, tx, ty, px, py, (tx * 31 + ty * 17 + px * 5 + py)::double % 97 as z from src, (select distinct tx, ty from key), range(4) a(px), range(4) b(py) where (tx + ty) % 5 < priority + 2),
+got as (select key.id, src.priority, src.source, pix.z from key cross join src left join pix on pix.priority = src.priority and pix.tx = key.tx and pix.ty = key.ty and pix.px = key.px and pix.py = key.py),
+best as (select priority from got group by priority having avg(case when z is not null then 1.0::double else 0 end) > 0.5 order by priority limit 1)"""
+
+
+@query(V.with_(_TILES) + "select id, source, z from got where priority in (select priority from best)")
+def sample_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Heights of cells from raster tiles: the first source that covers more than half of the cells gives them all."""
+    p = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40 / 500 + 35.0).alias("lat"), (F.expr("p_partkey div 40") / 2000 + 139.0).alias("lon"))
+    tx, ty = C.slippy_tile(F.col("lat"), F.col("lon"), 14)
+    keys = p.select(tx.alias("tx"), ty.alias("ty")).distinct()
+    src = V.table(spark, d, "region").select(F.col("r_regionkey").alias("priority"), F.col("r_name").alias("source"))
+    side = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    pix = keys.crossJoin(src).filter("(tx + ty) % 5 < priority + 2").withColumn("px", side).withColumn("py", side)
+    pix = pix.withColumn("z", ((F.col("tx") * 31 + F.col("ty") * 17 + F.col("px") * 5 + F.col("py")) % 97).cast("double"))
+    return grid.sample_tiles(p, "id", src, pix, zoom=14, size=4).select("id", "source", "z")
 
 
 @query("""with c as (select r_name as source, r_regionkey as priority, (select count(*) filter (p_size % 5 <= r_regionkey) / count(*)::double from part) as share from region) select source, priority, round(share, 6) as share from c where share > 0.5 order by priority limit 1""")
@@ -383,243 +530,44 @@ def merge_later_wins(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).groupBy("k").agg(F.max_by("v", "prio").alias("v"))
 
 
-@query(
-    V.with_(V.SAMPLE)
-    + """, c as (select trunc(x / 5)::int as ix, trunc(y / 5)::int as iy, min(z) as z from sample_pt group by 1, 2), h as (select (min(z) + max(z)) / 2 as mid from c)
-select round(least(quantile_cont(z, 0.25), min(z) + 3), 6) as seat, count(*) as columns from c, h where z <= mid"""
-)
-def seat_z(spark: SparkSession, d: str) -> DataFrame:
-    c = grid.binned(V.sample_pt(spark, d), 5.0).groupBy("ix", "iy").agg(F.min("z").alias("z"))
-    h = c.agg(((F.min("z") + F.max("z")) / 2).alias("mid"))
-    return c.crossJoin(F.broadcast(h)).filter("z <= mid").agg(F.round(F.least(F.percentile("z", 0.25), F.min("z") + 3), 6).alias("seat"), F.count("*").alias("columns"))
-
-
-@query(
-    V.with_(V.VERTEX, V.GROUND)
-    + """select count(*) filter (ground > z) as above, round(max(ground - z), 6) as worst, count(*) as vertices from vertex v join ground g on floor(v.x / 10) = g.ix and floor(v.y / 10) = g.iy"""
-)
-def ground_clearance_qa(spark: SparkSession, d: str) -> DataFrame:
-    v = V.vertex(spark, d).withColumn("ix", F.floor(F.col("x") / 10)).withColumn("iy", F.floor(F.col("y") / 10)).join(V.ground(spark, d), ["ix", "iy"])
-    return v.agg(F.count_if(F.col("ground") > F.col("z")).alias("above"), F.round(F.max(F.col("ground") - F.col("z")), 6).alias("worst"), F.count("*").alias("vertices"))
-
-
-# ---------------------------------------------------------------- arrays as images
-
-
-@query(
-    V.with_(V.TILE)
-    + """, s as (select vec_id, pos, v, lead(v) over (partition by vec_id order by pos) as nxt from tile),
-m as (select vec_id, avg(abs(nxt - v)) as inner_, abs(arg_max(v, pos) - arg_min(v, pos)) as wrap from s group by 1)
-select vec_id, round(wrap / nullif(inner_, 0), 6) as seam from m"""
-)
-def seam_error(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "embeddings").select("vec_id", F.round(reports.seam_error(F.col("embedding").cast("array<double>")), 6).alias("seam"))
-
-
-@query(V.with_(V.TILE) + "select vec_id, round(avg(case when v > 0.5 then 1.0::double else 0 end), 6) as bright, round(stddev_pop(v), 6) as sd from tile group by vec_id")
-def tile_score(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "embeddings").select("vec_id", *(F.round(c, 6).alias(n) for n, c in zip(("bright", "sd"), reports.tile_score(F.col("embedding").cast("array<double>"), 0.5))))
-
-
-@query(
-    V.with_(V.TILE)
-    + """, q as (select vec_id, round(avg(case when v > 0.5 then 1.0::double else 0 end), 6) as bright, round(stddev_pop(v), 6) as sd from tile group by vec_id)
-select vec_id from q where bright between 0 and 0.35 and sd between 0.1 and 1.0"""
-)
-def tile_usable(spark: SparkSession, d: str) -> DataFrame:
-    return tile_score(spark, d).filter("bright between 0 and 0.35 and sd between 0.1 and 1.0").select("vec_id")
+_MESH = """mesh as (select l_orderkey % 97 as mesh, l_extendedprice / 20000 as x, l_quantity / 10 as y, l_discount * 100 + l_tax * 10 as z from lineitem),
+sp as (select mesh, min(z) as low, max(z) - min(z) as span from mesh group by mesh),
+col as (select mesh, floor(x / greatest(span * 0.02, 1e-9)) as cx, floor(y / greatest(span * 0.02, 1e-9)) as cy, min(z) as z, any_value(low) as low, any_value(span) as span from mesh join sp using (mesh) group by 1, 2, 3),
+seat as (select mesh, case when any_value(span) <= 0 or count(*) filter (z < low + span * 0.5) < 4 then any_value(low) else least(quantile_cont(z, 0.3) filter (z < low + span * 0.5), any_value(low) + any_value(span) * 0.15) end as seat from col group by mesh)"""
 
 
-@query(
-    V.with_(V.TILE)
-    + """select vec_id, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd, round(min(v), 6) as low, round(max(v), 6) as high, round(avg(case when pos < 32 then v end) - avg(case when pos >= 32 then v end), 6) as tilt from tile group by vec_id"""
-)
-def descriptor(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("v")
-    t = V.tile(spark, d).groupBy("vec_id").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), (F.avg(F.when(F.col("pos") < 32, v)) - F.avg(F.when(F.col("pos") >= 32, v))).alias("tilt"))
-    return t.select("vec_id", *r6("mean", "sd", "low", "high", "tilt"))
+def _mesh(spark: SparkSession, d: str) -> DataFrame:
+    """Clouds of vertices: mesh, x, y, z."""
+    li = V.table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") % 97).alias("mesh"), (F.col("l_extendedprice") / 20000).alias("x"), (F.col("l_quantity") / 10).alias("y"), (F.col("l_discount") * 100 + F.col("l_tax") * 10).alias("z"))
 
 
-@query(V.with_(V.TILE) + ", p as (select *, lead(v, 8) over (partition by vec_id order by pos) as w from tile) select vec_id, round(corr(v, w), 6) as r from p group by vec_id")
-def pearson(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("vec_id").orderBy("pos")
-    return V.tile(spark, d).withColumn("w", F.lead("v", 8).over(w)).groupBy("vec_id").agg(F.round(F.corr("v", "w"), 6).alias("r"))
-
-
-@query(
-    """with t as (select vec_id, unnest(range(0, 24)) as pos, embedding from embeddings), u as (select vec_id, pos, (pos % (2 + vec_id % 5) * 10)::double as v from t),
-k as (select vec_id, k, max(abs(a.v - b.v)) as err from u a join (select vec_id as vid, pos as p2, v from u) b on a.vec_id = b.vid, (select unnest(range(2, 17)) as k) where 24 % k = 0 and b.p2 = (a.pos + 24 // k) % 24 group by 1, 2)
-select vec_id, max(k) filter (err < 0.2)::int as bays from k group by vec_id"""
-)
-def bays_in(spark: SparkSession, d: str) -> DataFrame:
-    row = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda p: (p % (F.col("vec_id") % 5 + 2) * 10).cast("double"))
-    return V.table(spark, d, "embeddings").select("vec_id", row.alias("row")).select("vec_id", reports.bays_in(F.col("row"), 24, 0.2).alias("bays"))
-
-
-# ---------------------------------------------------------------- scalars
-
-_LL = "select event_id, 35.0::double + (event_id % 1000)::double / 10000 as lat, 139.0::double + (event_id % 777)::double / 10000 as lon from events"
-
-
-def _latlon(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "events").select("event_id", (F.col("event_id") % 1000 / 10000 + 35.0).alias("lat"), (F.col("event_id") % 777 / 10000 + 139.0).alias("lon"))
-
-
-@query(f"select event_id, round((radians(lon) - radians(139.0::double)) * cos(radians(35.0::double)) * 6371000.0::double, 4) as x, round((radians(lat) - radians(35.0::double)) * 6371000.0::double, 4) as y from ({_LL})")
-def to_local(spark: SparkSession, d: str) -> DataFrame:
-    x, y = C.to_local(F.col("lat"), F.col("lon"), 35.0, 139.0)
-    return _latlon(spark, d).select("event_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
-
-
-@query(V.with_(V.VERTEX) + "select event_id, round(degrees(y / 6371000.0::double + radians(35.0::double)), 9) as lat, round(degrees(x / (6371000.0::double * cos(radians(35.0::double))) + radians(139.0::double)), 9) as lon from vertex")
-def to_wgs84(spark: SparkSession, d: str) -> DataFrame:
-    lat, lon = C.to_wgs84(F.col("x"), F.col("y"), 35.0, 139.0)
-    return V.vertex(spark, d).select("event_id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
-
-
-@query(f"select event_id, floor((lon + 180) / 360 * 16384)::bigint as tx, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384)::bigint as ty from ({_LL})")
-def slippy_tile(spark: SparkSession, d: str) -> DataFrame:
-    tx, ty = C.slippy_tile(F.col("lat"), F.col("lon"), 14)
-    return _latlon(spark, d).select("event_id", tx.alias("tx"), ty.alias("ty"))
-
-
-@query("""with p as (select p_partkey, p_partkey % 256 as r, p_size * 5 % 256 as g, (p_partkey * 7) % 256 as b from part), v as (select p_partkey, r * 65536 + g * 256 + b as v from p)
-select p_partkey, round(case when v = 8388608 then null when v > 8388608 then (v - 16777216) * 0.01::double else v * 0.01::double end, 4) as metres from v""")
-def dem_decode(spark: SparkSession, d: str) -> DataFrame:
-    m = C.decode_elevation(F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 7 % 256)
-    return V.table(spark, d, "part").select("p_partkey", F.round(m, 4).alias("metres"))
-
-
-def _lattice_sql(ix: str, iy: str, seed: int) -> str:
-    h0 = f"(({ix})::bigint * 374761393 + ({iy})::bigint * 668265263 + {seed * 1442695041}) & 4294967295"
-    h1 = f"(xor(({h0}), ({h0}) >> 13) * {1274126177 & 0x7FFFFFFF}) & 4294967295"
-    return f"(xor(({h1}), ({h1}) >> 16)) / 4294967296.0::double"
-
-
-@query(f"select event_id, round({_lattice_sql('event_id % 100', 'user_id', 3)}, 9) as v from events")
-def lattice(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "events").select("event_id", F.round(C.lattice(F.col("event_id") % 100, F.col("user_id"), 3), 9).alias("v"))
-
-
-def _noise_sql(x: str, y: str, seed: int) -> str:
-    ix, iy = f"floor({x})", f"floor({y})"
-    ease = lambda t: f"(pow({t}, 3) * ({t} * ({t} * 6 - 15) + 10))"
-    u, v = ease(f"({x} - {ix})"), ease(f"({y} - {iy})")
-    a, b, c, e = (_lattice_sql(f"{ix} + {i}", f"{iy} + {j}", seed) for j in (0, 1) for i in (0, 1))
-    return f"((({a}) + (({b}) - ({a})) * {u}) * (1 - {v}) + (({c}) + (({e}) - ({c})) * {u}) * {v})"
-
-
-@query(V.with_(V.VERTEX) + f"select event_id, round(({_noise_sql('(x / 50)', '(y / 50)', 7)} + {_noise_sql('(x / 50 * 2)', '(y / 50 * 2)', 8)} * 0.5) / 1.5, 6) as v from vertex")
-def fbm(spark: SparkSession, d: str) -> DataFrame:
-    return V.vertex(spark, d).select("event_id", F.round(C.fbm(F.col("x") / 50, F.col("y") / 50, 7, 2), 6).alias("v"))
-
-
-@query("select p_partkey, round_even(case when p_size / 5.0::double <= 2 then 0.15::double when p_size / 5.0::double >= 8 then 0 else 0.15::double * (8 - p_size / 5.0::double) / 6 end, 4) as strength from part")
-def licence(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "part").select("p_partkey", C.taper(F.col("p_size") / 5, 2.0, 8.0, 0.15).alias("strength"))
-
-
-@query("select p_partkey, round(greatest(sqrt(w * w + 100) / 2 / tan(radians(50.0::double) / 2), (h * cos(radians(35.0::double)) + sqrt(w * w + 100) * sin(radians(35.0::double))) / 2 / tan(radians(50.0::double) / 2)) * 1.1, 6) as dist from (select p_partkey, p_size::double as w, 1 + p_size % 9 * 3.5::double as h from part)")
-def framing(spark: SparkSession, d: str) -> DataFrame:
-    dist = C.framing_distance(F.col("p_size").cast("double"), F.lit(10.0), F.col("p_size") % 9 * 3.5 + 1, 35.0, 50.0, 1.1)
-    return V.table(spark, d, "part").select("p_partkey", F.round(dist, 6).alias("dist"))
-
-
-@query("""with f as (select p_partkey, 1 + p_size % 9 as n, unnest(range(1, 2 + p_size % 9)) as k from part)
-select p_partkey, k::int as k, round(case when k = n then 1 else (k + 0.4) / (n + 0.4) end, 6)::double as line from f""")
-def floor_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Storey lines of a front whose ground floor is 1.4 storeys high; the last is exactly 1."""
-    n = F.col("p_size") % 9 + 1
-    p = V.table(spark, d, "part").select("p_partkey", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("k"))
-    return p.select("p_partkey", "k", F.round(F.when(F.col("k") == F.col("n"), 1.0).otherwise((F.col("k") + 0.4) / (F.col("n") + 0.4)), 6).alias("line"))
-
-
-@query("select p_partkey, greatest(8, round_even(p_retailprice / 8, 0)::bigint * 8) as w, (least(2048, greatest(2, round_even(p_size * 40.0::double / 0.7, 0)))::bigint) as h from part")
-def lane_pixels(spark: SparkSession, d: str) -> DataFrame:
-    h = F.least(F.lit(2048), F.greatest(F.lit(2), F.bround(F.col("p_size") * 40 / 0.7).cast("long")))
-    return V.table(spark, d, "part").select("p_partkey", F.greatest(F.lit(8).cast("long"), C.round_to_8(F.col("p_retailprice"))).alias("w"), h.alias("h"))
-
-
-@query("select p_partkey, format('facade_f{:02d}_{:03d}.png', (1 + p_size % 9)::int, (p_partkey % 1000)::int) as sheet, (1 + p_size % 9)::int as floors from part")
-def sheet_name(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "part").select("p_partkey", C.sheet_name("facade", (F.col("p_size") % 9 + 1).cast("int"), (F.col("p_partkey") % 1000).cast("int")).alias("sheet"))
-    return p.withColumn("floors", C.sheet_floors(F.col("sheet")))
-
-
-@query("select p_partkey, array_to_string(list_sort(list_distinct(list_concat(range(1 + p_size % 4, 4 + p_size % 4), [10]))), ',') as floors from part")
-def floor_spec(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("p_size") % 4 + 1
-    return V.table(spark, d, "part").select("p_partkey", F.array_join(C.floor_spec(F.concat(a, F.lit("-"), a + 2, F.lit(",10,10"))), ",").alias("floors"))
-
-
-@query(
-    """select event_id, case when (props->>'k')::int % 11 = 0 then 'Junctions' when event_type in ('click', 'view') then 'Roads' when event_type = 'purchase' then 'Crosswalks' end as grp, coalesce(props->>'k', '?') as k from events
-where (props->>'k')::int % 11 = 0 or event_type in ('click', 'view', 'purchase')"""
-)
-def route_by_type(spark: SparkSession, d: str) -> DataFrame:
-    e = V.table(spark, d, "events").withColumn("tags", F.from_json("props", "map<string,string>"))
-    k = C.attribute(F.col("tags"), "k")
-    sub = F.when(F.col("event_type") == "click", "road").when(F.col("event_type") == "view", "highway").when(F.col("event_type") == "purchase", "crosswalk")
-    own = F.map_from_arrays(F.array(F.lit("subtype")), F.array(F.coalesce(sub, F.lit("none"))))
-    tags = F.when(k.cast("int") % 11 == 0, F.map_concat(own, F.create_map(F.lit("turn_direction"), F.lit("left")))).otherwise(own)
-    return e.select("event_id", C.surface_group(tags).alias("grp"), F.coalesce(k, F.lit("?")).alias("k")).filter("grp is not null")
-
-
-@query(
-    """select event_id, value::double as z from events where event_type = 'signup' and not exists (select 1 from events where event_type = 'stripes') and exists (select 1 from events where event_type = 'signup')"""
-)
-def fallback_exists(spark: SparkSession, d: str) -> DataFrame:
-    """Generated marks where the map has crossings and no marks of its own."""
-    e = V.table(spark, d, "events")
-    own = e.filter("event_type = 'stripes'").limit(1)
-    return e.filter("event_type = 'signup'").join(own.select(F.lit(True).alias("there")), how="left_anti").select("event_id", F.col("value").alias("z"))
-
-
-@query(V.with_(V.VERTEX) + "select event_id, round(z + 0.02 + (line_id % 8) * 0.001, 6) as z from vertex")
-def z_bias(spark: SparkSession, d: str) -> DataFrame:
-    return V.vertex(spark, d).select("event_id", F.round(F.col("z") + 0.02 + F.pmod("line_id", F.lit(8)) * 0.001, 6).alias("z"))
-
-
-@query(V.with_(V.VERTEX) + "select event_id, round(z - (select min(z) from vertex), 6) as z from vertex")
-def z_datum(spark: SparkSession, d: str) -> DataFrame:
-    v = V.vertex(spark, d)
-    return v.crossJoin(F.broadcast(v.agg(F.min("z").alias("datum")))).select("event_id", F.round(F.col("z") - F.col("datum"), 6).alias("z"))
-
-
-@query(V.with_(V.VERTEX) + "select event_id, (x + x) / 2 as x, ((y + 1.5) + (y - 1.5)) / 2 as y from vertex")
-def centreline(spark: SparkSession, d: str) -> DataFrame:
-    v = V.vertex(spark, d).withColumns({"l": F.array(F.struct("x", (F.col("y") + 1.5).alias("y"))), "r": F.array(F.struct("x", (F.col("y") - 1.5).alias("y")))})
-    mid = F.zip_with("l", "r", lambda a, b: F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y")))
-    return v.select("event_id", F.explode(mid).alias("m")).select("event_id", "m.x", "m.y")
+@query(V.with_(_MESH) + "select mesh, round(seat, 6) as seat from seat")
+def seat_z(spark: SparkSession, d: str) -> DataFrame:
+    return reports.seat_z(_mesh(spark, d), ["mesh"]).select("mesh", *r6("seat"))
 
 
 @query(
-    V.with_(V.VERTEX)
-    + """, q as (select line_id, seq, x as ax, y + 1.5 as ay, z as az, x as bx, y - 1.5 as by_, z as bz, lead(x) over w as cx, lead(y) over w - 1.5 + (seq % 3) * 2 as cy, lead(z) over w as cz, lead(x) over w as dx, lead(y) over w + 1.5 - (seq % 3) * 2 as dy, lead(z) over w as dz from vertex window w as (partition by line_id order by seq)),
-n as (select *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) as n0, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) as n1, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as n2,
- (cy - ay) * (dz - az) - (cz - az) * (dy - ay) as m0, (cz - az) * (dx - ax) - (cx - ax) * (dz - az) as m1, (cx - ax) * (dy - ay) - (cy - ay) * (dx - ax) as m2 from q where cx is not null)
-select line_id, seq, n0 * m0 + n1 * m1 + n2 * m2 >= 0 and (n0 * n0 + n1 * n1 + n2 * n2 > 1e-12 or m0 * m0 + m1 * m1 + m2 * m2 > 1e-12) as sane from n"""
+    V.with_(_MESH)
+    + """, m as (select mesh, avg(x) as mx, avg(y) as my from mesh group by mesh),
+t as (select mesh, seat, (x - mx) * cos(mesh / 10.0::double - 0.3::double) - (y - my) * sin(mesh / 10.0::double - 0.3::double) as a, (x - mx) * sin(mesh / 10.0::double - 0.3::double) + (y - my) * cos(mesh / 10.0::double - 0.3::double) as b, z from mesh join m using (mesh) join seat using (mesh)),
+u as (select mesh, a * 1.2 * cos(0.3::double) - b * 0.9 * sin(0.3::double) + mesh as x, a * 1.2 * sin(0.3::double) + b * 0.9 * cos(0.3::double) - mesh as y, (z - seat) * sqrt(1.2::double * 0.9) + 5 as z from t)
+select mesh, round(min(x), 5) as x0, round(max(x), 5) as x1, round(min(y), 5) as y0, round(max(y), 5) as y1, round(min(z), 5) as z0, round(max(z), 5) as z1 from u group by mesh"""
 )
-def quad_sane(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("line_id").orderBy("seq")
-    v = V.vertex(spark, d).withColumns({f"{c}n": F.lead(c).over(w) for c in "xyz"}).filter("xn is not null")
-    turn = (F.col("seq") % 3) * 2
-    pts = [[F.col("x"), F.col("y") + 1.5, F.col("z")], [F.col("x"), F.col("y") - 1.5, F.col("z")], [F.col("xn"), F.col("yn") - 1.5 + turn, F.col("zn")], [F.col("xn"), F.col("yn") + 1.5 - turn, F.col("zn")]]
-    return v.select("line_id", "seq", C.quad_is_sane(*pts).alias("sane"))
-
-
-@query("select p_partkey, (17 + p_size + p_partkey % 5 * 10007)::bigint as seed, md5(p_name) as tag from part")
-def seeds(spark: SparkSession, d: str) -> DataFrame:
-    s = C.attempt_seed(F.lit(17).cast("long"), F.col("p_size"), F.col("p_partkey") % 5)
-    return V.table(spark, d, "part").select("p_partkey", s.alias("seed"), F.md5(F.col("p_name").cast("binary")).alias("tag"))
+def place_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """The extent of meshes that were turned, stretched along a heading, and seated on the ground."""
+    m = _mesh(spark, d)
+    seats = reports.seat_z(m, ["mesh"])
+    id_ = F.col("mesh").cast("double")
+    fit = seats.withColumns({"yaw": id_ / 10, "sx": F.lit(1.2), "sy": F.lit(0.9), "along": F.lit(0.3), "cx": id_, "cy": -id_, "base": F.lit(5.0)})
+    p = mesh.placed(m, fit, ["mesh"])
+    return p.groupBy("mesh").agg(*(F.round(f(c), 5).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))))
 
 
 @query(
-    V.with_(V.PLOT)
-    + """select id, round((20 + 60 * pow((id % 97)::double / 97, 1 - 0.5 * 0.6)) , 6) as raw, greatest(1, round_even((20 + 60 * pow((id % 97)::double / 97, 1 - 0.5 * 0.6)) / 3.5, 0)::int) as floors from plot"""
+    V.with_(V.VERTEX, V.GROUND)
+    + """select count(*) filter (ground > z) as above, round(max(ground - z), 6) as worst, count(*) as vertices from vertex v join ground g on floor(v.x / 10) = g.ix and floor(v.y / 10) = g.iy"""
 )
-def pick_height(spark: SparkSession, d: str) -> DataFrame:
-    p = V.plot(spark, d)
-    draw = (F.col("id") % 97) / 97
-    _, floors = C.pick_height(draw, 20.0, 80.0, F.lit(0.5), 0.6, 3.5)
-    return p.select("id", F.round(20 + 60 * F.pow(draw, 1 - F.lit(0.5) * 0.6), 6).alias("raw"), floors.alias("floors"))
+def ground_clearance_qa(spark: SparkSession, d: str) -> DataFrame:
+    v = V.vertex(spark, d).withColumn("ix", F.floor(F.col("x") / 10)).withColumn("iy", F.floor(F.col("y") / 10)).join(V.ground(spark, d), ["ix", "iy"])
+    return v.agg(F.count_if(F.col("ground") > F.col("z")).alias("above"), F.round(F.max(F.col("ground") - F.col("z")), 6).alias("worst"), F.count("*").alias("vertices"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadspark.operators import mesh as M
 from roadspark.operators import sequence as S
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
@@ -123,33 +124,64 @@ def bridge_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     V.with_(V.VERTEX, V.STATION, _SEG2)
-    + """, q as (select * from s2 where st2 > station),
-a as (select line_id, unnest(range(greatest(0, ceil(round((station - o) / 8.0, 9)))::int, floor(round((st2 - o) / 8.0, 9))::int + 1)) as dash, o, part, station, st2, total, x, y, z, x2, y2, z2
-  from q, (values (0, 0.0::double), (1, 3.0::double)) t(part, o)),
-b as (select line_id, dash::int as dash, part, x + (dash * 8.0 + o - station) / (st2 - station) * (x2 - x) as x, y + (dash * 8.0 + o - station) / (st2 - station) * (y2 - y) as y
-  from a where (dash * 8.0 + o < st2 or (dash * 8.0 + o = total and part = 1)) and dash * 8.0 + o >= station),
-c as (select line_id, floor(total / 8.0)::int as dash, 1 as part, x2 as x, y2 as y from q where st2 = total and total - floor(total / 8.0) * 8.0 > 0 and total - floor(total / 8.0) * 8.0 < 3.0)
-select line_id, dash, part, round(x, 6) as x, round(y, 6) as y from (select * from b union all select * from c)"""
+    + """, v as (select *, max(station) over (partition by line_id) as total, min(seq) over (partition by line_id) as s0, max(seq) over (partition by line_id) as s1 from station),
+own as (select line_id, case when total <= 3 then 0 else floor(station / 8.0)::int end as dash, case when total > 3 then 1 when seq = s0 then 0 when seq = s1 then 2 else 1 end as part, station as place, x, y
+  from v where total <= 3 or (station > floor(station / 8.0) * 8.0 and station < least(floor(station / 8.0) * 8.0 + 3, total))),
+q as (select * from s2 where st2 > station and total > 3),
+a as (select line_id, unnest(range(greatest(0, ceil(round((station - o) / 8.0, 9)))::int, floor(round((st2 - o) / 8.0, 9))::int + 1)) as dash, o, part, station, st2, total, x, y, x2, y2
+  from q, (values (0, 0.0::double), (2, 3.0::double)) t(part, o)),
+b as (select line_id, dash::int as dash, part, dash * 8.0::double + o as place, x + (dash * 8.0 + o - station) / (st2 - station) * (x2 - x) as x, y + (dash * 8.0 + o - station) / (st2 - station) * (y2 - y) as y
+  from a where (dash * 8.0 + o < st2 or (dash * 8.0 + o = total and part = 2)) and dash * 8.0 + o >= station and (part = 2 or total - dash * 8.0 > 1e-6)),
+c as (select line_id, floor(total / 8.0)::int as dash, 2 as part, total as place, x2 as x, y2 as y from q where st2 = total and total - floor(total / 8.0) * 8.0 > 1e-6 and total - floor(total / 8.0) * 8.0 < 3.0)
+select line_id, dash, part, round(place, 6) as place, round(x, 6) as x, round(y, 6) as y from (select * from own union all select * from b union all select * from c)"""
 )
 def dashes(spark: SparkSession, d: str) -> DataFrame:
-    return S.dashes(V.vertex(spark, d), BY, 3.0, 5.0).select("line_id", "dash", "part", *r6("x", "y"))
+    return S.dashes(V.vertex(spark, d), BY, 3.0, 5.0).select("line_id", "dash", "part", *r6("place", "x", "y"))
 
 
-_HEADING = """b as (select *, max(station) over (partition by line_id) - station as back from station),
-h as (select line_id, arg_max(x, seq) as ex, arg_max(y, seq) as ey, arg_max(z, seq) as ez,
-  coalesce(max(seq) filter (back >= 20), min(seq)) as fs from b group by line_id),
-j as (select h.*, b.x as fx, b.y as fy, b.z as fz, b.back from h join b on h.line_id = b.line_id and b.seq = h.fs),
-k as (select line_id, ex, ey, ez, fz, back, ex - fx as rx, ey - fy as ry, sqrt(pow(ex - fx, 2) + pow(ey - fy, 2)) as run from j),
-heading as (select line_id, ex, ey, ez, rx / nullif(run, 0) as dx, ry / nullif(run, 0) as dy, (ez - fz) / nullif(back, 0) as grade from k)"""
+def _heading_sql(name: str, line: str, window: float) -> str:
+    """Headings of a view of lines (line_id, seq, x, y, z), as a view."""
+    return f"""{name}_g as (select *, coalesce(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)), 0) as gap from {line} window w as (partition by line_id order by seq)),
+{name}_s as (select *, sum(gap) over (partition by line_id order by seq rows unbounded preceding) as station from {name}_g),
+{name}_b as (select *, max(station) over (partition by line_id) - station as back from {name}_s),
+{name}_h as (select line_id, arg_max(x, seq) as ex, arg_max(y, seq) as ey, arg_max(z, seq) as ez, coalesce(max(seq) filter (back >= {window}), min(seq)) as fs from {name}_b group by line_id),
+{name}_k as (select h.*, h.ex - b.x as dx0, h.ey - b.y as dy0, h.ez - b.z as dz0, sqrt(pow(h.ex - b.x, 2) + pow(h.ey - b.y, 2)) as run from {name}_h h join {name}_b b on h.line_id = b.line_id and b.seq = h.fs),
+{name} as (select line_id, ex, ey, ez, case when run >= 1e-6 then dx0 / run end as dx, case when run >= 1e-6 then dy0 / run end as dy, case when run >= 1e-6 then dz0 / run end as grade from {name}_k)"""
 
 
-@query(V.with_(V.VERTEX, V.STATION, _HEADING) + "select line_id, round(dx, 6) as dx, round(dy, 6) as dy, round(grade, 6) as grade from heading")
+_HEADING = _heading_sql("heading", "vertex", 20)
+
+
+@query(V.with_(V.VERTEX, _HEADING) + "select line_id, round(dx, 6) as dx, round(dy, 6) as dy, round(grade, 6) as grade from heading")
 def heading(spark: SparkSession, d: str) -> DataFrame:
     return S.heading(V.vertex(spark, d), BY, 20.0).select("line_id", *r6("dx", "dy", "grade"))
 
 
 @query(
-    V.with_(V.VERTEX, V.STATION, _HEADING)
+    V.with_(
+        V.VERTEX,
+        V.STRIP,
+        "lb as (select line_id, seq, lx as x, ly as y, lz as z from strip)",
+        "rb as (select line_id, seq, rx as x, ry as y, rz as z from strip)",
+        _heading_sql("lh", "lb", 15),
+        _heading_sql("rh", "rb", 15),
+        "two as (select line_id, 0 as side, dx, dy, grade from lh where dx is not null union all select line_id, 1, dx, dy, grade from rh where dx is not null)",
+        "m as (select line_id, avg(dx) as mx, avg(dy) as my, avg(grade) as g, arg_min(dx, side) as ox, arg_min(dy, side) as oy from two group by line_id)",
+    )
+    + """select line_id, round(case when sqrt(mx * mx + my * my) < 1e-6 then ox else mx / sqrt(mx * mx + my * my) end, 6) as dx, round(case when sqrt(mx * mx + my * my) < 1e-6 then oy else my / sqrt(mx * mx + my * my) end, 6) as dy, round(greatest(-0.06, least(0.06, g)), 6) as grade from m"""
+)
+def stub_heading(spark: SparkSession, d: str) -> DataFrame:
+    """Where each lane's end points, from both of its bounds over 15 m, at a grade of 6 % at most."""
+    s = V.strip(spark, d)
+    sides = None
+    for side, p in ((0, "l"), (1, "r")):
+        h = S.heading(s.select("line_id", "seq", *(F.col(f"{p}{c}").alias(c) for c in "xyz")), BY, 15.0).withColumn("side", F.lit(side))
+        sides = h if sides is None else sides.unionByName(h)
+    return S.stub(sides, BY, "side", 0.06).select("line_id", *r6("dx", "dy", "grade"))
+
+
+@query(
+    V.with_(V.VERTEX, _HEADING)
     + """, p as (select *, 25.0::double as len, unnest(range(1, 6)) as k from heading)
 select line_id, k::int as k, round(ex + dx * (k * len / 5), 6) as x, round(ey + dy * (k * len / 5), 6) as y, round(ez + grade * (k * len / 5), 6) as z from p"""
 )
@@ -161,13 +193,70 @@ def extend_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    V.with_(V.VERTEX, V.STATION, "len as (select line_id, sum(coalesce(gap, 0)) as length from seg group by line_id)")
-    + """, n as (select *, greatest(1, floor((length + 2.5) / 5.0))::int as n from len),
-b as (select line_id, length, n, unnest(range(0, n)) as k from n)
-select line_id, k::int as k, round(greatest(0, (length - (n * 5.0 - 2.5)) / 2 + k * 5.0), 6) as start, round(least(length, greatest(0, (length - (n * 5.0 - 2.5)) / 2 + k * 5.0) + 2.5), 6) as stop from b"""
+    V.with_(
+        V.VERTEX,
+        V.STRIP,
+        "mid as (select *, (lx + rx) / 2 as mx, (ly + ry) / 2 as my from strip)",
+        "g as (select *, coalesce(sqrt(pow(mx - lag(mx) over w, 2) + pow(my - lag(my) over w, 2)), 0) as gap from mid window w as (partition by line_id order by seq))",
+        "st as (select *, sum(gap) over (partition by line_id order by seq rows unbounded preceding) as station from g)",
+        "sg as (select *, lead(station) over w as st2, "
+        + ", ".join(f"lead({s}{c}) over w as {s}{c}2" for s in "lr" for c in "xyz")
+        + ", max(station) over (partition by line_id) as length from st window w as (partition by line_id order by seq))",
+        "n as (select *, greatest(1, floor((length + 2.5) / 5.0))::int as n from sg where st2 > station and length >= 5)",
+        "m as (select *, (length - (n * 5.0 - 2.5)) / 2 as margin from n)",
+        "k as (select *, unnest(range(0, n)) as bar from m)",
+        "e as (select *, margin + bar * 5.0 + edge * 2.5 as place from k, (values (0), (1)) t(edge))",
+        "f as (select *, least(1, (place - station) / (st2 - station)) as t from e where place >= station and (place < st2 or (st2 = length and place >= st2)))",
+    )
+    + "select line_id, bar::int as bar, corner, round(px, 6) as x, round(py, 6) as y, round(pz, 6) as z from ("
+    + " union all ".join(f"select line_id, bar, case when edge = 0 then {a} else {b} end as corner, {s}x + ({s}x2 - {s}x) * t as px, {s}y + ({s}y2 - {s}y) * t as py, {s}z + ({s}z2 - {s}z) * t as pz from f" for s, a, b in (("l", 0, 3), ("r", 1, 2)))
+    + ")"
 )
 def zebra(spark: SparkSession, d: str) -> DataFrame:
-    return S.zebra_bars(S.lengths(V.vertex(spark, d), BY), 2.5, 2.5).select("line_id", "k", *r6("start", "stop"))
+    """Rings of the bars across every lane, as if it were a crossing."""
+    return S.zebra_bars(V.strip(spark, d), BY, 2.5, 2.5).select("line_id", "bar", "corner", *r6("x", "y", "z"))
+
+
+_PIERS = V.with_(
+    V.VERTEX,
+    V.STATION,
+    V.GROUND,
+    "sg as (select line_id, seq, x, y, z, station, lead(station) over w as st2, lead(x) over w as x2, lead(y) over w as y2 from station window w as (partition by line_id order by seq))",
+    "p as (select *, row_number() over w as i, sum(st2 - station) over (partition by line_id order by seq rows unbounded preceding) + 12.5 as t from sg where st2 - station >= 1e-9 window w as (partition by line_id order by seq))",
+    "q as (select *, i + least(0, min(floor(t / 25) - i) over (partition by line_id order by seq rows unbounded preceding)) as e from p)",
+    "r as (select *, lag(e, 1, 0) over (partition by line_id order by seq) as before from q)",
+    "pier as (select line_id, seq, x, y, z - 0.8 as top, ground - 0.5 as bottom, atan2(y2 - y, x2 - x) as heading from r join ground g on floor(x / 10) = g.ix and floor(y / 10) = g.iy where e > before and z - 0.8 - ground >= 1.0)",
+)
+
+
+def _piers(spark: SparkSession, d: str) -> DataFrame:
+    due = S.thinned(V.vertex(spark, d), BY, 25.0).withColumns({"ix": F.floor(F.col("x") / 10), "iy": F.floor(F.col("y") / 10)}).join(V.ground(spark, d), ["ix", "iy"])
+    top, heading = F.col("z") - 0.8, F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
+    return due.filter(top - F.col("ground") >= 1.0).select("line_id", "seq", "x", "y", top.alias("top"), (F.col("ground") - 0.5).alias("bottom"), heading.alias("heading"))
+
+
+@query(_PIERS + "select line_id, seq, round(bottom, 6) as bottom, round(top, 6) as top, round(heading, 6) as heading from pier")
+def pier_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Piers along lanes every 25 m, at the segments' starts, where the deck clears the ground by a metre."""
+    return _piers(spark, d).select("line_id", "seq", *r6("bottom", "top", "heading"))
+
+
+@query(
+    _PIERS
+    + """, c as (select *, 2.0 * u as along, 1.2 * v as across from pier, (values (0, -0.5, -0.5), (1, 0.5, -0.5), (2, 0.5, 0.5), (3, -0.5, 0.5)) t(k, u, v))
+select line_id, seq, (k + 4 * up)::int as vertex, round(x + along * cos(heading) - across * sin(heading), 6) as x, round(y + along * sin(heading) + across * cos(heading), 6) as y, round(case when up = 1 then top else bottom end, 6) as z from c, (values (0), (1)) s(up)"""
+)
+def pier_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The corners of a box for each pier, 1.2 m wide and 2 m deep."""
+    p = _piers(spark, d)
+    c = M.box_corners(F.col("x"), F.col("y"), F.lit(1.2), F.lit(2.0), F.col("bottom"), F.col("top"), F.col("heading"))
+    return p.select("line_id", "seq", F.explode(c).alias("c")).select("line_id", "seq", "c.*").select("line_id", "seq", "vertex", *r6("x", "y", "z"))
+
+
+@query(V.with_(V.VERTEX) + "select line_id, seq, event_id from (select *, row_number() over (partition by line_id order by seq) - 1 as place from vertex) where place between 2 and 2 + line_id % 5")
+def slice_line(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices from the third on, as many as the line's number says."""
+    return S.sliced(V.vertex(spark, d), BY, F.lit(2), F.col("line_id") % 5 + 2).select("line_id", "seq", "event_id")
 
 
 @query(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.operators import graph, kernels, spatial
+from roadspark.operators import graph, kernels
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -27,13 +27,16 @@ def _plots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _each(df: DataFrame, schema: str, f) -> DataFrame:
-    """f(row) -> list of tuples, over batches of rows; rows stand alone, so no shuffle is needed."""
+    """f(row) -> list of tuples, over batches of rows, each by itself."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([x for r in pdf.itertuples(index=False) for x in f(r)], columns=names)
 
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a small file; kernels take much longer than a shuffle of its rows
+        df = df.repartition(cores)
     return df.mapInPandas(run, schema)
 
 
@@ -48,18 +51,22 @@ def plan_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", *r6("long_side", "short_side", "heading"))
 
 
-@query()
-def enclosing_circle(spark: SparkSession, d: str) -> DataFrame:
-    return _each(_plots(spark, d), "id long, x double, y double, radius double", lambda r: [(r.id, *kernels.enclosing_circle(_ring(r)))]).select("id", *r6("x", "y", "radius"))
+_PLOTS = """side as (select p_partkey as id, p_size + 8.0::double as a, p_size % 11 + 5.0::double as b, radians(p_partkey % 180) as t from part),
+corner as (select id, k, cos(t) * u - sin(t) * v as x, sin(t) * u + cos(t) * v as y from (select id, t, unnest([0, 1, 2, 3]) as k, unnest([0, a, a, 0]) as u, unnest([0, 0, b, b * 0.9]) as v from side))"""
 
 
-@query()
-def stacked_area(spark: SparkSession, d: str) -> DataFrame:
-    """Stacked boxes by their exact common area: candidates by cells, heights first, then the clip."""
-    pairs = spatial.overlapping_boxes(V.footprint(spark, d), 30.0, F.abs(F.col("a_mean_z") - F.col("b_mean_z")) >= 4)
-    box = lambda r, p: np.array([[getattr(r, p + "_x0"), getattr(r, p + "_y0")], [getattr(r, p + "_x1"), getattr(r, p + "_y0")], [getattr(r, p + "_x1"), getattr(r, p + "_y1")], [getattr(r, p + "_x0"), getattr(r, p + "_y1")]])
-    out = _each(pairs, "a_id long, b_id long, area double", lambda r: [(r.a_id, r.b_id, kernels.overlap_area(box(r, "a"), box(r, "b")))])
-    return out.filter("area >= 4").select("a_id", "b_id", *r6("area"))
+@query(
+    V.with_(_PLOTS)
+    + """, m as (select id, (min(x) + max(x)) / 2 as mx, (min(y) + max(y)) / 2 as my from corner group by id)
+select id, round(any_value(mx), 6) as x, round(any_value(my), 6) as y, round(max(sqrt(pow(x - mx, 2) + pow(y - my, 2))), 6) as radius from corner join m using (id) group by id"""
+)
+def enclosing_circle(spark: SparkSession, d: str) -> DataFrame:
+    """The middle of each plot's box, and its furthest corner."""
+    p = _plots(spark, d)
+    xs, ys = F.transform("ring", lambda q: q[0]), F.transform("ring", lambda q: q[1])
+    p = p.withColumns({"x": (F.array_min(xs) + F.array_max(xs)) / 2, "y": (F.array_min(ys) + F.array_max(ys)) / 2})
+    far = F.array_max(F.transform("ring", lambda q: F.sqrt(F.pow(q[0] - F.col("x"), 2) + F.pow(q[1] - F.col("y"), 2))))
+    return p.select("id", *r6("x", "y"), F.round(far, 6).alias("radius"))
 
 
 @query()
@@ -94,30 +101,18 @@ def fit_footprint(spark: SparkSession, d: str) -> DataFrame:
     return _each(_plots(spark, d), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
 
 
-@query()
-def pier_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Piers along lanes every 25 m: spans carried over from segment to segment."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("seq")
-        gap = np.hypot(pdf["x"].diff().fillna(0), pdf["y"].diff().fillna(0)).to_numpy()
-        return pdf[kernels.thin(gap, 25.0)][["line_id", "seq", "x", "y"]]
-
-    return V.vertex(spark, d).select("line_id", F.col("seq").cast("long").alias("seq"), "x", "y").groupBy("line_id").applyInPandas(run, "line_id long, seq long, x double, y double")
-
-
 @query()
 def bound_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Left vertices on right bounds, never going back."""
+    """Points of right bounds, of fewer vertices, paired with the left bounds' vertices, never going back."""
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        left = pdf[["x", "y"]].to_numpy(float)
-        right = left[:: max(1, len(left) // 8)] + np.array([0.0, -3.0])
-        station = kernels.monotone_projection(left, right) if len(right) > 1 else np.zeros(len(left))
-        return pd.DataFrame({"line_id": pdf["line_id"], "seq": pdf["seq"], "station": np.round(station, 6)})
+        left = pdf[["x", "y", "z"]].to_numpy(float)
+        right = left[:: max(1, len(left) // 8)] + np.array([0.0, -3.0, 0.1])
+        pair = kernels.monotone_projection(left, right) if len(right) > 1 else np.full((len(left), 3), np.nan)
+        return pd.DataFrame({"line_id": pdf["line_id"], "seq": pdf["seq"], **{c: np.round(pair[:, k], 6) for k, c in enumerate("xyz")}})
 
-    return V.vertex(spark, d).select("line_id", F.col("seq").cast("long").alias("seq"), "x", "y").groupBy("line_id").applyInPandas(run, "line_id long, seq long, station double")
+    return V.vertex(spark, d).select("line_id", F.col("seq").cast("long").alias("seq"), "x", "y", "z").groupBy("line_id").applyInPandas(run, "line_id long, seq long, x double, y double, z double")
 
 
 @query()
@@ -127,7 +122,7 @@ def pack_strips(spark: SparkSession, d: str) -> DataFrame:
     def run(pdf):
         pdf = pdf.sort_values("p_partkey")
         sizes = list(zip(pdf["w"], pdf["h"]))
-        out = pd.DataFrame(kernels.shelf_pack(sizes, 512), columns=["page", "px", "py"])
+        out = pd.DataFrame(kernels.shelf_pack(sizes, 512), columns=["page", "px", "py"])  # no strip here is empty
         return pd.concat([pdf.reset_index(drop=True), out], axis=1)
 
     p = V.table(spark, d, "part").select((F.col("p_partkey") % _RINGS).alias("grp"), "p_partkey", ((F.col("p_size") % 4 + 1) * 16).cast("int").alias("w"), (F.col("p_size") * 8).cast("int").alias("h"))
@@ -168,30 +163,15 @@ def solve_membrane(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def solve_plate(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a thin plate, cut off at a ceiling of 45 and settled again."""
+    """The same by a thin plate under a ceiling of 45, smoothed, put under the ceiling again and settled anew."""
 
     def run(pdf):
-        z = kernels.settle(_grid(pdf), np.full((10, 10), 45.0), 2)
+        z = kernels.settle(_grid(pdf), np.full((10, 10), 45.0), 2, 0.7)
         return pd.DataFrame({"block": pdf["block"], "i": pdf["i"], "j": pdf["j"], "z": np.round(z[pdf["i"], pdf["j"]], 3)})
 
     return _blocks(spark, d).groupBy("block").applyInPandas(run, "block long, i int, j int, z double")
 
 
-@query()
-def terraces(spark: SparkSession, d: str) -> DataFrame:
-    """Level ground by block: connected cells of one height class, three cells at least."""
-
-    def run(pdf):
-        z = np.nan_to_num(_grid(pdf), nan=-1.0)
-        rows = []
-        for k in range(5):
-            part = kernels.label((z >= 0) & (z // 20 == k))
-            rows += [(pdf["block"].iloc[0], k, int(n), int((part == n).sum())) for n in range(1, part.max() + 1) if (part == n).sum() >= 3]
-        return pd.DataFrame(rows, columns=["block", "step", "terrace", "cells"])
-
-    return _blocks(spark, d).groupBy("block").applyInPandas(run, "block long, step int, terrace int, cells int")
-
-
 @query()
 def cut_backdrop(spark: SparkSession, d: str) -> DataFrame:
     """Share of each picture (a disc before a plain backdrop) that is cut out as its subject."""

@@ -29,6 +29,16 @@ VERTEX = """vertex as (
   from (select user_id as line_id, row_number() over (partition by user_id order by ts, event_id) as seq, event_id, event_type, value from events))"""
 
 
+def strip(spark: SparkSession, d: str) -> DataFrame:
+    """Lanes as cross-sections: line_id, seq, lx, ly, lz, rx, ry, rz; the right bound bends and tilts a little."""
+    wave = F.col("seq") % 3
+    cols = {"lx": F.col("x"), "ly": F.col("y") + 1.5, "lz": F.col("z"), "rx": F.col("x") + wave * 0.2, "ry": F.col("y") - 1.5 + wave * 0.3, "rz": F.col("z") - wave * 0.1}
+    return vertex(spark, d).select("line_id", "seq", *(c.alias(n) for n, c in cols.items()))
+
+
+STRIP = """strip as (select line_id, seq, x as lx, y + 1.5 as ly, z as lz, x + (seq % 3) * 0.2::double as rx, y - 1.5 + (seq % 3) * 0.3::double as ry, z - (seq % 3) * 0.1::double as rz from vertex)"""
+
+
 def ends(spark: SparkSession, d: str) -> DataFrame:
     """Lane end keys: lane_id, s, e."""
     n = table(spark, d, "customer").agg((F.count("*") * 4).alias("n"))  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from roadspark.functions import scalar as C
 
 # ---------------------------------------------------------------- OSM-XML maps
 
@@ -29,6 +30,28 @@ def _xml(spark: SparkSession, path: str, row: str, schema: str, strict: bool) ->
     return spark.read.format("xml").option("rowTag", row).option("mode", "FAILFAST" if strict else "DROPMALFORMED").schema(schema).load(path)
 
 
+#: How points come to metres: name -> (x, y) of lat, lon, lat0, lon0; local is equirectangular, mercator is scaled to
+#: true lengths at the origin.
+PROJECTORS = {
+    "local-cartesian": C.to_local,
+    "mercator": lambda lat, lon, lat0, lon0: tuple(v * (C.TILE_RADIUS * math.cos(math.radians(lat0))) for v in (F.radians(lon) - math.radians(lon0), F.asinh(F.tan(F.radians(lat))) - math.asinh(math.tan(math.radians(lat0))))),
+}
+
+
+def project_points(point: DataFrame, lat0: float, lon0: float, projector: str = "local-cartesian") -> DataFrame:
+    """point (point_id, lat, lon, ele) with x, y and z in metres about an origin: each distinct point once, whatever the
+    number of lines that it is in.  An unknown projector is an error."""
+    if projector not in PROJECTORS:
+        raise ValueError(f"no projector is called {projector!r}; there are {', '.join(PROJECTORS)}")
+    x, y = PROJECTORS[projector](F.col("lat"), F.col("lon"), lat0, lon0)
+    return point.dropDuplicates(["point_id"]).select("point_id", x.alias("x"), y.alias("y"), F.col("ele").alias("z"))
+
+
+def polylines(tables: dict[str, DataFrame], points: DataFrame) -> DataFrame:
+    """Vertices (way_id, seq, point_id, x, y, z, tags) of all ways, their points looked up."""
+    return tables["way"].join(points, "point_id").select("way_id", "seq", "point_id", "x", "y", "z", "tags")
+
+
 def read_osm(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
     """point, way (a row a vertex) and lanelet tables of a map; not strict leaves out bad elements."""
     node = _xml(spark, path, "node", NODE, strict)
@@ -74,24 +97,46 @@ def grid_from_json(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ledgers
 
-LEDGER = "building long, used boolean, footprint_iou double, tries int, seconds double, note string"
+# The ledger's fields, which other tools read.
+LEDGER = "building long, area_m2 double, roof string, brush_up double, used boolean, tries int, error string, yaw_deg double, scale double, scale_xy array<double>, stretch double, stretch_deg double, centre array<double>, base_z double, footprint_iou double, height_m double, sunk_m double, procedural_height_m double, image string, styled string, glb string, mesh string, took_seconds double, bytes long, vertices long, triangles long"
 _KNOWN = [f.split()[0] for f in LEDGER.split(", ")]
 
 
 def read_ledger(df: DataFrame) -> DataFrame:
-    """Ledger rows of JSON lines (value): known fields typed, the others kept in extra."""
+    """Ledger rows of JSON lines (value): known fields typed, absent ones by their defaults (no area, not used, one
+    try), the others kept in extra."""
     every = F.from_json("value", "map<string,string>")
     known = F.from_json("value", LEDGER)
     extra = F.map_filter(every, lambda k, _: ~k.isin(_KNOWN))
-    return df.select(known.alias("k"), extra.alias("extra")).select("k.*", "extra")
+    defaults = {"area_m2": F.lit(0.0), "used": F.lit(False), "tries": F.lit(1)}
+    k = df.select(known.alias("k"), extra.alias("extra")).select("k.*", "extra")
+    return k.withColumns({c: F.coalesce(c, v) for c, v in defaults.items()})
+
+
+def ledger_document(df: DataFrame, scene: str, kept_above: float = 0.80) -> DataFrame:
+    """One JSON document of a ledger: its summary, and all rows by building.  One document by its format, so the rows,
+    one a building of a scene, meet in one."""
+    row = ledger_json(df, ["building"]).select(F.struct("building", "value").alias("row"))
+    good = F.col("used") & F.col("footprint_iou").isNotNull()
+    sums = df.agg(F.count("*").alias("attempted"), F.count_if("used").alias("used"), F.coalesce(F.sum("tries"), F.lit(0)).alias("generations"), F.count_if(F.col("tries") > 1).alias("retried"), F.bround(F.avg(F.when(good, F.col("footprint_iou"))), 4).alias("mean"), F.bround(F.min(F.when(good, F.col("footprint_iou"))), 4).alias("min"))
+    rows = row.agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    head = F.to_json(F.struct(F.lit(scene).alias("scene"), "attempted", "used", F.lit(kept_above).alias("kept_above"), "generations", "retried", F.struct("mean", "min").alias("footprint_iou")))
+    body = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"buildings":['), F.array_join(F.transform("rows", lambda r: r["value"]), ","), F.lit("]}"))
+    return sums.withColumn("head", head).crossJoin(rows).select(body.alias("value"))
+
 
+def split_report(df: DataFrame) -> DataFrame:
+    """Reports (building, report: JSON) as what the ledger knows and what it keeps in extra: building, known, extra."""
+    every = F.from_json("report", "map<string,string>")
+    return df.select("building", F.map_filter(every, lambda k, _: k.isin(_KNOWN)).alias("known"), F.map_filter(every, lambda k, _: ~k.isin(_KNOWN)).alias("extra"))
 
-def ledger_json(df: DataFrame) -> DataFrame:
-    """Ledger rows as JSON lines, nulls left out, extra fields beside the known ones."""
+
+def ledger_json(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Ledger rows as JSON lines (value, beside the columns keep), nulls left out, extra fields beside the known ones."""
     body = F.to_json(F.struct(*_KNOWN))
     more = F.to_json("extra")
     joined = F.when(F.coalesce(F.size("extra"), F.lit(0)) > 0, F.concat(F.expr("left(value, length(value) - 1)"), F.when(F.col("value") != "{}", ",").otherwise(""), F.substring(more, 2, 1 << 30))).otherwise(F.col("value"))
-    return df.withColumn("value", body).select(joined.alias("value"))
+    return df.withColumn("value", body).select(*(keep or []), joined.alias("value"))
 
 
 # ---------------------------------------------------------------- meshes
@@ -128,15 +173,13 @@ def parse_glb(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         rows = np.lib.stride_tricks.as_strided(raw, (a["count"], row), (step, 1))
         return np.ascontiguousarray(rows).view(kind).reshape(a["count"], n)
 
-    vertices, faces, base = [np.zeros((0, 3))], [np.zeros((0, 3), np.int64)], 0
-    for mesh in doc.get("meshes", []):
-        for p in mesh["primitives"]:
-            v = values(p["attributes"]["POSITION"]).astype(np.float64)
-            f = values(p["indices"]).astype(np.int64).reshape(-1, 3) if "indices" in p else np.arange(len(v)).reshape(-1, 3)
-            vertices.append(v)
-            faces.append(f + base)
-            base += len(v)
-    return np.concatenate(vertices), np.concatenate(faces)
+    parts = [part for shape in doc.get("meshes", ()) for part in shape["primitives"]]
+    points = [values(part["attributes"]["POSITION"]).astype(np.float64) for part in parts]
+    sizes = np.array([len(p) for p in points], np.int64)
+    # a primitive without indices uses its vertices in order; every one's numbers start behind those before it
+    corners = [values(part["indices"]).astype(np.int64).ravel() if "indices" in part else np.arange(n) for part, n in zip(parts, sizes)]
+    shifted = [c + at for c, at in zip(corners, np.cumsum(sizes) - sizes)]
+    return np.concatenate([np.zeros((0, 3)), *points]), np.concatenate([np.zeros(0, np.int64), *shifted]).reshape(-1, 3)
 
 
 def read_glb(spark: SparkSession, path: str) -> DataFrame:
@@ -160,43 +203,47 @@ def list_sheets(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
     return f.select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "length").withColumn("floors", sheet_floors(F.col("name")))
 
 
-# ---------------------------------------------------------------- invented terrain tiles
-
-
-class InventedTiles(DataSource):
-    """Procedural elevation by absolute position: spark.read.format("invented_tiles").option("zoom", 4)…; a partition a tile."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "invented_tiles"
-
-    def schema(self) -> str:
-        return "tx int, ty int, px int, py int, z double"
+# ---------------------------------------------------------------- terrain tiles
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _TileReader({k.lower(): v for k, v in self.options.items()})
 
+def relief_scale(spark: SparkSession, *, amplitude: float = 2.5, extent: float | None = None, steps: int = 192, **relief) -> DataFrame:
+    """One row, scale: what brings a relief (metres, octaves, roughness, warp, seed) to an amplitude from its lowest to
+    its highest place, measured on one wide patch so that all tiles share it; 0 for a flat one."""
+    extent = relief.get("metres", 140.0) * 24 if extent is None else extent
+    n = spark.range(steps * steps).select((F.col("id") % steps * (extent / (steps - 1))).alias("x"), (F.expr(f"id div {steps}") * (extent / (steps - 1))).alias("y"))
+    spread = C.with_fbm(n, "x", "y", "v", **relief).agg((F.max("v") - F.min("v")).alias("s"))
+    return spread.select(F.when(F.col("s") > 1e-9, amplitude / F.col("s")).otherwise(0.0).alias("scale"))
 
-class _Tile(InputPartition):
-    def __init__(self, tx: int, ty: int):
-        self.tx, self.ty = tx, ty
 
+def invented_tiles(tiles: DataFrame, *, zoom: int = 15, size: int = 256, latitude: float = 35.0, amplitude: float = 2.5, **relief) -> DataFrame:
+    """Pixels (tx, ty, px, py, z) of procedural elevation for tiles (tx, ty): a function of the place on the globe, so
+    that neighbouring tiles meet, in column expressions alone."""
+    side = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    p = tiles.select("tx", "ty").withColumn("px", side).withColumn("py", side)
+    n = float(1 << zoom)
+    lon = ((F.col("tx") + (F.col("px") + 0.5) / size) / n * 2 - 1) * math.pi
+    lat = F.atan(F.sinh((1 - (F.col("ty") + (F.col("py") + 0.5) / size) / n * 2) * math.pi))
+    # one stretch for all tiles, that at the map's own latitude
+    p = p.withColumns({"_e": lon * (C.TILE_RADIUS * math.cos(math.radians(latitude))), "_s": lat * C.TILE_RADIUS})
+    scale = F.broadcast(relief_scale(tiles.sparkSession, amplitude=amplitude, **relief))  # one row
+    return C.with_fbm(p, "_e", "_s", "_v", **relief).crossJoin(scale).select("tx", "ty", "px", "py", (F.col("_v") * F.col("scale")).alias("z"))
 
-class _TileReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.box = [int(options.get(k, d)) for k, d in (("tx0", 0), ("ty0", 0), ("tx1", 1), ("ty1", 1))]
-        self.size, self.seed, self.relief = int(options.get("size", 32)), int(options.get("seed", 0)), float(options.get("relief", 40.0))
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Tile(x, y) for x in range(self.box[0], self.box[2] + 1) for y in range(self.box[1], self.box[3] + 1)]
+def cached_tiles(spark: SparkSession, folder: str, *, layer: str = "dem", zoom: int = 15, size: int = 256) -> DataFrame:
+    """Pixels (tx, ty, px, py, z) of the elevation tiles in a folder: raw 24-bit pixels, <layer>_<zoom>_<tx>_<ty>.rgb.
+    The files are scanned by Spark, so the folder may be in any store; a tile that is absent has no rows, and one of
+    another length (half a download) is left out; pixels without data are null."""
 
-    def read(self, partition: _Tile):
-        n = self.size
-        x, y = (g.ravel() / n for g in np.meshgrid(np.arange(n) + partition.tx * n, np.arange(n) + partition.ty * n))
-        z = sum(np.sin(x * f * 1.7 + self.seed + k) * np.cos(y * f * 1.3 - k) / f for k, f in enumerate((1.0, 2.0, 4.0))) * self.relief
-        for i in range(n * n):
-            yield partition.tx, partition.ty, i % n, i // n, float(z[i])
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(InventedTiles)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        py, px = np.divmod(np.arange(size * size, dtype=np.int32), np.int32(size))
+        for batch in batches:
+            for tx, ty, data in zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", "content"))):
+                r, g, b = np.frombuffer(data, np.uint8).astype(np.int64).reshape(-1, 3).T
+                code = r << 16 | g << 8 | b
+                metres = np.where(code >= 1 << 23, code - (1 << 24), code) * 0.01
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(size * size, v, np.int32)) for v in (tx, ty)), pa.array(px), pa.array(py), pa.array(metres, mask=code == 1 << 23)], names=["tx", "ty", "px", "py", "z"])
+
+    f = spark.read.format("binaryFile").option("pathGlobFilter", f"{layer}_{zoom}_*.rgb").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    at = [F.regexp_extract(name, r"_(\d+)_(\d+)\.rgb$", k).cast("int") for k in (1, 2)]
+    return f.filter(F.col("length") == 3 * size * size).select(at[0].alias("tx"), at[1].alias("ty"), "content").mapInArrow(run, "tx int, ty int, px int, py int, z double")

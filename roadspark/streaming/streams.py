@@ -21,17 +21,18 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 
 def _runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     begin, last, count = state.get if state.exists else (None, None, 0)
-    out = []
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for seq, flag in zip(rows["seq"], rows["flag"]):
-        if flag:
-            begin, last, count = (int(seq) if count == 0 else begin), int(seq), count + 1
-        else:
-            if count > 1:
-                out.append((key[0], begin, last))
-            begin, last, count = None, None, 0
+    for rows in batches:  # one Arrow batch at a time, however many vertices a key has
+        out = []
+        rows = rows.sort_values("seq")
+        for seq, flag in zip(rows["seq"], rows["flag"]):
+            if flag:
+                begin, last, count = (int(seq) if count == 0 else begin), int(seq), count + 1
+            else:
+                if count > 1:
+                    out.append((key[0], begin, last))
+                begin, last, count = None, None, 0
+        yield pd.DataFrame(out, columns=["line_id", "start", "stop"])
     state.update((begin, last, count))
-    yield pd.DataFrame(out, columns=["line_id", "start", "stop"])
 
 
 def closed_runs(vertices: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from roadspark import registry
@@ -26,7 +27,7 @@ def rows(frame):
     names = sorted(frame.columns)
     out = []
     for values in zip(*(frame[n].tolist() for n in names)):
-        out.append(tuple(None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in values))
+        out.append(tuple(None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in values))
     return names, sorted(out, key=lambda r: [(v is None, str(v)) for v in r])
 
 
