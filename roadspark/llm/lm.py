@@ -13,13 +13,14 @@ for all others.  (A caller may name a bound, filter_bytes; the segments then kee
 count for which they fit, and the unigrams left out share their mass evenly with the unknown.)
 
 Each block sends its distinct unigrams and bigrams to the segments' owners, who hold one segment's filter at a time
-and send the levels back in the same order.  The base score needs the exact count of every token, so the block also
+and send the levels back in the same order; the block's texts go to where the answers meet, once.  The base score needs the exact count of every token, so the block also
 sends its (token, text, times) triples; the owner adds up the counts, and sends each text's sum of
 tf * log10(c + 1) back to its block.
 
 Defined cases: a null text is empty, and an empty text has the end token alone; a null doc_id counts as the text
-'' in the training rule; repeated rows count each; with no training text at all every count is 0.  Tokens are
-told apart by 64-bit hashes.  Other columns of the input are not read.  The input must give the same rows when
+'' in the training rule; repeated rows count each; with no training text at all every count is 0; an empty table
+gives no rows; a text of more than BLOCK_BYTES is a block of its own, some 60 bytes a token at once.  Tokens are
+told apart by 64-bit hashes (BLAKE2b from 128 bytes on).  Other columns of the input are not read.  The input must give the same rows when
 read again, as a table does.
 """
 
@@ -69,7 +70,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         off = offsets[i : j + 1] - offsets[i]
         buf = _bytes.LOWER[raw[offsets[i] : offsets[j]]]
         start, end, bounds = _bytes.words(buf, off, _bytes.TOKEN)
-        h = _bytes.hash_spans(_bytes.prefix(buf), start, end)
+        h = _bytes.hash_words(buf, start, end)
         found.append(np.insert(h, bounds[1:], END))
         sizes.append(np.diff(bounds) + 1)
     bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
@@ -209,15 +210,12 @@ def train(docs: DataFrame, n: int, *, filter_bytes: int | None = None) -> DataFr
 
 
 def _ask_blocks(n: int):
-    """Rows for the segments' owners: a block's tokens with the texts that hold them, and its bigrams; and the block's
-    own rows, under a number of their own."""
+    """Rows for the segments' owners: a block's tokens with the texts that hold them, and its bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, names = TaskContext.get().partitionId(), ["segment", "block", "keys", "bi", "train", "texts", "of", "times", "head"]
+        names = ["segment", "block", "keys", "bi", "train", "texts", "of", "times"]
         for number, table in enumerate(blocks(batches)):
-            block = (task << 24) + number
+            block = (table.column("part")[0].as_py() << 24) + number
             h, bounds = tokens(table.column("text"))
             size = np.diff(bounds)
             held = np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
@@ -234,11 +232,7 @@ def _ask_blocks(n: int):
             for s in range(n):
                 (a, b), (c, d) = edge[s : s + 2], edge2[s : s + 2]
                 if a < b or c < d:
-                    rows.append((s, block, keys[a:b].tobytes(), (two[c:d] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), _bytes.pack(train[a:b]), _bytes.pack(texts[a:b]), _bytes.pack(text[pairs[a] : pairs[b]]), _bytes.pack(times[pairs[a] : pairs[b]]), None))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            rows.append((n + block, block, *[None] * 6, sink.getvalue().to_pybytes()))
+                    rows.append((s, block, keys[a:b].tobytes(), (two[c:d] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), _bytes.pack(train[a:b]), _bytes.pack(texts[a:b]), _bytes.pack(text[pairs[a] : pairs[b]]), _bytes.pack(times[pairs[a] : pairs[b]])))
             for k in range(0, len(rows), 256):
                 cols = list(zip(*rows[k : k + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=names)
@@ -246,14 +240,21 @@ def _ask_blocks(n: int):
     return run
 
 
-_ANSWER = "block long, segment long, texts binary, sums binary, known binary, uni binary, bi binary, head binary"
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's own rows, which wait where the answers come back; numbered as in _ask_blocks()."""
+    for number, table in enumerate(blocks(batches)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        yield pa.RecordBatch.from_arrays([pa.array([(table.column("part")[0].as_py() << 24) + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "head"])
+
+
+_ANSWER = "block long, segment long, texts binary, sums binary, known binary, uni binary, bi binary"
 
 
 def _look_up(key, pdf, segment):
     """A segment's owner: levels by its filter, counts over all blocks, and each text's sums for its block."""
     out, names = [], [c.split()[0] for c in _ANSWER.split(", ")]
-    if len(pdf) and pdf["head"].iloc[0] is not None:
-        return pd.DataFrame([dict.fromkeys(names) | {"block": b, "segment": key[0], "head": x} for b, x in zip(pdf["block"], pdf["head"])], columns=names)
     if len(pdf):
         keys = [np.frombuffer(b, "<u8") for b in pdf["keys"]]
         all_keys, count = summed(keys, [_bytes.unpack(b) for b in pdf["train"]])
@@ -267,7 +268,7 @@ def _look_up(key, pdf, segment):
             sums, known = np.bincount(of, weights=logs[at] * times), np.bincount(of, weights=times * (count[at] > 0))
             there = np.unique(of)
             bi = read_back(field, np.frombuffer(two, "<u4").astype(U64) | U64(1 << 32))
-            out.append({"block": block, "segment": key[0], "texts": _bytes.pack(there), "sums": sums[there].tobytes(), "known": _bytes.pack(known[there].astype(np.int64)), "uni": uni[place].tobytes(), "bi": bi.tobytes(), "head": None})
+            out.append({"block": block, "segment": key[0], "texts": _bytes.pack(there), "sums": sums[there].tobytes(), "known": _bytes.pack(known[there].astype(np.int64)), "uni": uni[place].tobytes(), "bi": bi.tobytes()})
     return pd.DataFrame(out, columns=names)
 
 
@@ -283,6 +284,8 @@ def _gather(tokens_n: int, types: int, rare: float):
             base[at] += np.frombuffer(sums)
             known[at] += _bytes.unpack(k).astype(np.int64)
         uni, bi = (np.frombuffer(b"".join(part[c]), np.uint8) for c in ("uni", "bi"))
+        if len(uni) != len(np.unique(h)):
+            raise ValueError("the input gave other rows when it was read again")
         score = np.add.reduceat(logs(h, bounds, uni, bi, tokens_n, rare), bounds[:-1])
         head = table.select(["doc_id", "held_out"]).to_pandas()
         return pd.DataFrame({"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": n.astype(np.int64), "n_known": known, "train_tokens": np.full(len(head), tokens_n), "base_score": base - n * np.log10(float(tokens_n + types + 1)), "score": score})
@@ -297,7 +300,11 @@ def score_documents(docs: DataFrame, *, folds: int = 7, held_out: int = 2, filte
     model = train(docs.filter(~F.col("held_out")), n, filter_bytes=filter_bytes)
     of = model.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "rest_tokens", "rest_types"))).first()
     rare = (of["rest_tokens"] + 1) / (of["tokens"] + 1) / (of["rest_types"] + 1)
-    sent = docs.mapInArrow(_ask_blocks(n), "segment long, block long, keys binary, bi binary, train binary, texts binary, of binary, times binary, head binary")
+    # both readings number their blocks by the partition that they read
+    docs = docs.withColumn("part", F.spark_partition_id())
+    sent = docs.mapInArrow(_ask_blocks(n), "segment long, block long, keys binary, bi binary, train binary, texts binary, of binary, times binary")
     back = sent.groupBy("segment").cogroup(model.select("segment", "bits").groupBy("segment")).applyInPandas(_look_up, _ANSWER)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    heads = docs.mapInArrow(_heads, "block long, head binary")
+    back = back.unionByName(heads, allowMissingColumns=True)
     return back.groupBy("block").applyInPandas(_gather(of["tokens"], of["types"], rare), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
