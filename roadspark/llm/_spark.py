@@ -15,18 +15,19 @@ HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; without that setting a cluster has none, which is an error."""
+    """This application's own folder within the shared one of spark.checkpoint.dir, to be removed when it has ended;
+    without that setting a cluster has none, which is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or LOCAL_CHECKPOINTS
+    return f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/{sc.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: no lineage, no executor holds its only copy."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,15 @@ segment of text.
 
 Texts meet their blocks in one exchange by a hash of id and text, which all steps share.
 
-Defined cases: a null text is empty; texts of under LENGTH bytes stay whole; repeated rows and copies of a text
+What the sort decides, plainly: no suffix order of the whole corpus is made.  Segments that are equal as a whole
+(copies, and the inner parts of long repeats) are found by counts of their hashes; two unlike segments of an anchor are
+compared directly; and anchors with more than HOT unlike segments go by counts of their windows' hashes.  The deep-
+shallow sort orders the segments of the anchors in between, those of 3 to HOT unlike ones, which are the edges of
+repeats.  The result is the same by every way, but for collisions of 64-bit hashes.
+
+A block holds its texts with some 80 bytes a byte of the piece (256 kB, or one longer text) that it works on.
+
+Defined cases: an empty table gives no rows; a null text is empty; texts of under LENGTH bytes stay whole; repeated rows and copies of a text
 repeat all their strings, so rows of LENGTH bytes or more lose all bytes; a null doc_id is kept; other columns are
 passed through only if named.  Segments and windows are told apart by 64-bit hashes beside their anchors'.
 """
