@@ -220,6 +220,13 @@ def ray_to_box(x: Column, y: Column, dx: Column, dy: Column, x0: Column, y0: Col
     return F.greatest(F.lit(0.0), F.coalesce(F.least(limit(x, dx, x0, x1), limit(y, dy, y0, y1)), F.lit(0.0)))
 
 
+def reach(edge: Column, obstacle: Column, *, clearance: float, least: float) -> Column:
+    """How far to go: to the edge, or to clearance before an obstacle (null: none, and none is owed to it); 0 for less
+    than the least."""
+    length = F.when(obstacle.isNull(), edge).otherwise(F.least(edge, obstacle - clearance))
+    return F.when((edge < least) | (length < least), 0.0).otherwise(length)
+
+
 def to_scene_axes(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """A y-up model turned z-up, without mirroring."""
     return x, -z, y

@@ -22,7 +22,7 @@ def stored(df: DataFrame) -> DataFrame:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -96,6 +96,15 @@ def runs(df: DataFrame, by: By, flag: str, order: str = "seq") -> DataFrame:
     return islands.agg(F.min(order).alias("start"), F.max(order).alias("stop")).filter("stop > start").drop("_g")
 
 
+def measured_runs(df: DataFrame, by: By, flag: str, least: float, order: str = "seq") -> DataFrame:
+    """runs() of df (with station) with their length, of the least length or more."""
+    w = _w(by, order)
+    on = df.withColumn("_p", F.row_number().over(w)).filter(F.coalesce(F.col(flag), F.lit(False)))
+    islands = on.withColumn("_g", F.col("_p") - F.row_number().over(w)).groupBy(*by, "_g")
+    found = islands.agg(F.min(order).alias("start"), F.max(order).alias("stop"), (F.max("station") - F.min("station")).alias("length"))
+    return found.filter((F.col("stop") > F.col("start")) & (F.col("length") >= least)).drop("_g")
+
+
 def close_gaps(df: DataFrame, by: By, flag: str, least: float, order: str = "seq") -> DataFrame:
     """df (with station) and closed: the flag, with false runs of two or more that are shorter than least and touch neither end made true."""
     w, whole = _w(by, order), Window.partitionBy(*by)

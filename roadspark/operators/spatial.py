@@ -30,6 +30,38 @@ def overlapping_boxes(df: DataFrame, cell: float, residual: Column) -> DataFrame
     return j.filter(low & residual).drop("cx", "cy")
 
 
+def touching_boxes(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs (a_*, b_*) of left and right boxes (id, x0, y0, x1, y1, …) that meet, if only in a point; each pair in the
+    cell of the overlap's lower corner alone."""
+    a, b = (cells_of_box(df, cell).select("cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for df, p in ((left, "a"), (right, "b")))
+    j = a.join(b, ["cx", "cy"]).filter("a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
+    low = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("cy"))
+    return j.filter(low).drop("cx", "cy")
+
+
+def ring_size(ring: Column) -> Column:
+    """The area of a ring (array of structs x, y without a closing point), whichever way it runs."""
+    turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.abs(F.aggregate(F.zip_with(ring, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, c: s + c)) / 2
+
+
+def behind_frontage(ring: Column, tx: Column, ty: Column, depth: Column) -> Column:
+    """A convex ring without a strip of a depth, but at most a third of its own, on the side that a unit vector points
+    to; the ring itself for a depth of 0."""
+    along = F.transform(ring, lambda p: p["x"] * tx + p["y"] * ty)
+    cut = F.array_max(along) - F.least(depth, (F.array_max(along) - F.array_min(along)) / 3)
+    turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def kept(p: Column, q: Column) -> Column:
+        a, b = p["x"] * tx + p["y"] * ty, q["x"] * tx + q["y"] * ty
+        t = (cut - a) / F.nullif(b - a, F.lit(0.0))
+        cross = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        own = F.struct(p["x"].alias("x"), p["y"].alias("y"))
+        return F.when((a <= cut) & (b <= cut), F.array(own)).when(a <= cut, F.array(own, cross)).when(b <= cut, F.array(cross)).otherwise(F.slice(F.array(own), 1, 0))
+
+    return F.when(depth <= 0, ring).otherwise(F.flatten(F.zip_with(ring, turned, kept)))
+
+
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs of left and right points (x, y; r_x, r_y) within radius, with dist."""
     near = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))

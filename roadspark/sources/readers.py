@@ -226,7 +226,7 @@ def invented_tiles(tiles: DataFrame, *, zoom: int = 15, size: int = 256, latitud
     # one stretch for all tiles, that at the map's own latitude
     p = p.withColumns({"_e": lon * (C.TILE_RADIUS * math.cos(math.radians(latitude))), "_s": lat * C.TILE_RADIUS})
     scale = F.broadcast(relief_scale(tiles.sparkSession, amplitude=amplitude, **relief))  # one row
-    return C.with_fbm(p, "_e", "_s", "_v", **relief).crossJoin(scale).select("tx", "ty", "px", "py", (F.col("_v") * F.col("scale")).alias("z"))
+    return C.with_fbm(p, "_e", "_s", "relief", **relief).crossJoin(scale).select("tx", "ty", "px", "py", (F.col("relief") * F.col("scale")).alias("z"))
 
 
 def cached_tiles(spark: SparkSession, folder: str, *, layer: str = "dem", zoom: int = 15, size: int = 256) -> DataFrame:
