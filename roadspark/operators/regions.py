@@ -239,9 +239,27 @@ def grown(polygons: list[Polygon], by: float, join: str = "round") -> list[list[
     """Polygons, and what is within a distance of them."""
     if by <= 0:
         return shrunk(polygons, -by, join) if by < 0 else union(polygons)
+    if join == "mitre":
+        wide = [pointed(p[0], by) if len(p) == 1 else None for p in polygons]
+        return union([x for p, w in zip(polygons, wide) for x in ([[w]] if w is not None else [p, *_rim(p, by, 1, join)])])
     return union([*polygons, *(b for p in polygons for b in _rim(p, by, 1, join))])
 
 
+def pointed(ring: Ring, by: float, limit: float = 5.0) -> Ring | None:
+    """A convex ring grown with pointed corners, as one ring; null for one that isn't convex, or has a sharper corner."""
+    r = np.asarray(ring, float)
+    r = r if ring_area(r) > 0 else r[::-1]
+    r = r[np.hypot(*(np.roll(r, -1, axis=0) - r).T) > TINY]
+    d = np.roll(r, -1, axis=0) - r
+    u = d / np.hypot(*d.T)[:, None]
+    before = np.roll(u, 1, axis=0)
+    if len(r) < 3 or (before[:, 0] * u[:, 1] - before[:, 1] * u[:, 0] < 0).any():
+        return None
+    m, k = np.stack((before[:, 1], -before[:, 0]), axis=1), np.stack((u[:, 1], -u[:, 0]), axis=1)
+    middle = (m + k) / np.maximum(1 + (m * k).sum(1), 1e-12)[:, None]
+    return r + middle * by if (np.hypot(*middle.T) <= limit).all() else None
+
+
 def grown_convex(ring: Ring, by: float, arc: int = 4) -> Ring:
     """A convex ring and what is within a distance of it, as one ring whose round corners have arc chords a quarter."""
     turn = np.arange(4 * arc) * (np.pi / 2 / arc)

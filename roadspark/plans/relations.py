@@ -173,11 +173,11 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return V.vertex(spark, d).select("x", "y", "z", *(F.lead(c).over(w).alias(f"{c}2") for c in "xyz")).filter("x2 is not null")
 
 
-@query(V.with_(V.VERTEX, _KERB) + "select event_id, round(min(dist), 6) as dist, round(arg_min(h, (dist, h)), 4) as height from u group by event_id")
+@query(V.with_(V.VERTEX, _KERB) + "select event_id, round(min(dist), 6) as dist, round(arg_min(h, (dist, h)), 6) as height from u group by event_id")
 def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
     """The kerb height beside every point: of the nearest of all segments, whatever line they are of."""
     p = V.vertex(spark, d).select("event_id", (F.col("x") + 1.5).alias("px"), (F.col("y") + 2.0).alias("py"))
-    return spatial.nearest_segment(p, _segments(spark, d), "event_id", 5.0).select("event_id", *r6("dist"), F.round("height", 4).alias("height"))
+    return spatial.nearest_segment(p, _segments(spark, d), "event_id", 5.0).select("event_id", *r6("dist", "height"))
 
 
 _RING = """ring as (select id, unnest([x0, x1, x1, (x0 + x1) / 2, x0]) as x, unnest([y0, y0, y1, y1 + 5, y1]) as y, unnest([1, 2, 3, 4, 5]) as seq from footprint),
