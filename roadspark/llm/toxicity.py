@@ -6,12 +6,15 @@ TRAINING_ROWS with the least hash of doc_id; its rates are each coordinate's own
 weights zero.  The weights (a fixed size, mostly zeros) are broadcast, and every text is scored whole.
 
 Defined cases: a null text is empty, and an empty text has the bias alone; a null doc_id counts as the text '' in
-the fold rule and has no label; of several labels of a doc_id the largest holds; null labels are none; without any
-label every score is 0.5; repeated rows are scored alike; other columns of the input are not read.
+the fold rule and has no label; of several labels of a doc_id the largest holds; null labels are none, and labels
+without a document don't count against TRAINING_ROWS; without any label every score is that of PRIOR, below the
+threshold, so an untrained model rejects nothing; an empty table of documents gives no rows; repeated rows are scored
+alike; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ TRAINING_ROWS = 8_192
 ROUNDS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.1
 STEMS = (4, 5, 6)
+#: What is toxic among so many rows, added to the labels' own counts: the bias starts from the rate of both.
+PRIOR = (0.1, 1.0)
 #: Predicted toxic from this score on.
 THRESHOLD = 0.3
 U64 = np.uint64
@@ -66,29 +71,36 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("turn"), pa.array(out, pa.binary())], names=["toxic", "turn", "features"])
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal, the rows in their order, over and over."""
+def rate(labels: np.ndarray) -> float:
+    """The log odds of a label 1 before any text is read."""
+    toxic, n = PRIOR[0] + float(np.sum(labels)), PRIOR[1] + len(labels)
+    return math.log(toxic / (n - toxic))
+
+
+def learn(rows: list[np.ndarray], labels: np.ndarray, *, rounds: int = ROUNDS, start: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal, the rows in their order, over and over; start: the bias before the first."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
     for _ in range(rounds):
         for f, y in zip(rows, labels):
             zf, root = z[f], np.sqrt(n[f])
             w = np.where(np.abs(zf) > L1, (np.sign(zf) * L1 - zf) / ((BETA + root) / ALPHA + L2), 0.0)
-            bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA)
+            bias = start - zb / ((BETA + np.sqrt(nb)) / ALPHA)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
             after = np.sqrt(n[f] + g * g)
             z[f] = zf + g - (after - root) / ALPHA * w
             n[f] += g * g
             after = np.sqrt(nb + g * g)
-            zb += g - (after - np.sqrt(nb)) / ALPHA * bias
+            zb += g - (after - np.sqrt(nb)) / ALPHA * (bias - start)
             nb += g * g
     w = np.where(np.abs(z) > L1, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
-    return w.astype(np.float32), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA))
+    return w.astype(np.float32), float(start - zb / ((BETA + np.sqrt(nb)) / ALPHA))
 
 
 def _learn(pdf):
     pdf = pdf.sort_values(["turn", "features"])
-    w, bias = learn([np.frombuffer(b, "<u4") for b in pdf["features"]], pdf["toxic"].to_numpy(float))
+    labels = pdf["toxic"].to_numpy(float)
+    w, bias = learn([np.frombuffer(b, "<u4") for b in pdf["features"]], labels, start=rate(labels))
     at = np.flatnonzero(w)
     return pd.DataFrame([{"at": at.astype("<u4").tobytes(), "weight": w[at].tobytes(), "bias": bias}])
 
@@ -96,14 +108,14 @@ def _learn(pdf):
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias from labels (doc_id, toxic) of docs; at most rows of them are learned from."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("turn", F.xxhash64("doc_id"))
-    known = known.orderBy("turn").limit(rows)  # so the broadcast is of rows at most
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy("turn").limit(rows)  # so the broadcast is of rows at most
     text = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "turn")
     ready = text.mapInArrow(_featured, "toxic int, turn long, features binary").orderBy("turn").limit(rows)
     got = ready.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_learn, "at binary, weight binary, bias double").collect()
     w = np.zeros(1 << BITS, np.float32)
     for r in got:
         w[np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["weight"], np.float32)
-    return w, got[0]["bias"] if got else 0.0
+    return w, got[0]["bias"] if got else rate(np.zeros(0))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -347,7 +347,12 @@ def test_toxicity(spark):
     assert {r.predicted for r in got if r.doc_id is None} == {1}
     again = {(r.doc_id, r.score) for r in toxicity.score_documents(docs, labels).collect()}
     assert again == {(r.doc_id, r.score) for r in got}
-    assert {r.score for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+    # an untrained model, or one with two clean rows, judges nothing toxic
+    clean = spark.createDataFrame([(1, 0), (2, 0), (10**9, 1)], "doc_id long, toxic int")
+    for few in (labels.limit(0), clean):
+        out = toxicity.score_documents(docs, few).collect()
+        assert len(out) == len(got) and {r.predicted for r in out} == {0} and all(0 < r.score < 0.3 for r in out)
+    assert toxicity.score_documents(docs.limit(0), labels).collect() == []
 
 
 def test_bpe(docs, rows):
