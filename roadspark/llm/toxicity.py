@@ -132,12 +132,13 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], columns: tuple[str,
         w[at] = values
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for i, f, bounds in features(batch.column("_text"), w != 0):
+            for i, f, bounds in features(batch.column(text), w != 0):
                 total[i : i + len(bounds) - 1] += np.diff(np.concatenate(([0.0], np.cumsum(w[f])))[bounds])
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*(f"c{i}" for i in range(batch.num_columns - 1)), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*(f"c{i}" for i in range(len(columns))), "score", "predicted"])
 
-    own = docs.select(F.col("text").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    text = columns.index("text") if "text" in columns else len(columns)  # a text goes to the workers once
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate([*columns, "text"][: max(len(columns), text + 1)])))
     schema = StructType([*(StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     out = own.mapInArrow(run, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "score", "predicted")
