@@ -42,45 +42,64 @@ def _heights(e: np.ndarray) -> np.ndarray:
     """Where the plane is cut: vertices and crossings."""
     found = [e[:, 1], e[:, 3]]
     d = e[:, 2:] - e[:, :2]
-    for i in range(len(e)):
-        o = e[i + 1 :]
-        near = (np.minimum(o[:, 0], o[:, 2]) <= max(e[i, 0], e[i, 2])) & (np.maximum(o[:, 0], o[:, 2]) >= min(e[i, 0], e[i, 2])) & (o[:, 1] < e[i, 3]) & (o[:, 3] > e[i, 1])
-        if not near.any():
-            continue
-        o, v = o[near], d[i + 1 :][near]
-        cross = d[i, 0] * v[:, 1] - d[i, 1] * v[:, 0]
+    low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    for k in range(0, len(e), 256):
+        mine = slice(k, k + 256)
+        i, j = np.nonzero((low[mine, None] <= high) & (high[mine, None] >= low) & (e[mine, None, 1] < e[:, 3]) & (e[mine, None, 3] > e[:, 1]))
+        i += k
+        i, j = i[i < j], j[i < j]
+        gap = e[j, :2] - e[i, :2]
+        cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((o[:, 0] - e[i, 0]) * v[:, 1] - (o[:, 1] - e[i, 1]) * v[:, 0]) / cross
-            u = ((o[:, 0] - e[i, 0]) * d[i, 1] - (o[:, 1] - e[i, 1]) * d[i, 0]) / cross
+            t = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / cross
+            u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / cross
         hit = (np.abs(cross) > 1e-14) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        found.append(e[i, 1] + t[hit] * d[i, 1])
+        found.append(e[i[hit], 1] + t[hit] * d[i[hit], 1])
     y = np.unique(np.concatenate(found))
     return y[np.concatenate(([True], np.diff(y) > TINY))] if len(y) else y
 
 
-def combine(first: list[Polygon], second: list[Polygon], keep: Callable[[bool, bool], bool]) -> list[list[Trapezoid]]:
-    """The slabs of what keep(inside any of the first, inside any of the second) says."""
+def combine(first: list[Polygon], second: list[Polygon], keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[list[Trapezoid]]:
+    """The slabs of what keep(inside any of the first, inside any of the second) says, all swept at once.
+
+    An edge enters its polygon if an even number of the polygon's own edges lie left of it in the slab, and leaves it
+    else; sums of entries less exits, from left to right, tell what is inside.
+    """
     e, of = _edges([*first, *second])
-    y, out = _heights(e), []
-    for low, high in zip(y[:-1], y[1:]):
-        mid = (low + high) / 2
-        k = np.flatnonzero((e[:, 1] < mid) & (e[:, 3] > mid))
-        slope = (e[k, 2] - e[k, 0]) / (e[k, 3] - e[k, 1])
-        at = lambda h: e[k, 0] + (h - e[k, 1]) * slope  # noqa: E731, B023
-        x0, x1, order = at(low), at(high), np.argsort(at(mid), kind="stable")
-        odd, count, row, begin = set(), [0, 0], [], None
-        for i in order:
-            p = int(of[k[i]])
-            odd ^= {p}
-            count[p >= len(first)] += 1 if p in odd else -1
-            inside = keep(count[0] > 0, count[1] > 0)
-            if inside and begin is None:
-                begin = i
-            elif not inside and begin is not None:
-                if max(x0[i] - x0[begin], x1[i] - x1[begin]) > TINY:
-                    row.append((float(low), float(high), float(x0[begin]), float(x1[begin]), float(x0[i]), float(x1[i])))
-                begin = None
-        out.append(row)
+    y = _heights(e)
+    if len(y) < 2:
+        return []
+    middle = (y[:-1] + y[1:]) / 2
+    begin, end = np.searchsorted(middle, e[:, 1], side="right"), np.searchsorted(middle, e[:, 3], side="left")
+    n = np.maximum(end - begin, 0)
+    edge = np.repeat(np.arange(len(e)), n)
+    slab = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[edge]
+    slope = (e[edge, 2] - e[edge, 0]) / (e[edge, 3] - e[edge, 1])
+    at = lambda h: e[edge, 0] + (h - e[edge, 1]) * slope
+    x, whose = at(middle[slab]), of[edge]
+    own = np.lexsort((x, whose, slab))
+    new = np.ones(len(own), bool)
+    new[1:] = (slab[own[1:]] != slab[own[:-1]]) | (whose[own[1:]] != whose[own[:-1]])
+    place = np.arange(len(own))
+    sign = np.empty(len(own), np.int64)
+    sign[own] = 1 - 2 * ((place - np.maximum.accumulate(np.where(new, place, 0))) & 1)
+    order = np.lexsort((x, slab))
+    slab, x0, x1 = slab[order], at(y[slab])[order], at(y[slab + 1])[order]
+    second_ = whose[order] >= len(first)
+    sign = sign[order]
+    inside = keep(np.cumsum(np.where(second_, 0, sign)) > 0, np.cumsum(np.where(second_, sign, 0)) > 0)
+    before = np.concatenate(([False], inside[:-1]))
+    left, right = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    wide = np.maximum(x0[right] - x0[left], x1[right] - x1[left]) > TINY
+    left, right = left[wide], right[wide]
+    if not len(left):
+        return [[] for _ in middle]
+    # neighbours that share a side are one
+    apart = (slab[left[1:]] != slab[left[:-1]]) | (np.maximum(np.abs(x0[left[1:]] - x0[right[:-1]]), np.abs(x1[left[1:]] - x1[right[:-1]])) > TINY)
+    left, right = left[np.concatenate(([True], apart))], right[np.concatenate((apart, [True]))]
+    out: list[list[Trapezoid]] = [[] for _ in middle]
+    for i, *t in zip(slab[left].tolist(), y[slab[left]].tolist(), y[slab[left] + 1].tolist(), x0[left].tolist(), x1[left].tolist(), x0[right].tolist(), x1[right].tolist()):
+        out[i].append(tuple(t))
     return out
 
 
@@ -89,11 +108,11 @@ def union(polygons: list[Polygon]) -> list[list[Trapezoid]]:
 
 
 def intersection(first: list[Polygon], second: list[Polygon]) -> list[list[Trapezoid]]:
-    return combine(first, second, lambda a, b: a and b)
+    return combine(first, second, lambda a, b: a & b)
 
 
 def difference(first: list[Polygon], second: list[Polygon]) -> list[list[Trapezoid]]:
-    return combine(first, second, lambda a, b: a and not b)
+    return combine(first, second, lambda a, b: a & ~b)
 
 
 def _size(t: Trapezoid) -> float:

@@ -22,7 +22,7 @@ from roadspark.plans.sequences import r6
 BLOCK = 50.0
 
 
-def _turned(spark: SparkSession, d: str) -> DataFrame:
+def turned(spark: SparkSession, d: str) -> DataFrame:
     """Turned boxes as road pieces: id, kind, ring (array of x, y), and the box x0, y0, x1, y1 around."""
     f = V.footprint(spark, d)
     t = F.radians(F.col("id") % 45)
@@ -57,7 +57,7 @@ def dissolved(spark: SparkSession, d: str) -> DataFrame:
         mine = regions.intersection([[r] for r in rings], [[square]])
         return [(regions.area(mine), len(regions.parts(mine)), len(regions.outlines(mine)))]
 
-    return _by_block(_turned(spark, d), 0.0, "bx long, by long, area double, parts int, rings int", f).select("bx", "by", *r6("area"), "parts", "rings")
+    return _by_block(turned(spark, d), 0.0, "bx long, by long, area double, parts int, rings int", f).select("bx", "by", *r6("area"), "parts", "rings")
 
 
 @query()
@@ -70,7 +70,7 @@ def buildable_area(spark: SparkSession, d: str) -> DataFrame:
         free = regions.parts(regions.difference([[square]], wide))
         return [(i, a, len(regions.holes(p))) for i, (p, a) in enumerate((p, regions.area(p)) for p in free) if a > 1.0]
 
-    return _by_block(_turned(spark, d), 3.0, "bx long, by long, part int, area double, holes int", f).select("bx", "by", "part", *r6("area"), "holes")
+    return _by_block(turned(spark, d), 3.0, "bx long, by long, part int, area double, holes int", f).select("bx", "by", "part", *r6("area"), "holes")
 
 
 @query()
@@ -86,7 +86,7 @@ def clip_crosswalks(spark: SparkSession, d: str) -> DataFrame:
                 out += [(int(i), k, regions.area(p)) for k, p in enumerate(regions.parts(regions.intersection(own, road))) if regions.area(p) >= 0.5]
         return out
 
-    return _by_block(_turned(spark, d), 0.0, "bx long, by long, id long, piece int, area double", f).select("bx", "by", "id", "piece", *r6("area"))
+    return _by_block(turned(spark, d), 0.0, "bx long, by long, id long, piece int, area double", f).select("bx", "by", "id", "piece", *r6("area"))
 
 
 @query()
@@ -104,7 +104,7 @@ def clip_walkways(spark: SparkSession, d: str) -> DataFrame:
                     out.append((int(i), left, whole - left))
         return out
 
-    return _by_block(_turned(spark, d), 0.0, "bx long, by long, id long, kept double, removed double", f).select("bx", "by", "id", *r6("kept", "removed"))
+    return _by_block(turned(spark, d), 0.0, "bx long, by long, id long, kept double, removed double", f).select("bx", "by", "id", *r6("kept", "removed"))
 
 
 @query()
@@ -115,7 +115,7 @@ def infill_roads(spark: SparkSession, d: str) -> DataFrame:
         inside = [[c] for r in rings for c in [kernels.clip_convex(r, square)] if len(c) > 2]
         return [(i, regions.area(p)) for i, p in enumerate(regions.infill(inside, 0.5, 0.05, 40.0))]
 
-    return _by_block(_turned(spark, d), 0.0, "bx long, by long, patch int, area double", f).select("bx", "by", "patch", *r6("area"))
+    return _by_block(turned(spark, d), 0.0, "bx long, by long, patch int, area double", f).select("bx", "by", "patch", *r6("area"))
 
 
 @query()
@@ -128,7 +128,7 @@ def carriageway_holes(spark: SparkSession, d: str) -> DataFrame:
         size = [abs(kernels.area(h)) for h in found]
         return [(sum(narrow), len(found) - sum(narrow), float(sum(size)), float(max(size, default=0.0)))]
 
-    return _by_block(_turned(spark, d), 0.0, "bx long, by long, seams int, openings int, area double, largest double", f).select("bx", "by", "seams", "openings", *r6("area", "largest"))
+    return _by_block(turned(spark, d), 0.0, "bx long, by long, seams int, openings int, area double, largest double", f).select("bx", "by", "seams", "openings", *r6("area", "largest"))
 
 
 @query()
@@ -145,4 +145,4 @@ def cover_triangles(spark: SparkSession, d: str) -> DataFrame:
                 rows.append((int(i), len(t), float(sum(kernels.area(x) for x in t))))
             yield pd.DataFrame(rows, columns=["id", "triangles", "area"])
 
-    return _turned(spark, d).select("id", "ring").mapInPandas(run, "id long, triangles int, area double").select("id", "triangles", *r6("area"))
+    return turned(spark, d).select("id", "ring").mapInPandas(run, "id long, triangles int, area double").select("id", "triangles", *r6("area"))

@@ -137,41 +137,6 @@ def longest_route(spark: SparkSession, d: str) -> DataFrame:
     return graph.longest_walk(graph.walks(spark, edges, {i: 10.0 + i % 13 for i in range(n)}, 400, 5)).select("attempt", F.size("path").alias("lanes"), *r6("length"))
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of 10 x 10 blocks (block, i, j, z), one in three unknown."""
-    p = V.table(spark, d, "part").select("p_partkey", "p_size")
-    at = F.col("p_partkey") % 100
-    return p.select(F.expr("p_partkey div 100").alias("block"), F.expr("cast(p_partkey % 100 div 10 as int)").alias("i"), (at % 10).cast("int").alias("j"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size").cast("double")).alias("z"))
-
-
-def _grid(pdf: pd.DataFrame) -> np.ndarray:
-    z = np.full((10, 10), np.nan)
-    z[pdf["i"], pdf["j"]] = pdf["z"]
-    return z
-
-
-@query()
-def solve_membrane(spark: SparkSession, d: str) -> DataFrame:
-    """Unknown cells of each block by a membrane through the known ones."""
-
-    def run(pdf):
-        z = kernels.solve(_grid(pdf))
-        return pd.DataFrame({"block": pdf["block"], "i": pdf["i"], "j": pdf["j"], "z": np.round(z[pdf["i"], pdf["j"]], 4)})
-
-    return _blocks(spark, d).groupBy("block").applyInPandas(run, "block long, i int, j int, z double")
-
-
-@query()
-def solve_plate(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a thin plate under a ceiling of 45, smoothed, put under the ceiling again and settled anew."""
-
-    def run(pdf):
-        z = kernels.settle(_grid(pdf), np.full((10, 10), 45.0), 2, 0.7)
-        return pd.DataFrame({"block": pdf["block"], "i": pdf["i"], "j": pdf["j"], "z": np.round(z[pdf["i"], pdf["j"]], 3)})
-
-    return _blocks(spark, d).groupBy("block").applyInPandas(run, "block long, i int, j int, z double")
-
-
 @query()
 def cut_backdrop(spark: SparkSession, d: str) -> DataFrame:
     """Share of each picture (a disc before a plain backdrop) that is cut out as its subject."""
