@@ -27,6 +27,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many parts as the session has shuffle partitions, and its cores at least: rows that are
+    few but take long each aren't gathered into one task for being few."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def adjacency(ends: DataFrame) -> DataFrame:
     """Ordered pairs (a, b), a <> b, of lanes (lane_id, s, e) that share an end of either kind."""
     touch = ends.select(F.col("lane_id").alias("a"), F.explode(F.array_distinct(F.array("s", "e"))).alias("key"))

@@ -1,134 +1,83 @@
-"""Queries over areas, one block of the map at a time.
+"""Queries over areas of the whole map, level by level.
 
-Blocks are cells of a grid; a shape is listed in every block that it comes near, and each block works on its own part
-of the plane, so that the blocks' areas add up.  SQL has no polygons; the tests hold the kernels to plain sampling.
+SQL has no polygons: dissolved() goes over upright boxes, whose parts SQL can find, and the tests hold the others to one
+union of all shapes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.operators import kernels, regions, spatial
+from roadspark.operators import areas, kernels, regions
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
 
-#: Metres of a block.
-BLOCK = 50.0
-
 
 def turned(spark: SparkSession, d: str) -> DataFrame:
-    """Turned boxes as road pieces: id, kind, ring (array of x, y), and the box x0, y0, x1, y1 around."""
+    """Turned boxes as road pieces: id, kind (their level), and ring (array of x, y)."""
     f = V.footprint(spark, d)
     t = F.radians(F.col("id") % 45)
     cx, cy, hx, hy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, (F.col("x1") - F.col("x0")) / 5, (F.col("y1") - F.col("y0")) / 5
     corner = lambda u, v: F.array(cx + F.cos(t) * hx * u - F.sin(t) * hy * v, cy + F.sin(t) * hx * u + F.cos(t) * hy * v)
-    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
-    p = f.select("id", (F.col("id") % 4).alias("kind"), ring.alias("ring"))
-    at = {f"{c}{n}": f_(F.transform("ring", (lambda q: q[0]) if c == "x" else (lambda q: q[1]))) for c in "xy" for n, f_ in ((0, F.array_min), (1, F.array_max))}
-    return p.withColumns(at)
-
-
-def _by_block(shapes: DataFrame, reach: float, schema: str, f: Callable[[list, list, list], list]) -> DataFrame:
-    """f(block's own square, ids, kinds and rings) of each block, with the shapes that come within reach of it."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, y = key[0] * BLOCK, key[1] * BLOCK
-        square = np.array([[x, y], [x + BLOCK, y], [x + BLOCK, y + BLOCK], [x, y + BLOCK]])
-        rings = [np.array([list(p) for p in r], float) for r in pdf["ring"]]
-        return pd.DataFrame([(int(key[0]), int(key[1]), *row) for row in f(square, list(zip(pdf["id"], pdf["kind"])), rings)], columns=names)
-
-    wide = shapes.withColumns({"x0": F.col("x0") - reach, "y0": F.col("y0") - reach, "x1": F.col("x1") + reach, "y1": F.col("y1") + reach})
-    return spatial.cells_of_box(wide, BLOCK).select("cx", "cy", "id", "kind", "ring").groupBy("cx", "cy").applyInPandas(run, schema)
-
-
-@query()
+    return f.select("id", (F.col("id") % 4).alias("kind"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
+
+
+@query(
+    "with recursive "
+    + V.FOOTPRINT
+    + """, touch as (
+  select a.id as a, b.id as b from footprint a join footprint b on a.mean_z = b.mean_z and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1
+    and (least(a.x1, b.x1) > greatest(a.x0, b.x0) or least(a.y1, b.y1) > greatest(a.y0, b.y0))),
+reach as (select a, b from touch union select r.a, e.b from reach r join touch e on r.b = e.a),
+part as (select a as id, min(b) as name from reach group by a),
+half as (select distinct name, x, y from (select name, y0, y1, unnest(range(x0::bigint, x1::bigint)) as x from footprint join part using (id)), unnest(range((2 * y0)::bigint, (2 * y1)::bigint)) as t(y)),
+size as (select name, count(*) * 0.5 as area from half group by name)
+select any_value(mean_z) as level, round(any_value(area), 6)::double as area, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from footprint join part using (id) join size using (name) group by name"""
+)
 def dissolved(spark: SparkSession, d: str) -> DataFrame:
-    """Each block's area under any road piece, and how many parts and rings it has."""
-
-    def f(square, who, rings):
-        mine = regions.intersection([[r] for r in rings], [[square]])
-        return [(regions.area(mine), len(regions.parts(mine)), len(regions.outlines(mine)))]
-
-    return _by_block(turned(spark, d), 0.0, "bx long, by long, area double, parts int, rings int", f).select("bx", "by", *r6("area"), "parts", "rings")
+    """The parts of what upright boxes of a level cover together: area and bounds."""
+    f = V.footprint(spark, d)
+    ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    return areas.dissolved(f.select(F.col("mean_z").alias("level"), ring.alias("ring")), keys=["level"]).select("level", *r6("area", "x0", "y0", "x1", "y1"))
 
 
 @query()
 def buildable_area(spark: SparkSession, d: str) -> DataFrame:
-    """Each block without its roads and 3 m beside them (round corners of four chords a quarter): the parts of more than a
-    square metre, holes kept."""
-
-    def f(square, who, rings):
-        wide = [[regions.grown_convex(r, 3.0)] for r in rings]
-        free = regions.parts(regions.difference([[square]], wide))
-        return [(i, a, len(regions.holes(p))) for i, (p, a) in enumerate((p, regions.area(p)) for p in free) if a > 1.0]
-
-    return _by_block(turned(spark, d), 3.0, "bx long, by long, part int, area double, holes int", f).select("bx", "by", "part", *r6("area"), "holes")
+    """The map without its roads and 3 m beside them: the parts of more than a square metre."""
+    f = V.footprint(spark, d).agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    return areas.free_ground(turned(spark, d), beside=3.0, least=1.0, extent=tuple(f) if f[0] is not None else (0.0, 0.0, 1.0, 1.0)).select(*r6("area", "x0", "y0", "x1", "y1"))
 
 
 @query()
 def clip_crosswalks(spark: SparkSession, d: str) -> DataFrame:
-    """Crossings on the carriageway: of each crossing in a block, the pieces of half a square metre or more there."""
-
-    def f(square, who, rings):
-        road = [[r] for r, (_, kind) in zip(rings, who) if kind > 0]
-        out = []
-        for r, (i, kind) in zip(rings, who):
-            if kind == 0:
-                own = regions.as_polygons(regions.intersection([[r]], [[square]]))
-                out += [(int(i), k, regions.area(p)) for k, p in enumerate(regions.parts(regions.intersection(own, road))) if regions.area(p) >= 0.5]
-        return out
-
-    return _by_block(turned(spark, d), 0.0, "bx long, by long, id long, piece int, area double", f).select("bx", "by", "id", "piece", *r6("area"))
+    """Crossings on the carriageway: the pieces of each, of half a square metre or more."""
+    p = turned(spark, d)
+    found = areas.clipped(p.filter("kind = 0"), p.filter("kind > 0"), inside=True, least=0.5)
+    return found.select("id", F.posexplode("parts").alias("piece", "area")).select("id", "piece", *r6("area"))
 
 
 @query()
 def clip_walkways(spark: SparkSession, d: str) -> DataFrame:
-    """Footways off the carriageway: what of each is left in a block, and what was taken off."""
-
-    def f(square, who, rings):
-        road = [[r] for r, (_, kind) in zip(rings, who) if kind > 0]
-        out = []
-        for r, (i, kind) in zip(rings, who):
-            if kind == 0:
-                own = regions.as_polygons(regions.intersection([[r]], [[square]]))
-                if own:
-                    whole, left = regions.area(regions.union(own)), regions.area(regions.difference(own, road))
-                    out.append((int(i), left, whole - left))
-        return out
-
-    return _by_block(turned(spark, d), 0.0, "bx long, by long, id long, kept double, removed double", f).select("bx", "by", "id", *r6("kept", "removed"))
+    """Footways off the carriageway: what of each is left, and what was taken off."""
+    p = turned(spark, d)
+    found = areas.clipped(p.filter("kind = 0"), p.filter("kind > 0"), inside=False)
+    return found.select("id", F.col("left").alias("kept"), (F.col("whole") - F.col("left")).alias("removed")).select("id", *r6("kept", "removed"))
 
 
 @query()
 def infill_roads(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps of up to a metre between road pieces of a block: the patches of 0.05 to 40 square metres that fill them."""
-
-    def f(square, who, rings):
-        inside = [[c] for r in rings for c in [kernels.clip_convex(r, square)] if len(c) > 2]
-        return [(i, regions.area(p)) for i, p in enumerate(regions.infill(inside, 0.5, 0.05, 40.0))]
-
-    return _by_block(turned(spark, d), 0.0, "bx long, by long, patch int, area double", f).select("bx", "by", "patch", *r6("area"))
+    """Gaps of up to a metre between road pieces of a level: the patches of 0.05 to 40 square metres that fill them."""
+    return areas.infill(turned(spark, d), gap=0.5, least=0.05, most=40.0, keys=["kind"]).select("kind", *r6("area", "x0", "y0", "x1", "y1"))
 
 
 @query()
 def carriageway_holes(spark: SparkSession, d: str) -> DataFrame:
-    """Holes that road pieces of a block surround: seams, nowhere wider than a metre, and openings."""
-
-    def f(square, who, rings):
-        found = regions.holes(regions.intersection([[r] for r in rings], [[square]]))
-        narrow = [regions.is_narrow(h, 1.0) for h in found]
-        size = [abs(kernels.area(h)) for h in found]
-        return [(sum(narrow), len(found) - sum(narrow), float(sum(size)), float(max(size, default=0.0)))]
-
-    return _by_block(turned(spark, d), 0.0, "bx long, by long, seams int, openings int, area double, largest double", f).select("bx", "by", "seams", "openings", *r6("area", "largest"))
+    """Holes that road pieces surround: seams, nowhere wider than a metre, and openings."""
+    return areas.holes(turned(spark, d), narrow=1.0).select("seam", *r6("area", "x0", "y0", "x1", "y1"))
 
 
 @query()
