@@ -18,7 +18,7 @@ from roadspark.plans.sequences import r6
 _RINGS = 64
 
 
-def _plots(spark: SparkSession, d: str) -> DataFrame:
+def plots(spark: SparkSession, d: str) -> DataFrame:
     """Four-sided plots (id, ring), turned and uneven, from part."""
     p = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
     a, b, t = F.col("p_size") + 8.0, (F.col("p_size") % 11) + 5.0, F.radians(F.col("id") % 180)
@@ -47,7 +47,7 @@ def _ring(r) -> np.ndarray:
 @query()
 def plan_dimensions(spark: SparkSession, d: str) -> DataFrame:
     """Long and short side and heading of each plot's smallest rectangle."""
-    out = _each(_plots(spark, d), "id long, long_side double, short_side double, heading double", lambda r: [(r.id, *kernels.rotated_rectangle(_ring(r)))])
+    out = _each(plots(spark, d), "id long, long_side double, short_side double, heading double", lambda r: [(r.id, *kernels.rotated_rectangle(_ring(r)))])
     return out.select("id", *r6("long_side", "short_side", "heading"))
 
 
@@ -62,7 +62,7 @@ select id, round(any_value(mx), 6) as x, round(any_value(my), 6) as y, round(max
 )
 def enclosing_circle(spark: SparkSession, d: str) -> DataFrame:
     """The middle of each plot's box, and its furthest corner."""
-    p = _plots(spark, d)
+    p = plots(spark, d)
     xs, ys = F.transform("ring", lambda q: q[0]), F.transform("ring", lambda q: q[1])
     p = p.withColumns({"x": (F.array_min(xs) + F.array_max(xs)) / 2, "y": (F.array_min(ys) + F.array_max(ys)) / 2})
     far = F.array_max(F.transform("ring", lambda q: F.sqrt(F.pow(q[0] - F.col("x"), 2) + F.pow(q[1] - F.col("y"), 2))))
@@ -72,20 +72,20 @@ def enclosing_circle(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def plot_inset(spark: SparkSession, d: str) -> DataFrame:
     """Plots drawn in until they cover 60 % of their ground."""
-    out = _each(_plots(spark, d), "id long, whole double, built double", lambda r: [(r.id, abs(kernels.area(_ring(r))), abs(kernels.area(kernels.inset_to_share(_ring(r), 0.6))))])
+    out = _each(plots(spark, d), "id long, whole double, built double", lambda r: [(r.id, abs(kernels.area(_ring(r))), abs(kernels.area(kernels.inset_to_share(_ring(r), 0.6))))])
     return out.select("id", *r6("whole", "built"))
 
 
 @query()
 def split_lots(spark: SparkSession, d: str) -> DataFrame:
     """Lots of blocks, halved down to 120 square metres; each block has a stream of its own."""
-    out = _each(_plots(spark, d), "id long, lot int, area double", lambda r: [(r.id, i, abs(kernels.area(x))) for i, x in enumerate(kernels.split_lots(_ring(r), 120.0, 20.0, int(r.id)))])
+    out = _each(plots(spark, d), "id long, lot int, area double", lambda r: [(r.id, i, abs(kernels.area(x))) for i, x in enumerate(kernels.split_lots(_ring(r), 120.0, 20.0, int(r.id)))])
     return out.select("id", "lot", *r6("area"))
 
 
 @query()
 def triangulate(spark: SparkSession, d: str) -> DataFrame:
-    out = _each(_plots(spark, d), "id long, face int, a int, b int, c int", lambda r: [(r.id, i, *t) for i, t in enumerate(kernels.ear_clip(_ring(r)))])
+    out = _each(plots(spark, d), "id long, face int, a int, b int, c int", lambda r: [(r.id, i, *t) for i, t in enumerate(kernels.ear_clip(_ring(r)))])
     return out
 
 
@@ -98,7 +98,7 @@ def fit_footprint(spark: SparkSession, d: str) -> DataFrame:
         c, s = np.cos(0.7), np.sin(0.7)
         return [(r.id, *kernels.best_fit(ring @ np.array([[c, s], [-s, c]]) * 2, ring))]
 
-    return _each(_plots(spark, d), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
+    return _each(plots(spark, d), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
 
 
 @query()
@@ -158,7 +158,7 @@ def paint_strips(spark: SparkSession, d: str) -> DataFrame:
         ring = _ring(r)
         return [(r.id, float(kernels.raster((ring - ring.min(0)) / max(np.ptp(ring, axis=0).max(), 1e-9) * 16, 16, 16).sum()))]
 
-    return _each(_plots(spark, d), "id long, pixels double", one).select("id", *r6("pixels"))
+    return _each(plots(spark, d), "id long, pixels double", one).select("id", *r6("pixels"))
 
 
 @query()

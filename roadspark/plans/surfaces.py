@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadspark.operators import roofs as buildings
 from roadspark.operators import surface
 from roadspark.plans import areas
 from roadspark.plans import views as V
@@ -87,3 +88,57 @@ def ground_left(spark: SparkSession, d: str) -> DataFrame:
     box = F.array(*(F.array(F.col(x), F.col(y), F.col("mean_z")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
     mesh = surface.ground_mesh(nodes, V.footprint(spark, d).select("id", box.alias("ring")), cell=CELL, gap=0.0)
     return mesh.withColumn("area", surface.plan_area()).groupBy("ix", "iy").agg(F.sum("area").alias("area")).select("ix", "iy", *r6("area"))
+
+
+# ---------------------------------------------------------------- buildings
+
+
+def houses(spark: SparkSession, d: str) -> DataFrame:
+    """Upright and turned rectangles as buildings: id, rings, base, height and a form of roof."""
+    p = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    a, b, t = F.col("p_size") + 8.0, F.col("p_size") % 11 + 5.0, F.radians(F.col("id") % 180)
+    corner = lambda u, v: F.array(F.cos(t) * u - F.sin(t) * v, F.sin(t) * u + F.cos(t) * v)
+    ring = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(a, F.lit(0.0)), corner(a, b), corner(F.lit(0.0), b))
+    form = F.element_at(F.array(*map(F.lit, buildings.FORMS)), (F.col("id") % 4 + 1).cast("int"))
+    return p.select("id", F.array(ring).alias("rings"), F.lit(0.0).alias("base"), (F.col("p_size") % 9 * 3.5 + 3.5).alias("height"), form.alias("form"))
+
+
+@query(
+    """with h as (
+  select p_partkey as id, greatest(p_size + 8.0::double, p_size % 11 + 5.0::double) as l, least(p_size + 8.0::double, p_size % 11 + 5.0::double) as w,
+    p_size % 9 * 3.5::double + 3.5 as top, p_partkey % 4 as form, case p_partkey % 4 when 0 then 0.0 when 3 then 0.225 else 0.45 end::double as s from part)
+select id, round(case when form = 0 then l * w else (l + 1) * (w + 1) * sqrt(1 + s * s) end, 4) as roof_area,
+  round(case form when 1 then 0.45 * w * w / 2 when 3 then 0.225 * w * (l + w) else 0 end, 4)::double as gable_area,
+  round(2 * (l + w) * (top + 1), 4) as wall_area,
+  round(top - s * 0.5, 6) as low, round(top + case when form = 3 then s * (w + 0.5) else s * w / 2 end, 6) as high
+from h"""
+)
+def roof_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Of each building the area of its roof, of the walls that close it and of those below, and the roof's ends."""
+    f = buildings.buildings(houses(spark, d), "id")
+    xyz = lambda q: [q[c] for c in "xyz"]
+    n = F.size("corners")
+
+    def doubled(axis: int):
+        """Twice the face's area in the plane across an axis: the sum of its sides' cross products."""
+        i, j = [(1, 2), (2, 0), (0, 1)][axis]
+        at = lambda k: F.element_at("corners", F.when(k + 2 > n, 1).otherwise(k + 2).cast("int"))
+        return F.aggregate(F.transform("corners", lambda p, k: xyz(p)[i] * xyz(at(k))[j] - xyz(at(k))[i] * xyz(p)[j]), F.lit(0.0), lambda a, v: a + v)
+
+    area = F.sqrt(sum((doubled(k) * doubled(k) for k in range(3)), F.lit(0.0))) / 2
+    z = F.transform("corners", lambda p: p["z"])
+    f = f.select("id", "kind", area.alias("area"), F.array_min(z).alias("low"), F.array_max(z).alias("high"))
+    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("area"))), F.lit(0.0)), 4).alias(f"{kind}_area")
+    ends = (F.round(g(F.when(F.col("kind") == "roof", F.col(c))), 6).alias(c) for g, c in ((F.min, "low"), (F.max, "high")))
+    return f.groupBy("id").agg(of("roof"), of("gable"), of("wall"), *ends)
+
+
+@query()
+def building_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Faces of buildings on uneven plots, with a plinth: corners, and the sheet's width and height on each."""
+    from roadspark.plans.shapes import plots
+
+    h = houses(spark, d).drop("rings").join(plots(spark, d).select("id", F.array("ring").alias("rings")), "id")
+    f = buildings.buildings(h, "id", plinth=0.35)
+    u, v = F.transform("corners", lambda p: p["u"]), F.transform("corners", lambda p: p["v"])
+    return f.select("id", "kind", "face", F.size("corners").alias("n"), F.round(F.array_max(u) - F.array_min(u), 6).alias("sheet_width"), F.round(F.array_max(v) - F.array_min(v), 6).alias("sheet_height"))
