@@ -1,12 +1,13 @@
-"""The ground as one surface: heights of a whole grid, and its mesh around the roads."""
+"""Heights of a whole grid, the ground's mesh around the roads, buildings, and roads run on to the map's edge."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadspark.functions import scalar as C
+from roadspark.operators import extend, surface
 from roadspark.operators import roofs as buildings
-from roadspark.operators import surface
 from roadspark.plans import areas
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
@@ -142,3 +143,51 @@ def building_faces(spark: SparkSession, d: str) -> DataFrame:
     f = buildings.buildings(h, "id", plinth=0.35)
     u, v = F.transform("corners", lambda p: p["u"]), F.transform("corners", lambda p: p["v"])
     return f.select("id", "kind", "face", F.size("corners").alias("n"), F.round(F.array_max(u) - F.array_min(u), 6).alias("sheet_width"), F.round(F.array_max(v) - F.array_min(v), 6).alias("sheet_height"))
+
+
+# ---------------------------------------------------------------- roads run on
+
+
+def _edge(spark: SparkSession, d: str, shapes: DataFrame, margin: float) -> DataFrame:
+    """One row: the map's edge, a margin around all rings (ring: array of x, y)."""
+    at = lambda axis: F.transform("ring", lambda p: p[axis])
+    return shapes.agg(*((g(h(at(k))) + by).alias(n) for n, g, h, k, by in (("x0", F.min, F.array_min, 0, -margin), ("y0", F.min, F.array_min, 1, -margin), ("x1", F.max, F.array_max, 0, margin), ("y1", F.max, F.array_max, 1, margin))))
+
+
+@query(
+    V.with_(V.FOOTPRINT)
+    + """, s as (select id, x1, y0, y1, (select max(x1) from footprint) + 30 - x1 as way from footprint),
+hit as (
+  select s.id, min(greatest(0, f.x0 - s.x1)) as obstacle from s join footprint f
+  on f.id <> s.id and greatest(0, least(f.x1, s.x1 + way) - greatest(f.x0, s.x1)) * greatest(0, least(f.y1, s.y1) - greatest(f.y0, s.y0)) > 0.05 group by s.id)
+select id, round(way, 6) as way, round(obstacle, 6) as obstacle,
+  round(case when way < 2 then 0 when obstacle is null then way when least(way, obstacle - 1.5) < 2 then 0 else least(way, obstacle - 1.5) end, 6)::double as length
+from s left join hit using (id)"""
+)
+def blocked_stubs(spark: SparkSession, d: str) -> DataFrame:
+    """Lanes that end to the east: how far it is to the map's edge, what is in the way, and how far they may go on."""
+    f = V.footprint(spark, d)
+    ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    rings = f.select("id", ring.alias("ring"))
+    ends = f.crossJoin(F.broadcast(_edge(spark, d, rings, 30.0).select(F.col("x1").alias("edge"))))
+    stubs = ends.select("id", F.col("x1").alias("lx"), F.col("y1").alias("ly"), F.col("x1").alias("rx"), F.col("y0").alias("ry"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), (F.col("edge") - F.col("x1")).alias("limit"))
+    got = extend.blocked(stubs, rings, ["id"], "id")
+    return got.select("id", F.col("limit").alias("way"), "obstacle", C.reach(F.col("limit"), F.col("obstacle"), clearance=1.5, least=2.0).alias("length")).select("id", *r6("way", "obstacle", "length"))
+
+
+@query()
+def extensions(spark: SparkSession, d: str) -> DataFrame:
+    """Turned lanes, both ends: those that leave the survey within 60 m are run on to the map's edge, in order, each short of
+    what is there and of what was granted before."""
+    rings = areas.turned(spark, d).select("id", "ring")
+    p = lambda k, axis: F.element_at(F.element_at("ring", k + 1), axis + 1)
+    ends = []
+    for side, left, right, far in (("end", 2, 1, 3), ("start", 0, 3, 1)):
+        dx, dy = p(left, 0) - p(far, 0), p(left, 1) - p(far, 1)
+        n = F.sqrt(dx * dx + dy * dy)
+        ends.append(rings.select("id", F.lit(side).alias("side"), *(p(k, a).alias(f"{s}{c}") for s, k in (("l", left), ("r", right)) for a, c in enumerate("xy")), (dx / n).alias("dx"), (dy / n).alias("dy")))
+    edge = _edge(spark, d, rings, 30.0)
+    stubs = ends[0].unionByName(ends[1]).crossJoin(F.broadcast(edge))
+    stubs = stubs.withColumn("limit", C.ray_to_box((F.col("lx") + F.col("rx")) / 2, (F.col("ly") + F.col("ry")) / 2, *(F.col(c) for c in ("dx", "dy", "x0", "y0", "x1", "y1")))).drop("x0", "y0", "x1", "y1")
+    out = extend.leaves(stubs, extend.outline(rings), margin=30.0, within=60.0).filter("leaves").drop("leaves")
+    return extend.granted(out, rings, ["id", "side"], "id", clearance=1.5, least=2.0).select("id", "side", *r6("length"))
