@@ -200,51 +200,67 @@ def ear_clip(ring: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def best_fit(mesh: np.ndarray, plot: np.ndarray, turns: int = 360, halvings: int = 40, stretch: float = 0.15, stretches: int = 13) -> tuple[float, float, float]:
+def golden(f, low: float, high: float, steps: int = 60) -> tuple[float, float]:
+    """The largest value of f between low and high, where it has one hill, and its place."""
+    ratio = (np.sqrt(5) - 1) / 2
+    at = [high - ratio * (high - low), low + ratio * (high - low)]
+    value = [f(x) for x in at]
+    for _ in range(steps):
+        if value[0] >= value[1]:
+            high, at, value = at[1], [None, at[0]], [None, value[0]]
+            at[0] = high - ratio * (high - low)
+            value[0] = f(at[0])
+        else:
+            low, at, value = at[0], [at[1], None], [value[1], None]
+            at[1] = low + ratio * (high - low)
+            value[1] = f(at[1])
+    best = int(value[1] > value[0])
+    return value[best], at[best]
+
+
+def best_fit(mesh: np.ndarray, plot: np.ndarray, stretch: float = 0.15, peaks: int = 4) -> tuple[float, float, float]:
     """(IoU, turn in degrees, scale) that lay a mesh's hull best over a plot's hull, both about their centroids.
 
-    A sweep of turns, then bisection; then stretches along and across the plot's longest edge, of equal area, each
-    followed by bisection.  scale is the geometric mean of both axes'.
+    As a function of the turn the overlap changes its course where a side of one hull becomes parallel to a side of the
+    other.  Those turns part the circle; the best peaks among them and the middles between them are climbed by golden
+    section, and from the highest a stretch along the plot's longest side, of equal area and of at most 1 + stretch either
+    way, and the turn are climbed in turn until neither gains.  scale is the geometric mean of both axes'.
     """
     a, b = hull(mesh), hull(plot)
     a, b = a - centroid(a), b - centroid(b)
     scale = float(np.sqrt(abs(area(b)) / max(abs(area(a)), 1e-12)))
-    edges = np.roll(b, -1, axis=0) - b
-    edge = edges[np.argmax(np.hypot(*edges.T))]
-    along = np.arctan2(edge[1], edge[0])
-
-    def turned(p: np.ndarray, radians: float) -> np.ndarray:
-        c, s = np.cos(radians), np.sin(radians)
-        return p @ np.array([[c, s], [-s, c]])
-
-    def score(turn: float, ratio: float) -> float:
-        r = turned(turned(a, turn - along) * scale * np.array([np.sqrt(ratio), 1 / np.sqrt(ratio)]), along)
+    sides = [np.roll(h, -1, axis=0) - h for h in (a, b)]
+    heading = [np.arctan2(e[:, 1], e[:, 0]) for e in sides]
+    along = float(heading[1][np.argmax((sides[1] ** 2).sum(axis=1))]) if len(b) else 0.0
+    axis = np.array([[np.cos(along), -np.sin(along)], [np.sin(along), np.cos(along)]])
+
+    def overlap(turn: float, log_ratio: float) -> float:
+        t = turn - along
+        on_axis = a @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) * (scale * np.exp([log_ratio / 2, -log_ratio / 2]))
+        r = on_axis @ axis.T
         common = overlap_area(r, b)
         return common / max(abs(area(r)) + abs(area(b)) - common, 1e-12)
 
-    def refined(iou: float, turn: float, ratio: float, span: float) -> tuple[float, float]:
-        window = span * 2 * np.pi / turns
-        for _ in range(halvings):
-            window /= 2
-            for t in (turn - window, turn + window):
-                if (got := score(t, ratio)) > iou:
-                    iou, turn = got, t
-        return iou, turn
-
-    iou, turn, ratio = -1.0, 0.0, 1.0
-    for t in np.arange(turns) * (2 * np.pi / turns):
-        if (got := score(t, ratio)) > iou + 1e-12:
-            iou, turn = got, t
-    iou, turn = refined(iou, turn, ratio, 1.0)
-    for span in (4.0, 1.0):
-        was = ratio
-        for x in np.exp(np.linspace(-np.log(1 + stretch), np.log(1 + stretch), stretches)):
-            if (got := score(turn, x)) > iou:
-                iou, ratio = got, x
-        if ratio == was:
-            break
-        iou, turn = refined(iou, turn, ratio, span)
-    return float(iou), float(np.degrees(turn) % 360), scale
+    turns = np.unique(np.round((heading[1][:, None] - heading[0]).ravel() % (2 * np.pi), 9)) if len(a) and len(b) else np.zeros(1)
+    turns = np.unique(np.concatenate((turns, (turns + np.diff(np.append(turns, turns[0] + 2 * np.pi)) / 2) % (2 * np.pi))))
+    score = np.array([overlap(t, 0.0) for t in turns])
+    around = np.concatenate((turns[-1:] - 2 * np.pi, turns, turns[:1] + 2 * np.pi))
+    iou, turn, log_ratio = float(score.max()), float(turns[score.argmax()]), 0.0
+    for k in np.argsort(-score, kind="stable")[:peaks]:
+        got, at = golden(lambda t: overlap(t, 0.0), around[k], around[k + 2])
+        if got > iou:
+            iou, turn = got, at
+    width, most = float(np.pi / 90), float(np.log(1 + stretch))
+    while True:
+        was = iou
+        got, at = golden(lambda x: overlap(turn, x), -most, most)
+        if got > iou:
+            iou, log_ratio = got, at
+        got, at = golden(lambda t: overlap(t, log_ratio), turn - width, turn + width)
+        if got > iou:
+            iou, turn = got, at
+        if iou <= was + 1e-9:
+            return float(iou), float(np.degrees(turn) % 360), scale
 
 
 def centroid(ring: np.ndarray) -> np.ndarray:
@@ -259,20 +275,30 @@ def centroid(ring: np.ndarray) -> np.ndarray:
 
 def monotone_projection(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each left vertex the nearest point of the right line (x, y, z), among feet no further back than the one
-    before; the last is the right line's end."""
-    a, d = right[:-1], np.diff(right, axis=0)
-    size = np.hypot(d[:, 0], d[:, 1])
-    begin = np.cumsum(size) - size
-    out, reached = np.empty((len(left), right.shape[1])), -np.inf
-    for i, p in enumerate(left[:, :2]):
-        t = np.clip(((p - a[:, :2]) * d[:, :2]).sum(1) / np.where(size > 1e-12, size * size, 1.0), 0, 1)
-        foot, station = a + t[:, None] * d, begin + t * size
-        away = np.hypot(*(foot[:, :2] - p).T)
-        allowed = station >= reached - 1e-9
-        best = int(np.argmin(np.where(allowed, away, np.inf) if allowed.any() else away))
-        out[i], reached = foot[best], station[best]
-    if len(out):
-        out[-1] = right[-1]
+    before; the last is the right line's end.  A vertex all of whose feet are further back takes the nearest of all.
+
+    All feet are found at once.  The nearest ones are right up to the first that goes back; from there the feet behind
+    the last right one are struck out, and the rest is looked at again.
+    """
+    if not len(left):
+        return np.empty((0, right.shape[1]))
+    leg = np.diff(right, axis=0)
+    square = (leg[:, :2] ** 2).sum(axis=1)
+    share = np.einsum("nmk,mk->nm", left[:, None, :2] - right[None, :-1, :2], leg[:, :2]) / np.where(square > 1e-24, square, 1.0)
+    share = share.clip(0, 1)
+    feet = right[None, :-1] + share[..., None] * leg
+    far = np.linalg.norm(feet[..., :2] - left[:, None, :2], axis=2)
+    walked = np.concatenate(([0.0], np.cumsum(np.sqrt(square))))[:-1] + share * np.sqrt(square)
+    chosen, row, floor = np.empty(len(left), np.int64), 0, -np.inf
+    while row < len(left):
+        ahead = walked[row:] >= floor - 1e-9
+        pick = np.where(ahead | ~ahead.any(axis=1, keepdims=True), far[row:], np.inf).argmin(axis=1)
+        place = np.take_along_axis(walked[row:], pick[:, None], axis=1)[:, 0]
+        back = np.flatnonzero(np.diff(place) < -1e-9)
+        n = 1 if place[0] < floor - 1e-9 else int(back[0]) + 1 if len(back) else len(place)
+        chosen[row : row + n], floor, row = pick[:n], place[n - 1], row + n
+    out = feet[np.arange(len(left)), chosen]
+    out[-1] = right[-1]
     return out
 
 
@@ -353,21 +379,25 @@ def settle(z: np.ndarray, ceiling: np.ndarray, order: int = 2, smooth: float = 0
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of a mask, numbered from 1 in reading order."""
-    out, n = np.zeros(mask.shape, np.int64), 0
-    for i, j in zip(*np.nonzero(mask)):
-        if out[i, j]:
-            continue
-        n += 1
-        stack = [(i, j)]
-        out[i, j] = n
-        while stack:
-            a, b = stack.pop()
-            for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
-                    out[c, d] = n
-                    stack.append((c, d))
-    return out
+    """4-connected components of a mask, numbered from 1 in reading order: each cell takes the least number of its
+    neighbours' components until none changes, by whole rows and columns at once."""
+    h, w = mask.shape
+    out = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
+    wall = ~mask
+    while True:
+        was = out.copy()
+        for turned, blocked in ((out, wall), (out.T, wall.T)):
+            # the least number of every run between walls
+            run = np.cumsum(blocked, axis=1) + np.arange(blocked.shape[0])[:, None] * (blocked.shape[1] + 1)
+            least = np.full(int(run.max()) + 1 if run.size else 1, h * w)
+            np.minimum.at(least, run[~blocked], turned[~blocked])
+            turned[~blocked] = least[run[~blocked]]
+        if (out == was).all():
+            break
+    _, number = np.unique(out[mask], return_inverse=True)
+    found = np.zeros(mask.shape, np.int64)
+    found[mask] = number + 1
+    return found
 
 
 def cut_out(image: np.ndarray, near: float, border: int = 4) -> np.ndarray:
