@@ -2,9 +2,13 @@
 
 A page is cut into flat blocks at block-level tags.  A block's features are its words and link density, those of
 the blocks before and behind it, whether it lies in an article or main element, how many of the elements around it
-are page furniture by their kind or by a whole name (class, id, role), and how many have a name with a part that
-only hints at furniture.  A decision tree, grown on the small labelled table LABELLED, tells main text from the rest:
-a hint alone counts only for short or link-dense blocks, so prose in `related-work` or `side-by-side` stays.
+are page furniture by their kind or by a whole name (class, id, role), how many have a name with a part that only hints
+at furniture, which share of the page's plain words the outermost element with such a name holds, and whether it is in one
+of several like items with an author or a time, as readers' comments are.  A decision tree, grown on the small labelled
+tables LABELLED and MISNAMED, tells main text from the rest: a hint alone counts only for short or link-dense blocks, so
+prose in `related-work` or `side-by-side` stays, and a whole name doesn't count where it stands for most of the page's
+prose (`container sidebar-right`), as a layout's does.  Names are those of the attributes class, id, role and itemprop
+alone, read as attributes; an element with a name of its own for an article (`entry-content`, `article-header`) counts as one, and its header is none of the page's.
 Inline elements that are hidden or furniture by a whole name are left out of their block.
 
 The scanner goes through a page once: it never looks for the same missing end twice, so its time is linear in the
@@ -31,18 +35,23 @@ from pyspark.sql import functions as F
 
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 QUOTE = re.compile(r"""[>"']""")
-MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMING = frozenset("class id role itemprop".split())
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video title textarea select option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr picture input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog head fieldset".split())
 #: Parts of names (class, id, role) that tell page furniture.
-NAMES = frozenset("nav navbar navigation navigator menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside widget ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond disqus discussion form search pagination pager copyright legal complementary contentinfo toolbar skip tags".split())
+NAMES = frozenset("nav navbar navigation navigator menu menubar breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside widget ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies responses respond disqus discussion form search pagination pager copyright legal complementary contentinfo toolbar skip tags".split())
 #: Parts that say where or how, not what: a name of these and of NAMES alone is a whole name of furniture.
-PLACES = frozenset("site page main top bottom left right box bar list lists wrap wrapper container block section area inner outer global primary secondary col column item items link links button buttons btn post posts article articles text title icon icons icn thread panel slot unit zone row group body content js id m s l xs sm md lg xl fixed sticky mobile desktop".split())
+PLACES = frozenset("site page main top bottom left right box bar list lists wrap wrapper container block section area inner outer global primary secondary col column item items link links button buttons btn post posts article articles text title icon icons icn thread panel slot unit zone row group body content js id m s l xs sm md lg xl fixed sticky mobile desktop user users reader readers visitor visitors guest".split())
 MAIN = frozenset("article main".split())
+#: With one of the first a name of one of the second is the article's own.
+OWN, OWN_PARTS = frozenset("article entry post story".split()), frozenset("header head title body text content".split())
+#: Parts of names that tell who wrote an item, or when.
+BYLINE = frozenset("author byline user username avatar posted date time timestamp says".split())
 
 #: words, link density, words before, link density before, words behind, link density behind, in an article, furniture
 #: around, hints around, main text?  The first group is measured on pages of a news shape (menu, advert, article,
@@ -160,6 +169,32 @@ LABELLED = """
 """
 
 
+#: The same, with the share of the page's plain words in the outermost named element and whether the block is in a thread.
+MISNAMED = """
+86 0.00 4 0.00 91 0.02 0 1 0 1.00 0 1
+34 0.03 86 0.00 52 0.00 0 1 0 0.97 0 1
+6 0.00 3 1.00 64 0.00 0 1 0 0.91 0 1
+58 0.00 61 0.00 0 0.00 0 1 1 0.88 0 1
+19 0.00 0 0.00 0 0.00 0 1 0 1.00 0 1
+71 0.04 12 0.00 33 0.00 1 1 0 0.82 0 1
+27 0.00 44 0.00 61 0.09 1 2 0 0.74 0 1
+113 0.01 27 0.00 5 1.00 0 2 1 0.69 0 1
+3 1.00 2 1.00 4 1.00 0 1 0 0.93 0 0
+5 0.80 4 1.00 38 0.00 0 1 0 0.85 0 0
+2 1.00 58 0.00 3 1.00 1 1 0 0.77 0 0
+41 0.00 5 0.00 33 0.00 0 1 0 0.34 0 0
+66 0.02 41 0.00 9 0.00 0 1 0 0.41 0 0
+38 0.00 96 0.00 22 0.00 1 1 0 0.27 0 0
+24 0.00 7 0.00 18 0.00 0 1 1 0.18 0 0
+49 0.00 8 0.00 31 0.00 1 0 0 0 1 0
+12 0.00 2 0.00 27 0.00 1 0 0 0 1 0
+31 0.03 4 0.00 2 0.00 0 0 0 0 1 0
+77 0.00 3 0.00 5 0.00 0 0 1 0 1 0
+4 0.00 49 0.00 31 0.00 0 0 0 0 1 0
+2 0.50 31 0.00 44 0.00 1 0 1 0 1 0
+"""
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     """A decision tree: (feature, bound, tree if at most the bound, tree otherwise) or (class,)."""
     if depth == 0 or len(set(y.tolist())) == 1:
@@ -181,7 +216,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    table = np.array([list(map(float, line.split())) for line in LABELLED.strip().splitlines()])
+    rows = [list(map(float, line.split())) for line in LABELLED.strip().splitlines()]
+    rows = [[*r[:9], 0.05 * (r[7] > 0), 0.0, r[9]] for r in rows]  # what is named there holds little of its page
+    table = np.array(rows + [list(map(float, line.split())) for line in MISNAMED.strip().splitlines()])
     return grow(table[:, :-1], table[:, -1].astype(int))
 
 
@@ -192,19 +229,34 @@ def is_main(features: tuple, node: tuple) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def named(attributes: str) -> int:
-    """What an element's names make it: 2 for furniture (or hidden), 1 for a hint of it, 0 for neither."""
-    if HIDDEN.search(attributes):
-        return 2
-    hint = 0
-    for m in MARK.finditer(attributes):
-        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower().split():
+def attributes_of(text: str) -> tuple[tuple[str, str], ...]:
+    """Names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return tuple(out.items())
+
+
+@lru_cache(maxsize=4096)
+def named(attributes: str) -> tuple[int, bool, bool]:
+    """What an element's attributes make it: 3 hidden, 2 furniture by a whole name, 1 a hint of it, 0 neither; whether
+    its names tell of an author or a time, and whether they tell of an article's own part."""
+    kind, byline, own = 0, False, False
+    for key, value in attributes_of(attributes):
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSEEN.search(value):
+            kind = 3
+        if key not in NAMING:
+            continue
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
             parts = [p for p in re.split(r"[^a-z]+", name) if p]
-            if not NAMES.isdisjoint(parts):
-                if all(p in NAMES or p in PLACES for p in parts):
-                    return 2
-                hint = 1
-    return hint
+            byline |= not BYLINE.isdisjoint(parts)
+            if not OWN.isdisjoint(parts) and set(parts) <= OWN | OWN_PARTS:
+                own = True
+                continue
+            if NAMES.isdisjoint(parts):
+                continue
+            kind = max(kind, 2 if all(p in NAMES or p in PLACES for p in parts) else 1)
+    return kind, byline, own
 
 
 class Scanner:
@@ -261,32 +313,39 @@ class Scanner:
         yield html[start:], "", "", False
 
 
-def blocks(html: str) -> list[tuple[str, int, float, bool, int, int]]:
-    """A page's flat blocks: text, words, link density, in an article, furniture around, hints around."""
+Block = tuple[str, int, float, bool, int, int, float, bool]
+
+
+def blocks(html: str) -> list[Block]:
+    """A page's flat blocks: text, words, link density, in an article, furniture around, hints around, the share of the
+    page's plain words in the outermost element with a name of furniture, in a thread."""
     out: list = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, article, furniture, hint
+    # elements in order of their beginnings: parent, article, furniture by kind, by name, hint, byline, signature
+    elements: list[list] = [[0, 0, 0, 0, 0, 0, ""]]
+    stack: list[tuple[str, int]] = []
     opened: dict[str, int] = {}
-    inside = around = hints = link = 0
+    inside = link = 0
     mute: list = []  # name, how often it is open, elements around
 
+    def at() -> int:
+        return stack[-1][1] if stack else 0
+
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                out.append((text, n, min(1.0, len(unescape(" ".join(linked)).split()) / n) if linked else 0.0, inside > 0, around, hints))
+                out.append((text, n, min(1.0, len(unescape(" ".join(linked)).split()) / n) if linked else 0.0, at()))
             parts.clear()
             linked.clear()
 
     def leave() -> str:
-        nonlocal inside, around, hints
-        name, a, f, h = stack.pop()
+        nonlocal inside
+        name, k = stack.pop()
         opened[name] -= 1
-        inside -= a
-        around -= f
-        hints -= h
+        inside -= elements[k][1]
         return name
 
     for text, name, attributes, closing in Scanner(html):
@@ -305,9 +364,13 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, int, int]]:
         elif name in INLINE:
             if name == "a":
                 link = 0 if closing else 1
-            if attributes and not closing and not mute and name not in VOID and not attributes.endswith("/") and named(attributes) == 2:
-                mute = [name, 1, len(stack)]
-                link = 0
+            if not closing and not mute and (attributes or name == "time"):
+                kind, byline, _ = named(attributes)
+                if byline or name == "time":
+                    elements[at()][5] = 1
+                if kind >= 2 and name not in VOID and not attributes.endswith("/"):
+                    mute = [name, 1, len(stack)]
+                    link = 0
         else:
             if mute and len(stack) <= mute[2] and (name == "p" or closing):
                 mute = []
@@ -323,17 +386,51 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, int, int]]:
                 if name == "body":
                     while stack:
                         leave()
-                kind = named(attributes) if attributes and name not in MAIN and name != "body" else 0
-                f = name in FURNITURE or (name == "header" and not inside) or kind == 2
-                a = name in MAIN
-                stack.append((name, a, f, kind == 1))
+                kind, byline, own = named(attributes) if attributes else (0, False, False)
+                if name in MAIN or name == "body":
+                    kind = 0
+                k = int(name in FURNITURE or (name == "header" and not inside and not own) or kind == 3)
+                elements.append([at(), int(name in MAIN or own), k, int(kind == 2 and not k), int(kind == 1), int(byline), f"{name} {dict(attributes_of(attributes)).get('class', '') if attributes else ''}"])
+                stack.append((name, len(elements) - 1))
                 opened[name] = opened.get(name, 0) + 1
-                inside += a
-                around += f
-                hints += kind == 1
-            elif name == "p" and attributes and named(attributes) == 2:
-                mute = ["p", 1, len(stack)]  # up to its end, or the next block's
+                inside += elements[-1][1]
+            elif name == "p" and attributes:
+                kind, byline, _ = named(attributes)
+                if byline:
+                    elements[at()][5] = 1
+                if kind >= 2:
+                    mute = ["p", 1, len(stack)]  # up to its end, or the next block's
     flush()
+    return _featured(out, elements)
+
+
+def _featured(found: list[tuple], elements: list[list]) -> list[Block]:
+    """Blocks with what their elements say, each element looked at once."""
+    plain = [0] * len(elements)
+    for _, n, density, k in found:
+        plain[k] += n if density < 0.5 else 0
+    for k in range(len(elements) - 1, 0, -1):
+        e, parent = elements[k], elements[k][0]
+        if not e[2]:  # what furniture by its kind holds is none of the page's prose
+            plain[parent] += plain[k]
+        if e[5] == 1 and not e[1] and parent:  # an item may hold its byline in an element of its own
+            elements[parent][5] = elements[parent][5] or 2
+    items: dict[tuple[int, str], int] = {}
+    for e in elements[1:]:
+        if e[5] and not e[1]:
+            items[e[0], e[6]] = items.get((e[0], e[6]), 0) + 1
+    # in an article, furniture by kind, by name, hints, outermost named element, in a thread
+    sums = [(0, 0, 0, 0, 0, False)] * len(elements)
+    for k, (parent, main, kind, name, hint, byline, signature) in enumerate(elements):
+        if k:
+            a, f, g, h, outer, thread = sums[parent]
+            sums[k] = (a + main, f + kind, g + name, h + hint, outer or k * name, thread or bool(byline) and not main and items[parent, signature] > 1 and 2 * plain[k] < plain[0])
+    out = []
+    for text, n, density, k in found:
+        a, f, g, h, outer, thread = sums[k]
+        # a name's share of the page excuses no furniture by its kind
+        share = 0.05 if f else plain[outer] / max(1, plain[0]) if g else 0.0
+        out.append((text, n, density, a > 0, f + g, h, share, thread))
     return out
 
 
@@ -341,10 +438,10 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     node = tree()
     keep = []
-    for i, (text, n, density, inside, around, hints) in enumerate(found):
+    for i, (text, n, density, inside, around, hints, share, thread) in enumerate(found):
         before = found[i - 1] if i else (0, 0, 0.0)
         behind = found[i + 1] if i + 1 < len(found) else (0, 0, 0.0)
-        if is_main((n, density, before[1], before[2], behind[1], behind[2], inside, around, hints), node):
+        if is_main((n, density, before[1], before[2], behind[1], behind[2], inside, around, hints, share, thread), node):
             keep.append(text)
     return "\n".join(keep)
 

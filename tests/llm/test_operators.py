@@ -107,6 +107,30 @@ def test_html_text(spark):
     assert html_text.extract(df).count() == len(rows) and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_are_weighed():
+    """A layout's name, a label or a title drops no article; an entry's own header stays; comments go by their shape."""
+    p = "the brook ran past the old mill and on to the weir where the boys had caught their first trout of the year"
+    q = "a kettle sang on the hob while the rain went on and the clock in the hall struck four and then the half"
+    cases = {
+        f'<body><div class="container sidebar-right"><p>{p}</p><p>{q}</p></div></body>': f"{p}\n{q}",
+        f'<div class="post-content" aria-label="site notice"><p>{p}</p></div>': p,
+        f'<article><p>{p}</p><div id="side"><p>{q}</p><p>{q}</p></div></article>': f"{p}\n{q}\n{q}",
+        f'<article><p title="the hidden cost">{p}</p><p data-role="menu">{q}</p></article>': f"{p}\n{q}",
+        f'<article><div class="article-header"><h1>Head</h1></div><p>{p}</p></article>': f"Head\n{p}",
+        f'<header class="entry-header"><h1>Head</h1></header><div class="entry-content"><p>{p}</p></div>': f"Head\n{p}",
+        f'<article><p>{p}</p><p>{p}</p></article><section class="reader-responses"><p>{q}</p></section>': f"{p}\n{p}",
+        f'<article><p>{p}</p><p>{p}</p><div class="user-reply"><p>{q}</p></div></article>': f"{p}\n{p}",
+        f'<div><p>{p}</p><p>{p}</p></div><div class="zz"><div class="x"><b class="author">Ann</b><p>{q}</p></div><div class="x"><b class="author">Bob</b><p>{q}</p></div></div>': f"{p}\n{p}",
+        f'<div class="col"><b class="author">Ann</b><p>{p}</p><p>{p}</p></div><div class="col"><time>noon</time><p>{q}</p></div>': f"Ann\n{p}\n{p}",
+        f'<div class="sidebar"><h3>About</h3><p>{q}</p></div><div class="txt"><p>{p}</p><p>{p}</p></div>': f"{p}\n{p}",
+        f'<div class="alert alert-info"><p>{q}</p></div><article><p>{p}</p><p>{p}</p></article>': f"{p}\n{p}",
+        f'<footer class="main"><p>{q}</p><p>{q}</p></footer><article><p>{p}</p></article>': p,
+        f'<div STYLE="color:red; DISPLAY : none"><p>{q}</p></div><div aria-hidden=false><p>{p}</p></div>': p,
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page) == want, page
+
+
 @pytest.mark.parametrize("unit", ['<a "', "<a '>", '<a ">" ', "<select>", "<!-- ", "<div>", "<div></section>", "<", "&amp", "<p class='x", "<span hidden>"])
 def test_html_scanner_is_linear(unit):
     """A megabyte of unclosed marks takes a few times what a quarter of it takes, and seconds at most."""
