@@ -10,7 +10,8 @@ A paragraph is a run of lines, without an empty one between, each of which is li
 none, with a probability of CANDIDATE or more of not being none; so a notice that is wrapped over several lines is one paragraph, and the prose around it is not
 part of it.  A paragraph is of a family if licences together have a probability of CONFIDENT or more and it holds
 CONTAINED or more of the word pairs of one of the family's templates, or lies within it to that degree; what the
-classifier takes for a licence and no template confirms is `unknown`.  A paragraph is of every family that a template
+classifier takes for a licence and no template confirms is `unknown`, if it has a pair of words of a template or of prose
+about licences (UNKNOWN) at all.  A paragraph is of every family that a template
 confirms, the most probable first, if it names the family: it holds a pair of words of that family's templates alone,
 or, of a template without such a pair, a pair that no other family found there has.
 
@@ -41,21 +42,21 @@ U64 = np.uint64
 
 #: Notices of each family as they stand in sources and on pages; digits are left out of the comparison.
 TEMPLATES = {
-    "Apache": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1"],
-    "AGPL": ["Licensed under the GNU Affero General Public License, version 3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0"],
-    "BSD": ["Released under the BSD License", "Licensed under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
-    "EPL": ["Licensed under the Eclipse Public License, version 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
-    "CC0": ["Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication"],
-    "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain."],
+    "Apache": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0", "Apache License", "Apache License, Version 2.0, January 2004", "Licensed under Apache 2.0", "License: Apache-2.0", "or Apache-2.0", "and Apache-2.0", "Apache Software License"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Licensed under MIT", "License: MIT", "or MIT", "and MIT", "under the terms of the MIT license"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU General Public License", "GNU GPL v3", "Licensed under the GPL", "Licensed under the GNU GPL version 2 or later", "License: GPLv3", "GPLv2 or later", "or GPL", "and GPL", "SPDX-License-Identifier: GPL-2.0-only"],
+    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License", "GNU LGPL", "Licensed under the LGPL", "License: LGPLv3", "LGPLv2 or later"],
+    "AGPL": ["Licensed under the GNU Affero General Public License, version 3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0", "GNU Affero General Public License", "GNU AGPL", "Licensed under the AGPL", "License: AGPLv3"],
+    "BSD": ["Released under the BSD License", "Licensed under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause", "BSD License", "Licensed under BSD", "License: BSD", "or BSD", "and BSD", "BSD 3-Clause License", "New BSD License", "Simplified BSD License"],
+    "MPL": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License", "Licensed under the MPL", "License: MPL 2.0"],
+    "ISC": ["Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "ISC License", "Licensed under ISC", "License: ISC"],
+    "EPL": ["Licensed under the Eclipse Public License, version 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "Eclipse Public License", "Licensed under the EPL", "License: EPL 2.0"],
+    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "License: CC BY 4.0", "This work is licensed under CC BY"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "License: CC BY-SA 4.0", "This work is licensed under CC BY-SA"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "License: CC BY-NC 4.0", "This work is licensed under CC BY-NC"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0", "License: CC BY-ND 4.0", "This work is licensed under CC BY-ND"],
+    "CC0": ["Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication", "License: CC0", "CC0 1.0 Universal", "Creative Commons Zero"],
+    "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain.", "The Unlicense", "License: Unlicense"],
     "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 #: Prose about licences that is no notice.
@@ -181,6 +182,13 @@ def pairs() -> dict[str, list[set]]:
     return {k: [of(t) for t in v] for k, v in TEMPLATES.items()}
 
 
+@lru_cache(maxsize=1)
+def legal_pairs() -> set:
+    """The word pairs of all templates and of prose about licences, but for those of other prose."""
+    of = lambda texts: {p for w in map(words, texts) for p in zip(w, w[1:])}
+    return of([*(t for v in TEMPLATES.values() for t in v), *UNKNOWN]) - of(NONE)
+
+
 def confirmed(paragraph: str, family: str) -> bool:
     w = words(paragraph)
     own = set(zip(w, w[1:]))
@@ -251,7 +259,7 @@ def scan_texts(column: pa.Array, of: Model | None = None) -> list[list[tuple[str
             at = i + int(doc[first[k]])
             if found and families.sum() >= CONFIDENT:
                 out[at] += [(f, float(families[FAMILIES.index(f)])) for f in found]
-            elif len(words(text)) >= 3 and 1 - q[k, none] >= 0.8:
+            elif not legal_pairs().isdisjoint(zip(words(text), words(text)[1:])):
                 out[at].append(("unknown", float(q[k, -1])))
     return out
 

@@ -121,7 +121,7 @@ def test_html_names_are_weighed():
         f'<article><p>{p}</p><p>{p}</p></article><section class="reader-responses"><p>{q}</p></section>': f"{p}\n{p}",
         f'<article><p>{p}</p><p>{p}</p><div class="user-reply"><p>{q}</p></div></article>': f"{p}\n{p}",
         f'<div><p>{p}</p><p>{p}</p></div><div class="zz"><div class="x"><b class="author">Ann</b><p>{q}</p></div><div class="x"><b class="author">Bob</b><p>{q}</p></div></div>': f"{p}\n{p}",
-        f'<div class="col"><b class="author">Ann</b><p>{p}</p><p>{p}</p></div><div class="col"><time>noon</time><p>{q}</p></div>': f"Ann\n{p}\n{p}",
+        f'<div class="col"><b class="author">Ann</b><p>{p}</p><p>{p}</p></div><div class="col"><time>noon</time><p>{q}</p></div>': f"{p}\n{p}",
         f'<div class="sidebar"><h3>About</h3><p>{q}</p></div><div class="txt"><p>{p}</p><p>{p}</p></div>': f"{p}\n{p}",
         f'<div class="alert alert-info"><p>{q}</p></div><article><p>{p}</p><p>{p}</p></article>': f"{p}\n{p}",
         f'<footer class="main"><p>{q}</p><p>{q}</p></footer><article><p>{p}</p></article>': p,
