@@ -51,10 +51,10 @@ TEMPLATES = {
     "MPL": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License", "Licensed under the MPL", "License: MPL 2.0"],
     "ISC": ["Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "ISC License", "Licensed under ISC", "License: ISC"],
     "EPL": ["Licensed under the Eclipse Public License, version 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "Eclipse Public License", "Licensed under the EPL", "License: EPL 2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "License: CC BY 4.0", "This work is licensed under CC BY"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "License: CC BY-SA 4.0", "This work is licensed under CC BY-SA"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "License: CC BY-NC 4.0", "This work is licensed under CC BY-NC"],
-    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0", "License: CC BY-ND 4.0", "This work is licensed under CC BY-ND"],
+    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "License: CC BY 4.0"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "License: CC BY-SA 4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "License: CC BY-NC 4.0"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0", "License: CC BY-ND 4.0"],
     "CC0": ["Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication", "License: CC0", "CC0 1.0 Universal", "Creative Commons Zero"],
     "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain.", "The Unlicense", "License: Unlicense"],
     "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
@@ -117,9 +117,11 @@ def _variants(text: str, turns: range) -> list[str]:
 def _table() -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, their classes, and the fold of the notice that each is a variant of."""
     texts, y, fold, turns = [], [], [], range(0, 6)
+    whole = {t for v in TEMPLATES.values() for t in v}
     for c, notices in enumerate([*TEMPLATES.values(), NONE, UNKNOWN]):
         for k, n in enumerate(notices):
-            v = _variants(n, turns) if c < len(FAMILIES) else [n, n.lower(), *(" ".join(n.split()[t % 3 :]) for t in turns)]
+            # a variant that is a notice of its own is left to that one's fold
+            v = [n, *(x for x in _variants(n, turns)[1:] if x not in whole)] if c < len(FAMILIES) else [n, n.lower(), *(" ".join(n.split()[t % 3 :]) for t in turns)]
             texts += v
             y += [c] * len(v)
             fold += [k % FOLDS] * len(v)
@@ -198,9 +200,16 @@ def confirmed(paragraph: str, family: str) -> bool:
 
 @lru_cache(maxsize=1)
 def own_pairs() -> dict[str, set]:
-    """The word pairs that stand in the templates of a family alone."""
+    """The word pairs that tell a family: in its templates alone, and in several of them, or with a word that no other
+    family's templates have."""
     sets = {k: set().union(*v) for k, v in pairs().items()}
-    return {k: s - set().union(*(o for f, o in sets.items() if f != k)) for k, s in sets.items()}
+    vocabulary = {k: {x for t in TEMPLATES[k] for x in words(t)} for k in TEMPLATES}
+    out = {}
+    for k, own in sets.items():
+        others = set().union(*(o for f, o in sets.items() if f != k))
+        foreign = set().union(*(v for f, v in vocabulary.items() if f != k), *(words(t) for t in [*UNKNOWN, *NONE]))
+        out[k] = {p for p in own - others if sum(p in t for t in pairs()[k]) > 1 or p[0] not in foreign or p[1] and p[1] not in foreign}
+    return out
 
 
 def named(paragraph: str, family: str, others: list[str]) -> bool:
