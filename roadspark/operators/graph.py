@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Only for a master that is this machine alone, as in tests, when the session names no shared folder.
@@ -150,6 +150,33 @@ def walks(spark: SparkSession, edges: dict[int, list[int]], weights: dict[int, f
     return spark.range(attempts).mapInPandas(run, "attempt long, path array<long>, length double")
 
 
+def step_walks(lanes: DataFrame, attempts: int, seed: int = 0) -> DataFrame:
+    """Random self-avoiding walks (attempt, path, length) over lanes (lane_id, s, e, length): a lane is followed by any that
+    begins where it ends and isn't on the path yet, until there is none.
+
+    All walks take a step at once, by a join with the lanes' starts; which of several is drawn goes by a hash of seed,
+    attempt, step and lane, so a walk is the same however the table lies.  They begin at the attempts lanes of least hash,
+    fewer if there are fewer lanes.  Only walks that still move are written anew in a round.
+    """
+    drawn = lambda *parts: F.md5(F.concat_ws("-", F.lit(seed), *(c.cast("string") for c in parts)))
+    lanes = stored(lanes.filter("lane_id is not null").select("lane_id", "s", "e", "length"))
+    first = lanes.orderBy(drawn(F.col("lane_id")), "lane_id").limit(attempts)
+    turn = F.row_number().over(Window.orderBy(drawn(F.col("lane_id")), "lane_id")) - 1  # over so many rows as attempts
+    moving = stored(first.select(turn.cast("int").alias("attempt"), F.array("lane_id").alias("path"), "e", "length"))
+    begins = lanes.select(F.col("lane_id").alias("next"), F.col("s").alias("e"), F.col("e").alias("to"), F.col("length").alias("more"))
+    done = None
+    while True:
+        ahead = moving.join(begins, "e").filter(~F.array_contains("path", F.col("next")))
+        pick = F.min(F.struct(drawn(F.col("attempt"), F.size("path") - 1, F.col("next")).alias("h"), "next", "to", "more"))
+        step = ahead.groupBy("attempt").agg(pick.alias("p"), F.first("path").alias("path"), F.first("length").alias("length"))
+        step = stored(step.select("attempt", F.concat("path", F.array("p.next")).alias("path"), F.col("p.to").alias("e"), (F.col("length") + F.col("p.more")).alias("length")))
+        ended = moving.join(step.select("attempt"), "attempt", "left_anti")
+        done = stored(ended if done is None else done.unionByName(ended))
+        if step.isEmpty():
+            return done.select("attempt", "path", "length")
+        moving = step
+
+
 def longest_walk(found: DataFrame) -> DataFrame:
     """The longest walk, the first of equal ones."""
     return found.orderBy(F.desc("length"), "attempt").limit(1)

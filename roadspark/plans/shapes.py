@@ -129,12 +129,32 @@ def pack_strips(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("grp").applyInPandas(run, "grp long, p_partkey long, w int, h int, page int, px int, py int")
 
 
-@query()
+_WALKS = """lane as (select lane_id, s, e, o_totalprice / 1000 as length from ends join orders on o_orderkey = lane_id),
+start as (select row_number() over (order by md5('5-' || lane_id), lane_id) - 1 as attempt, lane_id from lane order by attempt limit 400),
+walk as (
+  select attempt::int as attempt, [start.lane_id] as path, e, length, 0 as step from start join lane using (lane_id)
+  union all
+  select attempt, list_append(path, next), e2, length + more, step + 1 from (
+    select w.*, l.lane_id as next, l.e as e2, l.length as more, row_number() over (partition by attempt order by md5('5-' || attempt || '-' || step || '-' || l.lane_id), l.lane_id) as r
+    from walk w join lane l on l.s = w.e where not list_contains(path, l.lane_id)) where r = 1),
+walked as (select attempt, arg_max(path, step) as path, max(length) as length from walk group by attempt)"""
+
+
+def _walks(spark: SparkSession, d: str) -> DataFrame:
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("lane_id"), (F.col("o_totalprice") / 1000).alias("length"))
+    return graph.step_walks(V.ends(spark, d).join(o, "lane_id"), 400, 5)
+
+
+@query("with recursive " + V.ENDS + ", " + _WALKS + " select attempt, array_to_string(path, ',') as path, len(path)::int as lanes, round(length, 6) as length from walked")
+def route_walks(spark: SparkSession, d: str) -> DataFrame:
+    """400 random walks over the lanes of all orders, none of which drives a lane twice."""
+    return _walks(spark, d).select("attempt", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.size("path").alias("lanes"), *r6("length"))
+
+
+@query("with recursive " + V.ENDS + ", " + _WALKS + " select attempt, len(path)::int as lanes, round(length, 6) as length from walked order by walked.length desc, attempt limit 1")
 def longest_route(spark: SparkSession, d: str) -> DataFrame:
-    """The longest of 400 random walks over a road network of the size of one survey (a thousand lanes)."""
-    n = 1000
-    edges = {i: [(i * 7 + k) % n for k in (1, 2)] for i in range(n)}
-    return graph.longest_walk(graph.walks(spark, edges, {i: 10.0 + i % 13 for i in range(n)}, 400, 5)).select("attempt", F.size("path").alias("lanes"), *r6("length"))
+    """The longest of these walks, the first of equal ones."""
+    return graph.longest_walk(_walks(spark, d)).select("attempt", F.size("path").alias("lanes"), *r6("length"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import extend, surface
+from roadspark.operators import contours, extend, grid, surface
 from roadspark.operators import roofs as buildings
 from roadspark.plans import areas
 from roadspark.plans import views as V
@@ -191,3 +191,39 @@ def extensions(spark: SparkSession, d: str) -> DataFrame:
     stubs = stubs.withColumn("limit", C.ray_to_box((F.col("lx") + F.col("rx")) / 2, (F.col("ly") + F.col("ry")) / 2, *(F.col(c) for c in ("dx", "dy", "x0", "y0", "x1", "y1")))).drop("x0", "y0", "x1", "y1")
     out = extend.leaves(stubs, extend.outline(rings), margin=30.0, within=60.0).filter("leaves").drop("leaves")
     return extend.granted(out, rings, ["id", "side"], "id", clearance=1.5, least=2.0).select("id", "side", *r6("length"))
+
+
+# ---------------------------------------------------------------- outlines
+
+
+@query(
+    "with recursive "
+    + V.FOOTPRINT
+    + """, cells as (select distinct mean_z::int as level, floor((x0 + x1) / 20)::bigint as ix, floor((y0 + y1) / 20)::bigint as iy from footprint),
+side as (select * from (values (0, 0, 0, 1, 0, 0, -1), (1, 1, 0, 1, 1, 1, 0), (2, 1, 1, 0, 1, 0, 1), (3, 0, 1, 0, 0, -1, 0)) t(dir, dx, dy, ex, ey, nx, ny)),
+edge as (
+  select row_number() over (order by c.level, c.ix, c.iy, dir) as id, c.level, dir, c.ix + dx as x, c.iy + dy as y, c.ix + ex as x2, c.iy + ey as y2
+  from cells c, side where not exists (select 1 from cells n where n.level = c.level and n.ix = c.ix + nx and n.iy = c.iy + ny)),
+succ as (select a.id, arg_min(b.id, case (b.dir - a.dir + 4) % 4 when 1 then 0 when 0 then 1 else 2 end) as next from edge a join edge b on a.level = b.level and a.x2 = b.x and a.y2 = b.y group by a.id),
+reach as (select id as a, next as b from succ union select r.a, s.next from reach r join succ s on r.b = s.id),
+ring as (select a as id, min(b) as ring from reach group by a)
+select any_value(level) as level, (sum(x * y2 - x2 * y) * 50)::double as area, (count(*) * 10)::double as length from edge join ring using (id) group by ring"""
+)
+def level_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """The rings around each level's cells: area, negative around holes, and length."""
+    f = V.footprint(spark, d)
+    at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 20)
+    cells = f.select(F.col("mean_z").cast("int").alias("level"), at("x0", "x1").alias("ix"), at("y0", "y1").alias("iy"))
+    rings = contours.measures(contours.cell_outlines(cells, cell=CELL, keys=["level"]), ["level"])
+    return rings.select("level", *r6("area", "length"))
+
+
+@query()
+def pond_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Shores of the ponds that stand where the surveyed ground is below 1 m, each pond of cells that join, rounded off: body,
+    area, length."""
+    ny = _rows(spark, d)
+    low = surface.solve_grid(survey(spark, d, ny), NX, ny, order=1).filter("z < 1")
+    ponds = grid.components(low, NX).withColumnRenamed("component", "body")
+    rings = contours.measures(contours.cell_outlines(ponds, cell=CELL, keys=["body"], rounded=True), ["body"])
+    return rings.select("body", *r6("area", "length"))
