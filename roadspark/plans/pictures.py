@@ -1,6 +1,7 @@
 """Queries over pictures, which are arrays of numbers: seams, scores, descriptors, bays, alignment; with their SQL.
 
-A vector of 64 numbers is read as a grey picture of 8 x 8, and its first 48 as one of 4 x 4 with three channels.
+A vector of 64 numbers is read as a grey picture of 8 x 8, and as one of three channels, each of which is the grey
+picture begun 21 numbers further on than the one before.
 """
 
 from __future__ import annotations
@@ -17,13 +18,20 @@ from roadspark.plans.sequences import r6
 
 _GREY = """px as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding[1:64])::double * 100 + 128 as v from embeddings),
 grey as (select vec_id, i // 8 as r, i % 8 as c, v from px)"""
-_RGB = """px3 as (select vec_id, unnest(range(0, 48)) as i, unnest(embedding[1:48])::double * 100 + 128 as v from embeddings),
-rgb as (select vec_id, i // 12 as r, (i % 12) // 3 as c, i % 3 as ch, v from px3)"""
+_RGB = """px3 as (select vec_id, embedding, unnest(range(0, 192)) as i from embeddings),
+rgb as (select vec_id, i // 24 as r, (i % 24) // 3 as c, i % 3 as ch, embedding[(i // 3 + 21 * (i % 3)) % 64 + 1]::double * 100 + 128 as v from px3)"""
 
 
-def _image(spark: SparkSession, d: str, n: int) -> DataFrame:
+def _image(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 100 + 128).alias("image"))
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 100 + 128).alias("image"))
+
+
+def _rgb(spark: SparkSession, d: str) -> DataFrame:
+    """192 numbers: rows of pixels of three channels."""
+    at = F.sequence(F.lit(0), F.lit(191))
+    pixel = lambda i: F.get("image", ((F.floor(i / 3) + i % 3 * 21) % 64).cast("int"))
+    return _image(spark, d).select("vec_id", F.transform(at, pixel).alias("image"))
 
 
 def _seam_sql(view: str, h: int, w: int, by: str = "") -> str:
@@ -37,7 +45,7 @@ join {step("a.c = b.c and b.r = a.r + 1", "true")} n0 using (vec_id) join {step(
 
 @query(V.with_(_GREY, _seam_sql("grey", 8, 8)) + "select vec_id, round(seam, 6) as seam from seam")
 def seam_error(spark: SparkSession, d: str) -> DataFrame:
-    return _image(spark, d, 64).select("vec_id", F.round(reports.seam_error(F.col("image"), 8, 8), 6).alias("seam"))
+    return _image(spark, d).select("vec_id", F.round(reports.seam_error(F.col("image"), 8, 8), 6).alias("seam"))
 
 
 @query(
@@ -47,11 +55,11 @@ n as (select a.vec_id, avg(abs(a.v - b.v)) as s from grey a join grey b on a.vec
 select vec_id, round(w.s / (n.s + 1e-9), 6) as seam from w join n using (vec_id)"""
 )
 def seam_error_axis(spark: SparkSession, d: str) -> DataFrame:
-    return _image(spark, d, 64).select("vec_id", F.round(reports.seam_error_axis(F.col("image"), 8, 8), 6).alias("seam"))
+    return _image(spark, d).select("vec_id", F.round(reports.seam_error_axis(F.col("image"), 8, 8), 6).alias("seam"))
 
 
 _SCORE = (
-    _seam_sql("rgb", 4, 4, "ch")
+    _seam_sql("rgb", 8, 8, "ch")
     + """, scale as (select vec_id, case when max(v) <= 1.001 then 255.0::double else 1.0::double end as k, stddev_pop(v) as sd from rgb group by 1),
 white as (select vec_id, avg(case when low * k > 235 then 1.0::double else 0 end) as blown from (select vec_id, r, c, min(v) as low from rgb group by 1, 2, 3) join scale using (vec_id) group by 1),
 score as (select vec_id, blown, sd * k as sd, seam from white join scale using (vec_id) join seam using (vec_id))"""
@@ -59,8 +67,8 @@ score as (select vec_id, blown, sd * k as sd, seam from white join scale using (
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    blown, sd, seam = reports.tile_score(F.col("image"), 4, 4)
-    return _image(spark, d, 48).select("vec_id", blown.alias("blown"), sd.alias("sd"), seam.alias("seam"))
+    blown, sd, seam = reports.tile_score(F.col("image"), 8, 8)
+    return _rgb(spark, d).select("vec_id", blown.alias("blown"), sd.alias("sd"), seam.alias("seam"))
 
 
 @query(V.with_(_RGB, _SCORE) + "select vec_id, round(blown, 6) as blown, round(sd, 6) as sd, round(seam, 6) as seam from score")
@@ -109,13 +117,13 @@ descriptor as (select vec_id, m / 255 as d0, (r - mean.b) / 255 as d1, (g - (r +
 
 @query(V.with_(_RGB, _DESCRIPTOR) + "select vec_id, " + ", ".join(f"round(d{k}, 6) as d{k}" for k in range(5)) + " from descriptor")
 def descriptor(spark: SparkSession, d: str) -> DataFrame:
-    x = _image(spark, d, 48).select("vec_id", reports.descriptor(F.col("image"), 4, 4).alias("x"))
+    x = _rgb(spark, d).select("vec_id", reports.descriptor(F.col("image"), 8, 8).alias("x"))
     return x.select("vec_id", *(F.round(F.get("x", F.lit(k)), 6).alias(f"d{k}") for k in range(5)))
 
 
 @query(V.with_(_RGB, _DESCRIPTOR) + "select vec_id, round(d3, 6) as saturation from descriptor")
 def saturation(spark: SparkSession, d: str) -> DataFrame:
-    return _image(spark, d, 48).select("vec_id", F.round(reports.saturation(F.col("image"), 4, 4), 6).alias("saturation"))
+    return _rgb(spark, d).select("vec_id", F.round(reports.saturation(F.col("image"), 8, 8), 6).alias("saturation"))
 
 
 @query(
@@ -126,7 +134,7 @@ def saturation(spark: SparkSession, d: str) -> DataFrame:
 )
 def diversity(spark: SparkSession, d: str) -> DataFrame:
     """The mean distance between any two of all descriptors."""
-    x = _image(spark, d, 48).select("vec_id", reports.descriptor(F.col("image"), 4, 4).alias("x"))
+    x = _rgb(spark, d).select("vec_id", reports.descriptor(F.col("image"), 8, 8).alias("x"))
     return reports.diversity(x, "vec_id", "x").select("pairs", *r6("diversity"))
 
 
@@ -160,7 +168,7 @@ select vec_id, round(w.s / (m + 1e-9), 6) as seam from w join md using (vec_id)"
 def wrap_seam(spark: SparkSession, d: str) -> DataFrame:
     """The wrap's step against those at the borders of one to four bays."""
     bays = (F.col("vec_id") % 4 + 1).cast("int")
-    return _image(spark, d, 64).select("vec_id", F.round(reports.wrap_seam(F.col("image"), 8, 8, bays), 6).alias("seam"))
+    return _image(spark, d).select("vec_id", F.round(reports.wrap_seam(F.col("image"), 8, 8, bays), 6).alias("seam"))
 
 
 def _blur_sql(view: str, out: str, sigma: float) -> str:
@@ -190,5 +198,5 @@ want as (select a.vec_id, spot.i, a.p * (1 - share) + b.p * share as p from spot
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     """How well a picture's edges lie where those of a control of another height are."""
     control = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: ((F.floor(i / 8) * (F.col("vec_id") % 5 + 3) + i % 8 * F.floor(i / 8)) % 11).cast("double"))
-    x = _image(spark, d, 64).withColumn("control", control)
+    x = _image(spark, d).withColumn("control", control)
     return reports.alignment(x, "vec_id", "image", (8, 8), "control", (12, 8), tolerance=0.1).select("vec_id", *r6("r"))

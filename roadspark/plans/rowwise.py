@@ -87,10 +87,11 @@ def fbm(spark: SparkSession, d: str) -> DataFrame:
     return C.with_fbm(V.vertex(spark, d), "x", "y", "v", seed=3).select("event_id", *r6("v"))
 
 
-@query("with base as (select a * 210.0::double / 12 as px, b * 210.0::double / 12 as py from range(13) t(a), range(13) s(b)),\n" + _fbm_sql("base", 140.0, 4, 0.45, 0.35, 3) + " select round(2.5 / (max(v) - min(v)), 6) as scale from fbm")
+@query("with base as (select a * 210.0::double / 12 as px, b * 210.0::double / 12 as py from range(13) t(a), range(13) s(b)),\n" + _fbm_sql("base", 140.0, 4, 0.45, 0.35, 3) + ", span as (select max(v) - min(v) as s from fbm) select p_partkey, round(p_size / 10.0::double / s, 6) as scale from part, span")
 def relief_scale(spark: SparkSession, d: str) -> DataFrame:
-    """What brings the invented relief of a patch to 2.5 metres from trough to peak."""
-    return readers.relief_scale(spark, amplitude=2.5, extent=210.0, steps=13, seed=3).select(*r6("scale"))
+    """What brings the invented relief of a patch to each plot's metres from trough to peak."""
+    one = readers.relief_scale(spark, amplitude=1.0, extent=210.0, steps=13, seed=3)
+    return V.table(spark, d, "part").crossJoin(F.broadcast(one)).select("p_partkey", F.round(F.col("p_size") / 10 * F.col("scale"), 6).alias("scale"))
 
 
 @query("""with a as (select p_partkey, p_size / 10.0::double as ratio from part)

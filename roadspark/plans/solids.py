@@ -236,7 +236,7 @@ def _weights(a: str, b: str, c: str) -> str:
     + """, cell as (select line_id, row_number() over w as i, lx as ax, ly as ay, rx as bx, ry as by_, lead(rx) over w as cx, lead(ry) over w as cy, lead(lx) over w as dx, lead(ly) over w as dy, station / length as u, lead(station) over w / length as u2 from frame where length > 0 window w as (partition by line_id order by seq)),
 tri as (select line_id, 2 * i as nr, ax, ay, bx as fx, by_ as fy, cx, cy, u as ua, 0.0::double as va, u as ub, 1.0::double as vb, u2 as uc, 1.0::double as vc from cell where cx is not null
   union all select line_id, 2 * i + 1, ax, ay, cx, cy, dx, dy, u, 0.0, u2, 1.0, u2, 0.0 from cell where cx is not null),
-pt as (select line_id, event_id, x + 0.7 as px, y + (event_id % 9) * 0.5 - 2 as py from vertex where seq % 6 = 0),
+pt as (select line_id, event_id, x + 0.7 as px, y + (event_id % 9) * 0.5 - 2 as py from vertex),
 m as (select *, """
     + _weights("a", "f", "c")
     + """ from pt join tri using (line_id)),
@@ -247,8 +247,8 @@ f as (select *, row_number() over (partition by line_id, event_id order by least
 select line_id, event_id, round(alpha * ua + beta * ub + gamma * uc, 5) as u, round(alpha * va + beta * vb + gamma * vc, 5) as v from f where k = 1"""
 )
 def lane_project(spark: SparkSession, d: str) -> DataFrame:
-    """Places along and across their lane of the paint's corners: every sixth vertex has one."""
-    p = V.vertex(spark, d).filter("seq % 6 = 0").select("line_id", "event_id", (F.col("x") + 0.7).alias("px"), (F.col("y") + F.col("event_id") % 9 * 0.5 - 2).alias("py"))
+    """Places along and across their lane of the paint's corners: every vertex has one."""
+    p = V.vertex(spark, d).select("line_id", "event_id", (F.col("x") + 0.7).alias("px"), (F.col("y") + F.col("event_id") % 9 * 0.5 - 2).alias("py"))
     return M.lane_project(p, M.lane_frame(V.strip(spark, d), BY), BY, "event_id").select("line_id", "event_id", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
 
 
