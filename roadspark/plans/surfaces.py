@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import contours, extend, grid, surface
+from roadspark.operators import contours, extend, grid, massing, surface
 from roadspark.operators import roofs as buildings
 from roadspark.plans import areas
 from roadspark.plans import views as V
@@ -227,3 +227,38 @@ def pond_outlines(spark: SparkSession, d: str) -> DataFrame:
     ponds = grid.components(low, NX).withColumnRenamed("component", "body")
     rings = contours.measures(contours.cell_outlines(ponds, cell=CELL, keys=["body"], rounded=True), ["body"])
     return rings.select("body", *r6("area", "length"))
+
+
+# ---------------------------------------------------------------- masses
+
+
+def _lots(spark: SparkSession, d: str) -> DataFrame:
+    return houses(spark, d).select("id", F.col("rings")[0].alias("ring"), "base", "height")
+
+
+@query(
+    """with u as (
+  select p_partkey as id, greatest(p_size + 8.0::double, p_size % 11 + 5.0::double) * least(p_size + 8.0::double, p_size % 11 + 5.0::double) as size, """
+    + ", ".join(f"('0x' || substr(md5('3-' || p_partkey || '-{n}'), 1, 8))::bigint / 4294967296.0::double as {n}" for n in ("wall", "depth", "wing", "form", "pitch", "parapet"))
+    + """ from part),
+g as (select *, case when wall < 0.55 then size * (1 - 0.22::double * (0.7 + 0.6 * depth)) else size end as rest, ['flat', 'flat', 'gable', 'hip', 'mono'][floor(form * 5)::int + 1] as roof from u)
+select id, roof as form, round(0.35::double + 0.3 * pitch, 6) as pitch, round(case when wing < 0.45 then rest * 0.62 else rest end, 4)::double as main_area,
+  round(case when wing < 0.45 then rest * 0.38 else 0 end, 4)::double as wing_area, roof = 'flat' and parapet < 0.7 as parapet from g"""
+)
+def massing_measures(spark: SparkSession, d: str) -> DataFrame:
+    """What is drawn for each plot, and how large the main part and the wing are, without courts."""
+    parts = massing.masses(_lots(spark, d), "id", massing.Options(courtyard=0.0), seed=3)
+    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("area"))), F.lit(0.0)), 4).alias(f"{kind}_area")
+    main = lambda c: F.max(F.when(F.col("part") == 0, F.col(c)))
+    return parts.groupBy("id").agg(main("form").alias("form"), F.round(main("pitch"), 6).alias("pitch"), of("main"), of("wing"), F.bool_or(F.col("kind") == "parapet").alias("parapet"))
+
+
+@query()
+def massing_parts(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of the buildings on uneven plots, with courts: where they begin and end, and their faces."""
+    from roadspark.plans.shapes import plots
+
+    lots = _lots(spark, d).drop("ring").join(plots(spark, d).select("id", "ring"), "id")
+    found = surface.stored(massing.masses(lots, "id", seed=3))
+    faces = massing.mass_faces(found, "id").groupBy("id", "part").agg(F.count("*").alias("faces"))
+    return found.join(faces, ["id", "part"], "left").select("id", "part", "kind", *r6("area", "bottom", "top"), F.size("rings").alias("rings"), "faces")
