@@ -307,3 +307,30 @@ def quad_is_sane(a: list[Column], b: list[Column], c: list[Column], d: list[Colu
     n, m = signed_normal(a, b, c), signed_normal(a, c, d)
     dot = sum((p * q for p, q in zip(n, m)), F.lit(0.0))
     return (dot >= 0) & (sum((F.abs(p) for p in (*n, *m)), F.lit(0.0)) > tiny)
+
+
+#: What a pixel of a drawn front shows.
+ON_WALL, ON_SPANDREL, ON_PARAPET, ON_GLASS, ON_FRAME = range(5)
+
+
+def in_row(row: Column, ranges: Column) -> Column:
+    """Those of an array of structs with r0 and r1 whose rows hold a row."""
+    return F.filter(ranges, lambda w: (row >= w["r0"]) & (row < w["r1"]))
+
+
+def front_row(row: Column, openings: Column, plain: Column, width: int, line: int = 1) -> Column:
+    """A row of a drawn front, a number a pixel: openings (those in_row(): structs r0, r1, c0, c1) are glass within a frame
+    `line` pixels wide; other pixels are plain.  Give openings and plain as columns of their own, not as expressions, which
+    each pixel would work out again."""
+
+    def pixel(c: Column) -> Column:
+        inside = F.filter(openings, lambda w: (c >= w["c0"]) & (c < w["c1"]))
+        kind = F.transform(inside, lambda w: F.when((row < w["r0"] + line) | (row >= w["r1"] - line) | (c < w["c0"] + line) | (c >= w["c1"] - line), ON_FRAME).otherwise(ON_GLASS))
+        return F.coalesce(F.array_max(kind), plain)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), pixel)
+
+
+def band_row(v: Column, height: int, line: int = 1) -> Column:
+    """The first row of a line at a height v (0 at the pavement), kept within the picture."""
+    return F.greatest(F.lit(0), F.least(F.lit(height - line), F.bround((1 - v) * height).cast("int") - line // 2))

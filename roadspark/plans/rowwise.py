@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
@@ -168,6 +168,60 @@ def window_pixels(spark: SparkSession, d: str) -> DataFrame:
     return w.select("p_partkey", "floor", "bay", *(c.alias(n) for c, n in zip((*rows, *cols), ("r0", "r1", "c0", "c1"))))
 
 
+_DRAWN = """rng as (select *, greatest(0, least(128, round_even((1 - v1) * 128, 0)::int)) as r0, greatest(0, least(128, round_even((1 - v0) * 128, 0)::int)) as r1,
+  greatest(0, least(64, round_even(u0 * 64, 0)::int)) as c0, greatest(0, least(64, round_even(u1 * 64, 0)::int)) as c1 from win),
+hit as (select p_partkey, r0, r1, c0, c1, unnest(range(r0, r1)) as r from rng where r1 > r0 and c1 > c0),
+wide as (select *, c1 - c0 as w, r = r0 or r = r1 - 1 as level from hit),
+open as (select p_partkey, r, sum(case when level or w < 3 then 0 else w - 2 end) as glass, sum(case when level or w < 3 then w else 2 end) as frame,
+  sum(case when level or w < 3 then w * (c0 + c1 - 1) // 2 else c0 + c1 - 1 end) as place from wide group by 1, 2),
+line as (select p_partkey, (ratio + k - 1) / (ratio + floors - 1) as v, k from (select *, unnest(range(1, floors)) as k from front)),
+span as (select distinct p_partkey, unnest(range(greatest(0, least(128, round_even((1 - v) * 128, 0)::int)), greatest(0, least(128, round_even((1 - (v - 0.012)) * 128, 0)::int)))) as r from line),
+band as (
+  select distinct p_partkey, greatest(0, least(127, round_even((1 - v) * 128, 0)::int)) as r from (
+    select p_partkey, case when floors = 1 then 1.0 else ratio / (ratio + floors - 1) end as v from front union all select p_partkey, 1 - 0.035::double from front)),
+pic as (select p_partkey, unnest(range(0, 128)) as r from front)"""
+
+
+@query(
+    V.with_(_WINDOWS, _DRAWN)
+    + """select pic.p_partkey, pic.r::int as row, coalesce(glass, 0)::int as glass, coalesce(frame, 0)::int as frame, coalesce(place, 0)::int as place,
+case when pic.r < 4 then 64 - coalesce(glass, 0) - coalesce(frame, 0) else 0 end::int as parapet,
+case when pic.r >= 4 and span.r is not null then 64 - coalesce(glass, 0) - coalesce(frame, 0) else 0 end::int as spandrel, band.r is not null as band
+from pic left join open using (p_partkey, r) left join span using (p_partkey, r) left join band using (p_partkey, r)"""
+)
+def drawn_fronts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of every front's picture (64 by 128): how many pixels of each kind, the frames' columns summed, and whether
+    the control drawing has a line there."""
+    f = _fronts(spark, d)
+    w = C.windows(F.col("floors"), F.col("bays"), F.col("ratio"))
+    lines = C.floor_lines(F.col("floors"), F.col("ratio"))
+
+    def opening(x: Column) -> Column:
+        r, c = C.pixel_range(x["v0"], x["v1"], F.lit(128), flipped=True), C.pixel_range(x["u0"], x["u1"], F.lit(64))
+        return F.struct(*(v.alias(n) for v, n in zip((*r, *c), ("r0", "r1", "c0", "c1"))))
+
+    def spandrel(v: Column) -> Column:
+        r = C.pixel_range(v - 0.012, v, F.lit(128), flipped=True)
+        return F.struct(r[0].alias("r0"), r[1].alias("r1"))
+
+    inner = F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0)))
+    p = f.select("p_partkey", F.transform(w, opening).alias("openings"), F.transform(inner, spandrel).alias("spandrels"), C.band_row(F.element_at(lines, 2), 128).alias("fascia"))
+    top = C.pixel_range(F.lit(1 - 0.035), F.lit(1.0), F.lit(128), flipped=True)[1]
+    # rows between two of these are alike, and are drawn once
+    cuts = F.concat(F.array(F.lit(0), top, F.lit(128)), F.flatten(F.transform("openings", lambda w: F.array(w["r0"], w["r0"] + 1, w["r1"] - 1, w["r1"]))), F.flatten(F.transform("spandrels", lambda w: F.array(w["r0"], w["r1"]))))
+    p = p.withColumn("cuts", F.array_sort(F.array_distinct(F.filter(cuts, lambda r: (r >= 0) & (r <= 128)))))
+    p = p.select("*", F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("row"), F.slice("cuts", 2, F.size("cuts") - 1).alias("until"))).alias("part")).select("*", F.col("part.row").alias("row"), F.col("part.until").alias("until"))
+    plain = F.when(F.col("row") < top, C.ON_PARAPET).when(F.size(C.in_row(F.col("row"), F.col("spandrels"))) > 0, C.ON_SPANDREL).otherwise(C.ON_WALL)
+    p = p.select("p_partkey", "row", "until", "fascia", C.in_row(F.col("row"), F.col("openings")).alias("openings"), plain.alias("plain"))
+    p = p.withColumn("pixels", C.front_row(F.col("row"), F.col("openings"), F.col("plain"), 64))
+    count = lambda kind: F.size(F.filter("pixels", lambda x: x == kind))
+    place = F.aggregate(F.transform("pixels", lambda x, c: F.when(x == C.ON_FRAME, c).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    p = p.select("p_partkey", "fascia", F.sequence("row", F.col("until") - 1).alias("rows"), count(C.ON_GLASS).alias("glass"), count(C.ON_FRAME).alias("frame"), place.alias("place"), count(C.ON_PARAPET).alias("parapet"), count(C.ON_SPANDREL).alias("spandrel"))
+    p = p.withColumn("row", F.explode("rows"))
+    band = (F.col("row") == F.col("fascia")) | (F.col("row") == C.band_row(F.lit(1 - 0.035), 128))
+    return p.select("p_partkey", "row", "glass", "frame", "place", "parapet", "spandrel", band.alias("band"))
+
+
 @query(V.with_(_FRONT) + "select p_partkey, greatest(8, round_even(bays * 100.0::double / 8, 0)::bigint * 8) as w, greatest(8, round_even((ratio + floors - 1) * 100 / 8, 0)::bigint * 8) as h, greatest(1, round_even(p_partkey % 40 / 3.0::double, 0)::int) as bays from front")
 def pixel_size(spark: SparkSession, d: str) -> DataFrame:
     """Sheet sizes in multiples of eight, and the bays that walls of up to 39 m have."""
