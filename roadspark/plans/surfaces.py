@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import contours, extend, grid, massing, surface
+from roadspark.operators import atlas, contours, extend, grid, massing, surface
 from roadspark.operators import roofs as buildings
 from roadspark.plans import areas
 from roadspark.plans import views as V
@@ -262,3 +262,42 @@ def massing_parts(spark: SparkSession, d: str) -> DataFrame:
     found = surface.stored(massing.masses(lots, "id", seed=3))
     faces = massing.mass_faces(found, "id").groupBy("id", "part").agg(F.count("*").alias("faces"))
     return found.join(faces, ["id", "part"], "left").select("id", "part", "kind", *r6("area", "bottom", "top"), F.size("rings").alias("rings"), "faces")
+
+
+# ---------------------------------------------------------------- painted lanes
+
+
+def _atlas(spark: SparkSession, d: str) -> atlas.Atlas:
+    """Turned boxes as lanes, each with a stop line near its beginning and a lane line along its middle; a sheet for each tile
+    of 200 m."""
+    t = surface.stored(areas.turned(spark, d))  # its corners are named often
+    p = lambda k, axis: F.element_at(F.element_at("ring", k + 1), axis + 1)
+    ends = F.array(*(F.struct(F.lit(seq).alias("seq"), *(p(k, a).alias(f"{s}{c}") for s, k in (("l", left), ("r", right)) for a, c in enumerate("xy"))) for seq, left, right in ((0, 3, 0), (1, 2, 1))))
+    lanes = t.select(F.col("id").alias("lane"), F.when(F.col("kind") == 0, "Junctions").otherwise("Roads").alias("kind"), atlas.by_tile(p(0, 0), p(0, 1), 200.0).alias("sheet"), F.explode(ends).alias("e"))
+    lanes = lanes.select("lane", "e.*", F.lit(0.0).alias("lz"), F.lit(0.0).alias("rz"), "kind", "sheet")
+    # a place in the box: so far along, so far across
+    at = lambda u, v, axis: p(0, axis) + (p(1, axis) - p(0, axis)) * u + (p(3, axis) - p(0, axis)) * v
+    quad = lambda u0, u1, v0, v1: F.array(*(F.array(at(u, v, 0), at(u, v, 1)) for u, v in ((u0, v0), (u1, v0), (u1, v1), (u0, v1))))
+    paint = t.select((F.col("id") * 2).alias("id"), F.lit("StopLines").alias("grp"), quad(0.1, 0.16, 0.0, 1.0).alias("ring")).unionByName(
+        t.select((F.col("id") * 2 + 1).alias("id"), F.lit("LaneMarkings").alias("grp"), quad(0.2, 0.9, 0.46, 0.54).alias("ring"))
+    )
+    return atlas.Atlas(lanes, paint, texel=0.25, step=16, page=256, samples=2)
+
+
+@query()
+def bake_strips(spark: SparkSession, d: str) -> DataFrame:
+    """Where each lane's strip lies in the atlas, and how many of its texels are paint."""
+    return _atlas(spark, d).strips().select("lane", "sheet", "page", "px", "py", "w", "h", F.round("coverage", 3).alias("coverage"))
+
+
+@query()
+def bake_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of all sheets: strips on each and texels of paint."""
+    a = _atlas(spark, d)
+    return a.pages(a.strips()).select("sheet", "page", "strips", F.round("coverage", 3).alias("coverage"))
+
+
+@query()
+def baked_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Painted groups, and how many of their shapes lie on a strip."""
+    return _atlas(spark, d).emptied()
