@@ -319,16 +319,18 @@ def in_row(row: Column, ranges: Column) -> Column:
 
 
 def front_row(row: Column, openings: Column, plain: Column, width: int, line: int = 1) -> Column:
-    """A row of a drawn front, a number a pixel: openings (those in_row(): structs r0, r1, c0, c1) are glass within a frame
-    `line` pixels wide; other pixels are plain.  Give openings and plain as columns of their own, not as expressions, which
-    each pixel would work out again."""
-
-    def pixel(c: Column) -> Column:
-        inside = F.filter(openings, lambda w: (c >= w["c0"]) & (c < w["c1"]))
-        kind = F.transform(inside, lambda w: F.when((row < w["r0"] + line) | (row >= w["r1"] - line) | (c < w["c0"] + line) | (c >= w["c1"] - line), ON_FRAME).otherwise(ON_GLASS))
-        return F.coalesce(F.array_max(kind), plain)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), pixel)
+    """A row of a drawn front, a number a pixel, put together from runs: openings (those in_row(): structs r0, r1, c0, c1, from
+    left to right, none over another) are glass within a frame `line` pixels wide; what lies between them is plain."""
+
+    def run(w: Column, i: Column) -> Column:
+        n = w["c1"] - w["c0"]
+        level = (row < w["r0"] + line) | (row >= w["r1"] - line) | (n <= 2 * line)
+        upright = F.concat(F.array_repeat(F.lit(ON_FRAME), line), F.array_repeat(F.lit(ON_GLASS), n - 2 * line), F.array_repeat(F.lit(ON_FRAME), line))
+        before = F.when(i > 0, F.get(openings, i - 1)["c1"]).otherwise(0)
+        return F.concat(F.array_repeat(plain, w["c0"] - before), F.when(level, F.array_repeat(F.lit(ON_FRAME), n)).otherwise(upright))
+
+    last = F.coalesce(F.try_element_at(openings, F.lit(-1))["c1"], F.lit(0))
+    return F.concat(F.flatten(F.transform(openings, run)), F.array_repeat(plain, F.lit(width) - last))
 
 
 def band_row(v: Column, height: int, line: int = 1) -> Column:

@@ -154,6 +154,7 @@ def diversity(df: DataFrame, key: str, vector: str, *, block: int = 512) -> Data
             dist = dist[np.triu_indices(len(a), 1)]
         return pd.DataFrame({"n": [dist.size], "total": [dist.sum()]})
 
+    df = stored(df.select(key, vector))
     blocks = max(1, -(-df.count() // block))
     d = df.select(F.col(key), F.col(vector), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
     other = d.select(key, vector, "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("far"))
@@ -170,6 +171,11 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _steps(image: Column, n: int, a, b) -> Column:
     """The mean difference of the values at a(i) and b(i), for i below n."""
     return _mean(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.abs(F.get(image, a(i)) - F.get(image, b(i)))))
@@ -219,7 +225,7 @@ def descriptor(image: Column, h: int, w: int) -> Column:
 
     r, g, b = (channel(c) for c in range(3))
     grey = F.transform(_pixels(image, h * w), _mean)
-    busy = _steps(grey, (h - 1) * w, lambda i: i, lambda i: i + w)
+    busy = _let(grey, lambda g: _steps(g, (h - 1) * w, lambda i: i, lambda i: i + w))
     return F.array(_mean(image) / 255, (r - b) / 255, (g - (r + b) / 2) / 255, saturation(image, h, w), busy / 255)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
 from roadspark.operators import reports
+from roadspark.operators.graph import stored
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -28,10 +29,11 @@ def _image(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rgb(spark: SparkSession, d: str) -> DataFrame:
-    """192 numbers: rows of pixels of three channels."""
+    """192 numbers: rows of pixels of three channels; a written table, as an expression would be worked out anew for every
+    pixel that is named."""
     at = F.sequence(F.lit(0), F.lit(191))
     pixel = lambda i: F.get("image", ((F.floor(i / 3) + i % 3 * 21) % 64).cast("int"))
-    return _image(spark, d).select("vec_id", F.transform(at, pixel).alias("image"))
+    return stored(stored(_image(spark, d)).select("vec_id", F.transform(at, pixel).alias("image")))
 
 
 def _seam_sql(view: str, h: int, w: int, by: str = "") -> str:
