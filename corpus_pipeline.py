@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
 columns of documents.
+
+Defined cases: an empty table stays empty; a null text counts as empty, and is kept as one document of all that are empty or
+null; repeated rows and copies under several ids are one class of near-duplicates, of which one stays; null ids are kept;
+further columns of the first table are dropped, whatever their names; without a label that fits a document nothing is
+toxic; without benchmark items nothing leaks.
 """
 
 from __future__ import annotations

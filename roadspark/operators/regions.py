@@ -152,12 +152,17 @@ def outlines(region: list[list[Trapezoid]]) -> list[Ring]:
         below = [(t[3], t[5]) for t in region[i - 1]] if i else []
         above = [(t[2], t[4]) for t in region[i]] if i < len(region) else []
         touching = bool(below and above) and abs(region[i - 1][0][1] - region[i][0][0]) < TINY
-        for mine, other, y, sign in ((below, above, region[i - 1][0][1] if below else 0.0, -1), (above, below, region[i][0][0] if above else 0.0, 1)):
-            cuts = sorted({x for span in (*mine, *(other if touching else ())) for x in span})
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                m = (a + b) / 2
-                if any(l < m < r for l, r in mine) and not (touching and any(l < m < r for l, r in other)):
-                    add(*(((a, y), (b, y)) if sign > 0 else ((b, y), (a, y))))
+        for mine, other in ((below, above),) if touching else ((below, []), ([], above)):
+            # spans of a row lie apart, from left to right: one walk over all their ends tells what only one side covers
+            ends = sorted([(x, 0) for span in mine for x in span] + [(x, 1) for span in other for x in span])
+            inside = [False, False]
+            for (x, side), (x2, _) in zip(ends, ends[1:]):
+                inside[side] = not inside[side]
+                if x2 > x and inside[0] != inside[1]:
+                    if inside[1]:
+                        add((x, region[i][0][0]), (x2, region[i][0][0]))
+                    else:
+                        add((x2, region[i - 1][0][1]), (x, region[i - 1][0][1]))
         if i < len(region):
             for y0, y1, a, b, c, d in region[i]:
                 add((c, y0), (d, y1))
@@ -198,18 +203,26 @@ def parts(region: list[list[Trapezoid]]) -> list[list[list[Trapezoid]]]:
             k = up[k]
         return k
 
-    rows: dict[int, list[int]] = {}
-    for k, (i, _) in enumerate(flat):
-        rows.setdefault(i, []).append(k)
-    for i, own in rows.items():
-        for k in own:
-            for j in rows.get(i + 1, ()):
-                a, b = flat[k][1], flat[j][1]
-                if abs(a[1] - b[0]) < TINY and min(a[5], b[4]) - max(a[3], b[2]) > TINY:
-                    up[root(j)] = root(k)
+    first = [0]
+    for row in region:
+        first.append(first[-1] + len(row))
+    for i in range(len(region) - 1):
+        k, j = first[i], first[i + 1]
+        # both rows from left to right: whichever ends first is done
+        while k < first[i + 1] and j < first[i + 2]:
+            a, b = flat[k][1], flat[j][1]
+            if abs(a[1] - b[0]) < TINY and min(a[5], b[4]) - max(a[3], b[2]) > TINY:
+                up[root(j)] = root(k)
+            if a[5] < b[4]:
+                k += 1
+            else:
+                j += 1
     out: dict[int, list[list[Trapezoid]]] = {}
     for k, (i, t) in enumerate(flat):
-        out.setdefault(root(k), [[] for _ in region])[i].append(t)
+        r = root(k)
+        if r not in out:
+            out[r] = [[] for _ in region]
+        out[r][i].append(t)
     return list(out.values())
 
 
