@@ -24,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(named or LOCAL_CHECKPOINTS).rstrip('/')}/{sc.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: no lineage, no executor holds its only copy."""
+def stored(df: DataFrame, name: str, *, group_bytes: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: no lineage, no executor holds its only copy.
+    group_bytes: of a row group, which a writer holds in memory; Parquet's own if it isn't given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

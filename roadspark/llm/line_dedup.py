@@ -40,6 +40,8 @@ BITS_A_KEY = 12
 PROBES = 3
 #: Of the filter that is broadcast.
 FILTER_BYTES = 128 << 20
+#: Texts that a worker holds decoded at once, and bytes of a stored table's row group.
+ROWS, GROUP_BYTES = 1024, 16 << 20
 U64 = np.uint64
 
 _NEWLINE = np.uint8(10)
@@ -165,7 +167,7 @@ def digest(key: np.ndarray) -> bytes:
 def _suspect(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = sent.value
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             found = [[] for _ in range(batch.num_rows)]
             for i, text, h, s, e, low in key_hashes(batch.column("text")):
                 for k in np.flatnonzero(suspected(field, h)).tolist():
@@ -192,7 +194,7 @@ def without(text: str, drop: set[bytes]) -> tuple[int, str]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         dropped, kept = [], []
         for text, drop in zip(batch.column("text"), batch.column("drop")):
             n, rest = without(text.as_py(), set(drop.as_py())) if drop.is_valid else (0, text.as_py())
@@ -207,7 +209,7 @@ def dedup_lines(docs: DataFrame, *, filter_bytes: int = FILTER_BYTES) -> DataFra
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     field = repeated_filter(docs, max(16, 4 * partitions(spark)), filter_bytes=filter_bytes)
     probed = docs.mapInArrow(_suspect(spark.sparkContext.broadcast(field)), f"doc_id {kind}, text string, n_lines long, digests array<binary>, own binary")
-    probed = stored(probed.withColumn("clean", F.size("digests") == 0), "probed")
+    probed = stored(probed.withColumn("clean", F.size("digests") == 0), "probed", group_bytes=GROUP_BYTES)
     held = probed.filter("not clean").select("doc_id", "own", F.explode("digests").alias("digest"))
     first = held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"), F.count("*").alias("n"))
     first = stored(first.filter("first < last or unnamed and first is not null").select("digest", "first", "n"), "repeats")
