@@ -90,8 +90,9 @@ def neighbour_edges(cells: DataFrame, width: int) -> DataFrame:
     return steps.join(cells.select("ix", "iy", name.alias("b")), ["ix", "iy"]).select("a", "b")
 
 
-def components(cells: DataFrame, width: int, block: int = 256) -> DataFrame:
-    """ix, iy and component of each cell: 4-connected parts, named by their least cell iy * width + ix.
+def components(cells: DataFrame, width: int, block: int = 256, kind: str | None = None) -> DataFrame:
+    """ix, iy (and kind) and component of each cell: 4-connected parts, of one kind each if a column is named, named by their
+    least cell iy * width + ix.
 
     Blocks of block x block cells are labelled by themselves; only the parts that touch across block borders make the
     graph whose components are looked for by rounds, so its size follows the borders' length and not the area."""
@@ -103,19 +104,21 @@ def components(cells: DataFrame, width: int, block: int = 256) -> DataFrame:
         mask[i, j] = True
         part = kernels.label(mask)[i, j]
         pdf["own"] = pdf.groupby(part)["cell"].transform("min")
-        return pdf[["ix", "iy", "cell", "own"]]
+        return pdf[[*of, "ix", "iy", "cell", "own"]]
 
-    by = [F.floor(F.col("ix") / block), F.floor(F.col("iy") / block)]
-    own = stored(cells.select(F.col("ix").cast("int"), F.col("iy").cast("int"), name).groupBy(*by).applyInPandas(label, "ix int, iy int, cell long, own long"))
+    of = [kind] if kind else []
+    schema = "".join(f"{c} {cells.schema[c].dataType.simpleString()}, " for c in of) + "ix int, iy int, cell long, own long"
+    by = [*of, F.floor(F.col("ix") / block), F.floor(F.col("iy") / block)]
+    own = stored(cells.select(*of, F.col("ix").cast("int"), F.col("iy").cast("int"), name).groupBy(*by).applyInPandas(label, schema))
     far = None
     for x, y in ((1, 0), (0, 1)):
         axis = "ix" if x else "iy"
-        a = own.filter(F.pmod(F.col(axis), F.lit(block)) == block - 1).select((F.col("ix") + x).alias("ix"), (F.col("iy") + y).alias("iy"), F.col("own").alias("a"))
-        b = own.filter(F.pmod(F.col(axis), F.lit(block)) == 0).select("ix", "iy", F.col("own").alias("b"))
-        pairs = a.join(b, ["ix", "iy"]).select("a", "b")
+        a = own.filter(F.pmod(F.col(axis), F.lit(block)) == block - 1).select(*of, (F.col("ix") + x).alias("ix"), (F.col("iy") + y).alias("iy"), F.col("own").alias("a"))
+        b = own.filter(F.pmod(F.col(axis), F.lit(block)) == 0).select(*of, "ix", "iy", F.col("own").alias("b"))
+        pairs = a.join(b, [*of, "ix", "iy"]).select("a", "b")
         far = pairs if far is None else far.unionByName(pairs)
     merged = graph.components(far.distinct()).select(F.col("node").alias("own"), "component")
-    return own.join(merged, "own", "left").select("ix", "iy", F.coalesce("component", "own").alias("component"))
+    return own.join(merged, "own", "left").select(*of, "ix", "iy", F.coalesce("component", "own").alias("component"))
 
 
 def support_distance(cells: DataFrame, known: DataFrame) -> DataFrame:

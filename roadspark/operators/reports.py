@@ -164,6 +164,19 @@ def diversity(df: DataFrame, key: str, vector: str, *, block: int = 512) -> Data
     return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("diversity"))
 
 
+def footprints(strips: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
+    """by, ring (array of x, y: along the left bound and back along the right one), mean_z, x and y (the mean of its corners)
+    and area of ribbons (by, order, lx, ly, lz, rx, ry, rz); those of one cross-section have none.  A ribbon's cross-sections
+    are one array."""
+    rows = strips.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "lx", "ly", "lz", "rx", "ry", "rz"))).alias("s")).filter(F.size("s") > 1)
+    side = lambda a: F.transform("s", lambda p: F.struct(p[f"{a}x"].alias("x"), p[f"{a}y"].alias("y"), p[f"{a}z"].alias("z")))
+    rows = rows.select(*by, F.concat(side("l"), F.reverse(side("r"))).alias("corners"))
+    mean = lambda c: _mean(F.transform("corners", lambda p: p[c]))
+    nxt = F.concat(F.slice("corners", 2, F.size("corners") - 1), F.slice("corners", 1, 1))
+    twice = F.aggregate(F.zip_with("corners", nxt, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(*by, F.transform("corners", lambda p: F.array(p["x"], p["y"])).alias("ring"), mean("z").alias("mean_z"), mean("x").alias("x"), mean("y").alias("y"), (F.abs(twice) / 2).alias("area"))
+
+
 # ---------------------------------------------------------------- pictures: arrays of numbers, rows after one another
 
 

@@ -95,3 +95,10 @@ def cover_triangles(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "triangles", "area"])
 
     return turned(spark, d).select("id", "ring").mapInPandas(run, "id long, triangles int, area double").select("id", "triangles", *r6("area"))
+
+
+@query()
+def stacked_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Turned road pieces over one another by half a square metre or more, 4 m apart at least, and the higher of both."""
+    z = V.footprint(spark, d).select("id", F.col("mean_z").alias("z"))
+    return areas.stacked(turned(spark, d).join(z, "id"), gap=4.0, least=0.5).select("a", "b", *r6("area"), "higher")

@@ -399,10 +399,7 @@ p as (select node, min(k) as terrace from r group by node)"""
 def terraces(spark: SparkSession, d: str) -> DataFrame:
     """Level ground: connected cells of one height class, three at least."""
     c = V.table(spark, d, "part").select((F.col("p_partkey") % 40).cast("int").alias("ix"), F.expr("p_partkey div 40").cast("int").alias("iy"), F.expr("p_size div 20").cast("int").alias("step"))
-    parts = None
-    for k in [r["step"] for r in c.select("step").distinct().orderBy("step").collect()]:  # the classes of a palette
-        own = grid.components(c.filter(F.col("step") == k).select("ix", "iy"), 40, 64).withColumn("step", F.lit(k))
-        parts = own if parts is None else parts.unionByName(own)
+    parts = grid.components(c, 40, 64, "step")
     return parts.groupBy(F.col("component").alias("terrace")).agg(F.first("step").alias("step"), F.count("*").alias("cells")).filter("cells >= 3")
 
 
@@ -510,9 +507,11 @@ def union_bag(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(V.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("Junctions").alias("grp")))
 
 
-@query("select c_custkey as id from customer except select o_custkey from orders")
+@query("select o_orderkey as id from orders except select l_orderkey from lineitem where l_returnflag = 'R'")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(V.table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), "id", "left_anti")
+    """Orders of which nothing came back."""
+    back = V.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).distinct().join(back, "id", "left_anti")
 
 
 @query("select c_custkey as id from customer intersect select o_custkey from orders")
@@ -571,3 +570,19 @@ def place_mesh(spark: SparkSession, d: str) -> DataFrame:
 def ground_clearance_qa(spark: SparkSession, d: str) -> DataFrame:
     v = V.vertex(spark, d).withColumn("ix", F.floor(F.col("x") / 10)).withColumn("iy", F.floor(F.col("y") / 10)).join(V.ground(spark, d), ["ix", "iy"])
     return v.agg(F.count_if(F.col("ground") > F.col("z")).alias("above"), F.round(F.max(F.col("ground") - F.col("z")), 6).alias("worst"), F.count("*").alias("vertices"))
+
+
+# ---------------------------------------------------------------- ribbons in plan
+
+
+@query(
+    V.with_(V.VERTEX, V.STRIP)
+    + """, ring as (
+  select line_id, seq as k, lx as x, ly as y, lz as z from strip union all select line_id, 2 * n - seq + 1, rx, ry, rz from strip join (select line_id, max(seq) as n from strip group by 1) using (line_id)),
+nxt as (select *, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from ring window w as (partition by line_id order by k)),
+s as (select line_id, count(*) as corners, avg(z) as mean_z, avg(x) as x, avg(y) as y, abs(sum(x * y2 - x2 * y)) / 2 as area from nxt group by line_id)
+select line_id, corners, round(mean_z, 6) as mean_z, round(x, 6) as x, round(y, 6) as y, round(area, 4) as area from s where corners >= 4"""
+)
+def footprint_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each lane's ring in plan (left bound there, right bound back): corners, mean height, middle of the corners, area."""
+    return reports.footprints(V.strip(spark, d), ["line_id"]).select("line_id", F.size("ring").cast("long").alias("corners"), *r6("mean_z", "x", "y"), F.round("area", 4).alias("area"))
