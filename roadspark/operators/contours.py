@@ -85,9 +85,9 @@ def thinned(p: np.ndarray, by: float) -> np.ndarray:
     return p[keep]
 
 
-def chains(shapes: DataFrame, f: Callable[[Square, list[np.ndarray]], Region], *, keys: Sequence[str] = (), block: float, reach: float, thin: float = 0.0) -> DataFrame:
-    """The chains of the outlines of f's region (of a block with reach around it, from the shapes there), counter-clockwise
-    around areas and clockwise around their holes; node is a chain's own number."""
+def chains(shapes: DataFrame, f: Callable[..., Region], *, keys: Sequence[str] = (), block: float, reach: float, thin: float = 0.0) -> DataFrame:
+    """The chains of the outlines of f's region (of a block with reach around it, from the shapes there; with keys f is given
+    their values too), counter-clockwise around areas and clockwise around their holes; node is a chain's own number."""
     rows = listed(shapes, block, reach, keys)
     names = [*keys, *(c.split()[0] for c in _CHAIN.split(", "))]
     schema = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys) + _CHAIN
@@ -97,7 +97,7 @@ def chains(shapes: DataFrame, f: Callable[[Square, list[np.ndarray]], Region], *
         wide = square + reach * np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]])
         shapes_ = sorted((np.array([list(p) for p in r], float) for r in pdf["ring"]), key=lambda r: r.tolist())
         out = []
-        for c in chains_within(regions.outlines(f(wide, shapes_)), square):
+        for c in chains_within(regions.outlines(f(wide, shapes_, *key[:-2])), square):
             closed = bool((c[0] == c[-1]).all())
             c = thinned(c, thin)
             if len(c) < (4 if closed else 2):
@@ -161,13 +161,13 @@ def cell_outlines(cells: DataFrame, *, cell: float, keys: Sequence[str] = (), ro
     half a cell of the outline is thinned out; an area of which that leaves half or less keeps its stairs.
     """
     block = block or 32 * cell
-    plain = lambda wide, rings: regions.intersection([[r] for r in rings], [[wide]])
+    plain = lambda wide, rings, *_: regions.intersection([[r] for r in rings], [[wide]])
     shapes = stored(_squares(cells.filter("ix is not null and iy is not null"), cell, keys))
     if not rounded:
         return ordered(chains(shapes, plain, keys=keys, block=block, reach=cell), keys)
     by = 0.75 * cell
 
-    def smooth(wide, rings):
+    def smooth(wide, rings, *_):
         area = regions.as_polygons(regions.intersection([[r] for r in rings], [[wide]]))
         area = regions.as_polygons(regions.shrunk(regions.as_polygons(regions.grown(area, by)), 2 * by))
         return regions.grown(area, by)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import atlas, contours, extend, grid, massing, surface
+from roadspark.operators import atlas, contours, extend, fences, grid, massing, surface
 from roadspark.operators import roofs as buildings
 from roadspark.plans import areas
 from roadspark.plans import views as V
@@ -218,17 +218,31 @@ def level_outlines(spark: SparkSession, d: str) -> DataFrame:
     return rings.select("level", *r6("area", "length"))
 
 
+def _ponds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Cells of ponds (body, ix, iy) that stand where the surveyed ground is below 1 m, the ground, and the cells down the map."""
+    ny = _rows(spark, d)
+    ground = surface.stored(surface.solve_grid(survey(spark, d, ny), NX, ny, order=1))
+    return grid.components(ground.filter("z < 1"), NX).withColumnRenamed("component", "body"), ground, ny
+
+
 @query()
 def pond_outlines(spark: SparkSession, d: str) -> DataFrame:
-    """Shores of the ponds that stand where the surveyed ground is below 1 m, each pond of cells that join, rounded off: body,
-    area, length."""
-    ny = _rows(spark, d)
-    low = surface.solve_grid(survey(spark, d, ny), NX, ny, order=1).filter("z < 1")
-    ponds = grid.components(low, NX).withColumnRenamed("component", "body")
-    rings = contours.measures(contours.cell_outlines(ponds, cell=CELL, keys=["body"], rounded=True), ["body"])
+    """Shores of the ponds, each of cells that join, rounded off: body, area, length."""
+    rings = contours.measures(contours.cell_outlines(_ponds(spark, d)[0], cell=CELL, keys=["body"], rounded=True), ["body"])
     return rings.select("body", *r6("area", "length"))
 
 
+@query()
+def pond_railings(spark: SparkSession, d: str) -> DataFrame:
+    """Railings on the banks of all ponds, off the roads: rails of each pond, and their metres."""
+    cells, ground, ny = _ponds(spark, d)
+    x, y = F.col("ix") * CELL, F.col("iy") * CELL
+    ring = F.array(F.array(x, y), F.array(x + CELL, y), F.array(x + CELL, y + CELL), F.array(x, y + CELL))
+    rims = fences.banks(cells.select("body", ring.alias("ring"), F.lit(0.8).alias("level")), ground, NX, ny, cell=CELL, step=2.0, reach=10.0)
+    rails = fences.railings(rims, areas.turned(spark, d))
+    return rails.groupBy("body").agg(F.count_distinct("ring", "rail").alias("rails"), F.sum("length").alias("length")).select("body", "rails", *r6("length"))
+
+
 # ---------------------------------------------------------------- masses
 
 
