@@ -246,7 +246,10 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mine(rows: DataFrame, *, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score from rows (vec_id, embedding, label)."""
-    blocks = stored(prepared(rows).mapInArrow(_packed, "d int, ids binary, labels binary, kind string, q binary, norm double"), "blocks")
+    ready = stored(prepared(rows), "vectors")
+    # as many parts as blocks, so that blocks are full however the table was dealt out
+    ready = ready.repartition(max(1, -(-ready.count() // VECTORS)))
+    blocks = stored(ready.mapInArrow(_packed, "d int, ids binary, labels binary, kind string, q binary, norm double"), "blocks")
     anchors = blocks.mapInArrow(_anchors, "a_d int, a_ids binary, a_labels binary, a_kind string, a_q binary, n int")
     anchors = stored(anchors.withColumn("block", F.monotonically_increasing_id()), "anchors")
     norm = blocks.agg(F.max("norm")).first()[0] or 0.0
