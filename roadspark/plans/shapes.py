@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.operators import graph, kernels
+from roadspark.operators import areas, graph, kernels
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -191,3 +191,16 @@ def texture_noise(spark: SparkSession, d: str) -> DataFrame:
         return [(int(r.r_regionkey), float(t.mean()), float(wrap))]
 
     return _each(V.table(spark, d, "region").select("r_regionkey"), "r_regionkey int, mean double, wrap double", one).select("r_regionkey", *r6("mean", "wrap"))
+
+
+@query(
+    V.with_(_PLOTS)
+    + """, n as (select id, k, x, y, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from corner window w as (partition by id order by k))
+select id, round(abs(sum(x * y2 - x2 * y)) / 2, 4) as area, round(min(x), 6) as x0, round(min(y), 6) as y0, round(max(x), 6) as x1, round(max(y), 6) as y1 from n group by id"""
+)
+def faces_to_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """The triangles of each plot joined to polygons again: their areas and bounds."""
+    faces = triangulate(spark, d).join(plots(spark, d), "id")
+    corner = lambda c: F.element_at("ring", F.col(c) + 1)
+    found = areas.dissolved(faces.select("id", F.array(corner("a"), corner("b"), corner("c")).alias("ring")), keys=["id"])
+    return found.select("id", F.round("area", 4).alias("area"), *r6("x0", "y0", "x1", "y1"))
