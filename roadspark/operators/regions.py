@@ -320,3 +320,22 @@ def infill(polygons: list[Polygon], gap: float, least: float, most: float) -> li
 def is_narrow(ring: Ring, width: float) -> bool:
     """Whether a hole is nowhere as wide as a width."""
     return area(shrunk([[ring]], width / 2, "round")) <= 1e-9
+
+
+def inset_to_share(polygon: Polygon, share: float, steps: int = 30) -> list[Polygon]:
+    """A polygon of any form drawn in, corners kept pointed, until it covers a share of its ground; what is left may be
+    several polygons.  A share of 1 or more leaves it as it is, one of 0 or less nothing."""
+    whole = area(union([polygon]))
+    if share >= 1 or whole <= 0:
+        return as_polygons(union([polygon]))
+    if share <= 0:
+        return []
+    at = np.concatenate(polygon)
+    low, high = 0.0, float(np.hypot(*np.ptp(at, axis=0))) / 2
+    for _ in range(steps):
+        middle = (low + high) / 2
+        if area(shrunk([polygon], middle, "mitre")) > share * whole:
+            low = middle
+        else:
+            high = middle
+    return as_polygons(shrunk([polygon], (low + high) / 2, "mitre"))

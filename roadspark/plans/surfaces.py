@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import atlas, contours, extend, fences, grid, massing, surface
+from roadspark.operators import atlas, contours, extend, fences, grid, massing, regions, surface
 from roadspark.operators import roofs as buildings
+from roadspark.operators.graph import spread
 from roadspark.plans import areas
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
@@ -267,6 +270,27 @@ def massing_measures(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("id").agg(main("form").alias("form"), F.round(main("pitch"), 6).alias("pitch"), of("main"), of("wing"), F.bool_or(F.col("kind") == "parapet").alias("parapet"))
 
 
+@query(
+    """with u as (
+  select p_partkey as id, greatest(p_size + 8.0::double, p_size % 11 + 5.0::double) * least(p_size + 8.0::double, p_size % 11 + 5.0::double) as size, """
+    + ", ".join(f"('0x' || substr(md5('3-' || p_partkey || '-{n}'), 1, 8))::bigint / 4294967296.0::double as {n}" for n in ("wall", "depth", "wing"))
+    + """ from part),
+g as (select id, case when wall < 0.55 then size * (1 - 0.22::double * (0.7 + 0.6 * depth)) else size end * case when wing < 0.45 then 0.62 else 1 end as main from u)
+select id, round(main, 4)::double as whole, round(main * 0.6, 3)::double as built from g"""
+)
+def inset_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The main part of each building drawn in until it covers 60 % of its ground."""
+    parts = massing.masses(_lots(spark, d), "id", massing.Options(courtyard=0.0), seed=3).filter("part = 0")
+
+    def run(batches):
+        for pdf in batches:
+            rings = [[np.array([list(p) for p in g], float) for g in r] for r in pdf["rings"]]
+            built = [regions.area(regions.union(regions.inset_to_share(r, 0.6))) for r in rings]
+            yield pd.DataFrame({"id": pdf["id"], "whole": pdf["area"], "built": built})
+
+    return spread(parts.select("id", "area", "rings"), "id").mapInPandas(run, "id long, whole double, built double").select("id", F.round("whole", 4).alias("whole"), F.round("built", 3).alias("built"))
+
+
 @query()
 def massing_parts(spark: SparkSession, d: str) -> DataFrame:
     """All parts of the buildings on uneven plots, with courts: where they begin and end, and their faces."""

@@ -73,3 +73,17 @@ def test_gaps_are_filled_and_yards_are_not():
     assert [round(regions.area(p), 6) for p in regions.infill(ring, 0.5, 0.05, 40.0)] == [15.0]
     assert regions.infill(ring, 0.5, 0.05, 10.0) == []
     assert regions.is_narrow(box(0, 0, 9, 0.8), 1.0) and not regions.is_narrow(box(0, 0, 9, 1.2), 1.0)
+
+
+def test_insets_of_any_form():
+    ell = np.array([[0, 0], [20, 0], [20, 8], [9, 8], [9, 15], [0, 15]], float)
+    court = [box(0, 0, 20, 20), box(8, 8, 12, 12)]
+    waist = np.array([[0, 0], [10, 0], [10, 4.8], [12, 4.8], [12, 0], [22, 0], [22, 10], [12, 10], [12, 5.2], [10, 5.2], [10, 10], [0, 10]], float)
+    for polygon in ([ell], court, [waist]):
+        whole = regions.area(regions.union([polygon]))
+        for share in (0.8, 0.4):
+            left = regions.inset_to_share(polygon, share)
+            assert regions.area(regions.union(left)) == pytest.approx(share * whole, rel=1e-6)
+            assert regions.area(regions.difference(left, [polygon])) < 1e-9
+    assert len(regions.inset_to_share([waist], 0.6)) == 2
+    assert regions.inset_to_share([ell], 0.0) == [] and len(regions.inset_to_share([ell], 1.0)) == 1
