@@ -6,6 +6,9 @@
    Their document frequencies over all distinct texts go into a sketch of CELLS counters, summed up by segments;
    the mean cell is taken off an estimate, which is then right to some 2 sqrt(shingles / CELLS): rare shingles are
    all alike to it, and common ones are told from them.  A shingle weighs tf * (1 + ln((1 + n) / (1 + df))).
+   Near copies count as ALIKE texts at most: a text whose least shingle, by one of SEEDS orders, is also that of more
+   than ALIKE texts counts as a part.  Else what a large group of copies has in common would weigh little, what each
+   copy has of its own much, and the group would fall apart the more the larger it is.
 3. Each text has BANDS * ROWS samples: sample k of a weighted set is the shingle and the step of its weight that
    minimise c / (y e^r), with r, c, b drawn from the shingle and k, t = floor(ln w / r + b), y = e^(r (t - b)).
    Two texts agree in a sample with the probability of their weighted Jaccard similarity.
@@ -48,6 +51,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 CELLS = 1 << 21
 GROUP = 4000
+ALIKE, SEEDS, PARTS = 16, 4, 1 << 20
 U64 = np.uint64
 
 
@@ -85,31 +89,56 @@ def cell_of(g: np.ndarray) -> np.ndarray:
 
 def _sketch(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(CELLS, np.int64), 0
+        counts, parts, rows = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
-            for _, g, _, _ in shingles(batch.column("text")):
-                counts += np.bincount(cell_of(g), minlength=CELLS)
+            share = batch.column("share").to_numpy()  # in parts; PARTS for a text that counts as one
+            rows += int(share.sum())
+            for i, g, _, bounds in shingles(batch.column("text")):
+                cell, own = cell_of(g), np.repeat(share[i : i + len(bounds) - 1], np.diff(bounds))
+                counts += np.bincount(cell[own == PARTS], minlength=CELLS)
+                np.add.at(parts, cell[own < PARTS], own[own < PARTS])
         size = CELLS // segments
-        yield pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array([_bytes.pack(counts[s * size : (s + 1) * size]) for s in range(segments)], pa.binary()), pa.array([rows] * segments, pa.int64())], names=["segment", "counts", "n"])
+        of = lambda x: pa.array([_bytes.pack(x[s * size : (s + 1) * size]) for s in range(segments)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), of(counts), of(parts), pa.array([rows] * segments, pa.int64())], names=["segment", "counts", "parts", "n"])
 
     return run
 
 
 def _add(key, pdf):
-    total = np.sum([_bytes.unpack(b).astype(np.int64) for b in pdf["counts"]], axis=0)
+    whole, parts = (np.sum([_bytes.unpack(b).astype(np.int64) for b in pdf[c]], axis=0) for c in ("counts", "parts"))
+    total = whole + parts / PARTS
     return pd.DataFrame([{"segment": key[0], "counts": total.astype(np.float32).tobytes(), "n": int(pdf["n"].sum())}])
 
 
-def frequency_weights(docs: DataFrame) -> np.ndarray:
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least shingle of each text that has one, by SEEDS orders."""
+    for batch in batches:
+        for i, g, _, bounds in shingles(batch.column("text")):
+            have = np.flatnonzero(np.diff(bounds) > 0)
+            if len(have):
+                low = np.stack([np.minimum.reduceat(_bytes.mix(g * U64(2) ^ _SALT[k]), bounds[:-1][have]) for k in range(SEEDS)], axis=1)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(_bytes.mix(low + np.arange(SEEDS, dtype=U64)).view(np.int64).ravel()), SEEDS)
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(i + have)), keys.cast(pa.list_(pa.int64()))], names=["digest", "keys"])
+
+
+def shares(body: DataFrame) -> DataFrame:
+    """digest and share (in PARTS) of the texts that count as less than one."""
+    keys = stored(body.mapInArrow(_least, "digest binary, keys array<bigint>").select("digest", F.explode("keys").alias("key")), "least")
+    large = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > ALIKE).withColumn("rows", F.col("n")), "alike")
+    share = F.greatest(F.lit(1), F.floor(F.lit(PARTS * ALIKE) / F.max("n"))).cast("long")
+    return spread_join(keys, large, "key", "rows").groupBy("digest").agg(share.alias("share"))
+
+
+def frequency_weights(body: DataFrame) -> np.ndarray:
     """A weight for each cell: 1 + ln((1 + n) / (1 + df)).  Its size is fixed, so it may be broadcast."""
     segments = 64
-    rows = docs.select("text").mapInArrow(_sketch(segments), "segment int, counts binary, n long").groupBy("segment").applyInPandas(_add, "segment int, counts binary, n long").collect()
+    body = body.join(stored(shares(body), "shares"), "digest", "left").select("text", F.coalesce("share", F.lit(PARTS).cast("long")).alias("share"))
+    rows = body.mapInArrow(_sketch(segments), "segment int, counts binary, parts binary, n long").groupBy("segment").applyInPandas(_add, "segment int, counts binary, n long").collect()
     counts = np.zeros(CELLS, np.float32)
     size = CELLS // segments
     for r in rows:
         counts[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["counts"], np.float32)
-    n = max([1, *(r["n"] for r in rows)])
+    n = max([1, *(r["n"] / PARTS for r in rows)])
     df = np.clip(counts - counts.mean(), 1, n)
     return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 

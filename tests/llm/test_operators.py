@@ -466,6 +466,25 @@ def test_near_duplicates(spark, docs, rows, group):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_groups_of_near_copies_stay_whole(spark):
+    """A text's copies with six of their 400 words changed, 1,200 of them, are one class, as 12 of them are."""
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [" ".join(prose(100)) for _ in range(400)]
+    for copies in (12, 1200):
+        base = prose(400)
+        for c in range(copies):
+            own = list(base)
+            for k in rng.sample(range(20), 3):
+                own[k * 20 : k * 20 + 2] = [f"own{c}x{k}", f"own{c}y{k}"]
+            texts.append(" ".join(own))
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    of = {r.doc_id: r.class_id for r in got}
+    assert len({of[i] for i in range(400)}) == 400
+    assert len({of[i] for i in range(400, 412)}) == 1
+    assert len({of[i] for i in range(412, 1612)}) == 1
+
+
 def test_one_of_each(docs, rows):
     kept = near_dup.one_of_each(docs)
     assert kept.columns == docs.columns
