@@ -6,6 +6,7 @@ import random
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +35,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+def each_form(df: DataFrame, key: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of df, row by row of it, where what f finds depends on the columns but key alone: rows that are alike but for
+    their key are worked out once, and all of them get what was found.  f gets a unique long as the key."""
+    of = [c for c in df.columns if c != key]
+    form = stored(df.select(*of).distinct().withColumn("_form", F.monotonically_increasing_id()))
+    same = [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in of]
+    member = df.alias("_a").join(form.alias("_b"), reduce(lambda x, y: x & y, same)).select(F.col(f"_a.{key}").alias("_key"), "_b._form")
+    found = f(form.withColumnRenamed("_form", key))
+    return member.join(found.withColumnRenamed(key, "_form"), "_form").withColumnRenamed("_key", key).select(*found.columns)
+
+
 def adjacency(ends: DataFrame) -> DataFrame:
     """Ordered pairs (a, b), a <> b, of lanes (lane_id, s, e) that share an end of either kind."""
     touch = ends.select(F.col("lane_id").alias("a"), F.explode(F.array_distinct(F.array("s", "e"))).alias("key"))

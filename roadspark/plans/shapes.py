@@ -83,10 +83,13 @@ def split_lots(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "lot", *r6("area"))
 
 
+def _faces(p: DataFrame) -> DataFrame:
+    return _each(p, "id long, face int, a int, b int, c int", lambda r: [(r.id, i, *t) for i, t in enumerate(kernels.ear_clip(_ring(r)))])
+
+
 @query()
 def triangulate(spark: SparkSession, d: str) -> DataFrame:
-    out = _each(plots(spark, d), "id long, face int, a int, b int, c int", lambda r: [(r.id, i, *t) for i, t in enumerate(kernels.ear_clip(_ring(r)))])
-    return out
+    return _faces(plots(spark, d))
 
 
 @query()
@@ -200,7 +203,10 @@ select id, round(abs(sum(x * y2 - x2 * y)) / 2, 4) as area, round(min(x), 6) as
 )
 def faces_to_polygons(spark: SparkSession, d: str) -> DataFrame:
     """The triangles of each plot joined to polygons again: their areas and bounds."""
-    faces = triangulate(spark, d).join(plots(spark, d), "id")
-    corner = lambda c: F.element_at("ring", F.col(c) + 1)
-    found = areas.dissolved(faces.select("id", F.array(corner("a"), corner("b"), corner("c")).alias("ring")), keys=["id"])
-    return found.select("id", F.round("area", 4).alias("area"), *r6("x0", "y0", "x1", "y1"))
+
+    def joined(p: DataFrame) -> DataFrame:
+        corner = lambda c: F.element_at("ring", F.col(c) + 1)
+        faces = _faces(p).join(p, "id").select("id", F.array(corner("a"), corner("b"), corner("c")).alias("ring"))
+        return areas.dissolved(faces, keys=["id"]).select("id", F.round("area", 4).alias("area"), *r6("x0", "y0", "x1", "y1"))
+
+    return graph.each_form(plots(spark, d), "id", joined)
