@@ -101,7 +101,7 @@ def fit_footprint(spark: SparkSession, d: str) -> DataFrame:
         c, s = np.cos(0.7), np.sin(0.7)
         return [(r.id, *kernels.best_fit(ring @ np.array([[c, s], [-s, c]]) * 2, ring))]
 
-    return _each(plots(spark, d), "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale"))
+    return graph.each_form(plots(spark, d), "id", lambda p: _each(p, "id long, iou double, turn double, scale double", fit).select("id", *r6("iou", "turn", "scale")))
 
 
 @query()
