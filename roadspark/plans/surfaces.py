@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
-from roadspark.operators import atlas, contours, extend, fences, grid, massing, regions, surface
+from roadspark.operators import atlas, contours, extend, fences, graph, grid, massing, regions, surface
 from roadspark.operators import roofs as buildings
 from roadspark.operators.graph import spread
 from roadspark.plans import areas
@@ -119,7 +119,6 @@ from h"""
 )
 def roof_measures(spark: SparkSession, d: str) -> DataFrame:
     """Of each building the area of its roof, of the walls that close it and of those below, and the roof's ends."""
-    f = buildings.buildings(houses(spark, d), "id")
     xyz = lambda q: [q[c] for c in "xyz"]
     n = F.size("corners")
 
@@ -131,10 +130,14 @@ def roof_measures(spark: SparkSession, d: str) -> DataFrame:
 
     area = F.sqrt(sum((doubled(k) * doubled(k) for k in range(3)), F.lit(0.0))) / 2
     z = F.transform("corners", lambda p: p["z"])
-    f = f.select("id", "kind", area.alias("area"), F.array_min(z).alias("low"), F.array_max(z).alias("high"))
     of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("area"))), F.lit(0.0)), 4).alias(f"{kind}_area")
-    ends = (F.round(g(F.when(F.col("kind") == "roof", F.col(c))), 6).alias(c) for g, c in ((F.min, "low"), (F.max, "high")))
-    return f.groupBy("id").agg(of("roof"), of("gable"), of("wall"), *ends)
+    ends = [F.round(g(F.when(F.col("kind") == "roof", F.col(c))), 6).alias(c) for g, c in ((F.min, "low"), (F.max, "high"))]
+
+    def measured(h: DataFrame) -> DataFrame:
+        f = buildings.buildings(h, "id").select("id", "kind", area.alias("area"), F.array_min(z).alias("low"), F.array_max(z).alias("high"))
+        return f.groupBy("id").agg(of("roof"), of("gable"), of("wall"), *ends)
+
+    return graph.each_form(houses(spark, d), "id", measured)
 
 
 @query()
