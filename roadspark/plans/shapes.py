@@ -72,8 +72,8 @@ def enclosing_circle(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def plot_inset(spark: SparkSession, d: str) -> DataFrame:
     """Plots drawn in until they cover 60 % of their ground."""
-    out = _each(plots(spark, d), "id long, whole double, built double", lambda r: [(r.id, abs(kernels.area(_ring(r))), abs(kernels.area(kernels.inset_to_share(_ring(r), 0.6))))])
-    return out.select("id", *r6("whole", "built"))
+    inset = lambda r: [(r.id, abs(kernels.area(_ring(r))), abs(kernels.area(kernels.inset_to_share(_ring(r), 0.6))))]
+    return graph.each_form(plots(spark, d), "id", lambda p: _each(p, "id long, whole double, built double", inset).select("id", *r6("whole", "built")))
 
 
 @query()
