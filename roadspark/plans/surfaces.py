@@ -146,9 +146,10 @@ def building_faces(spark: SparkSession, d: str) -> DataFrame:
     from roadspark.plans.shapes import plots
 
     h = houses(spark, d).drop("rings").join(plots(spark, d).select("id", F.array("ring").alias("rings")), "id")
-    f = buildings.buildings(h, "id", plinth=0.35)
     u, v = F.transform("corners", lambda p: p["u"]), F.transform("corners", lambda p: p["v"])
-    return f.select("id", "kind", "face", F.size("corners").alias("n"), F.round(F.array_max(u) - F.array_min(u), 6).alias("sheet_width"), F.round(F.array_max(v) - F.array_min(v), 6).alias("sheet_height"))
+    sheet = [F.round(F.array_max(c) - F.array_min(c), 6).alias(n) for c, n in ((u, "sheet_width"), (v, "sheet_height"))]
+    faces = lambda h: buildings.buildings(h, "id", plinth=0.35).select("id", "kind", "face", F.size("corners").alias("n"), *sheet)
+    return graph.each_form(h, "id", faces)
 
 
 # ---------------------------------------------------------------- roads run on

@@ -23,7 +23,7 @@ def test_each_form_is_worked_out_once(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, df.select("id", F.explode(F.array(F.col("v"), F.col("v") * 2))).collect()), key=key)
 
 
-@pytest.mark.parametrize("name", ["faces_to_polygons", "fit_footprint", "roof_measures", "plot_inset"])
+@pytest.mark.parametrize("name", ["faces_to_polygons", "fit_footprint", "roof_measures", "plot_inset", "building_faces"])
 def test_alike_plots_are_worked_out_once(spark, tmp_path, monkeypatch, name):
     """48 plots of three forms: the kernels see three, and all plots get their form's results."""
     parts = spark.range(48).select((F.col("id") * 180).alias("p_partkey"), (F.col("id") % 3 * 7 + 4).cast("int").alias("p_size"))
