@@ -87,3 +87,13 @@ def test_insets_of_any_form():
             assert regions.area(regions.difference(left, [polygon])) < 1e-9
     assert len(regions.inset_to_share([waist], 0.6)) == 2
     assert regions.inset_to_share([ell], 0.0) == [] and len(regions.inset_to_share([ell], 1.0)) == 1
+
+
+def test_a_slab_whose_middle_is_the_height_of_a_vertex():
+    """Heights a nanometre apart make one cut, and the slab above it may have a corner exactly half way up."""
+    sliver = [np.array([[0.0, 2.5e-9], [0.5, 0.0], [0.5, 1.25e-9], [0.5, 2.5e-9]])]
+    square = [box(0, 5e-10, 4, 4)]
+    assert regions.area(regions.union([sliver, square])) == pytest.approx(16)
+    assert regions.area(regions.difference([square], [sliver])) == pytest.approx(16)
+    (part,) = regions.as_polygons(regions.union([sliver, square]))
+    assert kernels.area(part[0]) == pytest.approx(16)
