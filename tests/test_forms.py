@@ -44,3 +44,12 @@ def test_alike_plots_are_worked_out_once(spark, tmp_path, monkeypatch, name):
     by = [c for c in want.columns if want[c].dtype != float]
     a, b = (x.sort_values(list(x.columns)).sort_values(by, kind="stable").reset_index(drop=True) for x in (got, want))
     assert seen == [3] and a.equals(b)
+
+
+def test_stored_rows_are_as_large_on_disk_as_they_are(spark):
+    """Cells of a grid aren't taken for a small table, to be broadcast, because they compress well."""
+    cells = spark.range(0, 1_000_000, numPartitions=4).select((F.col("id") % 40).alias("ix"), F.expr("id div 40").alias("iy"), F.lit(0.0).alias("z"))
+    a, b = graph.stored(cells), graph.stored(cells.withColumnRenamed("z", "w"))
+    assert a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= 20_000_000
+    joined = a.join(b, ["ix", "iy"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1_000_000
