@@ -13,9 +13,12 @@ from roadspark.operators.graph import stored
 
 
 def cells_of_box(df: DataFrame, cell: float) -> DataFrame:
-    """df (x0, y0, x1, y1) with a row for each cell (cx, cy) that the box touches."""
+    """df (x0, y0, x1, y1) with a row for each cell (cx, cy) that the box touches.
+
+    No plan knows how many those are, or how large a shape made of two numbers is, so joins with them are sort-merge
+    joins: a broadcast would take the map through the driver."""
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    return df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    return df.hint("merge").withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
 
 def overlapping_boxes(df: DataFrame, cell: float, residual: Column) -> DataFrame:
@@ -65,7 +68,7 @@ def behind_frontage(ring: Column, tx: Column, ty: Column, depth: Column) -> Colu
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs of left and right points (x, y; r_x, r_y) within radius, with dist."""
     near = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    l = left.withColumn("_i", near).withColumn("_j", near).withColumn("cx", F.floor(F.col("x") / radius) + F.col("_i")).withColumn("cy", F.floor(F.col("y") / radius) + F.col("_j")).drop("_i", "_j")
+    l = left.hint("merge").withColumn("_i", near).withColumn("_j", near).withColumn("cx", F.floor(F.col("x") / radius) + F.col("_i")).withColumn("cy", F.floor(F.col("y") / radius) + F.col("_j")).drop("_i", "_j")
     r = right.withColumn("cx", F.floor(F.col("r_x") / radius)).withColumn("cy", F.floor(F.col("r_y") / radius))
     d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2))
     return l.join(r, ["cx", "cy"]).withColumn("dist", d).filter(F.col("dist") <= radius).drop("cx", "cy")
