@@ -6,6 +6,8 @@ vertex: by, seq, x, y, z.  Vertices and faces are numbered from 0 within each sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,15 +188,23 @@ def lane_project(points: DataFrame, frames: DataFrame, by: By, key: str, order:
     corner = lambda x, y, u, v: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), u.alias("u"), F.lit(v).alias("v"))
     a, b, c, d = corner("lx", "ly", u, 0.0), corner("rx", "ry", u, 1.0), corner("rx2", "ry2", u2, 1.0), corner("lx2", "ly2", u2, 0.0)
     three = F.array(*(F.struct((F.col("_i") * 2 + k).alias("nr"), p.alias("a"), q.alias("b"), r.alias("c")) for k, (p, q, r) in enumerate(((a, b, c), (a, c, d)))))
-    met = points.join(cells.select(*by, F.explode(three).alias("t")), by)
+    cells = cells.select(*by, F.explode(three).alias("t"))
     at = lambda p, c: F.col(f"t.{p}.{c}")
     e0, e1, o = ([at(p, c) - at("a", c) for c in "xy"] for p in ("b", "c", "a"))
     o = [F.col("px") - at("a", "x"), F.col("py") - at("a", "y")]
     dot = lambda p, q: p[0] * q[0] + p[1] * q[1]
-    met = met.withColumns({"_00": dot(e0, e0), "_01": dot(e0, e1), "_11": dot(e1, e1), "_20": dot(o, e0), "_21": dot(o, e1)})
-    det = F.col("_00") * F.col("_11") - F.col("_01") * F.col("_01")
-    met = met.withColumn("_det", F.when(F.abs(det) < 1e-12, 1e-12).otherwise(det))
-    met = met.withColumns({"_b": (F.col("_11") * F.col("_20") - F.col("_01") * F.col("_21")) / F.col("_det"), "_c": (F.col("_00") * F.col("_21") - F.col("_01") * F.col("_20")) / F.col("_det")}).withColumn("_a", 1 - F.col("_b") - F.col("_c"))
+
+    def measured(p: DataFrame) -> DataFrame:
+        met = p.join(cells, by).withColumns({"_00": dot(e0, e0), "_01": dot(e0, e1), "_11": dot(e1, e1), "_20": dot(o, e0), "_21": dot(o, e1)})
+        det = F.col("_00") * F.col("_11") - F.col("_01") * F.col("_01")
+        met = met.withColumn("_det", F.when(F.abs(det) < 1e-12, 1e-12).otherwise(det))
+        met = met.withColumns({"_b": (F.col("_11") * F.col("_20") - F.col("_01") * F.col("_21")) / F.col("_det"), "_c": (F.col("_00") * F.col("_21") - F.col("_01") * F.col("_20")) / F.col("_det")}).withColumn("_a", 1 - F.col("_b") - F.col("_c"))
+        return met.withColumn("_in", F.least("_a", "_b", "_c"))
+
+    # first how far inside, then where: numbers alone are added up as they come, where a struct would have every point's
+    # meeting with every triangle sorted on disk
+    best = measured(points).groupBy(*by, key).agg(F.max("_in").alias("_best"))
+    same = reduce(lambda x, y: x & y, (F.col(f"_p.{n}").eqNullSafe(F.col(f"_q.{n}")) for n in (*by, key)))
+    found = measured(points.alias("_p").join(best.alias("_q"), same).select("_p.*", "_best")).filter(F.col("_in").eqNullSafe(F.col("_best")))
     value = lambda c: F.col("_a") * at("a", c) + F.col("_b") * at("b", c) + F.col("_c") * at("c", c)
-    inside = F.struct(F.least("_a", "_b", "_c"), -F.col("t.nr"))
-    return met.groupBy(*by, key).agg(F.max_by(F.struct(value("u").alias("u"), value("v").alias("v")), inside).alias("m")).select(*by, key, "m.u", "m.v")
+    return found.groupBy(*by, key).agg(F.min_by(F.struct(value("u").alias("u"), value("v").alias("v")), F.col("t.nr")).alias("m")).select(*by, key, "m.u", "m.v")
