@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspark.operators import graph
 from roadspark.operators.graph import stored
 
 
@@ -121,16 +122,24 @@ def segment_distance(px: str, py: str, prefix: str = "") -> tuple[Column, Column
 def nearest_segment(points: DataFrame, lines: DataFrame, key: str, radius: float) -> DataFrame:
     """key, dist and height of each point (key, px, py) on the nearest of all segments (x, y, z, x2, y2, z2): the
     height there, the least of equally near ones.  A segment is listed in the cells that come within radius of it; the
-    radius doubles for points that have found none."""
+    radius doubles for points that have found none.  Points in one place are one point."""
+    return graph.each_form(points.select(key, "px", "py"), key, lambda p: _nearest_segment(p, lines, key, radius))
+
+
+def _nearest_segment(points: DataFrame, lines: DataFrame, key: str, radius: float) -> DataFrame:
     points, lines = stored(points), stored(lines)
     dist, t = segment_distance("px", "py")
     found, rest = None, points
     while True:
         box = lines.withColumns({"x0": F.least("x", "x2") - radius, "x1": F.greatest("x", "x2") + radius, "y0": F.least("y", "y2") - radius, "y1": F.greatest("y", "y2") + radius})
         own = rest.withColumns({"cx": F.floor(F.col("px") / radius), "cy": F.floor(F.col("py") / radius)})
-        met = own.join(cells_of_box(box, radius).drop("x0", "x1", "y0", "y1"), ["cx", "cy"])
-        met = met.select(key, F.round(dist, 9).alias("dist"), (F.col("z") + t * (F.col("z2") - F.col("z"))).alias("h")).filter(F.col("dist") <= radius)
-        hit = stored(met.groupBy(key).agg(F.min(F.struct("dist", "h")).alias("m")).select(key, "m.dist", F.col("m.h").alias("height")))
+        cells = cells_of_box(box, radius).drop("x0", "x1", "y0", "y1")
+        # the pairs are met twice, for the least distance and for the heights there: numbers alone are added up as they
+        # come, where a least pair of both would have all pairs sorted on disk
+        near = own.join(cells, ["cx", "cy"]).select(key, F.round(dist, 9).alias("dist")).filter(F.col("dist") <= radius)
+        least = stored(near.groupBy(key).agg(F.min("dist").alias("least")))
+        there = own.join(least, key).join(cells, ["cx", "cy"]).filter(F.round(dist, 9) == F.col("least"))
+        hit = stored(there.select(key, F.col("least").alias("dist"), (F.col("z") + t * (F.col("z2") - F.col("z"))).alias("h")).groupBy(key, "dist").agg(F.min("h").alias("height")))
         found = hit if found is None else found.unionByName(hit)
         rest = stored(rest.join(hit.select(key), key, "left_anti"))
         if rest.isEmpty() or lines.isEmpty():

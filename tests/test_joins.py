@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -20,3 +20,29 @@ def test_cells_of_boxes_are_not_broadcast(spark):
     assert "BroadcastExchange" not in _plan(pairs) and pairs.count() == len({(a, b) for a in range(40) for b in range(a + 1, 40) if abs(a % 7 - b % 7) * 3 < 5})
     left, right = box.select("id", F.col("x0").alias("x"), F.col("y0").alias("y")), box.select(F.col("x1").alias("r_x"), F.col("y1").alias("r_y"))
     assert "BroadcastExchange" not in _plan(spatial.within(left, right, 10.0))
+
+
+def test_places_on_a_lane_are_not_sorted_by_triangle(spark):
+    """A point's meetings with its lane's triangles are added up in a hash table: a lane of 4 m by 30 m, three quads."""
+    strip = spark.range(4).select(F.lit(1).alias("line_id"), F.col("id").alias("seq"), *((F.col("id") * 10.0 if c == "x" else F.lit(y if c == "y" else 0.0)).alias(f"{s}{c}") for s, y in (("l", 4.0), ("r", 0.0)) for c in "xyz"))
+    points = spark.createDataFrame([(1, 7, 15.0, 1.0), (1, 8, 29.0, 4.0), (1, None, 10.0, 2.0), (1, 9, None, 2.0)], "line_id int, event_id long, px double, py double")
+    got = mesh.lane_project(points, mesh.lane_frame(strip, ["line_id"]), ["line_id"], "event_id")
+    plan = _plan(got)
+    assert "max_by(" not in plan and re.search(r"HashAggregate\(keys=\[[^]]*\], functions=\[(partial_)?max\(_in", plan)
+    rows = {r["event_id"]: tuple(None if v is None else round(v, 6) for v in (r["u"], r["v"])) for r in got.collect()}
+    assert rows == {7: (0.5, 0.75), 8: (round(29 / 30, 6), 0.0), None: (round(1 / 3, 6), 0.5), 9: (None, None)}
+
+
+def test_points_in_one_place_are_one(spark, monkeypatch):
+    seen, step = [], spatial._nearest_segment
+
+    def spy(points, lines, key, radius):
+        seen.append(points.count())
+        return step(points, lines, key, radius)
+
+    monkeypatch.setattr(spatial, "_nearest_segment", spy)
+    points = spark.range(30).select(F.col("id").alias("k"), (F.col("id") % 3 * 100.0).alias("px"), F.lit(2.0).alias("py"))
+    lines = spark.createDataFrame([(0.0, 0.0, 5.0, 10.0, 0.0, 5.0), (0.0, 4.0, 3.0, 10.0, 4.0, 3.0)], "x double, y double, z double, x2 double, y2 double, z2 double")
+    got = sorted((r["k"], round(r["dist"], 3), r["height"]) for r in spatial.nearest_segment(points, lines, "k", 5.0).collect())
+    far = {0: 2.0, 1: round((90**2 + 2**2) ** 0.5, 3), 2: round((190**2 + 2**2) ** 0.5, 3)}
+    assert seen == [3] and got == [(k, far[k % 3], 3.0) for k in range(30)]
