@@ -16,7 +16,7 @@
    least of its bucket, which is an aggregate and needs no group in memory, and the components of these links are
    the candidate groups.
 5. A candidate group's texts are compared by weighted Jaccard similarity: all that share a band, but for those that
-   are linked already and those whose distances to a common text exclude a link (1 - similarity is a metric).
+   are linked already; a text meets all others at once, by lists of the texts that have a shingle.
    A group of more than GROUP texts is dealt out by hash over tasks; each finds its classes, and the classes'
    leaders meet in the next round.  Buckets in which several classes are left after that are compared whole, two
    parts of GROUP texts at a time, so that no link between texts that share a band is lost.
@@ -34,7 +34,7 @@ sampled; an empty table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 CELLS = 1 << 21
 GROUP = 4000
+#: Texts that one is compared with pair by pair.
+FEW = 8
 ALIKE, SEEDS, PARTS = 16, 4, 1 << 20
 U64 = np.uint64
 
@@ -194,58 +196,69 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / (float(a[1].sum()) + float(b[1].sum()) - low)
 
 
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[int], np.ndarray]:
+    """A function of a text's place that gives what it has in common with each of the sets, by weight: for every shingle the
+    texts that have it are listed once, so a text meets all others in a few passes over the lists of its own shingles."""
+    size = np.array([len(s[0]) for s in sets])
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    _, name = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+    weight = np.concatenate([s[1] for s in sets])
+    order = np.argsort(name, kind="stable")
+    start = np.searchsorted(name[order], np.arange(name.max(initial=-1) + 2))
+    text, listed = np.repeat(np.arange(len(sets)), size)[order], weight[order]
+
+    def of(x: int) -> np.ndarray:
+        own = slice(bounds[x], bounds[x + 1])
+        first, times = start[name[own]], start[name[own] + 1] - start[name[own]]
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.bincount(text[at], np.minimum(listed[at], np.repeat(weight[own], times)), minlength=len(sets))
+
+    return of
+
+
 def links(sets: list[tuple[np.ndarray, np.ndarray]], bands: list[np.ndarray], least: float) -> list[int]:
     """The class of each text (its leader's place), where texts that share a band and are similar are of one class.
 
-    Distances are kept for one bucket at a time, and of a text only that to its class's first text there, so memory
-    grows with the texts, not with their pairs."""
+    A text that is compared meets all that share a band with it at once.  In each bucket only texts of its largest class need
+    not be compared, as the others of another class have met them.  Memory grows with the texts, not with their pairs."""
     n = len(sets)
-    up, total = list(range(n)), [float(s[1].sum()) for s in sets]
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    label, done, total = np.arange(n), np.zeros(n, bool), np.array([float(s[1].sum()) for s in sets])
+    bands = np.array(bands)
+    common = None
+
+    def compare(x: int) -> bool:
+        """Links x to what it is similar to; whether there was any of another class."""
+        nonlocal common
+        done[x] = True
+        alike = np.minimum(total, total[x]) >= least * np.maximum(total, total[x])
+        y = np.flatnonzero((bands == bands[x]).any(1) & alike & ~done & (label != label[x]))
+        if len(y) <= FEW:
+            near = y[[1 - similarity(sets[x], sets[i]) <= 1 - least + 1e-9 for i in y]] if len(y) else y
+        else:
+            common = common or overlaps(sets)
+            low = common(x)[y]
+            near = y[1 - low / (total[x] + total[y] - low) <= 1 - least + 1e-9]
+        if len(near):
+            joined = np.unique(label[np.append(near, x)])
+            label[np.isin(label, joined)] = joined[0]
+        return len(near) > 0
 
     buckets: dict[tuple[int, int], list[int]] = {}
     for i, bs in enumerate(bands):
         for k, b in enumerate(bs.tolist()):
             buckets.setdefault((k, b), []).append(i)
-    reach = 1 - least + 1e-9
-    for members in buckets.values():
-        if len({root(i) for i in members}) == 1:
-            continue
-        groups: dict[int, dict[int, float | None]] = {}  # by their first text: each text's distance to it, if known
-        for x in members:
-            joined = []
-            mine: dict[int, float] = {}
-            for first, others in groups.items():
-                if root(x) == root(first):
-                    joined.append(first)
-                    continue
-                pivot = mine[first] = 1 - similarity(sets[x], sets[first])
-                for y, far in others.items():
-                    if min(total[x], total[y]) < least * max(total[x], total[y]):
-                        continue
-                    if y != first:
-                        if far is None:
-                            far = others[y] = 1 - similarity(sets[y], sets[first])
-                        if abs(pivot - far) > reach:
-                            continue
-                    if (pivot if y == first else 1 - similarity(sets[x], sets[y])) <= reach:
-                        a, b = sorted((root(x), root(y)))
-                        up[b] = a
-                        joined.append(first)
-                        break
-            if not joined:
-                groups[x] = {x: 0.0}
-                continue
-            into = groups[joined[0]]
-            for first in joined[1:]:
-                into.update(dict.fromkeys(groups.pop(first)))
-            into[x] = mine.get(joined[0])
-    return [root(i) for i in range(n)]
+    for bucket in buckets.values():
+        members = np.array(bucket)
+        while True:
+            members = members[~done[members]]
+            if (label[members] == label[members[:1]]).all():
+                break
+            _, of, times = np.unique(label[members], return_inverse=True, return_counts=True)
+            # the smallest classes first, until one more link makes other classes
+            for x in members[np.argsort(times[of], kind="stable")][: len(members) - times.max()]:
+                if compare(int(x)):
+                    break
+    return label.tolist()
 
 
 def _classes(weights, least: float):

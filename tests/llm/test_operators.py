@@ -537,6 +537,36 @@ def test_components(spark):
     assert {r.component for r in components.connected_components(chain).collect()} == {0}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, name, f=components.stored: written.append(name) or f(df, name))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 60)] + [(None, 1), (2, 2)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(stars).collect()}
+    assert got == {i: i % 3 for i in range(60)} and len(written) == 1
+
+
+def test_links_of_a_large_bucket_meet_all_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    common = rng.choice(10**6, 60, False).astype(np.uint64)
+    sets = []
+    for i in range(120):  # every third text is nearly the common one, the others have half of it each
+        own = rng.choice(10**6, 6 if i % 3 == 0 else 40, False).astype(np.uint64) + np.uint64(10**7)
+        g = np.sort(np.unique(np.concatenate([common[: 60 if i % 3 == 0 else 40], own])))
+        sets.append((g, (g % np.uint64(3) + np.uint64(1)).astype(float) * (1 + (i % 2) * (g % np.uint64(17) == 0))))
+    bands = [np.array([1, i % 7]) for i in range(120)]
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if near_dup.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    assert 1 < len(set(want)) < 120
+    calls = []
+    monkeypatch.setattr(near_dup, "similarity", lambda a, b, f=near_dup.similarity: calls.append(1) or f(a, b))
+    assert near_dup.links(sets, bands, 0.8) == want
+    assert len(calls) < 120 * near_dup.FEW
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 24)).astype(np.float32)
