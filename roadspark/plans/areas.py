@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.operators import areas, kernels, regions
+from roadspark.operators.graph import spread
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -94,7 +95,8 @@ def cover_triangles(spark: SparkSession, d: str) -> DataFrame:
                 rows.append((int(i), len(t), float(sum(kernels.area(x) for x in t))))
             yield pd.DataFrame(rows, columns=["id", "triangles", "area"])
 
-    return turned(spark, d).select("id", "ring").mapInPandas(run, "id long, triangles int, area double").select("id", "triangles", *r6("area"))
+    # a table of plots is a file or two, so they are dealt out first
+    return spread(turned(spark, d).select("id", "ring"), "id").mapInPandas(run, "id long, triangles int, area double").select("id", "triangles", *r6("area"))
 
 
 @query()
