@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
 from roadspark.operators import reports
+from roadspark.operators.graph import stored
 from roadspark.plans import views as V
 from roadspark.plans.registry import query
 from roadspark.plans.sequences import r6
@@ -134,6 +138,18 @@ def _fronts(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "part").select("p_partkey", (F.col("p_size") % 9 + 1).cast("int").alias("floors"), (F.col("p_partkey") % 4 + 1).cast("int").alias("bays"), (F.col("p_size") % 5 / 5 + 1.0).alias("ratio"))
 
 
+def _each_front(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of all fronts, row by row of them: it goes by floors, bays and ratio alone, of which there are 9 * 4 * 5 at most, so it
+    runs over these, and a broadcast of what it finds for each gives every front its rows."""
+    fronts, of = _fronts(spark, d), ["floors", "bays", "ratio"]
+    form = stored(fronts.select(*of).distinct().withColumn("p_partkey", F.monotonically_increasing_id()))
+    found = f(form)
+    rows = found.groupBy("p_partkey").agg(F.collect_list(F.struct(*found.columns[1:])).alias("rows"))
+    known = form.join(rows, "p_partkey").select(*(F.col(c).alias(f"_{c}") for c in of), "rows")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of))
+    return fronts.join(F.broadcast(known), same).select("p_partkey", F.explode("rows").alias("r")).select("p_partkey", "r.*")
+
+
 @query(V.with_(_FRONT) + "select p_partkey, k::int as k, round(case when k = 0 then 0 when k = floors then 1 else (ratio + k - 1) / (ratio + floors - 1) end, 6)::double as line from (select *, unnest(range(0, floors + 1)) as k from front)")
 def floor_lines(spark: SparkSession, d: str) -> DataFrame:
     """Storey lines of fronts whose ground floors are up to 1.8 storeys high, from 0 to exactly 1."""
@@ -152,20 +168,22 @@ op as (select *, least(v0 + (v1 - v0) * (wb + wh), 1 - 0.035::double) as top, v0
 win as (select p_partkey, floor::int as floor, bay::int as bay, (bay + 0.5) / bays - ww / (2 * bays) as u0, (bay + 0.5) / bays + ww / (2 * bays) as u1, bottom as v0, top as v1 from op where top > bottom)"""
 
 
+def _windows(fronts: DataFrame) -> DataFrame:
+    return fronts.select("p_partkey", F.explode(C.windows(F.col("floors"), F.col("bays"), F.col("ratio"))).alias("w")).select("p_partkey", "w.*")
+
+
 @query(V.with_(_WINDOWS) + "select p_partkey, floor, bay, round(u0, 6) as u0, round(u1, 6) as u1, round(v0, 6) as v0, round(v1, 6) as v1 from win")
 def facade_windows(spark: SparkSession, d: str) -> DataFrame:
     """The openings of every front."""
-    w = _fronts(spark, d).select("p_partkey", F.explode(C.windows(F.col("floors"), F.col("bays"), F.col("ratio"))).alias("w"))
-    return w.select("p_partkey", "w.*").select("p_partkey", "floor", "bay", *r6("u0", "u1", "v0", "v1"))
+    return _each_front(spark, d, lambda f: _windows(f).select("p_partkey", "floor", "bay", *r6("u0", "u1", "v0", "v1")))
 
 
 @query(V.with_(_WINDOWS) + """select p_partkey, floor, bay, greatest(0, least(512, round_even((1 - v1) * 512, 0)::int)) as r0, greatest(0, least(512, round_even((1 - v0) * 512, 0)::int)) as r1,
 greatest(0, least(256, round_even(u0 * 256, 0)::int)) as c0, greatest(0, least(256, round_even(u1 * 256, 0)::int)) as c1 from win""")
 def window_pixels(spark: SparkSession, d: str) -> DataFrame:
     """The pixels of every opening on a sheet of 256 by 512."""
-    w = _fronts(spark, d).select("p_partkey", F.explode(C.windows(F.col("floors"), F.col("bays"), F.col("ratio"))).alias("w")).select("p_partkey", "w.*")
     rows, cols = C.pixel_range(F.col("v0"), F.col("v1"), F.lit(512), flipped=True), C.pixel_range(F.col("u0"), F.col("u1"), F.lit(256))
-    return w.select("p_partkey", "floor", "bay", *(c.alias(n) for c, n in zip((*rows, *cols), ("r0", "r1", "c0", "c1"))))
+    return _each_front(spark, d, lambda f: _windows(f).select("p_partkey", "floor", "bay", *(c.alias(n) for c, n in zip((*rows, *cols), ("r0", "r1", "c0", "c1")))))
 
 
 _DRAWN = """rng as (select *, greatest(0, least(128, round_even((1 - v1) * 128, 0)::int)) as r0, greatest(0, least(128, round_even((1 - v0) * 128, 0)::int)) as r1,
@@ -192,7 +210,10 @@ from pic left join open using (p_partkey, r) left join span using (p_partkey, r)
 def drawn_fronts(spark: SparkSession, d: str) -> DataFrame:
     """Every row of every front's picture (64 by 128): how many pixels of each kind, the frames' columns summed, and whether
     the control drawing has a line there."""
-    f = _fronts(spark, d)
+    return _each_front(spark, d, _drawn)
+
+
+def _drawn(f: DataFrame) -> DataFrame:
     w = C.windows(F.col("floors"), F.col("bays"), F.col("ratio"))
     lines = C.floor_lines(F.col("floors"), F.col("ratio"))
 
