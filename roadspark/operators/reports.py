@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadspark.operators.graph import stored
+from roadspark.operators.graph import spread, stored
 
 
 def extent(df: DataFrame) -> DataFrame:
@@ -140,27 +142,39 @@ def running_offsets(df: DataFrame, key: str, size: str, parts: int = 1024) -> Da
     return d.withColumn("_own", own).join(F.broadcast(before), "_r").select(*df.columns, (F.col("_own") + F.col("_b")).alias("first"))
 
 
-def diversity(df: DataFrame, key: str, vector: str, *, block: int = 512) -> DataFrame:
+def diversity(df: DataFrame, key: str, vector: str, *, block: int = 4096) -> DataFrame:
     """Number of pairs of descriptors and their mean distance: every pair once, block by block.  Each block of rows
-    meets each other one in a task of its own, and only sums leave it."""
+    meets each other one in a task of its own, and only sums leave it.  A row is copied once a block, so blocks are as
+    large as leaves work for every core."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
         a, b = (np.array(pdf.loc[pdf["side"] == s, vector].tolist(), float) for s in (0, 1))
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         if not len(a) or not len(b):
             return pd.DataFrame({"n": [], "total": []})
-        dist = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-        if same:
-            dist = dist[np.triu_indices(len(a), 1)]
-        return pd.DataFrame({"n": [dist.size], "total": [dist.sum()]})
+        n, total = 0, 0.0
+        for k in range(0, len(a), 128):
+            part = a[k : k + 128]
+            dist = np.zeros((len(part), len(b)))
+            for x, y in zip(part.T, b.T):
+                step = x[:, None] - y
+                step *= step
+                dist += step
+            np.sqrt(dist, out=dist)
+            if same:
+                dist = dist[np.triu_indices(len(part), k + 1, len(b))]
+            n, total = n + dist.size, total + float(dist.sum())
+        return pd.DataFrame({"n": [n], "total": [total]})
 
     df = stored(df.select(key, vector))
-    blocks = max(1, -(-df.count() // block))
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(math.isqrt(8 * cores) + 1, -(-n // 128)))
     d = df.select(F.col(key), F.col(vector), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
     other = d.select(key, vector, "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("far"))
     first = other.filter("own <= far").select(key, vector, F.col("own").alias("i"), F.col("far").alias("j"), F.lit(0).alias("side"))
     second = other.filter("own >= far").select(key, vector, F.col("far").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    sums = first.unionByName(second).orderBy(key).groupBy("i", "j").applyInPandas(lambda pdf: run(pdf.sort_values(key)), "n long, total double")
+    sums = spread(first.unionByName(second), "i", "j").groupBy("i", "j").applyInPandas(run, "n long, total double")
     return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("diversity"))
 
 
