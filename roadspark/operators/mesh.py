@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import scalar as C
+from roadspark.operators.graph import stored
 
 By = list[str]
 SIDES = [f"{s}{c}" for s in "lr" for c in "xyz"]
@@ -179,32 +180,96 @@ def lane_frame(df: DataFrame, by: By, order: str = "seq") -> DataFrame:
     return d.withColumns({"length": F.max("station").over(whole), "width": F.percentile("_w", 0.5).over(whole)}).drop("_mx", "_my", "_w", "_gap")
 
 
+#: Lanes of so few quads meet all of their points.
+FEW = 8
+#: A quad's first corner, the ways from it to the other three, and its stations; its triangles' products.
+_CORNER = ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", "u0", "u1")
+_PRODUCTS = tuple(f"{n}{k}" for k in (0, 1) for n in ("d00", "d01", "d11", "det"))
+_QUAD = ("_i", *_CORNER, *_PRODUCTS)
+
+
+def _lane_quads(frames: DataFrame, by: By, order: str) -> DataFrame:
+    """Quads of lanes (by, _QUAD) with their middle (mx, my) and _g, so that a point further than _g / 2 from a quad's middle
+    is outside of both its triangles by two thirds or more; _g is null for a quad that all of the lane's points have to
+    meet: of a lane of few quads, or with a flat triangle.
+
+    A point's least weight falls from a third at a triangle's centroid to nothing at its side and on as steeply or more, so
+    it is (1 - d / r) / 3 at most, d from the centroid, where no corner is further than r from that."""
+    w, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    q = frames.withColumns({f"{c}2": F.lead(c).over(w) for c in ("lx", "ly", "rx", "ry", "station")}).withColumn("_i", F.row_number().over(w)).filter("station2 is not null and length > 0")
+    way = {f"{p}{c}": F.col(f"{of[0]}{c}{of[1:]}") - F.col(f"l{c}") for p, of in (("b", "r"), ("c", "r2"), ("d", "l2")) for c in "xy"}
+    q = q.select(*by, "_i", F.col("lx").alias("ax"), F.col("ly").alias("ay"), *(c.alias(n) for n, c in way.items()), (F.col("station") / F.col("length")).alias("u0"), (F.col("station2") / F.col("length")).alias("u1"))
+    dot = lambda p, r: F.col(f"{p}x") * F.col(f"{r}x") + F.col(f"{p}y") * F.col(f"{r}y")
+    sides = ("b", "c"), ("c", "d")
+    q = q.withColumns({f"{n}{k}": dot(*x) for k, (p, r) in enumerate(sides) for n, x in (("d00", (p, p)), ("d01", (p, r)), ("d11", (r, r)))})
+    q = q.withColumns({f"_det{k}": F.col(f"d00{k}") * F.col(f"d11{k}") - F.col(f"d01{k}") * F.col(f"d01{k}") for k in (0, 1)})
+    q = q.withColumns({f"det{k}": F.when(F.abs(f"_det{k}") < 1e-12, 1e-12).otherwise(F.col(f"_det{k}")) for k in (0, 1)})
+    # from the first corner: the middle, each centroid, and how far this is from the middle and from the corners
+    m, reach = [(F.col(f"b{c}") + F.col(f"c{c}") + F.col(f"d{c}")) / 4 for c in "xy"], []
+    for p, r in sides:
+        o = [(F.col(f"{p}{c}") + F.col(f"{r}{c}")) / 3 for c in "xy"]
+        away = lambda x, y: F.sqrt((x - o[0]) * (x - o[0]) + (y - o[1]) * (y - o[1]))  # noqa: E731, B023
+        reach.append(away(*m) + 3 * F.greatest(away(F.lit(0.0), F.lit(0.0)), *(away(F.col(f"{n}x"), F.col(f"{n}y")) for n in (p, r))))
+    sound = [F.col(f"_det{k}") > 1e-6 * F.col(f"d00{k}") * F.col(f"d11{k}") + 1e-9 for k in (0, 1)]
+    q = q.withColumns({"mx": F.col("ax") + m[0], "my": F.col("ay") + m[1], "_reach": F.greatest(*reach), "_ok": F.coalesce(sound[0] & sound[1], F.lit(False))})
+    q = q.withColumn("_ok", F.col("_ok") & (F.col("_reach") < 1e9) & (F.count("*").over(whole) > FEW))
+    far = F.max(F.when(F.col("_ok"), F.col("_reach"))).over(whole)
+    return q.select(*by, *_QUAD, "mx", "my", F.when(F.col("_ok"), 2 * far).alias("_g"))
+
+
+def _weighed(met: DataFrame) -> DataFrame:
+    """Points (px, py) that have met a quad, with their weights in its triangles, and how far inside of each they are."""
+    met = met.withColumns({"_ox": F.col("px") - F.col("ax"), "_oy": F.col("py") - F.col("ay")})
+    met = met.withColumns({f"_to_{p}": F.col("_ox") * F.col(f"{p}x") + F.col("_oy") * F.col(f"{p}y") for p in "bcd"})
+    for k, (p, r) in enumerate((("b", "c"), ("c", "d"))):
+        d00, d01, d11, det, d20, d21 = (F.col(n) for n in (f"d00{k}", f"d01{k}", f"d11{k}", f"det{k}", f"_to_{p}", f"_to_{r}"))
+        met = met.withColumns({f"_b{k}": (d11 * d20 - d01 * d21) / det, f"_c{k}": (d00 * d21 - d01 * d20) / det})
+    met = met.withColumns({f"_a{k}": 1 - F.col(f"_b{k}") - F.col(f"_c{k}") for k in (0, 1)})
+    return met.withColumns({f"_in{k}": F.least(f"_a{k}", f"_b{k}", f"_c{k}") for k in (0, 1)})
+
+
 def lane_project(points: DataFrame, frames: DataFrame, by: By, key: str, order: str = "seq") -> DataFrame:
     """key, u, v of points (by, key, px, py) in their lane: along it (0 to 1) and across it (0 left, 1 right), by the
-    triangle of the lane that a point is most inside of (or least outside)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    cells = frames.withColumns({f"{c}2": F.lead(c).over(w) for c in ("lx", "ly", "rx", "ry", "station")}).withColumn("_i", F.row_number().over(w)).filter("station2 is not null and length > 0")
-    u, u2 = F.col("station") / F.col("length"), F.col("station2") / F.col("length")
-    corner = lambda x, y, u, v: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), u.alias("u"), F.lit(v).alias("v"))
-    a, b, c, d = corner("lx", "ly", u, 0.0), corner("rx", "ry", u, 1.0), corner("rx2", "ry2", u2, 1.0), corner("lx2", "ly2", u2, 0.0)
-    three = F.array(*(F.struct((F.col("_i") * 2 + k).alias("nr"), p.alias("a"), q.alias("b"), r.alias("c")) for k, (p, q, r) in enumerate(((a, b, c), (a, c, d)))))
-    cells = cells.select(*by, F.explode(three).alias("t"))
-    at = lambda p, c: F.col(f"t.{p}.{c}")
-    e0, e1, o = ([at(p, c) - at("a", c) for c in "xy"] for p in ("b", "c", "a"))
-    o = [F.col("px") - at("a", "x"), F.col("py") - at("a", "y")]
-    dot = lambda p, q: p[0] * q[0] + p[1] * q[1]
-
-    def measured(p: DataFrame) -> DataFrame:
-        met = p.join(cells, by).withColumns({"_00": dot(e0, e0), "_01": dot(e0, e1), "_11": dot(e1, e1), "_20": dot(o, e0), "_21": dot(o, e1)})
-        det = F.col("_00") * F.col("_11") - F.col("_01") * F.col("_01")
-        met = met.withColumn("_det", F.when(F.abs(det) < 1e-12, 1e-12).otherwise(det))
-        met = met.withColumns({"_b": (F.col("_11") * F.col("_20") - F.col("_01") * F.col("_21")) / F.col("_det"), "_c": (F.col("_00") * F.col("_21") - F.col("_01") * F.col("_20")) / F.col("_det")}).withColumn("_a", 1 - F.col("_b") - F.col("_c"))
-        return met.withColumn("_in", F.least("_a", "_b", "_c"))
-
-    # first how far inside, then where: numbers alone are added up as they come, where a struct would have every point's
-    # meeting with every triangle sorted on disk
-    best = measured(points).groupBy(*by, key).agg(F.max("_in").alias("_best"))
+    triangle of the lane that a point is most inside of (or least outside).
+
+    A point meets the quads in the four cells around it.  If it is outside of all of them by two thirds or more, a quad further
+    off may suit it better, and it meets the whole lane.
+
+    First how far inside is found, then where: numbers alone are added up as they come, where a struct would have every
+    point's meeting with every triangle sorted on disk."""
+    quads = stored(_lane_quads(frames, by, order))
+    cells = quads.filter("_g is not null").select(*by, *_QUAD, F.floor(F.col("mx") / F.col("_g")).alias("_x"), F.floor(F.col("my") / F.col("_g")).alias("_y"))
+    everywhere, lanes = quads.filter("_g is null").select(*by, *_QUAD), quads.filter("_g is not null").select(*by, "_g").distinct()
+    points = stored(points.select(*by, key, "px", "py").join(lanes, by, "left"))
+    whole, near = list(by), [*by, "_x", "_y"]
+
+    def around(p: DataFrame) -> DataFrame:
+        p = p.filter("_g is not null")
+        for c in "xy":
+            low = F.floor(F.col(f"p{c}") / F.col("_g") - 0.5)
+            p = p.withColumn(f"_{c}", F.explode(F.array(low, low + 1)))
+        return p
+
+    def most(*met: DataFrame) -> DataFrame:
+        inside = reduce(DataFrame.unionByName, (_weighed(m).select(*by, key, "_g", F.greatest("_in0", "_in1").alias("_in")) for m in met))
+        return inside.groupBy(*by, key).agg(F.max("_in").alias("_best"), F.max("_g").alias("_g"))
+
+    def where(*met: DataFrame) -> DataFrame:
+        at = []
+        for m in met:
+            m = _weighed(m).withColumns({f"_is{k}": F.col(f"_in{k}").eqNullSafe(F.col("_best")) for k in (0, 1)}).filter("_is0 or _is1")
+            u0, u1 = F.col("u0"), F.col("u1")
+            of = lambda a, b, c, k: F.col(f"_a{k}") * a + F.col(f"_b{k}") * b + F.col(f"_c{k}") * c
+            u, v = (F.when(F.col("_is0"), x).otherwise(y) for x, y in ((of(u0, u0, u1, 0), of(u0, u1, u1, 1)), (of(0.0, 1.0, 1.0, 0), of(0.0, 1.0, 0.0, 1))))
+            at.append(m.select(*by, key, F.when(F.col("_is0"), F.col("_i") * 2).otherwise(F.col("_i") * 2 + 1).alias("nr"), F.struct(u.alias("u"), v.alias("v")).alias("m")))
+        return reduce(DataFrame.unionByName, at).groupBy(*by, key).agg(F.min_by("m", "nr").alias("m")).select(*by, key, "m.u", "m.v")
+
     same = reduce(lambda x, y: x & y, (F.col(f"_p.{n}").eqNullSafe(F.col(f"_q.{n}")) for n in (*by, key)))
-    found = measured(points.alias("_p").join(best.alias("_q"), same).select("_p.*", "_best")).filter(F.col("_in").eqNullSafe(F.col("_best")))
-    value = lambda c: F.col("_a") * at("a", c) + F.col("_b") * at("b", c) + F.col("_c") * at("c", c)
-    return found.groupBy(*by, key).agg(F.min_by(F.struct(value("u").alias("u"), value("v").alias("v")), F.col("t.nr")).alias("m")).select(*by, key, "m.u", "m.v")
+    knowing = lambda p, b: p.alias("_p").join(b.alias("_q"), same).select("_p.*", "_best")
+    best = stored(most(points.join(everywhere, whole), around(points).join(cells, near)))
+    sure = best.filter("_g is null or _best > -0.666")
+    rest = stored(points.alias("_p").join(sure.alias("_q"), same, "left_anti"))
+    known = knowing(points, sure)
+    first = where(known.join(everywhere, whole), around(known).join(cells, near))
+    lane = quads.select(*by, *_QUAD)
+    return first.unionByName(where(knowing(rest, most(rest.join(lane, whole))).join(lane, whole)))

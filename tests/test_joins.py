@@ -33,6 +33,29 @@ def test_places_on_a_lane_are_not_sorted_by_triangle(spark):
     assert rows == {7: (0.5, 0.75), 8: (round(29 / 30, 6), 0.0), None: (round(1 / 3, 6), 0.5), 9: (None, None)}
 
 
+def test_points_meet_the_quads_around_them(spark, monkeypatch):
+    """A lane of 60 quads with a flat one and a turn: points on it meet few of them, and all places are those that the whole
+    lane gives, also far off it."""
+    met, weighed = [], mesh._weighed
+
+    def spy(df):
+        met.append(df.count())
+        return weighed(df)
+
+    at = lambda k: (k * 5.0, 0.0) if k < 30 else (150.0, (k - 30) * 5.0)
+    rows = [(1, k, x, y + 3.0, 0.0, x + 3.0, y, 0.0) for k, (x, y) in ((k, at(min(k, 59))) for k in range(61))]
+    frame = mesh.lane_frame(spark.createDataFrame(rows, "line_id int, seq long, " + ", ".join(f"{c} double" for c in mesh.SIDES)), ["line_id"])
+    on = [(1, i, at(k)[0] + i % 5 * 0.7, at(k)[1] + 1.0) for i, k in enumerate(range(1, 58))]
+    points = spark.createDataFrame([*on, (1, 900, -400.0, 70.0), (1, 901, None, 1.0)], "line_id int, event_id long, px double, py double")
+    places = lambda: sorted((r.event_id, *(None if v is None else round(v, 6) for v in (r.u, r.v))) for r in mesh.lane_project(points, frame, ["line_id"], "event_id").collect())
+    monkeypatch.setattr(mesh, "_weighed", spy)
+    got = places()
+    assert sum(met[:2]) < 20 * len(on) and len(got) == len(on) + 2
+    monkeypatch.setattr(mesh, "_weighed", weighed)
+    monkeypatch.setattr(mesh, "FEW", 1000)
+    assert got == places()
+
+
 def test_points_in_one_place_are_one(spark, monkeypatch):
     seen, step = [], spatial._nearest_segment
 
