@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,27 +48,92 @@ def nearest_overlap(stub: tuple, length: float, ring: np.ndarray, contact: float
     return max(0.0, float(((corners - origin) @ axis).min()))
 
 
-def swept_cells(stubs: DataFrame, length: str, cell: float) -> DataFrame:
-    """stubs with cx, cy of the cells along their sweeps, a piece of one cell's length at a time."""
-    k = F.explode(F.sequence(F.lit(0), F.floor(F.col(length) / cell).cast("int")))
+def _clipped(rings: np.ndarray, quads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """kernels.clip_convex() of n rings (n, k, 2) by a quad each, all at once: which of them have points left, and those,
+    the last one repeated."""
+    ways = np.roll(quads, -1, axis=1)
+    turned = (quads[..., 0] * ways[..., 1] - ways[..., 0] * quads[..., 1]).sum(1) <= 0
+    quads = np.where(turned[:, None, None], quads[:, ::-1], quads)
+    alive, out = np.arange(len(rings)), rings
+    for k in range(4):
+        a, b = quads[alive, k][:, None], quads[alive, (k + 1) % 4][:, None]
+        side = (b[..., 0] - a[..., 0]) * (out[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (out[..., 0] - a[..., 0])
+        before, q = np.roll(side, 1, axis=1), np.roll(out, 1, axis=1)
+        keep = side >= 0
+        cross = keep != (before >= 0)
+        u = np.divide(before, before - side, out=np.zeros_like(side), where=cross)
+        both = np.stack((q + u[..., None] * (out - q), out), axis=2).reshape(len(out), -1, 2)
+        has = np.stack((cross, keep), axis=2).reshape(len(out), -1)
+        n = has.sum(1)
+        some = n > 0
+        alive, both, has, n = alive[some], both[some], has[some], n[some]
+        if not len(alive):
+            return alive, both[:, :0]
+        order = np.argsort(~has, axis=1, kind="stable")
+        at = np.take_along_axis(order, np.minimum(np.arange(n.max()), n[:, None] - 1), axis=1)
+        out = np.take_along_axis(both, at[..., None], axis=1)
+    return alive, out
+
+
+def nearest_overlaps(stubs: np.ndarray, lengths: np.ndarray, rings: np.ndarray, starts: np.ndarray, contact: float = CONTACT) -> np.ndarray:
+    """nearest_overlap() of many stubs (n, 6) with a ring each, whose corners are rings[starts[i]:starts[i + 1]]: convex rings
+    of as many corners are cut all at once."""
+    found, size = np.full(len(stubs), np.inf), np.diff(starts)
+    ahead = stubs[:, 4:] * lengths[:, None]
+    left, right = stubs[:, :2], stubs[:, 2:4]
+    quads = np.stack((left, left + ahead, right + ahead, right), axis=1)
+    for k in np.unique(size):
+        of = np.flatnonzero(size == k)
+        ring = rings[starts[of][:, None] + np.arange(k)]
+        apart = (quads[of].max(1) < ring.min(1)).any(1) | (ring.max(1) < quads[of].min(1)).any(1)
+        of, ring = of[~apart], ring[~apart]
+        a, b = ring - np.roll(ring, 1, axis=1), np.roll(ring, -1, axis=1) - ring
+        bend = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+        convex = (bend >= 0).all(1) | (bend <= 0).all(1)
+        for i, r in zip(of[~convex], ring[~convex]):
+            found[i] = nearest_overlap(tuple(stubs[i]), float(lengths[i]), r, contact)
+        of, ring = of[convex], ring[convex]
+        alive, left_over = _clipped(ring, quads[of]) if len(of) else (of, ring)
+        if not len(alive):
+            continue
+        of, nxt = of[alive], np.roll(left_over, -1, axis=1)
+        area = np.abs((left_over[..., 0] * nxt[..., 1] - nxt[..., 0] * left_over[..., 1]).sum(1) / 2)
+        origin, axis = (quads[of, 0] + quads[of, 3]) / 2, stubs[of, 4:]
+        along = ((left_over - origin[:, None]) * axis[:, None]).sum(2).min(1)
+        found[of] = np.where(area > contact, np.maximum(0.0, along), np.inf)
+    return found
+
+
+def _swept(stubs: DataFrame, length: str, cell: float) -> DataFrame:
+    """stubs with the boxes (x0, y0, x1, y1) of their sweeps, a piece of one cell's length at a time."""
+    k = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(length) / cell).cast("int") - 1, F.lit(0))))
     s = stubs.filter(F.col(length) > 0).withColumn("_k", k)
     a, b = F.col("_k") * cell, F.least((F.col("_k") + 1) * cell, F.col(length))
     ends = lambda p, d: [F.col(f"{s_}{p}") + F.col(d) * t for s_ in "lr" for t in (a, b)]
-    s = s.withColumns({"x0": F.least(*ends("x", "dx")), "x1": F.greatest(*ends("x", "dx")), "y0": F.least(*ends("y", "dy")), "y1": F.greatest(*ends("y", "dy"))})
-    return spatial.cells_of_box(s, cell).select(*stubs.columns, "cx", "cy").distinct()
+    return s.withColumns({"x0": F.least(*ends("x", "dx")), "x1": F.greatest(*ends("x", "dx")), "y0": F.least(*ends("y", "dy")), "y1": F.greatest(*ends("y", "dy"))}).drop("_k")
+
+
+def swept_cells(stubs: DataFrame, length: str, cell: float) -> DataFrame:
+    """stubs with cx, cy of the cells along their sweeps."""
+    return spatial.cells_of_box(_swept(stubs, length, cell), cell).select(*stubs.columns, "cx", "cy").distinct()
 
 
 def _first_overlaps(pairs: DataFrame, key: list[str], length: str) -> DataFrame:
     """key and obstacle: the least of nearest_overlap() over pairs (key, a stub, its length, ring); none without one."""
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
+    flat = F.flatten(F.transform("ring", lambda p: F.slice(p, 1, 2)))
+    pairs = pairs.select(F.struct(*key).alias("_key"), *_STUB, F.col(length).cast("double").alias("_length"), flat.alias("ring"))
 
     def run(batches):
-        for pdf in batches:
-            found = [nearest_overlap(tuple(v), n, np.array([list(p) for p in ring], float)) for *v, n, ring in pdf[[*_STUB, length, "ring"]].itertuples(index=False)]
-            yield pdf[key].assign(obstacle=found)
+        for batch in batches:
+            column = lambda n: batch.column(n).to_numpy(zero_copy_only=False).astype(float)  # noqa: E731, B023
+            ring = batch.column("ring")
+            corners = ring.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+            starts = np.concatenate(([0], np.cumsum(ring.value_lengths().to_numpy(zero_copy_only=False)))) // 2
+            found = nearest_overlaps(np.column_stack([column(c) for c in _STUB]), column("_length"), corners, starts.astype(int))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(found)], ["_key", "obstacle"])
 
-    cut = spread(pairs, *key).mapInPandas(run, f"{kinds}, obstacle double")
-    return cut.groupBy(*key).agg(F.min("obstacle").alias("obstacle")).filter(F.col("obstacle") < float("inf"))
+    cut = pairs.mapInArrow(run, f"_key {pairs.schema['_key'].dataType.simpleString()}, obstacle double")
+    return cut.filter(F.col("obstacle") < float("inf")).groupBy("_key").agg(F.min("obstacle").alias("obstacle")).select("_key.*", "obstacle")
 
 
 def blocked(stubs: DataFrame, rings: DataFrame, key: list[str], own: str, *, length: str = "limit", cell: float = 25.0) -> DataFrame:
@@ -75,12 +141,13 @@ def blocked(stubs: DataFrame, rings: DataFrame, key: list[str], own: str, *, len
     null where the way is clear.  Rings of fewer than three corners are in nobody's way."""
     at = lambda axis: F.transform("ring", lambda p: p[axis])
     box = {"x0": F.array_min(at(0)), "y0": F.array_min(at(1)), "x1": F.array_max(at(0)), "y1": F.array_max(at(1))}
-    r = spatial.cells_of_box(rings.filter(F.size("ring") >= 3).withColumns(box), cell).select(F.col(own).alias("_other"), "ring", "cx", "cy")
+    r = rings.filter(F.size("ring") >= 3).withColumns(box).select(F.col(own).alias("_other"), "ring", *box)
     columns = list(dict.fromkeys([*key, own, *_STUB, length]))
-    left, found, reach = stored(stubs.select(*columns)), None, 4 * cell
+    left, found, reach = stored(stubs.select(*columns)), None, cell
     while True:  # a stretch of each sweep, and four times as much of those that met nothing in it
-        part = swept_cells(left.withColumn("_part", F.least(length, F.lit(reach))), "_part", cell)
-        pairs = part.join(r, ["cx", "cy"]).filter(F.col("_other") != F.col(own)).select(*columns, "ring").distinct()
+        part = _swept(left.withColumn("_part", F.least(length, F.lit(reach))), "_part", cell)
+        pairs = spatial.touching_boxes(part, r, cell).filter(F.col("b__other") != F.col(f"a_{own}"))
+        pairs = pairs.select(*(F.col(f"a_{c}").alias(c) for c in columns), F.col("b_ring").alias("ring"))
         met = stored(left.join(_first_overlaps(pairs, key, length), key, "left"))
         over = (F.col("obstacle") <= reach) | (F.col(length) <= reach)
         done = met.filter(over & F.col("obstacle").isNotNull()).select(*key, "obstacle")
@@ -141,10 +208,10 @@ def granted(stubs: DataFrame, rings: DataFrame, key: list[str], own: str, *, cle
 
     def meet(batches):
         for pdf in batches:
-            keep = []
-            for r in pdf[[*(f"a_{c}" for c in (*_STUB, "most")), *_STUB, "limit"]].itertuples(index=False):
-                keep.append(nearest_overlap(tuple(r[7:13]), r[13], _sweep(*r[:7])) < np.inf)
-            yield pdf[keep]
+            a, b = (pdf[list(c)].to_numpy(float) for c in ((*(f"a_{c}" for c in _STUB), "a_most"), (*_STUB, "limit")))
+            ahead = a[:, 4:6] * a[:, 6:]
+            sweeps = np.stack((a[:, :2], a[:, :2] + ahead, a[:, 2:4] + ahead, a[:, 2:4]), axis=1)
+            yield pdf[nearest_overlaps(b[:, :6], b[:, 6], sweeps.reshape(-1, 2), 4 * np.arange(len(a) + 1)) < np.inf]
 
     pairs = stored(spread(pairs, "a", "b").mapInPandas(meet, pairs.schema))
     state = stored(first.select(order.alias("k"), "most", "obstacle", "limit", F.when(F.col("most") <= 0, 0.0).alias("length")))
