@@ -240,7 +240,7 @@ def lane_project(points: DataFrame, frames: DataFrame, by: By, key: str, order:
     quads = stored(_lane_quads(frames, by, order))
     cells = quads.filter("_g is not null").select(*by, *_QUAD, F.floor(F.col("mx") / F.col("_g")).alias("_x"), F.floor(F.col("my") / F.col("_g")).alias("_y"))
     everywhere, lanes = quads.filter("_g is null").select(*by, *_QUAD), quads.filter("_g is not null").select(*by, "_g").distinct()
-    points = stored(points.select(*by, key, "px", "py").join(lanes, by, "left"))
+    points = points.select(*by, key, "px", "py")
     whole, near = list(by), [*by, "_x", "_y"]
 
     def around(p: DataFrame) -> DataFrame:
@@ -266,6 +266,10 @@ def lane_project(points: DataFrame, frames: DataFrame, by: By, key: str, order:
 
     same = reduce(lambda x, y: x & y, (F.col(f"_p.{n}").eqNullSafe(F.col(f"_q.{n}")) for n in (*by, key)))
     knowing = lambda p, b: p.alias("_p").join(b.alias("_q"), same).select("_p.*", "_best")
+    if lanes.isEmpty():  # as an atlas has them: lanes of a quad or two
+        alone = points.withColumn("_g", F.lit(None).cast("double"))
+        return where(knowing(alone, most(alone.join(everywhere, whole))).join(everywhere, whole))
+    points = stored(points.join(lanes, by, "left"))
     best = stored(most(points.join(everywhere, whole), around(points).join(cells, near)))
     sure = best.filter("_g is null or _best > -0.666")
     rest = stored(points.alias("_p").join(sure.alias("_q"), same, "left_anti"))
